@@ -42,7 +42,8 @@ def minibatches(
         raise ValueError(f"unknown step rule {step_rule!r}")
     size = F.col("chunk_rows") if batch_size is None else F.lit(batch_size).cast("long")
     df = trainable(chunked, batch_size or 1).withColumn("_size", size)
-    df = df.withColumn("_per_pass", F.expr("chunk_rows div _size"))
+    # At least 1 also for chunks left out: Spark may reckon passes before it filters.
+    df = df.withColumn("_per_pass", F.greatest(F.lit(1).cast("long"), F.expr("chunk_rows div _size")))
     cap = F.lit(epochs) * (F.col("_per_pass") if step_rule == "full_pass" else F.col("_size"))
     if num_partitions:
         df = df.repartition(num_partitions, "chunk")

@@ -78,8 +78,7 @@ def rank_rows(
     return (
         hashed.withColumn("_rn", F.row_number().over(within))
         .join(F.broadcast(offsets), "_b")
-        .withColumn("rank", F.col("_off") + F.col("_rn") - 1)
-        .drop("_h", "_b", "_off", "_rn")
+        .select(*df.columns, (F.col("_off") + F.col("_rn") - 1).alias("rank"), "n_rows")
     )
 
 
@@ -159,8 +158,7 @@ def _rank_in_order(df: DataFrame, order: list[str]) -> DataFrame:
     return (
         ranged.withColumn("_rn", F.row_number().over(within))
         .join(F.broadcast(offsets), "_b")
-        .withColumn("rank", F.col("_off") + F.col("_rn") - 1)
-        .drop("_b", "_off", "_rn")
+        .select(*df.columns, (F.col("_off") + F.col("_rn") - 1).alias("rank"), "n_rows")
     )
 
 

@@ -1,9 +1,9 @@
 """NumPy kernel run inside Spark tasks: LSTM stack, gradients, Adam.
 
 A net is one flat float64 vector with named views into it. The four gates of a
-layer share one matrix (hidden rows first, then input rows; columns by gate:
-forget, input, output, candidate), so a step is one matrix product for the input,
-one for the hidden state, and one ``tanh`` for all gates.
+layer share one matrix for the hidden state and one for the input (columns by
+gate: forget, input, output, candidate), so a step is two matrix products and one
+``tanh`` for all gates.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class NetSpec:
         """Shape of each view, recurrent layers first, dense head last."""
         out, width = {}, self.in_features
         for n, hidden in enumerate(self.hidden_units):
-            out["W", n] = (hidden + width, 4 * hidden)
+            out["wh", n], out["wx", n] = (hidden, 4 * hidden), (width, 4 * hidden)
             out["b", n] = (4 * hidden,)
             out["h0", n] = out["c0", n] = (self.slots, hidden)
             width = hidden
@@ -79,25 +79,26 @@ def init_params(spec: NetSpec, seed: int, initializer=truncated_normal) -> np.nd
 
 
 def cell_step(z: np.ndarray, c: np.ndarray):
-    """Gates, cell state and hidden output from the pre-activations ``z [n, 4H]``."""
+    """Gates (in place of the pre-activations ``z [n, 4H]``), cell state, its tanh, hidden output."""
     H = c.shape[1]
-    gates = z.copy()
-    gates[:, : 3 * H] *= 0.5
-    np.tanh(gates, out=gates)
-    sig = gates[:, : 3 * H]  # sigmoid(z) = (1 + tanh(z/2)) / 2
-    sig += 1.0
+    sig = z[:, : 3 * H]  # sigmoid(v) = (1 + tanh(v/2)) / 2
     sig *= 0.5
-    C = gates[:, :H] * c + gates[:, H : 2 * H] * gates[:, 3 * H :]
+    np.tanh(z, out=z)
+    sig *= 0.5
+    sig += 0.5
+    C = z[:, :H] * c
+    C += z[:, H : 2 * H] * z[:, 3 * H :]
     tc = np.tanh(C)
-    return gates, C, tc, gates[:, 2 * H : 3 * H] * tc
+    return z, C, tc, z[:, 2 * H : 3 * H] * tc
 
 
 def forward(params: dict, x: np.ndarray, states: list) -> tuple[np.ndarray, list]:
     """Logits, and per layer what the backward pass needs. ``states`` holds ``(h, C)`` per layer."""
     tape = []
     for n, (h, c) in enumerate(states):
-        W, H = params["W", n], c.shape[1]
-        gates, _, tc, out = cell_step(x @ W[H:] + (h @ W[:H] + params["b", n]), c)
+        z = x @ params["wx", n]
+        z += h @ params["wh", n] + params["b", n]
+        gates, _, tc, out = cell_step(z, c)
         tape.append((x, h, c, gates, tc))
         x = out
     top = len(states)
@@ -108,57 +109,77 @@ def states_at(params: dict, spec: NetSpec, slots: slice) -> list:
     return [(params["h0", n][slots], params["c0", n][slots]) for n in range(len(spec.hidden_units))]
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    shifted = logits - logits.max(axis=1, keepdims=True)
-    return shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
+def softmax(logits: np.ndarray) -> np.ndarray:
+    out = np.exp(logits - np.maximum.reduce(logits, axis=1, keepdims=True))
+    out /= np.add.reduce(out, axis=1, keepdims=True)
+    return out
 
 
-def loss_and_hits(logits: np.ndarray, y: np.ndarray, logp=None) -> tuple[float, int]:
+def loss_and_hits(logits: np.ndarray, y: np.ndarray) -> tuple[float, int]:
     """Summed cross-entropy and number of right answers (first maximum wins)."""
-    logp = log_softmax(logits) if logp is None else logp
-    return -float(logp[np.arange(len(y)), y].sum()), int((logits.argmax(axis=1) == y).sum())
+    top = logits.max(axis=1)
+    norm = np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top
+    return float((norm - logits[np.arange(len(y)), y]).sum()), int((logits.argmax(axis=1) == y).sum())
 
 
-def add_gradients(params: dict, grads: dict, spec: NetSpec, x, y, slots: slice) -> tuple[float, int]:
-    """Adds the gradient of the summed cross-entropy; returns that sum and the hits."""
+def gradients(params: dict, grads: dict, spec: NetSpec, x, y, slots: slice, scale: float) -> np.ndarray:
+    """Fills ``grads`` with ``scale`` times the gradient of the summed cross-entropy; returns the logits.
+
+    State slots other than ``slots`` are left as they are.
+    """
     logits, (*tape, hidden) = forward(params, x, states_at(params, spec, slots))
-    logp, top = log_softmax(logits), len(tape)
-    dlogits = np.exp(logp)
+    top = len(tape)
+    dlogits = softmax(logits)
     dlogits[np.arange(len(y)), y] -= 1.0
-    grads["wd", top] += hidden.T @ dlogits
-    grads["bd", top] += dlogits.sum(axis=0)
+    dlogits *= scale
+    np.matmul(hidden.T, dlogits, out=grads["wd", top])
+    np.add.reduce(dlogits, axis=0, out=grads["bd", top])
     dh = dlogits @ params["wd", top].T
     for n in reversed(range(top)):
         x, h, c, gates, tc = tape[n]
-        W, dW, H = params["W", n], grads["W", n], c.shape[1]
-        f, i, o, g = (gates[:, q * H : (q + 1) * H] for q in range(4))
-        dC = dh * o * (1.0 - tc * tc)
-        slope = gates * (1.0 - gates)
-        slope[:, 3 * H :] = 1.0 - g * g
-        dz = np.concatenate([dC * c, dC * g, dh * tc, dC * i], axis=1) * slope
+        H = c.shape[1]
+        f, i, o, g = gates[:, :H], gates[:, H : 2 * H], gates[:, 2 * H : 3 * H], gates[:, 3 * H :]
+        slope = gates - gates * gates
+        np.subtract(1.0, g * g, out=slope[:, 3 * H :])
+        dC = dh * o
+        dC *= 1.0 - tc * tc
+        dz = np.concatenate((dC * c, dC * g, dh * tc, dC * i), axis=1)
+        dz *= slope
         dc, dz_state = dC * f, dz
         if spec.slots == 1:  # one state row shared by all rows
             dc, dz_state = dc.sum(axis=0, keepdims=True), dz.sum(axis=0, keepdims=True)
-        dW[:H] += h.T @ dz_state
-        dW[H:] += x.T @ dz
-        grads["b", n] += dz.sum(axis=0)
-        grads["h0", n][slots] += dz_state @ W[:H].T
-        grads["c0", n][slots] += dc
+        np.matmul(h.T, dz_state, out=grads["wh", n])
+        np.matmul(x.T, dz, out=grads["wx", n])
+        np.add.reduce(dz, axis=0, out=grads["b", n])
+        np.matmul(dz_state, params["wh", n].T, out=grads["h0", n][slots])
+        grads["c0", n][slots] = dc
         if n:
-            dh = dz @ W[H:].T
-    return loss_and_hits(logits, y, logp)
+            dh = dz @ params["wx", n].T
+    return logits
 
 
 class Adam:
     def __init__(self, learning_rate: float):
-        self.rate, self.t, self.m, self.v = learning_rate, 0, 0.0, 0.0
+        self.rate, self.t = learning_rate, 0
 
     def update(self, flat: np.ndarray, grad: np.ndarray) -> None:
+        """Changes ``flat`` in place; ``grad`` is used up."""
+        if not self.t:
+            self.m, self.v, self.change = np.zeros_like(grad), np.zeros_like(grad), np.empty_like(grad)
         self.t += 1
-        rate = self.rate * (1 - BETA2**self.t) ** 0.5 / (1 - BETA1**self.t)
-        self.m = BETA1 * self.m + (1 - BETA1) * grad
-        self.v = BETA2 * self.v + (1 - BETA2) * (grad * grad)
-        flat -= rate * self.m / (np.sqrt(self.v) + EPSILON)
+        m, v, change = self.m, self.v, self.change
+        np.multiply(grad, 1 - BETA1, out=change)
+        m *= BETA1
+        m += change
+        grad *= grad
+        grad *= 1 - BETA2
+        v *= BETA2
+        v += grad
+        np.sqrt(v, out=grad)
+        grad += EPSILON
+        np.multiply(m, self.rate * (1 - BETA2**self.t) ** 0.5 / (1 - BETA1**self.t), out=change)
+        change /= grad
+        flat -= change
 
 
 class Sgd:
@@ -171,20 +192,22 @@ class Sgd:
 
 OPTIMIZERS = {"adam": Adam, "sgd": Sgd}
 
+# Key and part, in the weights table, of tensors that are stored whole.
+STORED = {"h0": ("h0", "s"), "c0": ("c0", "s"), "wd": ("wd", "x"), "bd": ("bd", "b")}
+# First letter of the key and part of tensors that are stored by gate.
+BY_GATE = {"wh": ("w", "h"), "wx": ("w", "x"), "b": ("b", "b")}
+
 
 def to_rows(params: dict) -> list[tuple[str, int, str, list[int], np.ndarray]]:
     """``(key, layer, part, shape, values)`` per tensor of the weights table."""
     rows = []
     for (name, n), view in params.items():
-        if name in ("W", "b"):
-            for gate, block in zip(GATES, np.split(view, 4, axis=-1)):
-                if name == "b":
-                    rows.append(("b" + gate, n, "b", block))
-                else:
-                    hidden = block.shape[1]
-                    rows += [("w" + gate, n, "h", block[:hidden]), ("w" + gate, n, "x", block[hidden:])]
+        if name in STORED:
+            key, part = STORED[name]
+            rows.append((key, n, part, view))
         else:
-            rows.append((name, n, {"wd": "x", "bd": "b"}.get(name, "s"), view))
+            letter, part = BY_GATE[name]
+            rows += [(letter + gate, n, part, v) for gate, v in zip(GATES, np.split(view, 4, axis=-1))]
     return [(key, n, part, list(v.shape), v.ravel().copy()) for key, n, part, v in rows]
 
 
@@ -197,10 +220,10 @@ def from_rows(rows) -> tuple[NetSpec, np.ndarray]:
     spec = NetSpec(len(t["wf", 0, "x"]), widths, classes, slots if slots > 1 else None)
     flat = np.empty(spec.parameters())
     for (name, n), view in spec.views(flat).items():
-        if name == "W":
-            view[...] = np.concatenate([np.concatenate([t["w" + q, n, "h"], t["w" + q, n, "x"]]) for q in GATES], 1)
-        elif name == "b":
-            view[...] = np.concatenate([t["b" + q, n, "b"] for q in GATES])
+        if name in STORED:
+            key, part = STORED[name]
+            view[...] = t[key, n, part]
         else:
-            view[...] = t[name, n, {"wd": "x", "bd": "b"}.get(name, "s")]
+            letter, part = BY_GATE[name]
+            view[...] = np.concatenate([t[letter + gate, n, part] for gate in GATES], axis=-1)
     return spec, flat

@@ -17,6 +17,28 @@ def trainable(chunked: DataFrame, min_rows: int) -> DataFrame:
     return chunked.where(F.col("chunk_rows") >= min_rows)
 
 
+def in_passes(
+    chunked: DataFrame, batch_size: int | None, epochs: int, step_rule: str = "full_pass", extra_passes: int = 0
+) -> DataFrame:
+    """Repeats the rows of each chunk once per pass; adds ``max_steps`` and ``pass``.
+
+    ``step_rule`` is ``'full_pass'`` (``epochs`` passes) or ``'epochs_x_batch'``
+    (``epochs * batch_size`` steps, in as many passes as that takes).
+    """
+    if step_rule not in STEP_RULES:
+        raise ValueError(f"unknown step rule {step_rule!r}")
+    size, per_pass = _sizes(batch_size)
+    df = trainable(chunked, batch_size or 1)
+    df = df.withColumn("max_steps", (F.lit(epochs) * (per_pass if step_rule == "full_pass" else size)).cast("long"))
+    last = F.floor((F.col("max_steps") - 1) / per_pass).cast("int") + extra_passes
+    return df.withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
+
+
+def order_key(seed: int, ids: Sequence[str]) -> Column:
+    """Where a row comes within its chunk in one pass."""
+    return shuffle_hash(seed, "pass", *ids)
+
+
 def minibatches(
     chunked: DataFrame,
     batch_size: int | None = 10,
@@ -24,48 +46,39 @@ def minibatches(
     step_rule: str = "full_pass",
     ids: Sequence[str] = ("row_id",),
     seed: int = 42,
-    num_partitions: int | None = None,
-    extra_passes: int = 0,
 ) -> DataFrame:
     """Gives each row its place in the training order of its chunk.
 
     Every pass puts the chunk in a new seeded order and cuts it into full batches;
-    the rows left over in a pass are skipped. Adds ``pass, batch_id, slot, step,
-    max_steps``. ``step_rule`` is ``'full_pass'`` (``epochs`` passes) or
-    ``'epochs_x_batch'`` (``epochs * batch_size`` steps, in as many passes as that
-    takes). ``batch_size=None`` makes the chunk one batch.
-
-    With ``num_partitions`` the rows are exchanged once by chunk and the passes are
-    laid out after that exchange, inside the task that holds the chunk.
+    the rows left over in a pass are skipped. Adds ``max_steps, pass, batch_id,
+    slot, step``. ``batch_size=None`` makes the chunk one batch. A window holds one
+    pass of one chunk, which ``chunk_count`` bounds.
     """
-    if step_rule not in STEP_RULES:
-        raise ValueError(f"unknown step rule {step_rule!r}")
-    size = F.col("chunk_rows") if batch_size is None else F.lit(batch_size).cast("long")
-    df = trainable(chunked, batch_size or 1).withColumn("_size", size)
-    # At least 1 also for chunks left out: Spark may reckon passes before it filters.
-    df = df.withColumn("_per_pass", F.greatest(F.lit(1).cast("long"), F.expr("chunk_rows div _size")))
-    cap = F.lit(epochs) * (F.col("_per_pass") if step_rule == "full_pass" else F.col("_size"))
-    if num_partitions:
-        df = df.repartition(num_partitions, "chunk")
-    df = df.withColumn("max_steps", cap.cast("long"))
-    last_pass = F.expr(f"CAST((max_steps - 1) div _per_pass AS INT) + {extra_passes}")
-    df = df.withColumn("pass", F.explode(F.sequence(F.lit(0), last_pass)))
-
-    order = Window.partitionBy("chunk", "pass").orderBy(shuffle_hash(seed, "pass", *ids), *ids)
-    df = df.withColumn("_rn", F.row_number().over(order) - 1)
+    size, per_pass = _sizes(batch_size)
+    order = Window.partitionBy("chunk", "pass").orderBy(order_key(seed, ids), *ids)
+    df = in_passes(chunked, batch_size, epochs, step_rule).withColumn("_rn", F.row_number().over(order) - 1)
     if batch_size and step_rule == "epochs_x_batch":
         # Implied by the step cap; as a plain limit it lets Spark cut each group early.
         df = df.where(F.col("_rn") < epochs * batch_size * batch_size)
     df = (
-        df.withColumn("batch_id", F.expr("_rn div _size"))
-        .withColumn("slot", (F.col("_rn") % F.col("_size")).cast("int" if batch_size else "long"))
-        .where(F.col("batch_id") < F.col("_per_pass"))
-        .withColumn("step", F.col("pass") * F.col("_per_pass") + F.col("batch_id"))
+        df.withColumn("batch_id", F.floor(F.col("_rn") / size))
+        .withColumn("slot", (F.col("_rn") % size).cast("int" if batch_size else "long"))
+        .where(F.col("batch_id") < per_pass)
+        .withColumn("step", F.col("pass") * per_pass + F.col("batch_id"))
     )
-    return df.where(F.col("step") < F.col("max_steps") + extra_passes).drop("_size", "_per_pass", "_rn")
+    return df.where(F.col("step") < F.col("max_steps")).drop("_rn")
 
 
 def eval_flag(evaluate_every: int, step: Column | str = "step", max_steps: Column | str = "max_steps") -> Column:
     """True at every ``evaluate_every``-th step and at the last one."""
     step, max_steps = (F.col(c) if isinstance(c, str) else c for c in (step, max_steps))
     return (step % evaluate_every == 0) | (step + 1 == max_steps)
+
+
+def _sizes(batch_size: int | None) -> tuple[Column, Column]:
+    """Rows per batch and batches per pass."""
+    if batch_size is None:
+        return F.col("chunk_rows"), F.lit(1).cast("long")
+    # At least 1 also for chunks left out: Spark may reckon passes before it filters.
+    batches = F.floor(F.col("chunk_rows") / batch_size)
+    return F.lit(batch_size).cast("long"), F.greatest(F.lit(1).cast("long"), batches)

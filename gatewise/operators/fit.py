@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.functions.cell import NetSpec, init_params, truncated_normal
-from gatewise.operators.batching import minibatches
 from gatewise.operators.prep import MAX_CHUNK_ROWS, chunk_rows, rank_copies, rank_rows
-from gatewise.operators.score import Model
+from gatewise.operators.score import MAX_PARAMETERS, Model
 from gatewise.operators.train import train_replicas
-from gatewise.operators.weights import average_weights, latest_checkpoint
+from gatewise.operators.weights import average_weights
 from gatewise.sources.store import new_path
 
 
@@ -33,42 +32,17 @@ class Fit:
         """Mean of the replicas' final weights; ``weighting`` is ``'uniform'`` or ``'rows'``."""
         if weighting not in ("uniform", "rows"):
             raise ValueError(f"unknown weighting {weighting!r}")
-        last = latest_checkpoint(self.weights, "replica")
-        return average_weights(last, self.runs if weighting == "rows" else None)
+        return average_weights(self.final(), self.runs if weighting == "rows" else None)
+
+    def final(self) -> DataFrame:
+        """Weights after the last step of each replica."""
+        last = self.runs.select("replica", (F.col("steps") - 1).alias("step"))
+        return self.weights.join(last, ["replica", "step"])
 
     def model(self, weighting: str = "uniform") -> Model:
         return Model.load(self.averaged(weighting))
 
 
-def batched_rows(
-    examples: DataFrame,
-    spec: NetSpec,
-    ids: Sequence[str] | None,
-    num_chunks: int,
-    seed: int,
-    epochs: int,
-    step_rule: str,
-    remainder: str,
-    ties: Sequence[str] = (),
-) -> DataFrame:
-    """Relational half of training: two exchanges, one by rank bucket and one by chunk."""
-    ranked = rank_copies(examples, seed) if ids is None else rank_rows(examples, ids, seed, ties)
-    if ids is None or ties:
-        ids = ["rank"]
-    return minibatches(
-        chunk_rows(ranked, num_chunks, remainder),
-        spec.batch_size,
-        epochs,
-        step_rule,
-        ids,
-        seed,
-        # Few rows per chunk pass the step cap of the other rule, wherever they run.
-        num_partitions=num_chunks if step_rule == "full_pass" else None,
-        # A whole-chunk batch is evaluated by reading it once more after the last update.
-        extra_passes=0 if spec.batch_size else 1,
-    )
-
-
 def fit(
     examples: DataFrame,
     spec: NetSpec,
@@ -97,12 +71,14 @@ def fit(
     defaults to a new folder under the shared checkpoint folder; a run overwrites
     its own ``run_id`` there, so a repeated run leaves one copy.
     """
+    if spec.parameters() > MAX_PARAMETERS:
+        raise ValueError(f"a net of {spec.parameters()} parameters is too large to broadcast")
     began = time.perf_counter()
     spark = examples.sparkSession
     total = examples.count()
     num_chunks = num_chunks or max(4, -(-total // MAX_CHUNK_ROWS))
     params = init.flat if init else init_params(spec, seed, initializer)
-    batched = batched_rows(examples, spec, ids, num_chunks, seed, epochs, step_rule, remainder, ties)
+    ranked = rank_copies(examples, seed) if ids is None else rank_rows(examples, ids, seed, ties)
     settings = {
         **asdict(spec), "num_chunks": num_chunks, "seed": seed, "epochs": epochs, "step_rule": step_rule,
         "remainder": remainder, "learning_rate": learning_rate, "evaluate_every": evaluate_every,
@@ -110,7 +86,19 @@ def fit(
         "weight_decay": weight_decay, "warm_start": init is not None,
     }
     trained = train_replicas(
-        batched, spec, params, learning_rate, evaluate_every, optimizer, weight_decay, keep_checkpoints
+        chunk_rows(ranked, num_chunks, remainder),
+        spec,
+        params,
+        num_chunks,
+        ["rank"] if ids is None or ties else ids,
+        seed,
+        epochs,
+        step_rule,
+        learning_rate,
+        evaluate_every,
+        optimizer,
+        weight_decay,
+        keep_checkpoints,
     )
     skipped = skipped_chunks(spark, total, num_chunks, remainder, spec.batch_size or 1)
     path = output_path or new_path(spark, "fit")

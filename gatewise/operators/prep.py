@@ -64,14 +64,22 @@ def rank_rows(
     seed: int = 42,
     ties: Sequence[str] = (),
     shuffle: bool = True,
+    hot_ids: bool = False,
 ) -> DataFrame:
     """Adds ``rank`` (0-based, global) and ``n_rows``.
 
     ``ids`` (integers or text) and ``ties`` together must identify a row. The order
     is ``md5(seed:ids), ids, ties``; with ``shuffle=False`` it is ``ids, ties``.
+
+    Rows with the same ``ids`` share a bucket, hence a task. Where a few ids may hold
+    a large share of the rows, ``hot_ids=True`` ranks by ranges of the whole order
+    instead, which splits them, at the price of writing the rows once. Rows with no
+    key at all go to :func:`rank_copies`.
     """
     if not shuffle:
         return _rank_in_order(df, [*ids, *ties])
+    if hot_ids:
+        return _rank_in_order(df.withColumn("_h", shuffle_hash(seed, *ids)), ["_h", *ids, *ties]).drop("_h")
     hashed = df.withColumn("_h", shuffle_hash(seed, *ids)).withColumn("_b", _bucket("_h"))
     offsets = _offsets(hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
     within = Window.partitionBy("_b").orderBy("_h", *ids, *ties)
@@ -151,7 +159,8 @@ def random_split(df: DataFrame, split: float = 0.8, seed: int | None = None) ->
 
 def _rank_in_order(df: DataFrame, order: list[str]) -> DataFrame:
     # Range bounds come from a sample, so the ranged rows are written once and both
-    # the counts and the ranks are taken from what was written.
+    # the counts and the ranks are taken from what was written. There are as many
+    # offsets as ranges.
     ranged = cut(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
     offsets = _offsets(ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
     within = Window.partitionBy("_b").orderBy(*order)

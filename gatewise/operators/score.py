@@ -143,15 +143,15 @@ def _walk(params: dict, start, x, t, moves, carried):
     continued = None if t[0] == 0 else int(np.flatnonzero(first == 0)[0])
     after = []
     for n, (h0, c0) in enumerate(start):
-        W, width = params["W", n], h0.shape[1]
+        width = h0.shape[1]
         h, c = np.repeat(h0, len(first), axis=0), np.repeat(c0, len(first), axis=0)
         if continued is not None:
             h[continued], c[continued] = carried[n]
-        from_input = x @ W[width:] + params["b", n]
+        from_input = x @ params["wx", n] + params["b", n]
         top = np.empty((len(t), width))
         for d, runs in enumerate(active):
             rows = first[:runs] + d
-            _, cell_state, _, out = cell.cell_step(from_input[rows] + h[:runs] @ W[:width], c[:runs])
+            _, cell_state, _, out = cell.cell_step(from_input[rows] + h[:runs] @ params["wh", n], c[:runs])
             moved = moves[rows][:, None]
             h[:runs], c[:runs] = np.where(moved, out, h[:runs]), np.where(moved, cell_state, c[:runs])
             top[rows] = h[:runs]

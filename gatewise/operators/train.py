@@ -1,10 +1,11 @@
-"""Training job: one replica per chunk, as a grouped Arrow function."""
+"""Training job: one replica per chunk, on rows that Spark has put in order."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
 from collections import deque
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from gatewise.functions import cell
 from gatewise.functions.arrow import matrix
 from gatewise.functions.cell import NetSpec
-from gatewise.operators.batching import eval_flag
+from gatewise.operators.batching import in_passes, minibatches, order_key, trainable
 from gatewise.sources.store import broadcast
 
 # One tagged row type for everything a replica gives back, so that it trains once.
@@ -43,128 +44,148 @@ OUTPUT_ARROW = pa.schema(
 # Rows of one batch that are multiplied at once; larger batches add up their gradients.
 PIECE = 1 << 13
 
+PLACE = ("chunk", "pass", "max_steps", "chunk_rows")
+
+
+def training_rows(
+    chunked: DataFrame,
+    batch_size: int | None,
+    num_partitions: int,
+    ids: Sequence[str] = ("row_id",),
+    seed: int = 42,
+    epochs: int = 1,
+    step_rule: str = "full_pass",
+) -> DataFrame:
+    """Rows of each chunk in one partition, in training order.
+
+    Rows are exchanged once, to the partition of their chunk's number, so chunks
+    share a task only where there are more of them than partitions. The passes are
+    laid out and sorted after that exchange.
+    """
+    to_chunk = (num_partitions, F.col("chunk").cast("int"))
+    if batch_size and step_rule == "epochs_x_batch":
+        # Only the rows of the first steps; few are left to exchange.
+        rows = minibatches(chunked, batch_size, epochs, step_rule, ids, seed).repartitionById(*to_chunk)
+    else:
+        # A whole-chunk batch is evaluated by reading it once more after the last update.
+        rows = trainable(chunked, batch_size or 1).repartitionById(*to_chunk)
+        rows = in_passes(rows, batch_size, epochs, step_rule, extra_passes=0 if batch_size else 1)
+    ordered = rows.withColumn("_h", order_key(seed, ids)).sortWithinPartitions("chunk", "pass", "_h", *ids)
+    return ordered.select(*PLACE, "features", "label")
+
 
 def train_replicas(
-    batched: DataFrame,
+    chunked: DataFrame,
     spec: NetSpec,
     params: np.ndarray,
+    num_partitions: int,
+    ids: Sequence[str] = ("row_id",),
+    seed: int = 42,
+    epochs: int = 1,
+    step_rule: str = "full_pass",
     learning_rate: float = 1e-3,
     evaluate_every: int = 10,
     optimizer="adam",
     weight_decay: float = 0.0,
     keep_checkpoints: int | None = 1,
 ) -> DataFrame:
-    """Trains one replica per chunk of ``minibatches`` output, all from ``params``.
+    """Trains one replica per chunk, all from ``params``, in the order of ``minibatches``.
 
-    The rows of a chunk come in (pass, batch, slot) order from the window that
-    numbered them and are read as a stream: a task holds the net and one batch,
-    whatever the size of its chunk. ``keep_checkpoints`` is how many evaluated
-    steps to keep weights of, the last one included; None keeps all.
+    The task of a chunk reads its rows as a stream: it holds the net and one batch,
+    whatever the size of the chunk. ``keep_checkpoints`` is how many evaluated steps
+    to keep weights of, the last one included; None keeps all.
     """
+    ordered = training_rows(chunked, spec.batch_size, num_partitions, ids, seed, epochs, step_rule)
     make_optimizer = cell.OPTIMIZERS.get(optimizer, optimizer)
-    shared = broadcast(batched.sparkSession, params)
+    shared = broadcast(chunked.sparkSession, params)
 
-    def replica(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replica(chunk: int, pieces: Iterator) -> Iterator[pa.RecordBatch]:
         began = time.perf_counter()
-        chunk = key[0].as_py()
-        flat, grad = shared.value.copy(), np.empty(spec.parameters())
-        weights, grads = spec.views(flat), spec.views(grad)
-        decayed = spec.decayed()
-        solver = make_optimizer(learning_rate)
+        flat = shared.value.copy()
+        grad, more = np.empty_like(flat), np.empty_like(flat)
+        weights, grads, more_grads = spec.views(flat), spec.views(grad), spec.views(more)
+        slots, decayed, solver = slice(0, spec.slots), flat[: spec.decayed()], make_optimizer(learning_rate)
         kept: deque = deque(maxlen=keep_checkpoints)
-
-        def decay() -> float | None:
-            part = flat[:decayed]
-            return weight_decay * float(part @ part) / 2 if weight_decay else None
-
-        rows = steps = 0
-        waiting = None  # batch_size=None: the step whose metrics the next pass will give
-        for step, last, evaluate, pieces in _steps(batches, spec):
-            grad.fill(0.0)
-            loss = hits = size = 0
-            for x, y, slots in pieces:
-                piece_loss, piece_hits = cell.add_gradients(weights, grads, spec, x, y, slots)
-                loss, hits, size = loss + piece_loss, hits + piece_hits, size + len(y)
+        rows = steps = loss = hits = 0
+        waiting = None  # whole-chunk batches: the step whose metrics this pass gives
+        for (_, in_pass, max_steps, chunk_rows), at, x, y in pieces:
+            size = spec.batch_size or chunk_rows
+            step = in_pass * (chunk_rows // size) + at // size
+            opens, closes = at % size == 0, at % size + len(y) == size
+            logits = cell.gradients(weights, grads if opens else more_grads, spec, x, y, slots, 1 / size)
+            if not opens:
+                grad += more
+            if waiting is not None:
+                loss, hits = (a + b for a, b in zip((loss, hits), cell.loss_and_hits(logits, y)))
+            if not closes:
+                continue
             if waiting is not None:
-                yield _metrics(chunk, waiting, loss / size, hits / size, decay())
-                waiting = None
-            if step > last:
-                break
-            grad /= size
+                yield _metrics(chunk, waiting, loss / size, hits / size, _decay(decayed, weight_decay))
+                waiting, loss, hits = None, 0, 0
+            if step >= max_steps:
+                continue
             if weight_decay:
-                grad[:decayed] += weight_decay * flat[:decayed]
+                grad[: len(decayed)] += weight_decay * decayed
             solver.update(flat, grad)
             rows, steps = rows + size, steps + 1
-            if evaluate:
+            if step % evaluate_every == 0 or step + 1 == max_steps:
                 if spec.batch_size is None:
                     waiting = step
                 else:
                     logits, _ = cell.forward(weights, x, cell.states_at(weights, spec, slots))
-                    loss, hits = cell.loss_and_hits(logits, y)
-                    yield _metrics(chunk, step, loss / size, hits / size, decay())
+                    loss_now, hits_now = cell.loss_and_hits(logits, y)
+                    yield _metrics(chunk, step, loss_now / size, hits_now / size, _decay(decayed, weight_decay))
                 if keep_checkpoints is None:
                     yield _weights(chunk, step, cell.to_rows(weights))
-                else:
+                elif step + 1 == max_steps or keep_checkpoints > 1:
                     kept.append((step, cell.to_rows(weights)))
         for step, tensors in kept:
             yield _weights(chunk, step, tensors)
         seconds = time.perf_counter() - began
         yield _batch([{"kind": "runs", "replica": chunk, "rows": rows, "steps": steps, "seconds": seconds}])
 
-    flags = eval_flag(evaluate_every).alias("evaluate")
-    source = batched.select(
-        "chunk", F.col("step"), (F.col("max_steps") - 1).alias("last"), flags, F.col("slot").cast("long"),
-        "features", "label",
-    )
-    return source.groupBy("chunk").applyInArrow(replica, OUTPUT)
-
-
-def _steps(batches: Iterator[pa.RecordBatch], spec: NetSpec):
-    """Cuts the row stream of a chunk into ``(step, last, evaluate, pieces)``."""
-    pieces = _pieces(batches, spec)
-    ahead = next(pieces, None)
-    while ahead is not None:
-        step, last, evaluate = ahead[0]
-
-        def of_step():
-            nonlocal ahead
-            while ahead is not None and ahead[0][0] == step:
-                yield ahead[1:]
-                ahead = next(pieces, None)
+    def replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, pieces in groupby(_pieces(batches, spec), key=lambda piece: piece[0][0]):
+            yield from replica(chunk, pieces)
 
-        yield step, last, evaluate, of_step()
+    return ordered.mapInArrow(replicas, OUTPUT)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], spec: NetSpec):
-    """Consecutive rows of one step, at most PIECE of them, cut alike for any Arrow batch size."""
-    held, previous = None, (-1, -1)
+    """Cuts ordered rows into ``(place, at, x, y)``, alike for any Arrow batch size.
+
+    ``at`` numbers the first row within its pass. A piece is one batch; rows left
+    over at the end of a pass are dropped. Of a whole-chunk batch it is PIECE rows.
+    """
+    unit = spec.batch_size or PIECE
+    place, at, x, y = None, 0, None, ()
     for batch in batches:
-        step, last, slot = (batch.column(c).to_numpy() for c in ("step", "last", "slot"))
-        evaluate = batch.column("evaluate").to_numpy(zero_copy_only=False)
-        x, y = matrix(batch.column("features"), spec.in_features), batch.column("label").to_numpy()
-        if len(y) and (y.min() < 0 or y.max() >= spec.num_classes):
+        places = [batch.column(c).to_numpy() for c in PLACE]
+        features, labels = matrix(batch.column("features"), spec.in_features), batch.column("label").to_numpy()
+        if len(labels) and (labels.min() < 0 or labels.max() >= spec.num_classes):
             raise ValueError(f"label outside 0..{spec.num_classes - 1}")
-        columns = [step, last, evaluate, slot, x, y]
-        if held is not None:
-            columns = [np.concatenate([a, b]) for a, b in zip(held, columns)]
-        step, last, evaluate, slot, x, y = columns
-        if not len(step):
-            continue
-        starts = np.flatnonzero(np.append(True, (np.diff(step) != 0) | (slot[1:] % PIECE == 0)))
-        for a, b in zip(starts[:-1], starts[1:]):
-            place = (int(step[a]), int(slot[a]))
-            if place <= previous:
-                raise RuntimeError("rows out of batch order")
-            previous = place
-            yield (step[a], last[a], evaluate[a]), x[a:b], y[a:b], _slots(spec, slot[a], b - a)
-        held = [c[starts[-1] :] for c in columns]
-    if held is not None:
-        step, last, evaluate, slot, x, y = held
-        yield (step[0], last[0], evaluate[0]), x, y, _slots(spec, slot[0], len(slot))
-
-
-def _slots(spec: NetSpec, first: int, rows: int) -> slice:
-    return slice(first, first + rows) if spec.slots > 1 else slice(0, 1)
+        chunk, in_pass = places[0], places[1]
+        starts = np.flatnonzero(np.append(True, (np.diff(chunk) != 0) | (np.diff(in_pass) != 0))) if len(chunk) else []
+        for a, b in zip(starts, [*starts[1:], len(chunk)]):
+            here = tuple(int(p[a]) for p in places)
+            if here == place and len(y):
+                x, y = np.concatenate([x, features[a:b]]), np.concatenate([y, labels[a:b]])
+            else:
+                if here != place:
+                    if len(y) and spec.batch_size is None:
+                        yield place, at, x, y
+                    place, at = here, 0
+                x, y = features[a:b], labels[a:b]
+            whole = len(y) - len(y) % unit
+            for k in range(0, whole, unit):
+                yield place, at + k, x[k : k + unit], y[k : k + unit]
+            at, x, y = at + whole, x[whole:], y[whole:]
+    if len(y) and spec.batch_size is None:
+        yield place, at, x, y
+
+
+def _decay(values: np.ndarray, weight_decay: float) -> float | None:
+    return weight_decay * float(values @ values) / 2 if weight_decay else None
 
 
 def _metrics(chunk, step, cross_entropy, accuracy, decay: float | None) -> pa.RecordBatch:
@@ -172,18 +193,13 @@ def _metrics(chunk, step, cross_entropy, accuracy, decay: float | None) -> pa.Re
     if decay is not None:
         values |= {"weight_decay_loss": decay, "total_loss": cross_entropy + decay}
     return _batch(
-        [
-            {"kind": "metrics", "replica": chunk, "step": int(step), "metric": m, "value": float(v)}
-            for m, v in values.items()
-        ]
+        [{"kind": "metrics", "replica": chunk, "step": step, "metric": m, "value": v} for m, v in values.items()]
     )
 
 
 def _weights(chunk, step, tensors) -> pa.RecordBatch:
     names = ("key", "layer", "part", "shape", "values")
-    return _batch(
-        [{"kind": "weights", "replica": chunk, "step": int(step), **dict(zip(names, t))} for t in tensors]
-    )
+    return _batch([{"kind": "weights", "replica": chunk, "step": step, **dict(zip(names, t))} for t in tensors])
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:

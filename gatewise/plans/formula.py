@@ -29,10 +29,10 @@ def formula_model(*hidden_units: int, in_features: int = 4) -> Model:
     flat = np.empty(spec.parameters())
     numbers = [GATE_NUMBER[g] for g in GATES]
     for (name, n), view in spec.views(flat).items():
-        if name == "W":
-            hidden = view.shape[1] // 4
-            rows = [HIDDEN_ROW + i for i in range(hidden)] + list(range(len(view) - hidden))
-            view[...] = [[weight(k, i, j) for k in numbers for j in range(hidden)] for i in rows]
+        if name in ("wh", "wx"):
+            first = HIDDEN_ROW if name == "wh" else 0
+            units = range(view.shape[1] // 4)
+            view[...] = [[weight(k, first + i, j) for k in numbers for j in units] for i in range(len(view))]
         elif name == "b":
             view[...] = [weight(k, BIAS_ROW, j) for k in numbers for j in range(len(view) // 4)]
         elif name == "wd":

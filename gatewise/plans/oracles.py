@@ -1,11 +1,15 @@
-"""The same results in plain SQL, written for DuckDB."""
+"""The same results in plain SQL, written for DuckDB.
+
+Values that two engines may compute in another order are rounded alike on both
+sides, as ``floor(v * 1e6 + 0.5) / 1e6``; all others are compared as they are.
+"""
 
 from __future__ import annotations
 
 LINE_X = """l_quantity / 50 AS x0, l_extendedprice / 105000 AS x1, l_discount * 10 AS x2, l_tax * 10 AS x3"""
 LINE_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 FLAG = "CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS BIGINT) AS label"
-XS = "round(x0, 6) + 0 AS x0, round(x1, 6) + 0 AS x1, round(x2, 6) + 0 AS x2, round(x3, 6) + 0 AS x3"
+XS = "x0, x1, x2, x3"
 
 SCAN = f"SELECT {LINE_KEY}, {LINE_X}, {FLAG} FROM lineitem"
 
@@ -80,7 +84,7 @@ cell AS (SELECT rid, j, cell AS c, o * tanh(cell) AS h FROM state)"""
 
 def wide(source: str, names: list[tuple[str, str, str]]) -> str:
     """Row per example from one row per unit; ``names`` is (output, value, condition)."""
-    columns = ", ".join(f"round(max({v}) FILTER ({cond}), 6) + 0 AS {n}" for n, v, cond in names)
+    columns = ", ".join(f"floor((max({v}) FILTER ({cond})) * 1e6 + 0.5) / 1e6 AS {n}" for n, v, cond in names)
     return f"SELECT {LINE_KEY}, {columns} FROM {source} JOIN ex USING (rid) GROUP BY rid, {LINE_KEY}"
 
 
@@ -104,7 +108,7 @@ logit AS (
   SELECT rid, w.j, sum(h * w) + any_value(b) AS l
   FROM h1 JOIN w ON w.i = h1.j AND w.k = 4 JOIN bias ON bias.j = w.j GROUP BY rid, w.j),
 l AS (SELECT rid, max(l) FILTER (j = 0) AS l0, max(l) FILTER (j = 1) AS l1, max(l) FILTER (j = 2) AS l2 FROM logit GROUP BY rid)
-SELECT {LINE_KEY}, round(l0, 6) + 0 AS logit0, round(l1, 6) + 0 AS logit1, round(l2, 6) + 0 AS logit2,
+SELECT {LINE_KEY}, floor((l0) * 1e6 + 0.5) / 1e6 AS logit0, floor((l1) * 1e6 + 0.5) / 1e6 AS logit1, floor((l2) * 1e6 + 0.5) / 1e6 AS logit2,
        {big('CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END', 'prediction')}
 FROM l JOIN ex USING (rid)"""
 
@@ -150,11 +154,11 @@ LOGIT3 = ", ".join(f"h * {formula(4, 0, j)} + {formula(4, 9, j)} AS l{j}" for j
 SEQUENCES = f"""{sequences('true')},
 last AS (SELECT user_id, max(t) AS t, arg_max(h, t) AS h FROM walk WHERE t >= 0 GROUP BY user_id),
 logit AS (SELECT *, {LOGIT3} FROM last)
-SELECT user_id, CAST(t AS INTEGER) AS t, round(h, 6) + 0 AS h,
+SELECT user_id, CAST(t AS INTEGER) AS t, floor((h) * 1e6 + 0.5) / 1e6 AS h,
        {big('CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END', 'prediction')} FROM logit"""
 
 FROZEN = f"""{sequences("event_type <> 'error'")}
-SELECT user_id, event_id, CAST(t AS INTEGER) AS t, round(h, 6) + 0 AS h FROM walk WHERE t >= 0"""
+SELECT user_id, event_id, CAST(t AS INTEGER) AS t, floor((h) * 1e6 + 0.5) / 1e6 AS h FROM walk WHERE t >= 0"""
 
 
 # One gradient step of a net with one hidden unit, chunk as batch, mean of the replicas
@@ -178,7 +182,7 @@ def full_batch() -> str:
     sums = ", ".join(f"avg({g}) AS g{n}" for n, g in enumerate(gradients.values()))
     rows = "\nUNION ALL ".join(
         f"SELECT '{key}' AS key, {layer} AS layer, '{part}' AS part, {pos} AS pos, "
-        f"round({w} - {rate}::DOUBLE * avg(g{n}), 6) + 0 AS value FROM steps"
+        f"floor(({w} - {rate}::DOUBLE * avg(g{n})) * 1e6 + 0.5) / 1e6 AS value FROM steps"
         for n, ((key, layer, part, pos), w) in enumerate(start.items())
     )
     logits = ", ".join(f"hid * {formula(4, 0, j)} + {formula(4, 9, j)} AS l{j}" for j in range(3))
@@ -211,12 +215,12 @@ ORDER_LOGITS = """lg AS (
 
 ORDER_XENT = f"""WITH {ORDER_LOGITS}
 SELECT label, count(*) AS n,
-       round(avg(ln(exp(l0) + exp(l1) + exp(l2)) - CASE label WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END), 6) + 0 AS cross_entropy
+       floor((avg(ln(exp(l0) + exp(l1) + exp(l2)) - CASE label WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END)) * 1e6 + 0.5) / 1e6 AS cross_entropy
 FROM lg GROUP BY label"""
 
 ORDER_ACCURACY = f"""WITH {ORDER_LOGITS}
 SELECT label, count(*) AS n,
-       round(avg(CAST(CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END = label AS INT)), 6) + 0 AS accuracy
+       floor((avg(CAST(CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END = label AS INT))) * 1e6 + 0.5) / 1e6 AS accuracy
 FROM lg GROUP BY label"""
 
 VECTOR_ROWS = """rows AS (
@@ -235,7 +239,7 @@ numbered AS (
   SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY md5('42:0:' || vec_id), vec_id) - 1 AS rn,
          count(*) OVER (PARTITION BY chunk) AS chunk_rows
   FROM chunked)
-SELECT {big('rn // 10', 'step')}, round(avg(loss), 6) + 0 AS cross_entropy, round(avg(hit), 6) + 0 AS accuracy
+SELECT {big('rn // 10', 'step')}, floor((avg(loss)) * 1e6 + 0.5) / 1e6 AS cross_entropy, floor((avg(hit)) * 1e6 + 0.5) / 1e6 AS accuracy
 FROM numbered WHERE rn // 10 < chunk_rows // 10 GROUP BY 1"""
 
 DECAY = f"""WITH {VECTOR_ROWS},
@@ -243,8 +247,8 @@ ce AS (SELECT CAST(label AS VARCHAR) AS run_id, avg(loss) AS loss FROM losses GR
 decay AS (
   SELECT CAST(label AS VARCHAR) AS run_id, sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE)) / 2 * 0.01::DOUBLE AS decay
   FROM (SELECT label, unnest(embedding) AS v FROM embeddings) GROUP BY 1)
-SELECT run_id, round(loss, 6) + 0 AS cross_entropy, round(decay, 6) + 0 AS weight_decay_loss,
-       round(loss + decay, 6) + 0 AS total_loss
+SELECT run_id, floor((loss) * 1e6 + 0.5) / 1e6 AS cross_entropy, floor((decay) * 1e6 + 0.5) / 1e6 AS weight_decay_loss,
+       floor((loss + decay) * 1e6 + 0.5) / 1e6 AS total_loss
 FROM ce JOIN decay USING (run_id)"""
 
 # Embeddings as weights
@@ -258,24 +262,24 @@ TENSORS = """tensors AS (
 
 def averaged(value: str) -> str:
     return f"""WITH {TENSORS}
-SELECT key, layer, part, CAST(pos AS INTEGER) AS pos, round({value}, 6) + 0 AS value
+SELECT key, layer, part, CAST(pos AS INTEGER) AS pos, floor(({value}) * 1e6 + 0.5) / 1e6 AS value
 FROM tensors GROUP BY key, layer, part, pos"""
 
 
 LATEST = f"""WITH {TENSORS},
 last AS (SELECT run_id, key, layer, part, max(replica) AS step FROM tensors GROUP BY ALL)
-SELECT run_id, key, layer, part, step, CAST(pos AS INTEGER) AS pos, round(v, 6) + 0 AS value
+SELECT run_id, key, layer, part, step, CAST(pos AS INTEGER) AS pos, floor((v) * 1e6 + 0.5) / 1e6 AS value
 FROM tensors JOIN last USING (run_id, key, layer, part) WHERE replica = step"""
 
 STATE_MEAN = f"""WITH {TENSORS}
-SELECT replica, key, CAST(pos % 8 AS INTEGER) AS pos, round(avg(v), 6) + 0 AS value
+SELECT replica, key, CAST(pos % 8 AS INTEGER) AS pos, floor((avg(v)) * 1e6 + 0.5) / 1e6 AS value
 FROM tensors GROUP BY replica, key, pos % 8"""
 
 
 def minmax(lo: list[str], hi: list[str]) -> str:
     ranges = ", ".join([f"{e} AS lo{i}" for i, e in enumerate(lo)] + [f"{e} AS hi{i}" for i, e in enumerate(hi)])
     scaled = ", ".join(
-        f"round(CASE WHEN hi{i} > lo{i} THEN 1 - (hi{i} - x{i}) / (hi{i} - lo{i}) ELSE 0 END, 6) + 0 AS x{i}"
+        f"CASE WHEN hi{i} > lo{i} THEN 1 - (hi{i} - x{i}) / (hi{i} - lo{i}) ELSE 0 END AS x{i}"
         for i in range(4)
     )
     return f"WITH ex AS ({SCAN}), r AS (SELECT {ranges} FROM ex) SELECT {LINE_KEY}, {scaled} FROM ex, r"
@@ -298,7 +302,7 @@ FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL""",
            l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1''', 'rank')}
 FROM lineitem""",
     "order_rank": f"SELECT o_orderkey, {big('row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1', 'rank')} FROM orders",
-    "rank_copies": """SELECT l_quantity, l_linestatus, count(*) AS n, count(*) AS ranks, count(*) AS span,
+    "rank_copies": """SELECT l_quantity, l_linestatus, count(*) AS n, count(*) AS span,
        (SELECT count(*) FROM lineitem) AS n_rows FROM lineitem GROUP BY l_quantity, l_linestatus""",
     "chunk_rows": chunk_rows("extra"),
     "chunk_rows_spread": chunk_rows("spread"),

@@ -16,7 +16,8 @@ def test_gradients_match_central_differences(units, batch):
         logits, _ = cell.forward(spec.views(p), x, cell.states_at(spec.views(p), spec, slots))
         return cell.loss_and_hits(logits, y)[0]
 
-    assert cell.add_gradients(spec.views(flat), spec.views(grad), spec, x, y, slots)[0] == pytest.approx(loss(flat))
+    logits = cell.gradients(spec.views(flat), spec.views(grad), spec, x, y, slots, 1.0)
+    assert cell.loss_and_hits(logits, y)[0] == pytest.approx(loss(flat))
     steps = 1e-5 * np.eye(len(flat))
     numeric = [(loss(flat + e) - loss(flat - e)) / 2e-5 for e in steps]
     assert np.abs(grad - numeric).max() < 1e-8
@@ -24,7 +25,7 @@ def test_gradients_match_central_differences(units, batch):
 
 def test_cell_equations():
     z = np.array([[0.3, -0.2, 0.7, 0.9]])  # forget, input, output, candidate
-    _, C, _, h = cell.cell_step(z, np.array([[0.5]]))
+    _, C, _, h = cell.cell_step(z.copy(), np.array([[0.5]]))
     f, i, o = (1 / (1 + np.exp(-v)) for v in z[0, :3])
     want = f * 0.5 + i * np.tanh(0.9)
     assert C[0, 0] == pytest.approx(want) and h[0, 0] == pytest.approx(o * np.tanh(want))
@@ -41,7 +42,7 @@ def test_two_adam_steps_by_hand():
     solver, w = cell.Adam(0.1), np.array([1.0])
     solver.update(w, np.array([2.0]))
     assert w[0] == pytest.approx(1.0 - 0.1, abs=1e-6)
-    solver.update(w, np.array([-1.0]))
+    solver.update(w, np.array([-1.0]))  # a fresh array: update uses it up
     m, v = 0.9 * 0.2 + 0.1 * -1.0, 0.999 * 0.004 + 0.001
     assert w[0] == pytest.approx(0.9 - 0.1 * (m / 0.19) / np.sqrt(v / 0.001999), abs=1e-6)
 

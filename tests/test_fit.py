@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewise import Model, NetSpec, average_weights, fit, score
+from gatewise import Model, NetSpec, average_weights, chunk_rows, fit, minibatches, rank_rows, score
 from gatewise.functions import cell
 from gatewise.functions.columns import argmax, vector
 from gatewise.operators import fit as fit_module
@@ -68,8 +68,8 @@ def test_equal_chunks_give_equal_replicas(spark):
     df = planted(spark, 40).withColumn("chunk", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "chunk_rows", F.lit(40).cast("long")
     )
-    batched = fit_module.minibatches(df.withColumn("chunk", F.col("chunk").cast("long")), 10, num_partitions=2)
-    out = train.train_replicas(batched, SPEC, cell.init_params(SPEC, 1)).where("kind = 'weights'")
+    df = df.withColumn("chunk", F.col("chunk").cast("long"))
+    out = train.train_replicas(df, SPEC, cell.init_params(SPEC, 1), 2).where("kind = 'weights'")
     a, b = (out.where(F.col("replica") == r).select("key", "layer", "part", "values") for r in (0, 1))
     assert a.count() == 16 and a.exceptAll(b).count() == 0
 
@@ -78,15 +78,14 @@ def test_training_equals_a_plain_loop(spark):
     """Rows taken from the relational half, steps done here one by one."""
     df, start = planted(spark, 100), cell.init_params(SPEC, 42)
     done = fit(df, SPEC, num_chunks=3, epochs=2, weight_decay=0.01)
-    batched = fit_module.batched_rows(df, SPEC, ["row_id"], 3, 42, 2, "full_pass", "spread").collect()
+    batched = minibatches(chunk_rows(rank_rows(df), 3), 10, 2).collect()
     for replica in range(3):
         rows = sorted((r for r in batched if r.chunk == replica), key=lambda r: (r.step, r.slot))
         flat, solver = start.copy(), cell.Adam(1e-3)
         for at in range(0, len(rows), 10):
             batch, grad = rows[at : at + 10], np.zeros(len(flat))
             x, y = np.array([r.features for r in batch]), np.array([r.label for r in batch])
-            cell.add_gradients(SPEC.views(flat), SPEC.views(grad), SPEC, x, y, slice(0, 10))
-            grad /= 10
+            cell.gradients(SPEC.views(flat), SPEC.views(grad), SPEC, x, y, slice(0, 10), 0.1)
             grad[: SPEC.decayed()] += 0.01 * flat[: SPEC.decayed()]
             solver.update(flat, grad)
         got = Model.load(done.weights.where(F.col("replica") == replica))
@@ -101,7 +100,7 @@ def test_training_equals_a_plain_loop(spark):
 def test_metrics_are_taken_after_the_step_on_its_batch(spark):
     df = planted(spark, 40)
     done = fit(df, SPEC, num_chunks=1, evaluate_every=1)
-    batched = fit_module.batched_rows(df, SPEC, ["row_id"], 1, 42, 1, "full_pass", "spread")
+    batched = minibatches(chunk_rows(rank_rows(df), 1))
     scored = score(batched.where("step = 3"), done.model(), state="slot")
     loss = scored.select(F.avg(F.log(F.aggregate("logits", F.lit(0.0), lambda a, v: a + F.exp(v))) - F.get("logits", F.col("label").cast("int")))).first()[0]
     said = done.metrics.where("step = 3 AND metric = 'cross_entropy'").first().value
@@ -118,8 +117,8 @@ def test_whole_chunk_batches_add_up_and_report_after_the_step(spark, monkeypatch
     x, y = np.array([r.features for r in rows]), np.array([r.label for r in rows])
     for _ in range(3):
         grad = np.zeros(len(flat))
-        cell.add_gradients(spec.views(flat), spec.views(grad), spec, x, y, slice(0, 1))
-        flat -= 0.1 * grad / 60
+        cell.gradients(spec.views(flat), spec.views(grad), spec, x, y, slice(0, 1), 1 / 60)
+        flat -= 0.1 * grad
         logits, _ = cell.forward(spec.views(flat), x, cell.states_at(spec.views(flat), spec, slice(0, 1)))
         losses.append(cell.loss_and_hits(logits, y)[0] / 60)
     assert np.abs(done.model().flat - flat).max() < 1e-12
@@ -181,14 +180,31 @@ def test_custom_optimizer_and_initializer(spark):
     assert (done.model().flat == 1.0).all()
 
 
-def test_training_rows_move_twice(spark):
-    batched = fit_module.batched_rows(planted(spark), SPEC, ["row_id"], 4, 42, 3, "full_pass", "spread")
-    out = train.train_replicas(batched, SPEC, cell.init_params(SPEC, 1))
+@pytest.mark.parametrize("rule", ["full_pass", "epochs_x_batch"])
+def test_kernel_cuts_the_batches_of_the_relational_form(spark, rule):
+    df = spark.range(130).select(F.col("id").alias("row_id"), vector("id").alias("features"), F.lit(0).cast("long").alias("label"))
+    chunked, spec = chunk_rows(rank_rows(df), 5), NetSpec(1, (1,), 1, 10)
+    ordered = train.training_rows(chunked, 10, 3, epochs=2, step_rule=rule)
+
+    def steps(batches):
+        for (chunk, in_pass, _, rows), at, x, _ in train._pieces(batches, spec):
+            for slot, row in enumerate(x[:, 0]):
+                row = [int(v) for v in (chunk, in_pass * (rows // 10) + at // 10, slot, row)]
+                yield train.pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("chunk", "step", "slot", "row"), row)})
+
+    got = ordered.mapInArrow(steps, "chunk long, step long, slot long, row long").collect()
+    want = minibatches(chunked, 10, 2, rule).select("chunk", "step", "slot", "row_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 0
+
+
+def test_training_plan(spark):
+    chunked = chunk_rows(rank_rows(planted(spark)), 4)
+    out = train.train_replicas(chunked, SPEC, cell.init_params(SPEC, 1), 4, epochs=3)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    rows = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    # one by rank bucket, one by chunk; the third is the counts of the offset table
-    assert len(rows) == 3 and plan.index("FlatMapGroupsInArrow") < plan.index("Window") < plan.index("Sort")
-    assert plan.split("Window")[0].count("Sort") == 0
+    # rows move once by rank bucket and once by chunk; the passes are laid out after that
+    assert plan.count("shufflepartitionidpassthrough") == 1
+    assert plan.index("MapInArrow") < plan.index("Sort") < plan.index("explode") < plan.index("passthrough")
+    assert plan.split("passthrough")[1].count("Exchange hashpartitioning") == 2  # rows, and counts by bucket
 
 
 def test_uniform_average_is_the_mean_of_all(done):

@@ -69,6 +69,12 @@ def test_rank_in_order(spark):
     assert rank_rows(df, shuffle=False).where("rank <> row_id OR n_rows <> 500").count() == 0
 
 
+def test_hot_ids_rank_the_same(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, -1).otherwise(F.col("id")).alias("row_id"), F.col("id").alias("t"))
+    plain, ranged = (rank_rows(df, ties=["t"], hot_ids=hot) for hot in (False, True))
+    assert plain.exceptAll(ranged).count() == 0 and ranged.count() == 3000
+
+
 def test_copies_of_one_row_are_split_and_none_is_lost(spark, monkeypatch):
     monkeypatch.setattr(prep, "COPY_BLOCK", 16)
     df = spark.range(3000).select(F.when(F.col("id") < 1000, -1).otherwise(F.col("id") % 1500).alias("x"))

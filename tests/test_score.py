@@ -66,8 +66,8 @@ def by_hand(m, items):
     for x, moves in items:
         x, after = np.array([x]), []
         for n, (h, c) in enumerate(states):
-            W, H = params["W", n], c.shape[1]
-            _, C, _, new = cell.cell_step(x @ W[H:] + h @ W[:H] + params["b", n], c)
+            z = x @ params["wx", n] + h @ params["wh", n] + params["b", n]
+            _, C, _, new = cell.cell_step(z, c)
             after.append((new, C) if moves else (h, c))
             x = after[-1][0]
         states = after

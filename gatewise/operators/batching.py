@@ -56,13 +56,13 @@ def minibatches(
     """
     size, per_pass = _sizes(batch_size)
     order = Window.partitionBy("chunk", "pass").orderBy(order_key(seed, ids), *ids)
-    df = in_passes(chunked, batch_size, epochs, step_rule).withColumn("_rn", F.row_number().over(order) - 1)
+    df = in_passes(chunked, batch_size, epochs, step_rule).withColumn("_rn", F.row_number().over(order))
     if batch_size and step_rule == "epochs_x_batch":
         # Implied by the step cap; as a plain limit it lets Spark cut each group early.
-        df = df.where(F.col("_rn") < epochs * batch_size * batch_size)
+        df = df.where(F.col("_rn") <= epochs * batch_size * batch_size)
     df = (
-        df.withColumn("batch_id", F.floor(F.col("_rn") / size))
-        .withColumn("slot", (F.col("_rn") % size).cast("int" if batch_size else "long"))
+        df.withColumn("batch_id", F.floor((F.col("_rn") - 1) / size))
+        .withColumn("slot", ((F.col("_rn") - 1) % size).cast("int" if batch_size else "long"))
         .where(F.col("batch_id") < per_pass)
         .withColumn("step", F.col("pass") * per_pass + F.col("batch_id"))
     )

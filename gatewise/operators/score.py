@@ -134,30 +134,43 @@ def score_sequences(
 
 def _walk(params: dict, start, x, t, moves, carried):
     """Steps all runs of equal key in one batch; returns top outputs and the last run's state."""
-    first = np.flatnonzero(t == 0)
-    first = first if t[0] == 0 else np.concatenate([[0], first])
+    first = np.flatnonzero(np.append(True, t[1:] == 0))
     length = np.diff(np.append(first, len(t)))
-    by_length = np.argsort(-length, kind="stable")
-    first, last_run = first[by_length], int(np.flatnonzero(by_length == len(length) - 1)[0])
-    active = [int((length > d).sum()) for d in range(length.max())]
-    continued = None if t[0] == 0 else int(np.flatnonzero(first == 0)[0])
-    after = []
+    longest_first = np.argsort(-length, kind="stable")
+    last_run = int(np.flatnonzero(longest_first == len(length) - 1)[0])
+    continued = int(np.flatnonzero(longest_first == 0)[0]) if t[0] else None
+    first, length = first[longest_first], length[longest_first]
+
+    # Rows by step, then run: step d takes the first active[d] runs, rows begin[d]..end[d].
+    steps = np.arange(length[0])
+    active = len(length) - np.searchsorted(length[::-1], steps, side="right")
+    end = np.cumsum(active)
+    run = np.arange(len(t)) - np.repeat(end - active, active)
+    by_step = first[run] + np.repeat(steps, active)
+    still = ~moves[by_step]
+    spans = list(zip((end - active).tolist(), end.tolist(), active.tolist()))
+    waits = np.logical_or.reduceat(still, end - active).tolist()
+
+    x, after = x[by_step], []
     for n, (h0, c0) in enumerate(start):
-        width = h0.shape[1]
         h, c = np.repeat(h0, len(first), axis=0), np.repeat(c0, len(first), axis=0)
         if continued is not None:
             h[continued], c[continued] = carried[n]
-        from_input = x @ params["wx", n] + params["b", n]
-        top = np.empty((len(t), width))
-        for d, runs in enumerate(active):
-            rows = first[:runs] + d
-            _, cell_state, _, out = cell.cell_step(from_input[rows] + h[:runs] @ params["wh", n], c[:runs])
-            moved = moves[rows][:, None]
-            h[:runs], c[:runs] = np.where(moved, out, h[:runs]), np.where(moved, cell_state, c[:runs])
-            top[rows] = h[:runs]
+        z, recurrent = x @ params["wx", n] + params["b", n], params["wh", n]
+        x = np.empty((len(t), h.shape[1]))
+        for (a, b, k), wait in zip(spans, waits):
+            step = z[a:b]
+            step += h[:k] @ recurrent
+            _, cell_state, _, out = cell.cell_step(step, c[:k])
+            if wait:
+                stay = still[a:b]
+                out[stay], cell_state[stay] = h[:k][stay], c[:k][stay]
+            h[:k], c[:k] = out, cell_state
+            x[a:b] = out
         after.append((h[last_run].copy(), c[last_run].copy()))
-        x = top
-    return x, after
+    top = np.empty_like(x)
+    top[by_step] = x
+    return top, after
 
 
 def _schema(df: DataFrame, columns: Sequence[str]) -> str:

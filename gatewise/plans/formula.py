@@ -24,8 +24,8 @@ def c0(j: int) -> float:
     return (j + 1) / 5
 
 
-def formula_model(*hidden_units: int, in_features: int = 4) -> Model:
-    spec = NetSpec(in_features, hidden_units, 3, None)
+def formula_model(*hidden_units: int, in_features: int = 4, batch_size: int | None = None) -> Model:
+    spec = NetSpec(in_features, hidden_units, 3, batch_size)
     flat = np.empty(spec.parameters())
     numbers = [GATE_NUMBER[g] for g in GATES]
     for (name, n), view in spec.views(flat).items():

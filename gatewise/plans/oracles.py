@@ -27,7 +27,7 @@ RANKED = """ranked AS (
 
 
 def chunked(remainder: str, at_least: int = 7) -> str:
-    parts = f"{RANKED}, parts AS (SELECT *, greatest({at_least}, ceil(n / 16777216)::BIGINT) AS p FROM ranked)"
+    parts = f"{RANKED}, parts AS (SELECT *, greatest({at_least}, ceil(n / 4194304)::BIGINT) AS p FROM ranked)"
     if remainder == "spread":
         return f"{parts}, chunked AS (SELECT *, rank % p AS chunk, count(*) OVER (PARTITION BY rank % p) AS chunk_rows FROM parts)"
     keep = "WHERE rank < p * greatest(1, n // p)" if remainder == "drop" else ""
@@ -161,50 +161,156 @@ FROZEN = f"""{sequences("event_type <> 'error'")}
 SELECT user_id, event_id, CAST(t AS INTEGER) AS t, floor((h) * 1e6 + 0.5) / 1e6 AS h FROM walk WHERE t >= 0"""
 
 
-# One gradient step of a net with one hidden unit, chunk as batch, mean of the replicas
+# Training of a net with one hidden unit on planted classes
 
+BATCH, EVERY, RATE = 10, 100, "0.01::DOUBLE"
 
-def full_batch() -> str:
-    xs = [f"x{i}" for i in range(4)]
-    h, c, rate = "0.1::DOUBLE", "0.2::DOUBLE", 0.5
-    f, i, o = (sigmoid(unit_z(k, h, *xs)) for k in (0, 1, 3))
-    gradients = {("wd", 1, "x", j): f"hid * d{j}" for j in range(3)} | {("bd", 1, "b", j): f"d{j}" for j in range(3)}
-    start = {("wd", 1, "x", j): formula(4, 0, j) for j in range(3)}
-    start |= {("bd", 1, "b", j): formula(4, 9, j) for j in range(3)}
-    for gate, k in GATE_NUMBER.items():
-        for n in range(4):
-            gradients["w" + gate, 0, "x", n], start["w" + gate, 0, "x", n] = f"dz_{gate} * x{n}", formula(k, n, 0)
-        gradients["w" + gate, 0, "h", 0], start["w" + gate, 0, "h", 0] = f"dz_{gate} * {h}", formula(k, 100, 0)
-        gradients["b" + gate, 0, "b", 0], start["b" + gate, 0, "b", 0] = f"dz_{gate}", formula(k, 9, 0)
-    to_state = " + ".join(f"dz_{g} * {formula(k, 100, 0)}" for g, k in GATE_NUMBER.items())
-    gradients["h0", 0, "s", 0], start["h0", 0, "s", 0] = to_state, h
-    gradients["c0", 0, "s", 0], start["c0", 0, "s", 0] = "dcell * f", c
-    sums = ", ".join(f"avg({g}) AS g{n}" for n, g in enumerate(gradients.values()))
-    rows = "\nUNION ALL ".join(
-        f"SELECT '{key}' AS key, {layer} AS layer, '{part}' AS part, {pos} AS pos, "
-        f"floor(({w} - {rate}::DOUBLE * avg(g{n})) * 1e6 + 0.5) / 1e6 AS value FROM steps"
-        for n, ((key, layer, part, pos), w) in enumerate(start.items())
-    )
-    logits = ", ".join(f"hid * {formula(4, 0, j)} + {formula(4, 9, j)} AS l{j}" for j in range(3))
-    soft = ", ".join(f"exp(l{j}) / (exp(l0) + exp(l1) + exp(l2)) - CAST(label = {j} AS INT) AS d{j}" for j in range(3))
-    dh = " + ".join(f"d{j} * {formula(4, 0, j)}" for j in range(3))
-    return f"""WITH ranked AS (
+PLANTED = f"""ranked AS (
   SELECT {LINE_X}, CASE WHEN l_quantity / 50 <= 0.34 THEN 0 WHEN l_quantity / 50 <= 0.67 THEN 1 ELSE 2 END AS label,
          row_number() OVER (ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey),
            {LINE_KEY}, l_extendedprice, l_shipdate) - 1 AS rank, count(*) OVER () AS n
   FROM lineitem),
-chunked AS (SELECT *, rank % greatest(4, ceil(n / 16777216)::BIGINT) AS chunk FROM ranked),
-gates AS (SELECT *, {f} AS f, {i} AS i, {o} AS o, tanh({unit_z(2, h, *xs)}) AS g FROM chunked),
-cell AS (SELECT *, tanh(f * {c} + i * g) AS tc FROM gates),
-hidden AS (SELECT *, o * tc AS hid FROM cell),
-logit AS (SELECT *, {logits} FROM hidden),
-soft AS (SELECT *, {soft} FROM logit),
-back AS (SELECT *, {dh} AS dh FROM soft),
-back2 AS (SELECT *, dh * o * (1 - tc * tc) AS dcell FROM back),
-back3 AS (SELECT *, dcell * {c} * f * (1 - f) AS dz_f, dcell * g * i * (1 - i) AS dz_i,
-                 dcell * i * (1 - g * g) AS dz_c, dh * tc * o * (1 - o) AS dz_o FROM back2),
-steps AS (SELECT chunk, {sums} FROM back3 GROUP BY chunk)
-{rows}"""
+chunked AS (SELECT *, rank % greatest(4, ceil(n / 4194304)::BIGINT) AS chunk FROM ranked)"""
+
+
+def unit_params(slots: int) -> dict[tuple[str, int, str, int], tuple[str, str]]:
+    """Tensor element -> (start value, gradient of one row's loss), in the order of the SQL lists."""
+    out = {}
+    for gate, k in GATE_NUMBER.items():
+        for n in range(4):
+            out["w" + gate, 0, "x", n] = formula(k, n, 0), f"dz_{gate} * x{n}"
+        out["w" + gate, 0, "h", 0] = formula(k, 100, 0), f"dz_{gate} * h"
+        out["b" + gate, 0, "b", 0] = formula(k, 9, 0), f"dz_{gate}"
+    for slot in range(slots):
+        out["h0", 0, "s", slot] = "0.1::DOUBLE", f"CASE slot WHEN {slot} THEN dh0 ELSE 0 END"
+        out["c0", 0, "s", slot] = "0.2::DOUBLE", f"CASE slot WHEN {slot} THEN dcell * f ELSE 0 END"
+    for j in range(3):
+        out["wd", 1, "x", j] = formula(4, 0, j), f"hid * d{j}"
+        out["bd", 1, "b", j] = formula(4, 9, j), f"d{j}"
+    return out
+
+
+def w(slots: int, *name) -> str:
+    return f"w[{list(unit_params(slots)).index(name) + 1}]"
+
+
+def unit_forward(source: str, slots: int) -> str:
+    """Adds logits, and all that the gradient needs, to rows that carry the list ``w`` and a ``slot``."""
+
+    def z(gate: str) -> str:
+        terms = [f"x{n} * {w(slots, 'w' + gate, 0, 'x', n)}" for n in range(4)]
+        return " + ".join([*terms, f"h * {w(slots, 'w' + gate, 0, 'h', 0)}", w(slots, "b" + gate, 0, "b", 0)])
+
+    h0, c0 = (list(unit_params(slots)).index((key, 0, "s", 0)) + 1 for key in ("h0", "c0"))
+    logits = ", ".join(f"hid * {w(slots, 'wd', 1, 'x', j)} + {w(slots, 'bd', 1, 'b', j)} AS l{j}" for j in range(3))
+    return f"""(SELECT *, {logits} FROM (
+  SELECT *, o * tc AS hid FROM (
+    SELECT *, tanh(f * c + i * g) AS tc FROM (
+      SELECT *, {sigmoid('(' + z('f') + ')')} AS f, {sigmoid('(' + z('i') + ')')} AS i,
+             tanh({z('c')}) AS g, {sigmoid('(' + z('o') + ')')} AS o FROM (
+        SELECT *, w[{h0} + 2 * slot] AS h, w[{c0} + 2 * slot] AS c FROM {source})))))"""
+
+
+def unit_backward(source: str, slots: int) -> str:
+    soft = ", ".join(f"exp(l{j}) / (exp(l0) + exp(l1) + exp(l2)) - CAST(label = {j} AS INT) AS d{j}" for j in range(3))
+    dh = " + ".join(f"d{j} * {w(slots, 'wd', 1, 'x', j)}" for j in range(3))
+    dh0 = " + ".join(f"dz_{q} * {w(slots, 'w' + q, 0, 'h', 0)}" for q in GATE_NUMBER)
+    return f"""(SELECT *, {dh0} AS dh0 FROM (
+  SELECT *, dcell * c * f * (1 - f) AS dz_f, dcell * g * i * (1 - i) AS dz_i, dcell * i * (1 - g * g) AS dz_c,
+         dh * tc * o * (1 - o) AS dz_o FROM (
+    SELECT *, dh * o * (1 - tc * tc) AS dcell FROM (
+      SELECT *, {dh} AS dh FROM (SELECT *, {soft} FROM {source})))))"""
+
+
+def unit_elements(source: str, slots: int, *columns: str) -> str:
+    """One row per tensor element of the lists ``w`` in ``source``."""
+    return "\nUNION ALL ".join(
+        f"SELECT {''.join(c + ', ' for c in columns)}'{key}' AS key, {layer} AS layer, '{part}' AS part, {pos} AS pos, "
+        f"floor(w[{n + 1}] * 1e6 + 0.5) / 1e6 AS value FROM {source}"
+        for n, (key, layer, part, pos) in enumerate(unit_params(slots))
+    )
+
+
+def unit_gradient(slots: int) -> str:
+    return "[" + ", ".join(f"avg({g})" for _, g in unit_params(slots).values()) + "]"
+
+
+def unit_start(slots: int) -> str:
+    return "[" + ", ".join(v for v, _ in unit_params(slots).values()) + "]"
+
+
+# The chunk as one batch: one plain gradient step, learning rate 0.5.
+FULL_BATCH = f"""WITH {PLANTED},
+started AS (SELECT *, 0 AS slot, {unit_start(1)} AS w FROM chunked),
+steps AS (
+  SELECT chunk, any_value(w) AS w, {unit_gradient(1)} AS g
+  FROM {unit_backward(unit_forward('started', 1), 1)} GROUP BY chunk),
+stepped AS (SELECT chunk, [w[i] - 0.5::DOUBLE * g[i] for i in range(1, {len(unit_params(1)) + 1})] AS w FROM steps)"""
+
+FULL_BATCH_MEAN = f"""{FULL_BATCH},
+mean AS (SELECT [{', '.join(f'avg(w[{n + 1}])' for n in range(len(unit_params(1))))}] AS w FROM stepped)
+{unit_elements('mean', 1)}"""
+
+LOSS = "ln(exp(l0) + exp(l1) + exp(l2)) - CASE label WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END"
+HIT = "CAST(CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END = label AS INT)"
+
+FULL_BATCH_METRICS = f"""{FULL_BATCH},
+rows AS (SELECT chunked.*, 0 AS slot, w FROM chunked JOIN stepped USING (chunk)),
+said AS (SELECT chunk, avg({LOSS}) AS loss, avg({HIT}) AS hit FROM {unit_forward('rows', 1)} GROUP BY chunk)
+SELECT chunk AS replica, 0::BIGINT AS step, 'cross_entropy' AS metric, floor((loss) * 1e6 + 0.5) / 1e6 AS value FROM said
+UNION ALL SELECT chunk, 0, 'accuracy', floor((hit) * 1e6 + 0.5) / 1e6 FROM said"""
+
+# One pass of Adam over batches of 10, step by step.
+SIZE = len(unit_params(BATCH))
+ADAM = f"""WITH RECURSIVE {PLANTED},
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY md5('42:0:' || rank), rank) - 1 AS rn,
+         count(*) OVER (PARTITION BY chunk) // {BATCH} AS per_pass
+  FROM chunked),
+batches AS MATERIALIZED (
+  SELECT chunk, rn // {BATCH} AS step, rn % {BATCH} AS slot, x0, x1, x2, x3, label, per_pass
+  FROM numbered WHERE rn // {BATCH} < per_pass),
+walk AS (
+  SELECT DISTINCT chunk, 0::BIGINT AS step, {unit_start(BATCH)} AS w,
+         [0::DOUBLE for i in range({SIZE})] AS m, [0::DOUBLE for i in range({SIZE})] AS v, per_pass
+  FROM batches
+  UNION ALL
+  SELECT chunk, step + 1,
+         [w[i] - {RATE} * sqrt(1 - pow(0.999::DOUBLE, step + 1)) / (1 - pow(0.9::DOUBLE, step + 1)) * m[i] / (sqrt(v[i]) + 1e-8)
+          for i in range(1, {SIZE + 1})], m, v, per_pass
+  FROM (SELECT chunk, step, w, per_pass, [0.9::DOUBLE * m[i] + 0.1::DOUBLE * g[i] for i in range(1, {SIZE + 1})] AS m,
+               [0.999::DOUBLE * v[i] + 0.001::DOUBLE * g[i] * g[i] for i in range(1, {SIZE + 1})] AS v
+        FROM (SELECT chunk, step, any_value(w) AS w, any_value(m) AS m, any_value(v) AS v, any_value(per_pass) AS per_pass,
+                     {unit_gradient(BATCH)} AS g
+              FROM {unit_backward(unit_forward('(SELECT batches.*, w, m, v FROM walk JOIN batches USING (chunk, step))', BATCH), BATCH)}
+              GROUP BY chunk, step))),
+done AS (
+  SELECT chunk AS replica, chunk, step - 1 AS step, w, per_pass FROM walk
+  WHERE step > 0 AND ((step - 1) % {EVERY} = 0 OR step = per_pass))"""
+
+TRAINED = f"""{ADAM},
+last AS (SELECT * FROM done WHERE step + 1 = per_pass)
+{unit_elements('last', BATCH, 'replica', 'step')}"""
+
+CHECKPOINTS = f"""{ADAM},
+kept AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY replica ORDER BY step DESC) <= 5)
+{unit_elements('kept', BATCH, 'replica', 'step')}"""
+
+TRAIN_METRICS = f"""{ADAM},
+said AS (
+  SELECT replica, step, avg({LOSS}) AS loss, avg({HIT}) AS hit
+  FROM {unit_forward('(SELECT batches.*, w, replica FROM done JOIN batches USING (chunk, step))', BATCH)} GROUP BY replica, step)
+SELECT replica, step, 'cross_entropy' AS metric, floor((loss) * 1e6 + 0.5) / 1e6 AS value FROM said
+UNION ALL SELECT replica, step, 'accuracy', floor((hit) * 1e6 + 0.5) / 1e6 FROM said"""
+
+# Step rule epochs x batch (10 steps of 10 rows), leftover rows as a chunk of their own.
+RUNS = f"""WITH sizes AS (SELECT count(*) AS n, 7 AS p FROM lineitem),
+chunks AS (
+  SELECT unnest(range(CAST(ceil(n / greatest(1, n // p)) AS BIGINT))) AS replica, n, greatest(1, n // p) AS bs FROM sizes),
+sized AS (SELECT replica, least(bs, n - replica * bs) AS chunk_rows FROM chunks)
+SELECT replica, CASE WHEN chunk_rows < {BATCH} THEN chunk_rows ELSE 100 END AS rows,
+       {big(f'CASE WHEN chunk_rows < {BATCH} THEN 0 ELSE 10 END', 'steps')}, true AS timed
+FROM sized"""
 
 
 # Logits on orders and vectors
@@ -234,7 +340,7 @@ losses AS (
 
 CURVE = f"""WITH {VECTOR_ROWS},
 ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS rank, count(*) OVER () AS n FROM losses),
-chunked AS (SELECT *, rank % greatest(4, ceil(n / 16777216)::BIGINT) AS chunk FROM ranked),
+chunked AS (SELECT *, rank % greatest(4, ceil(n / 4194304)::BIGINT) AS chunk FROM ranked),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY md5('42:0:' || vec_id), vec_id) - 1 AS rn,
          count(*) OVER (PARTITION BY chunk) AS chunk_rows
@@ -333,5 +439,10 @@ SELECT o_orderkey, CASE WHEN rank < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'va
     "average_weights": averaged("avg(v)"),
     "average_weights_by_rows": averaged("sum(v * (replica % 7 + 1)) / sum(replica % 7 + 1)"),
     "latest_checkpoint": LATEST,
-    "train_full_batch": full_batch(),
+    "train_weights": TRAINED,
+    "checkpoints": CHECKPOINTS,
+    "train_metrics": TRAIN_METRICS,
+    "run_report": RUNS,
+    "train_full_batch": FULL_BATCH_MEAN,
+    "train_full_batch_metrics": FULL_BATCH_METRICS,
 }

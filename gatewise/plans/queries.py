@@ -326,41 +326,43 @@ def latest_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
 # Training
 
 
-def planted_fit(spark: SparkSession, sf: str, **options) -> Fit:
-    return fit(
-        planted_lines(spark, sf), NetSpec(4, (8,), 3, 10), LINE_KEY, LINE_TIES, learning_rate=1e-2, seed=SEED, **options
-    )
+def planted_fit(spark: SparkSession, sf: str, batch_size: int | None = 10, **options) -> Fit:
+    """A net of one hidden unit from formula weights, so that SQL can follow every step."""
+    start = formula_model(1, batch_size=batch_size)
+    return fit(planted_lines(spark, sf), start.spec, LINE_KEY, LINE_TIES, seed=SEED, init=start, **options)
 
 
 def train_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return planted_fit(spark, sf).weights
+    done = planted_fit(spark, sf, learning_rate=1e-2, evaluate_every=100)
+    return elements(done.weights, "values", "replica", "step", *weights.TENSOR)
 
 
 def checkpoints(spark: SparkSession, sf: str) -> DataFrame:
-    return planted_fit(spark, sf, keep_checkpoints=5, evaluate_every=100).weights
+    done = planted_fit(spark, sf, learning_rate=1e-2, evaluate_every=100, keep_checkpoints=5)
+    return elements(done.weights, "values", "replica", "step", *weights.TENSOR)
 
 
 def train_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return planted_fit(spark, sf, weight_decay=1e-4).metrics
+    done = planted_fit(spark, sf, learning_rate=1e-2, evaluate_every=100)
+    return done.metrics.select("replica", "step", "metric", r6("value").alias("value"))
 
 
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
-    return planted_fit(spark, sf, step_rule="epochs_x_batch", remainder="extra").runs
+    done = planted_fit(spark, sf, step_rule="epochs_x_batch", remainder="extra", num_chunks=7)
+    return done.runs.select("replica", "rows", "steps", (F.col("seconds") >= 0).alias("timed"))
+
+
+def full_batch(spark: SparkSession, sf: str) -> Fit:
+    """One gradient step per chunk, with the chunk as its batch."""
+    return planted_fit(spark, sf, batch_size=None, learning_rate=0.5, optimizer="sgd")
 
 
 def train_full_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """One gradient step per chunk with the chunk as its batch, replicas averaged."""
-    done = fit(
-        planted_lines(spark, sf),
-        NetSpec(4, (1,), 3, None),
-        LINE_KEY,
-        LINE_TIES,
-        seed=SEED,
-        learning_rate=0.5,
-        optimizer="sgd",
-        init=formula_model(1),
-    )
-    return elements(done.averaged(), "values", *weights.TENSOR)
+    return elements(full_batch(spark, sf).averaged(), "values", *weights.TENSOR)
+
+
+def train_full_batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return full_batch(spark, sf).metrics.select("replica", "step", "metric", r6("value").alias("value"))
 
 
 def averaged_model_accuracy(spark: SparkSession, sf: str) -> DataFrame:
@@ -419,5 +421,6 @@ QUERIES = {
     "train_metrics": train_metrics,
     "run_report": run_report,
     "train_full_batch": train_full_batch,
+    "train_full_batch_metrics": train_full_batch_metrics,
     "averaged_model_accuracy": averaged_model_accuracy,
 }

@@ -39,6 +39,11 @@ def test_step_cap_of_the_other_rule(spark, n, epochs, passes):
     assert df.count() == epochs * 100
 
 
+def test_step_cap_cuts_groups_before_rows_move(spark):
+    plan = minibatches(chunk(spark, 1000), 10, 2, "epochs_x_batch")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("row_number(), 200, Final") < plan.index("Exchange") < plan.index("row_number(), 200, Partial")
+
+
 def test_whole_chunk_as_batch(spark):
     df = minibatches(chunk(spark, 37), None, epochs=2)
     assert df.count() == 74

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gatewise.functions.cell import NetSpec, init_params, truncated_normal
 from gatewise.operators.prep import MAX_CHUNK_ROWS, chunk_rows, rank_copies, rank_rows
 from gatewise.operators.score import MAX_PARAMETERS, Model
-from gatewise.operators.train import train_replicas
+from gatewise.operators.train import OUTPUT, train_replicas
 from gatewise.operators.weights import average_weights
 from gatewise.sources.store import new_path
 
@@ -116,8 +116,7 @@ def fit(
 
 def load(spark, path: str, run_id: str = "run", seconds: float = 0.0) -> Fit:
     """Tables of a stored run."""
-    stored = spark.read.parquet(path).where(F.col("run_id").cast("string") == run_id)
-    stored = stored.withColumn("run_id", F.lit(run_id))
+    stored = spark.read.schema(f"{OUTPUT}, params string, run_id string").parquet(path).where(F.col("run_id") == run_id)
 
     def table(kind: str, *columns: str) -> DataFrame:
         return stored.where(F.col("kind") == kind).select("run_id", "replica", *columns)

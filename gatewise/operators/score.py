@@ -7,16 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatewise.functions import cell
 from gatewise.functions.arrow import lists, matrix
-from gatewise.sources.store import broadcast
+from gatewise.operators.prep import rank_rows
+from gatewise.sources.store import broadcast, cut, new_path
 
 # A model is collected and broadcast whole; its size is set by the net, and checked.
 MAX_PARAMETERS = 1 << 26
 
+# Rows of one key that a task walks in one go; longer keys are cut.
+MAX_RUN = 1 << 22
+
 STATES = ("mean", "zero", "slot")
 
 
@@ -96,81 +100,152 @@ def score_sequences(
     stored output. ``emit='last'`` gives one row per key. Adds ``t, hidden, logits,
     prediction``.
 
-    A task reads its keys one after another in order and holds one Arrow batch and
-    one state, so a key of any length fits; the keys inside a batch step together.
+    Keys are exchanged whole, unless one has more than ``MAX_RUN`` rows (counted
+    first). Such keys are cut into segments of that length, scored in rounds: each
+    round takes the next segment of all of them, and the state each left behind.
     """
     if emit not in ("all", "last"):
         raise ValueError(f"unknown emit rule {emit!r}")
+    key, spark = list(key), df.sparkSession
     out = [*key, *[c for c in keep if c not in key]]
-    shared = broadcast(df.sparkSession, (model, model.start(state)))
+    rows = df.select(
+        *out,
+        *[c for c in order if c not in out],
+        F.col(features).alias("_x"),
+        (F.lit(True) if advance is None else F.coalesce(advance, F.lit(False))).alias("_advance"),
+    )
+    walk = _walker(spark, model, state, df, out)
+    # At most one long key per MAX_RUN rows, so this is small beside the table.
+    long_keys = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_RUN))
+    longest = long_keys.agg(F.max("_n")).first()[0]
+
     along = Window.partitionBy(*key).orderBy(*order)
-    wanted = F.lead(F.lit(1)).over(along).isNull() if emit == "last" else F.lit(True)
-    source = df.select(*out, *[c for c in order if c not in out], F.col(features).alias("_x"),
-                       (F.lit(True) if advance is None else F.coalesce(advance, F.lit(False))).alias("_advance"))
-    source = source.withColumn("t", F.row_number().over(along) - 1).withColumn("_emit", wanted)
+    short = rows if longest is None else rows.join(F.broadcast(long_keys.select(*key)), key, "left_anti")
+    short = short.withColumn("t", (F.row_number().over(along) - 1).cast("long"))
+    short = short.withColumn("_emit", F.lead(F.lit(1)).over(along).isNull() if emit == "last" else F.lit(True))
+    none = F.lit(None).cast("array<double>")
+    scored = walk(short.withColumn("_opens", F.col("t") == 0).withColumn("_closes", F.lit(False)).withColumn("_state", none))
+    if longest is not None:
+        placed = _in_segments(rows.join(F.broadcast(long_keys), key), key, list(order))
+        done, states = new_path(spark, "sequences"), None
+        for segment in range(-(-longest // MAX_RUN)):
+            part = spark.read.parquet(f"{placed}/_segment={segment}")
+            part = part.withColumn("_emit", F.col("t") + 1 == F.col("_n") if emit == "last" else F.lit(True))
+            part = part.withColumn("_opens", F.col("t") % MAX_RUN == 0)
+            part = part.withColumn("_closes", (F.col("t") + 1) % MAX_RUN == 0)
+            if states is None:
+                part = part.withColumn("_state", none)
+            else:
+                part = part.join(states.withColumn("_opens", F.lit(True)), [*key, "_opens"], "left")
+            walk(part.repartition(*key).sortWithinPartitions(*key, "t")).write.parquet(f"{done}/{segment}")
+            states = spark.read.parquet(f"{done}/{segment}").where("_state IS NOT NULL").select(*key, "_state")
+        scored = scored.unionByName(spark.read.parquet(*[f"{done}/{n}" for n in range(-(-longest // MAX_RUN))]))
+    return scored.where("_emit").drop("_emit", "_state")
+
+
+def _in_segments(rows: DataFrame, key: list[str], order: list[str]) -> str:
+    """Numbers the rows of long keys by ranges of (key, order) and stores them by segment."""
+    ranked = rank_rows(rows, key, ties=order, shuffle=False)
+    first = ranked.groupBy(*key).agg(F.min("rank").alias("_first"))
+    placed = ranked.join(F.broadcast(first), key).withColumn("t", F.col("rank") - F.col("_first"))
+    path = new_path(rows.sparkSession, "segments")
+    placed = placed.withColumn("_segment", F.floor(F.col("t") / MAX_RUN)).drop("rank", "n_rows", "_first")
+    placed.write.partitionBy("_segment").parquet(path)
+    return path
+
+
+def _walker(spark: SparkSession, model: Model, state: str, df: DataFrame, out: list[str]):
+    """Job over rows sorted by key and time, keys never split between partitions."""
+    shared = broadcast(spark, (model, model.start(state)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, start = shared.value
-        params, carried = model.params(), None
-        top = len(start)
+        params, top, carried = model.params(), len(start), None
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("_x"), model.spec.in_features)
-            moves = batch.column("_advance").to_numpy(zero_copy_only=False)
-            hidden, carried = _walk(params, start, x, batch.column("t").to_numpy(), moves, carried)
-            picked = batch.column("_emit")
-            batch, hidden = batch.filter(picked), hidden[picked.to_numpy(zero_copy_only=False)]
-            logits = hidden @ params["wd", top] + params["bd", top]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in (*out, "t")), lists(hidden), lists(logits), pa.array(logits.argmax(axis=1))],
-                [*out, "t", "hidden", "logits", "prediction"],
+            opens, moves, closes, emits = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("_opens", "_advance", "_closes", "_emit")
             )
-
-    schema = _schema(df, out) + "t int, hidden array<double>, logits array<double>, prediction bigint"
-    source = source.select(*out, "t", "_x", "_advance", "_emit")
-    return source.mapInArrow(run, schema)
-
-
-def _walk(params: dict, start, x, t, moves, carried):
-    """Steps all runs of equal key in one batch; returns top outputs and the last run's state."""
-    first = np.flatnonzero(np.append(True, t[1:] == 0))
-    length = np.diff(np.append(first, len(t)))
+            first = np.flatnonzero(np.append(True, opens[1:]))
+            begin = [(np.repeat(h, len(first), axis=0), np.repeat(c, len(first), axis=0)) for h, c in start]
+            if not opens[0]:
+                _set(begin, 0, carried)
+            given = batch.column("_state")
+            for at in np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False)):
+                _set(begin, np.searchsorted(first, at), np.array(given[int(at)].as_py()))
+            hidden, end = _walk(params, begin, first, x, moves)
+            vectors = np.concatenate([v for pair in end for v in pair], axis=1)
+            carried = vectors[-1]
+
+            picked = emits | closes
+            batch, hidden = batch.filter(pa.array(picked)), hidden[picked]
+            logits = hidden @ params["wd", top] + params["bd", top]
+            run_of = np.cumsum(opens) - 1 + (not opens[0])
+            left = [vectors[r] if c else None for r, c in zip(run_of[picked], closes[picked])] if closes.any() else None
+            kind = pa.list_(pa.float64())
+            columns = [
+                *(batch.column(c) for c in (*out, "t")),
+                lists(hidden),
+                lists(logits),
+                pa.array(logits.argmax(axis=1)),
+                pa.nulls(len(hidden), kind) if left is None else pa.array(left, kind),
+                batch.column("_emit"),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [*out, "t", "hidden", "logits", "prediction", "_state", "_emit"])
+
+    schema = _schema(df, out) + (
+        "t bigint, hidden array<double>, logits array<double>, prediction bigint, _state array<double>, _emit boolean"
+    )
+    return lambda rows: rows.select(
+        *out, "t", "_x", "_advance", "_emit", "_opens", "_closes", "_state"
+    ).mapInArrow(run, schema)
+
+
+def _set(states: list, run: int, vector: np.ndarray) -> None:
+    """Writes one run's state, stored as one vector ``h C h C ...``, into the arrays per layer."""
+    at = 0
+    for pair in states:
+        for array in pair:
+            array[run] = vector[at : at + array.shape[1]]
+            at += array.shape[1]
+
+
+def _walk(params: dict, begin: list, first: np.ndarray, x: np.ndarray, moves: np.ndarray):
+    """Steps the runs that start at rows ``first`` side by side; returns top outputs and end states."""
+    length = np.diff(np.append(first, len(x)))
     longest_first = np.argsort(-length, kind="stable")
-    last_run = int(np.flatnonzero(longest_first == len(length) - 1)[0])
-    continued = int(np.flatnonzero(longest_first == 0)[0]) if t[0] else None
     first, length = first[longest_first], length[longest_first]
 
-    # Rows by step, then run: step d takes the first active[d] runs, rows begin[d]..end[d].
+    # Rows by step, then run: step d takes the first active[d] runs, rows end[d]-active[d]..end[d].
     steps = np.arange(length[0])
     active = len(length) - np.searchsorted(length[::-1], steps, side="right")
     end = np.cumsum(active)
-    run = np.arange(len(t)) - np.repeat(end - active, active)
-    by_step = first[run] + np.repeat(steps, active)
+    by_step = first[np.arange(len(x)) - np.repeat(end - active, active)] + np.repeat(steps, active)
     still = ~moves[by_step]
-    spans = list(zip((end - active).tolist(), end.tolist(), active.tolist()))
     waits = np.logical_or.reduceat(still, end - active).tolist()
+    spans = list(zip((end - active).tolist(), end.tolist(), active.tolist(), waits))
 
-    x, after = x[by_step], []
-    for n, (h0, c0) in enumerate(start):
-        h, c = np.repeat(h0, len(first), axis=0), np.repeat(c0, len(first), axis=0)
-        if continued is not None:
-            h[continued], c[continued] = carried[n]
+    x, ends = x[by_step], []
+    for n, (h, c) in enumerate(begin):
+        h, c = h[longest_first], c[longest_first]
         z, recurrent = x @ params["wx", n] + params["b", n], params["wh", n]
-        x = np.empty((len(t), h.shape[1]))
-        for (a, b, k), wait in zip(spans, waits):
+        x = np.empty((len(x), h.shape[1]))
+        for a, b, k, wait in spans:
             step = z[a:b]
             step += h[:k] @ recurrent
-            _, cell_state, _, out = cell.cell_step(step, c[:k])
+            _, cell_state, _, hidden = cell.cell_step(step, c[:k])
             if wait:
                 stay = still[a:b]
-                out[stay], cell_state[stay] = h[:k][stay], c[:k][stay]
-            h[:k], c[:k] = out, cell_state
-            x[a:b] = out
-        after.append((h[last_run].copy(), c[last_run].copy()))
+                hidden[stay], cell_state[stay] = h[:k][stay], c[:k][stay]
+            h[:k], c[:k] = hidden, cell_state
+            x[a:b] = hidden
+        back = np.argsort(longest_first)
+        ends.append((h[back], c[back]))
     top = np.empty_like(x)
     top[by_step] = x
-    return top, after
+    return top, ends
 
 
 def _schema(df: DataFrame, columns: Sequence[str]) -> str:

@@ -161,6 +161,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], spec: NetSpec):
     place, at, x, y = None, 0, None, ()
     for batch in batches:
         places = [batch.column(c).to_numpy() for c in PLACE]
+        if batch.column("label").null_count:
+            raise ValueError("null labels; see valid_examples")
         features, labels = matrix(batch.column("features"), spec.in_features), batch.column("label").to_numpy()
         if len(labels) and (labels.min() < 0 or labels.max() >= spec.num_classes):
             raise ValueError(f"label outside 0..{spec.num_classes - 1}")

@@ -154,11 +154,11 @@ LOGIT3 = ", ".join(f"h * {formula(4, 0, j)} + {formula(4, 9, j)} AS l{j}" for j
 SEQUENCES = f"""{sequences('true')},
 last AS (SELECT user_id, max(t) AS t, arg_max(h, t) AS h FROM walk WHERE t >= 0 GROUP BY user_id),
 logit AS (SELECT *, {LOGIT3} FROM last)
-SELECT user_id, CAST(t AS INTEGER) AS t, floor((h) * 1e6 + 0.5) / 1e6 AS h,
+SELECT user_id, t, floor((h) * 1e6 + 0.5) / 1e6 AS h,
        {big('CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END', 'prediction')} FROM logit"""
 
 FROZEN = f"""{sequences("event_type <> 'error'")}
-SELECT user_id, event_id, CAST(t AS INTEGER) AS t, floor((h) * 1e6 + 0.5) / 1e6 AS h FROM walk WHERE t >= 0"""
+SELECT user_id, event_id, t, floor((h) * 1e6 + 0.5) / 1e6 AS h FROM walk WHERE t >= 0"""
 
 
 # Training of a net with one hidden unit on planted classes

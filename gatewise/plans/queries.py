@@ -12,7 +12,7 @@ from gatewise.operators.fit import Fit, fit
 from gatewise.operators.score import score, score_sequences
 from gatewise.plans.formula import c0, column_gates, formula_model, h0
 from gatewise.sources import examples as X
-from gatewise.sources.store import new_path
+from gatewise.sources.store import cut, new_path
 
 SEED = 42
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -368,7 +368,7 @@ def train_full_batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def averaged_model_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: split, train one replica per chunk, average, score what was held out."""
     ranked = prep.rank_rows(planted_vectors(spark, sf), seed=SEED + 1)
-    split = prep.train_val_split(ranked, 0.8).drop("rank", "n_rows")
+    split = cut(prep.train_val_split(ranked, 0.8).drop("rank", "n_rows"))
     train, held_out = (split.where(F.col("part") == p).drop("part") for p in ("train", "validation"))
     done = fit(train, NetSpec(4, (8,), 3, 10), seed=SEED, epochs=30, learning_rate=1e-2, evaluate_every=100)
     scored = score(held_out, done.model())

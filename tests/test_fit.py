@@ -146,13 +146,13 @@ def test_reference_step_rule(spark):
 
 def test_warm_start_and_rewritten_run(spark, tmp_path):
     path = str(tmp_path / "fit")
-    first = fit(planted(spark, 80), SPEC, num_chunks=2, run_id="a", output_path=path)
+    first = fit(planted(spark, 80), SPEC, num_chunks=2, run_id="007", output_path=path)
     second = fit(planted(spark, 80), SPEC, num_chunks=2, init=first.model(), learning_rate=0.0, run_id="b", output_path=path)
     assert np.abs(second.model().flat - first.model().flat).max() == 0
     before = weights_of(first)
-    again = fit(planted(spark, 80), SPEC, num_chunks=2, run_id="a", output_path=path)
+    again = fit(planted(spark, 80), SPEC, num_chunks=2, run_id="007", output_path=path)
     assert weights_of(again) == before
-    assert weights_of(fit_module.load(spark, path, "a")) == before and second.runs.count() == 2
+    assert weights_of(fit_module.load(spark, path, "007")) == before and second.runs.count() == 2
 
 
 def test_rows_without_a_key(spark):
@@ -162,9 +162,10 @@ def test_rows_without_a_key(spark):
     assert weights_of(done) == weights_of(fit(copies.repartition(3), SPEC, ids=None, num_chunks=2))
 
 
-def test_label_out_of_range_stops(spark):
-    df = planted(spark, 40).withColumn("label", F.lit(3).cast("long"))
-    with pytest.raises(Exception, match="label outside"):
+@pytest.mark.parametrize("label, message", [(3, "label outside"), (None, "null labels")])
+def test_bad_labels_stop(spark, label, message):
+    df = planted(spark, 40).withColumn("label", F.lit(label).cast("long"))
+    with pytest.raises(Exception, match=message):
         fit(df, SPEC, num_chunks=1)
 
 

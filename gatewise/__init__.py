@@ -10,6 +10,7 @@ from gatewise.operators.batching import eval_flag, minibatches, trainable
 from gatewise.operators.fit import Fit, fit
 from gatewise.operators.metrics import accuracy_of, loss_of, metric_curve
 from gatewise.operators.prep import (
+    assign_chunks,
     chunk_rows,
     minmax,
     rank_copies,
@@ -25,6 +26,7 @@ __all__ = [
     "Model",
     "NetSpec",
     "accuracy_of",
+    "assign_chunks",
     "average_weights",
     "chunk_rows",
     "eval_flag",

@@ -46,6 +46,7 @@ def minibatches(
     step_rule: str = "full_pass",
     ids: Sequence[str] = ("row_id",),
     seed: int = 42,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Gives each row its place in the training order of its chunk.
 
@@ -55,7 +56,7 @@ def minibatches(
     pass of one chunk, which ``chunk_count`` bounds.
     """
     size, per_pass = _sizes(batch_size)
-    order = Window.partitionBy("chunk", "pass").orderBy(order_key(seed, ids), *ids)
+    order = Window.partitionBy("chunk", "pass").orderBy(order_key(seed, ids), *ids, *ties)
     df = in_passes(chunked, batch_size, epochs, step_rule).withColumn("_rn", F.row_number().over(order))
     if batch_size and step_rule == "epochs_x_batch":
         # Implied by the step cap; as a plain limit it lets Spark cut each group early.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.functions.cell import NetSpec, init_params, truncated_normal
-from gatewise.operators.prep import MAX_CHUNK_ROWS, chunk_rows, rank_copies, rank_rows
+from gatewise.operators.prep import MAX_CHUNK_ROWS, assign_chunks, chunk_rows, rank_copies, rank_rows
 from gatewise.operators.score import MAX_PARAMETERS, Model
 from gatewise.operators.train import OUTPUT, train_replicas
 from gatewise.operators.weights import average_weights
@@ -48,6 +48,7 @@ def fit(
     spec: NetSpec,
     ids: Sequence[str] | None = ("row_id",),
     ties: Sequence[str] = (),
+    hot_ids: bool = False,
     num_chunks: int | None = None,
     seed: int = 42,
     epochs: int = 1,
@@ -65,7 +66,8 @@ def fit(
 ) -> Fit:
     """Trains one replica per chunk and stores weights, metrics and run report.
 
-    ``ids`` identify a row (with ``ties``); None takes rows without a key. Without
+    ``ids`` identify a row (with ``ties``; ``hot_ids`` if a few ids hold a large share
+    of the rows); None takes rows without a key. Without
     ``num_chunks`` there are at least 4 chunks, and more once they would pass
     ``MAX_CHUNK_ROWS`` rows. ``init`` starts from a stored model. ``output_path``
     defaults to a new folder under the shared checkpoint folder; a run overwrites
@@ -78,7 +80,12 @@ def fit(
     total = examples.count()
     num_chunks = num_chunks or max(4, -(-total // MAX_CHUNK_ROWS))
     params = init.flat if init else init_params(spec, seed, initializer)
-    ranked = rank_copies(examples, seed) if ids is None else rank_rows(examples, ids, seed, ties)
+    if ids is None:
+        chunked, ids = chunk_rows(rank_copies(examples, seed), num_chunks, remainder), ["rank"]
+    elif hot_ids:
+        chunked = chunk_rows(rank_rows(examples, ids, seed, ties, hot_ids=True), num_chunks, remainder)
+    else:
+        chunked = assign_chunks(examples, num_chunks, remainder, ids, seed, ties)
     settings = {
         **asdict(spec), "num_chunks": num_chunks, "seed": seed, "epochs": epochs, "step_rule": step_rule,
         "remainder": remainder, "learning_rate": learning_rate, "evaluate_every": evaluate_every,
@@ -86,11 +93,11 @@ def fit(
         "weight_decay": weight_decay, "warm_start": init is not None,
     }
     trained = train_replicas(
-        chunk_rows(ranked, num_chunks, remainder),
+        chunked,
         spec,
         params,
         num_chunks,
-        ["rank"] if ids is None or ties else ids,
+        ids,
         seed,
         epochs,
         step_rule,
@@ -99,6 +106,7 @@ def fit(
         optimizer,
         weight_decay,
         keep_checkpoints,
+        ties,
     )
     skipped = skipped_chunks(spark, total, num_chunks, remainder, spec.batch_size or 1)
     path = output_path or new_path(spark, "fit")
@@ -132,12 +140,13 @@ def load(spark, path: str, run_id: str = "run", seconds: float = 0.0) -> Fit:
 
 def skipped_chunks(spark, total: int, num_chunks: int, remainder: str, min_rows: int) -> DataFrame:
     """Run-report rows for chunks too small to fill a batch."""
-    extra = -(-total // max(1, total // num_chunks))
-    sizes = (
-        spark.range(num_chunks if remainder == "spread" else extra)
-        .select(F.col("id").alias("chunk"), F.lit(total).cast("long").alias("n_rows"))
-        .withColumn("rank", F.expr(f"chunk * greatest(1, n_rows div {num_chunks})") if remainder != "spread" else F.col("chunk"))
-    )
+    run = max(1, total // num_chunks)
+    starts = [min(num_chunks, total), run + 1, total % num_chunks] if remainder == "spread" else [-(-total // run), run, 0]
+    count, step, longer = starts
+    first = F.least(F.col("id"), F.lit(longer)) * step + F.greatest(F.col("id") - longer, F.lit(0)) * run
+    if remainder == "extra" or remainder == "drop":
+        first = F.col("id") * run
+    sizes = spark.range(count).select(first.alias("rank"), F.lit(total).cast("long").alias("n_rows"))
     return (
         chunk_rows(sizes, num_chunks, remainder)
         .where((F.col("chunk_rows") > 0) & (F.col("chunk_rows") < min_rows))

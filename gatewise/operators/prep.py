@@ -13,6 +13,9 @@ from gatewise.sources.store import cut
 # the offset table has at most 16**4 = 65,536 rows however large the input is.
 BUCKET_DIGITS = 4
 
+# First keys of this many chunks are broadcast; with more chunks all rows are ranked.
+MAX_BOUNDARIES = 1 << 20
+
 # Copies of one row are written out in blocks of this many.
 COPY_BLOCK = 1 << 16
 
@@ -107,7 +110,7 @@ def rank_copies(df: DataFrame, seed: int = 42) -> DataFrame:
     left = F.col("_n") - F.col("_block") * COPY_BLOCK
     return (
         hashed.withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(F.broadcast(offsets), "_b")
+        .join(F.broadcast(offsets.drop("_n")), "_b")
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
         .repartition("_h", "_block")
         .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.least(left, F.lit(COPY_BLOCK)) - 1)))
@@ -122,27 +125,57 @@ def chunk_count(at_least: int = 4, max_rows: int = MAX_CHUNK_ROWS) -> Column:
 
 
 def chunk_rows(ranked: DataFrame, num_chunks: int | Column = 4, remainder: str = "spread") -> DataFrame:
-    """Cuts a ranked table into equal chunks; adds ``chunk`` and ``chunk_rows``.
+    """Cuts a ranked table into runs of equal length; adds ``chunk`` and ``chunk_rows``.
 
     ``'spread'`` makes exactly ``num_chunks`` chunks whose sizes differ by at most
     one, ``'extra'`` puts what is left over into further chunks, ``'drop'`` leaves
     it out. Sizes follow from the row count, so nothing is counted here.
     """
+    _check_rule(remainder)
     parts = num_chunks if isinstance(num_chunks, Column) else F.lit(num_chunks)
     df = ranked.withColumn("_p", parts.cast("long"))
-    if remainder == "spread":
-        df = df.withColumn("chunk", F.col("rank") % F.col("_p")).withColumn("chunk_rows", _spread_rows())
-    elif remainder in ("extra", "drop"):
-        df = df.withColumn("_bs", F.greatest(F.lit(1).cast("long"), F.expr("n_rows div _p")))
-        if remainder == "drop":
-            df = df.where(F.col("rank") < F.col("_bs") * F.col("_p"))
-        df = df.withColumn("chunk", F.expr("rank div _bs")).withColumn(
-            "chunk_rows", F.least(F.col("_bs"), F.col("n_rows") - F.col("chunk") * F.col("_bs"))
-        )
-        df = df.drop("_bs")
-    else:
-        raise ValueError(f"unknown remainder rule {remainder!r}")
-    return df.drop("_p")
+    if remainder == "drop":
+        df = df.where(F.col("rank") < F.col("_p") * _run_length())
+    return _with_chunk(df, _chunk_at(F.col("rank"), remainder), remainder).drop("_p")
+
+
+def assign_chunks(
+    df: DataFrame,
+    num_chunks: int,
+    remainder: str = "spread",
+    ids: Sequence[str] = ("row_id",),
+    seed: int = 42,
+    ties: Sequence[str] = (),
+) -> DataFrame:
+    """The chunks of ``chunk_rows(rank_rows(df))``, without moving the rows.
+
+    Nearly all hash buckets lie in one chunk, which their offset tells. In the
+    others only the keys are ranked, to find the first row of each chunk; a row's
+    chunk is then told by comparing its key with those. What is broadcast has a row
+    per bucket and per chunk. Adds ``n_rows``, ``chunk`` and ``chunk_rows``.
+    """
+    _check_rule(remainder)
+    if remainder == "drop" or num_chunks > MAX_BOUNDARIES:
+        return chunk_rows(rank_rows(df, ids, seed, ties), num_chunks, remainder).drop("rank")
+    place = ["_h", *ids, *ties]
+    hashed = df.withColumn("_h", shuffle_hash(seed, *ids)).withColumn("_b", _bucket("_h"))
+    buckets = _offsets(hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
+    buckets = buckets.withColumn("_p", F.lit(num_chunks).cast("long"))
+    buckets = buckets.withColumn("_chunk", _chunk_at(F.col("_off"), remainder))
+    buckets = cut(buckets.withColumn("_last", _chunk_at(F.col("_off") + F.col("_n") - 1, remainder)))
+
+    shared = buckets.where("_last > _chunk")
+    within = Window.partitionBy("_b").orderBy(*place)
+    keys = hashed.select("_b", *place).join(F.broadcast(shared), "_b")
+    keys = keys.withColumn("_rank", F.col("_off") + F.row_number().over(within) - 1).where("_rank > _off")
+    firsts = keys.where(_chunk_at(F.col("_rank"), remainder) > _chunk_at(F.col("_rank") - 1, remainder))
+    firsts = firsts.groupBy("_b").agg(F.collect_list(F.struct(*place)).alias("_firsts"))
+
+    told = buckets.join(firsts, "_b", "left").select("_b", "n_rows", "_p", "_chunk", "_firsts")
+    passed = F.size(F.filter("_firsts", lambda first: first <= F.struct(*place)))
+    df = hashed.join(F.broadcast(told), "_b")
+    chunk = F.col("_chunk") + F.when(F.col("_firsts").isNull(), 0).otherwise(passed)
+    return _with_chunk(df, chunk, remainder).drop("_h", "_b", "_p", "_chunk", "_firsts")
 
 
 def train_val_split(ranked: DataFrame, split: float = 0.8) -> DataFrame:
@@ -176,13 +209,40 @@ def _offsets(counts: DataFrame) -> DataFrame:
     everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return counts.select(
         "_b",
+        "_n",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.sum("_n").over(everything).alias("n_rows"),
     )
 
 
-def _spread_rows() -> Column:
-    return F.expr("n_rows div _p + CASE WHEN chunk < n_rows % _p THEN 1 ELSE 0 END")
+def _check_rule(remainder: str) -> None:
+    if remainder not in ("spread", "extra", "drop"):
+        raise ValueError(f"unknown remainder rule {remainder!r}")
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def _run_length() -> Column:
+    return F.greatest(F.lit(1).cast("long"), _div(F.col("n_rows"), F.col("_p")))
+
+
+def _chunk_at(rank: Column, remainder: str) -> Column:
+    """Chunk of the row at ``rank``."""
+    if remainder != "spread":
+        return _div(rank, _run_length())
+    longer = F.col("n_rows") % F.col("_p")  # so many chunks have one row more, and come first
+    size = _div(F.col("n_rows"), F.col("_p"))
+    return F.when(rank < longer * (size + 1), _div(rank, size + 1)).otherwise(_div(rank - longer, _run_length()))
+
+
+def _with_chunk(df: DataFrame, chunk: Column, remainder: str) -> DataFrame:
+    df = df.withColumn("chunk", chunk.cast("long"))
+    if remainder == "spread":
+        more = (F.col("chunk") < F.col("n_rows") % F.col("_p")).cast("long")
+        return df.withColumn("chunk_rows", _div(F.col("n_rows"), F.col("_p")) + more)
+    return df.withColumn("chunk_rows", F.least(_run_length(), F.col("n_rows") - F.col("chunk") * _run_length()))
 
 
 def _bucket(h: str) -> Column:

@@ -55,6 +55,7 @@ def training_rows(
     seed: int = 42,
     epochs: int = 1,
     step_rule: str = "full_pass",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of each chunk in one partition, in training order.
 
@@ -65,12 +66,13 @@ def training_rows(
     to_chunk = (num_partitions, F.col("chunk").cast("int"))
     if batch_size and step_rule == "epochs_x_batch":
         # Only the rows of the first steps; few are left to exchange.
-        rows = minibatches(chunked, batch_size, epochs, step_rule, ids, seed).repartitionById(*to_chunk)
+        rows = minibatches(chunked, batch_size, epochs, step_rule, ids, seed, ties).repartitionById(*to_chunk)
     else:
         # A whole-chunk batch is evaluated by reading it once more after the last update.
         rows = trainable(chunked, batch_size or 1).repartitionById(*to_chunk)
         rows = in_passes(rows, batch_size, epochs, step_rule, extra_passes=0 if batch_size else 1)
-    ordered = rows.withColumn("_h", order_key(seed, ids)).sortWithinPartitions("chunk", "pass", "_h", *ids)
+    ordered = rows.withColumn("_h", order_key(seed, ids))
+    ordered = ordered.sortWithinPartitions("chunk", "pass", "_h", *ids, *ties)
     return ordered.select(*PLACE, "features", "label")
 
 
@@ -88,6 +90,7 @@ def train_replicas(
     optimizer="adam",
     weight_decay: float = 0.0,
     keep_checkpoints: int | None = 1,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Trains one replica per chunk, all from ``params``, in the order of ``minibatches``.
 
@@ -95,7 +98,7 @@ def train_replicas(
     whatever the size of the chunk. ``keep_checkpoints`` is how many evaluated steps
     to keep weights of, the last one included; None keeps all.
     """
-    ordered = training_rows(chunked, spec.batch_size, num_partitions, ids, seed, epochs, step_rule)
+    ordered = training_rows(chunked, spec.batch_size, num_partitions, ids, seed, epochs, step_rule, ties)
     make_optimizer = cell.OPTIMIZERS.get(optimizer, optimizer)
     shared = broadcast(chunked.sparkSession, params)
 

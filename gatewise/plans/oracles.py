@@ -26,12 +26,15 @@ RANKED = """ranked AS (
   FROM orders)"""
 
 
+# The first n % p chunks have one row more.
+SPREAD = "CASE WHEN rank < (n % p) * (n // p + 1) THEN rank // (n // p + 1) ELSE (rank - n % p) // greatest(1, n // p) END"
+
+
 def chunked(remainder: str, at_least: int = 7) -> str:
     parts = f"{RANKED}, parts AS (SELECT *, greatest({at_least}, ceil(n / 4194304)::BIGINT) AS p FROM ranked)"
-    if remainder == "spread":
-        return f"{parts}, chunked AS (SELECT *, rank % p AS chunk, count(*) OVER (PARTITION BY rank % p) AS chunk_rows FROM parts)"
     keep = "WHERE rank < p * greatest(1, n // p)" if remainder == "drop" else ""
-    return f"""{parts}, cut AS (SELECT *, rank // greatest(1, n // p) AS chunk FROM parts {keep}),
+    chunk = SPREAD if remainder == "spread" else "rank // greatest(1, n // p)"
+    return f"""{parts}, cut AS (SELECT *, {chunk} AS chunk FROM parts {keep}),
 chunked AS (SELECT *, count(*) OVER (PARTITION BY chunk) AS chunk_rows FROM cut)"""
 
 
@@ -40,6 +43,10 @@ def chunk_rows(remainder: str) -> str:
 SELECT o_orderkey, {big('rank', 'rank')}, {big('chunk', 'chunk')}, {big('chunk_rows', 'chunk_rows')} FROM chunked"""
 
 
+def assigned(remainder: str) -> str:
+    return f"WITH {chunked(remainder)} SELECT o_orderkey, {big('chunk', 'chunk')}, {big('chunk_rows', 'chunk_rows')} FROM chunked"
+
+
 def batches(passes: int, max_steps: str) -> str:
     return f"""WITH {chunked('spread')},
 numbered AS (
@@ -166,11 +173,12 @@ SELECT user_id, event_id, t, floor((h) * 1e6 + 0.5) / 1e6 AS h FROM walk WHERE t
 BATCH, EVERY, RATE = 10, 100, "0.01::DOUBLE"
 
 PLANTED = f"""ranked AS (
-  SELECT {LINE_X}, CASE WHEN l_quantity / 50 <= 0.34 THEN 0 WHEN l_quantity / 50 <= 0.67 THEN 1 ELSE 2 END AS label,
-         row_number() OVER (ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey),
+  SELECT {LINE_KEY}, l_extendedprice, l_shipdate, {LINE_X},
+         CASE WHEN l_quantity / 50 <= 0.34 THEN 0 WHEN l_quantity / 50 <= 0.67 THEN 1 ELSE 2 END AS label, row_number() OVER (ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey),
            {LINE_KEY}, l_extendedprice, l_shipdate) - 1 AS rank, count(*) OVER () AS n
   FROM lineitem),
-chunked AS (SELECT *, rank % greatest(4, ceil(n / 4194304)::BIGINT) AS chunk FROM ranked)"""
+parts AS (SELECT *, greatest(4, ceil(n / 4194304)::BIGINT) AS p FROM ranked),
+chunked AS (SELECT *, {SPREAD} AS chunk FROM parts)"""
 
 
 def unit_params(slots: int) -> dict[tuple[str, int, str, int], tuple[str, str]]:
@@ -264,7 +272,9 @@ UNION ALL SELECT chunk, 0, 'accuracy', floor((hit) * 1e6 + 0.5) / 1e6 FROM said"
 SIZE = len(unit_params(BATCH))
 ADAM = f"""WITH RECURSIVE {PLANTED},
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY md5('42:0:' || rank), rank) - 1 AS rn,
+  SELECT *, row_number() OVER (PARTITION BY chunk
+           ORDER BY md5('42:0:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey),
+           {LINE_KEY}, l_extendedprice, l_shipdate) - 1 AS rn,
          count(*) OVER (PARTITION BY chunk) // {BATCH} AS per_pass
   FROM chunked),
 batches AS MATERIALIZED (
@@ -340,7 +350,8 @@ losses AS (
 
 CURVE = f"""WITH {VECTOR_ROWS},
 ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS rank, count(*) OVER () AS n FROM losses),
-chunked AS (SELECT *, rank % greatest(4, ceil(n / 4194304)::BIGINT) AS chunk FROM ranked),
+parts AS (SELECT *, greatest(4, ceil(n / 4194304)::BIGINT) AS p FROM ranked),
+chunked AS (SELECT *, {SPREAD} AS chunk FROM parts),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY md5('42:0:' || vec_id), vec_id) - 1 AS rn,
          count(*) OVER (PARTITION BY chunk) AS chunk_rows
@@ -413,6 +424,8 @@ FROM lineitem""",
     "chunk_rows": chunk_rows("extra"),
     "chunk_rows_spread": chunk_rows("spread"),
     "chunk_rows_drop": chunk_rows("drop"),
+    "assign_chunks": assigned("spread"),
+    "assign_chunks_extra": assigned("extra"),
     "trainable_chunks": f"""WITH {chunked('extra')}
 SELECT {big('chunk', 'chunk')}, count(*) AS n, max(chunk_rows) AS chunk_rows FROM chunked WHERE chunk_rows >= 10 GROUP BY 1""",
     "train_val_split": f"""WITH {RANKED}

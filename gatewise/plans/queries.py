@@ -167,6 +167,15 @@ def chunks(remainder: str):
     return query
 
 
+def assign_chunks(remainder: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        orders = X.read_table(spark, sf, "orders").select("o_orderkey")
+        df = prep.assign_chunks(orders, 7, remainder, ["o_orderkey"], SEED)
+        return df.select("o_orderkey", "chunk", "chunk_rows")
+
+    return query
+
+
 def trainable_chunks(spark: SparkSession, sf: str) -> DataFrame:
     kept = batching.trainable(chunked_orders(spark, sf, "extra"), 10)
     return kept.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.max("chunk_rows").alias("chunk_rows"))
@@ -394,6 +403,8 @@ QUERIES = {
     "chunk_rows": chunks("extra"),
     "chunk_rows_spread": chunks("spread"),
     "chunk_rows_drop": chunks("drop"),
+    "assign_chunks": assign_chunks("spread"),
+    "assign_chunks_extra": assign_chunks("extra"),
     "trainable_chunks": trainable_chunks,
     "train_val_split": train_val_split,
     "minibatches": minibatches,

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewise import Model, NetSpec, average_weights, chunk_rows, fit, minibatches, rank_rows, score
+from gatewise import Model, NetSpec, assign_chunks, average_weights, chunk_rows, fit, minibatches, rank_rows, score
 from gatewise.functions import cell
 from gatewise.functions.columns import argmax, vector
 from gatewise.operators import fit as fit_module
@@ -199,13 +199,19 @@ def test_kernel_cuts_the_batches_of_the_relational_form(spark, rule):
 
 
 def test_training_plan(spark):
-    chunked = chunk_rows(rank_rows(planted(spark)), 4)
+    chunked = assign_chunks(planted(spark), 4)
     out = train.train_replicas(chunked, SPEC, cell.init_params(SPEC, 1), 4, epochs=3)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    # rows move once by rank bucket and once by chunk; the passes are laid out after that
-    assert plan.count("shufflepartitionidpassthrough") == 1
-    assert plan.index("MapInArrow") < plan.index("Sort") < plan.index("explode") < plan.index("passthrough")
-    assert plan.split("passthrough")[1].count("Exchange hashpartitioning") == 2  # rows, and counts by bucket
+    # rows move once, to their chunk; the passes are laid out after that
+    rows = plan.split("BroadcastExchange")[0]
+    assert rows.count("Exchange ") == 1 and "Exchange shufflepartitionidpassthrough" in rows
+    assert rows.index("MapInArrow") < rows.index("Sort") < rows.index("explode") < rows.index("passthrough")
+
+
+def test_ties_and_hot_ids_train_alike(spark):
+    df = planted(spark, 120).withColumn("t", F.col("row_id")).withColumn("row_id", F.col("row_id") % 2)
+    plain, hot = (fit(df, SPEC, ties=["t"], num_chunks=2, hot_ids=h) for h in (False, True))
+    assert weights_of(plain) == weights_of(hot)
 
 
 def test_uniform_average_is_the_mean_of_all(done):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from gatewise import chunk_rows, minmax, rank_copies, rank_rows, train_val_split, valid_examples
+from gatewise import assign_chunks, chunk_rows, minmax, rank_copies, rank_rows, train_val_split, valid_examples
 from gatewise.operators import prep
 from gatewise.sources.examples import attach_labels, label_mismatches, read_csv
 
@@ -127,6 +127,23 @@ def test_chunk_sizes_of_150_rows(spark, p, rule, sizes):
     assert {r["count"]: r.n for r in chunks.collect()} == sizes
 
 
+@pytest.mark.parametrize("rule", ["spread", "extra", "drop"])
+@pytest.mark.parametrize("n, p", [(1000, 4), (1000, 300), (150, 40), (7, 20), (1, 3)])
+def test_assigned_chunks_are_those_of_ranked_rows(spark, monkeypatch, n, p, rule):
+    monkeypatch.setattr(prep, "BUCKET_DIGITS", 1)  # several rows and chunk starts per bucket
+    df = spark.range(n).select((F.col("id") % 90).alias("row_id"), F.col("id").alias("t"))
+    want = chunk_rows(rank_rows(df, ties=["t"]), p, rule).drop("rank")
+    got = assign_chunks(df, p, rule, ties=["t"])
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_assigning_chunks_moves_only_keys(spark):
+    df = spark.range(100).select(F.col("id").alias("row_id"), F.lit("payload").alias("payload"))
+    plan = assign_chunks(df, 4)._jdf.queryExecution().executedPlan().toString()
+    rows = plan.split("BroadcastExchange")[0]
+    assert "payload" in rows and "Exchange" not in rows
+
+
 def test_chunks_grow_in_number_past_the_size_limit(spark):
     ranked = spark.range(100).select(F.col("id").alias("rank"), F.lit(100).cast("long").alias("n_rows"))
     df = chunk_rows(ranked, prep.chunk_count(4, max_rows=10))

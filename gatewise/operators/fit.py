@@ -17,6 +17,10 @@ from gatewise.operators.train import OUTPUT, train_replicas
 from gatewise.operators.weights import average_weights
 from gatewise.sources.store import new_path
 
+# Up to this many rows it is quicker to move the rows once more (``rank_rows``) than to
+# read the keys once more (``assign_chunks``). Both give the same chunks.
+RANK_ROWS = 1 << 26
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -82,8 +86,8 @@ def fit(
     params = init.flat if init else init_params(spec, seed, initializer)
     if ids is None:
         chunked, ids = chunk_rows(rank_copies(examples, seed), num_chunks, remainder), ["rank"]
-    elif hot_ids:
-        chunked = chunk_rows(rank_rows(examples, ids, seed, ties, hot_ids=True), num_chunks, remainder)
+    elif hot_ids or total <= RANK_ROWS:
+        chunked = chunk_rows(rank_rows(examples, ids, seed, ties, hot_ids=hot_ids), num_chunks, remainder).drop("rank")
     else:
         chunked = assign_chunks(examples, num_chunks, remainder, ids, seed, ties)
     settings = {

@@ -162,7 +162,7 @@ def assign_chunks(
     buckets = _offsets(hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
     buckets = buckets.withColumn("_p", F.lit(num_chunks).cast("long"))
     buckets = buckets.withColumn("_chunk", _chunk_at(F.col("_off"), remainder))
-    buckets = cut(buckets.withColumn("_last", _chunk_at(F.col("_off") + F.col("_n") - 1, remainder)))
+    buckets = buckets.withColumn("_last", _chunk_at(F.col("_off") + F.col("_n") - 1, remainder))
 
     shared = buckets.where("_last > _chunk")
     within = Window.partitionBy("_b").orderBy(*place)

@@ -208,10 +208,12 @@ def test_training_plan(spark):
     assert rows.index("MapInArrow") < rows.index("Sort") < rows.index("explode") < rows.index("passthrough")
 
 
-def test_ties_and_hot_ids_train_alike(spark):
+def test_ties_hot_ids_and_large_tables_train_alike(spark, monkeypatch):
     df = planted(spark, 120).withColumn("t", F.col("row_id")).withColumn("row_id", F.col("row_id") % 2)
     plain, hot = (fit(df, SPEC, ties=["t"], num_chunks=2, hot_ids=h) for h in (False, True))
     assert weights_of(plain) == weights_of(hot)
+    monkeypatch.setattr(fit_module, "RANK_ROWS", 10)
+    assert weights_of(plain) == weights_of(fit(df, SPEC, ties=["t"], num_chunks=2))
 
 
 def test_uniform_average_is_the_mean_of_all(done):

@@ -15,21 +15,24 @@ _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; set here only where it is unset (local runs)."""
+    """Folder named by ``spark.checkpoint.dir``; one is made here only where it is unset (local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not spark.sparkContext.master.startswith("local"):
+    if path:
+        return path
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        path = tempfile.mkdtemp(prefix="gatewise-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gatewise-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to shared storage and reads it back without its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    context = df.sparkSession.sparkContext
+    path = shared_dir(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(path)
     return df.checkpoint(eager=True)
 
 

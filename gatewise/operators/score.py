@@ -115,9 +115,10 @@ def score_sequences(
         (F.lit(True) if advance is None else F.coalesce(advance, F.lit(False))).alias("_advance"),
     )
     walk = _walker(spark, model, state, df, out)
-    # At most one long key per MAX_RUN rows, so this is small beside the table.
-    long_keys = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_RUN))
+    long_keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_RUN)
     longest = long_keys.agg(F.max("_n")).first()[0]
+    if longest is not None:
+        long_keys = cut(long_keys)  # at most one per MAX_RUN rows: small beside the table
 
     along = Window.partitionBy(*key).orderBy(*order)
     short = rows if longest is None else rows.join(F.broadcast(long_keys.select(*key)), key, "left_anti")

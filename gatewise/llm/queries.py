@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewise.llm import bpe, exact, packing
+from gatewise.llm import bpe, exact, minhash, packing
 
 QUERIES, ORACLES = {}, {}
 
@@ -44,3 +44,8 @@ ORACLES["op9_exact_dedup"] = r"""
     )
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM b
 """
+
+
+@query
+def op10_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(read(spark, sf_dir), size=4)

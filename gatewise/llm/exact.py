@@ -51,7 +51,6 @@ def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             docs[id_col].alias("id"),
             F.sha2(normalised(text), 256).alias("digest"),
             F.struct((-F.char_length(F.coalesce(text, F.lit("")))).alias("less"), docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id")).alias("place"),
-            F.coalesce(text, F.lit("")).alias("text"),
             F.struct("*").alias("doc"),
         ),
         "exact",
@@ -83,26 +82,25 @@ def state(rows: DataFrame, source: str | None = None, checkpoint: str | None = N
     return kept.select("key.digest", F.col("value")[size].alias("size"), F.col("value")[first].alias("first"))
 
 
-def decide(rows: DataFrame) -> DataFrame:
+def decide(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """Decisions on :func:`tagged` rows: ``row, id, keep_id, group_size, kept, text_sha256``.
 
     Texts with the same digest are compared byte by byte with that of the row the state holds;
     should a text differ, it is grouped by its bytes instead.
     """
-    spark = rows.sparkSession
     if rows.isEmpty():
         stats = rows.select("digest", F.lit(0).cast("long").alias("size"), F.struct("place", "row").alias("first"))
     else:
         stats = state(rows)
     hits = stats.where("size > 1")
     alone = rows.select("row", "id", "digest").join(hits.select("digest"), "digest", "left_anti")
-    same = rows.join(hits, "digest").select("row", "id", "digest", "place", "first", "text")
-    holders = same.where("row = first.row").select("digest", normalised(F.col("text")).alias("held"))
-    compared = same.join(holders, "digest").withColumn("bytes", normalised(F.col("text")))
-    compared = compared.select(
+    # The one place where texts move, and only those of hits are written.
+    same = rows.select("row", "id", "digest", "place", rows["doc"][text_col].alias("text")).join(hits.select("digest", "first"), "digest")
+    same = table(same.withColumn("bytes", normalised(F.col("text"))).drop("text"), "exact-hits")
+    holders = same.where("row = first.row").select("digest", F.col("bytes").alias("held"))
+    compared = same.join(holders, "digest").select(
         "row", "id", "digest", "place", F.when(F.col("bytes") != F.col("held"), F.col("bytes")).otherwise("").alias("other")
     )
-    compared = table(compared, "exact-hits")
     groups = compared.groupBy("digest", "other").agg(
         F.count(F.lit(1)).alias("group_size"), F.min(F.struct("place", "row")).alias("stays")
     )
@@ -120,12 +118,12 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal if identical without the characters of :data:`SPACE`. Of equal texts the row
     with the most code points stays, then the smallest id.
     """
-    out = decide(tagged(docs, id_col, text_col))
+    out = decide(tagged(docs.select(docs[id_col], docs[text_col]), id_col, text_col), text_col)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows = tagged(docs, id_col, text_col)
-    gone = decide(rows).where(~F.col("kept")).select("row")
+    gone = decide(rows, text_col).where(~F.col("kept")).select("row")
     return rows.join(gone, "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.llm.components import components
+from gatewise.llm.groups import deal, each_group
 from gatewise.llm.scratch import table, workers
-from gatewise.llm.text import Block, Hashes, blocks, column, lower, mix, rows_of, words
+from gatewise.llm.text import Block, blocks, column, distinct, mix, rows_of, shingles
 
 #: Bands and slots of each: of pairs at 0.8, about one in 30,000 shares no band.
 BANDS, WIDTH = 26, 5
@@ -42,21 +43,7 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, one row after the other, and where each row begins."""
-    data = lower(block.data)
-    starts, ends, firsts = words(Block(block.start, data, block.offsets))
-    of_range = Hashes(Hashes(data)(starts, ends))
-    n_words = np.diff(firsts)
-    n = np.where(n_words == 0, 0, np.maximum(n_words - size + 1, 1))
-    begins = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(begins[-1]) + np.repeat(firsts[:-1] - begins[:-1], n)
-    hashes = of_range(at, np.minimum(at + size, np.repeat(firsts[1:], n)))
-    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
-        if b - a > 1:
-            hashes[a:b].sort()
-    new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    new[begins[:-1][n > 0]] = True
-    return hashes[new], np.concatenate([[0], np.cumsum(new)])[begins]
+    return distinct(*shingles(block, size))[:2]
 
 
 def signatures(hashes: np.ndarray, firsts: np.ndarray, slots: int) -> np.ndarray:
@@ -172,30 +159,6 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return table(joined.mapInArrow(run, f"a {kind}, b {kind}").distinct(), "links")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of rows that are sorted by ``keys``, in tables of one batch or more."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        change = np.zeros(len(batch), bool)
-        for key in keys:
-            values = column(batch, key).to_numpy(zero_copy_only=False)
-            change[1:] |= values[1:] != values[:-1]
-            change[0] |= not kept or column(kept[-1], key)[-1].as_py() != values[0]
-        starts = np.flatnonzero(change)
-        if len(starts):
-            if kept or starts[0]:
-                yield pa.Table.from_batches([*kept, batch.slice(0, starts[0])])
-            if starts[-1] > starts[0]:
-                yield pa.Table.from_batches([batch.slice(starts[0], starts[-1] - starts[0])])
-            kept = [batch.slice(starts[-1])]
-        else:
-            kept.append(batch)
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def cross_pairs(members: DataFrame, most: int, slots: int, percent: int) -> DataFrame:
     """Likely links between components within each bucket: ``a, b, more``.
 
@@ -228,17 +191,9 @@ def cross_pairs(members: DataFrame, most: int, slots: int, percent: int) -> Data
         return tuple(map(np.concatenate, zip(*out))) if out else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["band", "block_i", "block_j"]
-        for some in groups(batches, keys):
-            some = some.combine_chunks()
-            change = np.zeros(len(some), bool)
-            for key in keys:
-                values = some[key].to_numpy()
-                change[1:] |= values[1:] != values[:-1]
-            edges = [0, *np.flatnonzero(change).tolist(), len(some)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if found := of_group(some.slice(a, b - a)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "more"])
+        for group in each_group(batches, ["band", "block_i", "block_j"]):
+            if found := of_group(group):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "more"])
 
     dealt = members.repartition("band", "block_i", "block_j").sortWithinPartitions("band", "block_i", "block_j")
     return dealt.mapInArrow(run, "a long, b long, more boolean")
@@ -269,11 +224,8 @@ def near_links(signed: DataFrame, texts: DataFrame, size: int, percent: int, ban
         several = several.withColumn("component", F.coalesce("component", "id"))
         mixed = several.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
         several = several.join(mixed, "band").join(reps.select("id", "sig"), "id")
-        of = F.ceil(F.col("size") / MEMBERS).cast("int")
-        several = several.withColumn("block", F.pmod(F.xxhash64("id"), of).cast("int"))
-        several = several.withColumn("other", F.explode(F.sequence(F.lit(0), of - 1)))
-        several = several.select(
-            "band", F.least("block", "other").alias("block_i"), F.greatest("block", "other").alias("block_j"), "block", "id", "component", "n_shingles", "sig"
+        several = deal(several, "id", F.ceil(F.col("size") / MEMBERS)).select(
+            "band", "block_i", "block_j", "block", "id", "component", "n_shingles", "sig"
         )
         proposed = cross_pairs(several, most, slots, percent)
         proposed = proposed.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewise.llm import bpe, exact, minhash, packing, suffix
+from gatewise.llm import bpe, exact, minhash, packing, simhash, suffix
 
 QUERIES, ORACLES = {}, {}
 
@@ -19,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(read(spark, sf_dir))
+
+
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read(spark, sf_dir), length=200)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from gatewise.llm.minhash import groups
+from gatewise.llm.groups import groups
 from gatewise.llm.scratch import table, workers
 from gatewise.llm.text import Block, Hashes, blocks, column, mix, runs
 

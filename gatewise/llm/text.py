@@ -113,3 +113,31 @@ def runs(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     before = np.cumsum(counts) - counts
     return np.arange(total) - np.repeat(before - firsts, counts)
+
+
+def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``size``-word shingles of each row, A-Z lower-cased, in ascending order within the row.
+
+    The second array tells where each row begins. A row with fewer words is one shingle, without words none.
+    """
+    data = lower(block.data)
+    starts, ends, firsts = words(Block(block.start, data, block.offsets))
+    of_range = Hashes(Hashes(data)(starts, ends))
+    n_words = np.diff(firsts)
+    n = np.where(n_words == 0, 0, np.maximum(n_words - size + 1, 1))
+    begins = np.concatenate([[0], np.cumsum(n)])
+    at = runs(firsts[:-1], n)
+    hashes = of_range(at, np.minimum(at + size, np.repeat(firsts[1:], n)))
+    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+        if b - a > 1:
+            hashes[a:b].sort()
+    return hashes, begins
+
+
+def distinct(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted values of each row, where each row begins, and how often each value occurs."""
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[begins[:-1][np.diff(begins) > 0]] = True
+    at = np.flatnonzero(new)
+    return hashes[at], np.concatenate([[0], np.cumsum(new)])[begins], np.diff(np.append(at, len(hashes)))

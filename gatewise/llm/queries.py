@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewise.llm import bpe, exact, minhash, packing, simhash, suffix
+from gatewise.llm import bpe, exact, minhash, packing, sentences, simhash, suffix
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,6 +24,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(read(spark, sf_dir))
 
 
+@query
+def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup_spans(read(spark, sf_dir)).drop("kept")
+
+
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read(spark, sf_dir), length=200)

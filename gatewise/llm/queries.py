@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gatewise.llm import bpe, exact, minhash, packing, sentences, simhash, suffix, toxicity
+from gatewise.llm import bpe, exact, licenses, minhash, packing, sentences, simhash, suffix, toolcalls, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -40,12 +41,83 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, in a tree of directories derived from its source and id; ids divisible by 10 are named as licence files."""
+    folder = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.when(F.col("doc_id") % 100 != 0, F.expr("doc_id div 10")))
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.license_scan(read(spark, sf_dir).withColumn("path", F.concat_ws("/", folder, name)))
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(read(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
 
 
+#: Tools that the derived calls name, and the kinds of their arguments.
+TOOLS = {
+    "count": {"conv": "integer", "digest": "string?", "words": "number"},
+    "search": {"conv": "integer?", "digest": "string", "words": "integer"},
+}
+
+
+@query
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn as a call that needs the assistant's last but one turn; each later user turn as a result of the turn before.
+
+    Arguments are derived from the turn's text; by conversation some are mistyped, some lack a field, some are cut off.
+    """
+    turns = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    call_id = F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn"))
+    words = F.size(F.split("text", " ")).cast("string")
+    words = F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit('"'), words, F.lit('"'))).otherwise(words)
+    digest = F.when(F.col("conv_id") % 11 == 0, "").otherwise(F.concat(F.lit('"digest": "'), F.md5("text"), F.lit('", ')))
+    arguments = F.concat(F.lit('{"words": '), words, F.lit(", "), digest, F.lit('"conv" : '), F.col("conv_id"), F.when(F.col("conv_id") % 13 == 0, "").otherwise("}"))
+    name = F.when(F.col("conv_id") % 17 == 0, "fly").when((F.col("conv_id") + F.col("turn")) % 2 == 0, "count").otherwise("search")
+    own = turns.where("role = 'assistant'").select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), arguments.alias("arguments"))
+    earlier = own.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("call_id").alias("after"))
+    calls = own.join(earlier, ["conv_id", "turn"], "left")
+    asked = F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - 1)
+    results = turns.where("role = 'user' AND turn > 0").select("conv_id", "turn", asked.alias("call_id"), F.col("text").alias("content"))
+    return toolcalls.format_calls(calls, results, TOOLS)
+
+
+ORACLES["op7_tool_calls"] = r"""
+    WITH RECURSIVE turns AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    ), own AS (
+        SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, md5(text) AS digest, len(string_split(text, ' ')) AS words,
+            CASE WHEN conv_id % 17 = 0 THEN 'fly' WHEN (conv_id + turn) % 2 = 0 THEN 'count' ELSE 'search' END AS name
+        FROM turns WHERE role = 'assistant'
+    ), deep AS (
+        SELECT conv_id, turn, 0::BIGINT AS depth FROM own WHERE (conv_id, turn - 2) NOT IN (SELECT (conv_id, turn) FROM own)
+        UNION ALL
+        SELECT o.conv_id, o.turn, d.depth + 1 FROM deep d JOIN own o ON o.conv_id = d.conv_id AND o.turn = d.turn + 2
+    ), answers AS (
+        SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, text FROM turns WHERE role = 'user' AND turn > 0
+    ), checked AS (
+        SELECT o.*, d.depth, a.text AS content, concat_ws('; ',
+            CASE WHEN name = 'fly' THEN 'tool' WHEN o.conv_id % 13 = 0 THEN 'arguments' END,
+            CASE WHEN name = 'search' AND o.conv_id % 13 <> 0 AND o.conv_id % 11 = 0 THEN 'digest: missing' END,
+            CASE WHEN name <> 'fly' AND o.conv_id % 13 <> 0 AND o.conv_id % 7 = 0 THEN 'words: not ' || if(name = 'count', 'number', 'integer') END) AS errors
+        FROM own o JOIN deep d USING (conv_id, turn) LEFT JOIN answers a ON a.conv_id = o.conv_id AND a.turn = o.turn + 1
+    ), done AS (
+        SELECT *, CASE WHEN errors <> '' THEN 'invalid' WHEN content IS NULL THEN 'open' ELSE 'done' END AS status FROM checked
+    )
+    SELECT conv_id, turn, 'call' AS kind, call_id, depth, status, errors,
+        '{"arguments":' || CASE WHEN conv_id % 13 = 0 THEN 'null' ELSE
+            '{"conv":' || conv_id || CASE WHEN conv_id % 11 = 0 THEN '' ELSE ',"digest":"' || digest || '"' END
+            || ',"words":' || CASE WHEN conv_id % 7 = 0 THEN '"' || words || '"' ELSE words::VARCHAR END || '}' END
+        || ',"depth":' || depth || ',"id":"' || call_id || '","name":"' || name || '","result":'
+        || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS json
+    FROM done
+    UNION ALL
+    SELECT conv_id, turn, 'orphan', call_id, NULL, 'orphan', '', '{"id":"' || call_id || '","result":' || to_json(text)::VARCHAR || ',"status":"orphan"}'
+    FROM answers a WHERE (conv_id, turn - 1) NOT IN (SELECT (conv_id, turn) FROM own)
+"""
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")

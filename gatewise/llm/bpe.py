@@ -26,7 +26,7 @@ from gatewise.llm.text import column
 from gatewise.sources.store import broadcast
 
 #: Bytes of words given to one recursive query, and words remembered by a worker (memory only).
-QUERY_BYTES, REMEMBERED = 1 << 18, 300_000
+QUERY_BYTES, REMEMBERED = 1 << 18, 600_000
 
 #: Bytes of text whose words are collected before the new ones are encoded.
 TEXT_BYTES = 4 << 20

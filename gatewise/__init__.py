@@ -13,6 +13,7 @@ from gatewise.operators.prep import (
     assign_chunks,
     chunk_rows,
     minmax,
+    minmax_ranges,
     rank_copies,
     rank_rows,
     train_val_split,
@@ -36,6 +37,7 @@ __all__ = [
     "metric_curve",
     "minibatches",
     "minmax",
+    "minmax_ranges",
     "rank_copies",
     "rank_rows",
     "score",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -28,9 +29,16 @@ def log_sum_exp(logits: Column) -> Column:
     return F.ln(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))) + top
 
 
+def class_id(logits: Column, label: Column) -> Column:
+    """The label as an integer; the job stops at one that is null or no class."""
+    said = F.concat(F.lit("label outside the classes: "), F.coalesce(label.cast("string"), F.lit("null")))
+    known = label.isNotNull() & (label >= 0) & (label < F.size(logits))
+    return F.when(known, label.cast("int")).otherwise(F.raise_error(said).cast("int"))
+
+
 def softmax_xent_sparse(logits: Column, label: Column) -> Column:
     """Cross-entropy of one row against a class id."""
-    return log_sum_exp(logits) - F.get(logits, label.cast("int"))
+    return log_sum_exp(logits) - F.get(logits, class_id(logits, label))
 
 
 def softmax_xent_dense(logits: Column, target: Column) -> Column:
@@ -54,16 +62,13 @@ def l2_loss(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v) / 2
 
 
-# The recurrent cell as columns. Written out term by term, so a small net stays
-# in generated code; ``operators.score`` is the job for nets of any width.
-
-MAX_TERMS = 8192
+# The recurrent cell as columns. Written out term by term, a small net stays in
+# generated code; ``gate_array`` takes a layer of any width, and ``operators.score``
+# is the job for whole nets.
 
 
 def affine(inputs: Sequence[Column], weights: Sequence[Sequence[float]], bias: Sequence[float]) -> list[Column]:
-    """``inputs . weights + bias`` with ``weights[i][j]`` from input i to unit j."""
-    if len(inputs) * len(bias) > MAX_TERMS:
-        raise ValueError("net too wide for column form; use operators.score.score")
+    """``inputs . weights + bias`` with ``weights[i][j]`` from input i to unit j, a column per unit."""
     out = []
     for j, b in enumerate(bias):
         z = F.lit(float(b))
@@ -73,6 +78,23 @@ def affine(inputs: Sequence[Column], weights: Sequence[Sequence[float]], bias: S
     return out
 
 
+def gate_array(x: Column, h: Column, wx, wh, bias, activation=None) -> Column:
+    """One gate of a layer of any width: ``x`` and ``h`` are arrays, and so is the result.
+
+    The weights are one constant, a row per unit with its bias at the end.
+    """
+    units = [[*map(float, unit), float(b)] for unit, b in zip(zip(*wx, *wh), bias)]
+    constant = F.from_json(F.lit(json.dumps(units)), F.lit("array<array<double>>"))
+    inputs = F.concat(x, h, F.array(F.lit(1.0)))
+
+    def unit_of(weights: Column) -> Column:
+        terms = F.zip_with(inputs, weights, lambda v, w: v * w)
+        z = F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
+        return activation(z) if activation else z
+
+    return F.transform(constant, unit_of)
+
+
 def gate_preactivation(x, h, wx, wh, bias, activation=None) -> list[Column]:
     """One gate: ``activation(h.Wh + x.Wx + b)``, per hidden unit."""
     z = affine([*x, *h], [*wx, *wh], bias)

@@ -11,27 +11,43 @@ from gatewise.operators.prep import shuffle_hash
 
 STEP_RULES = ("full_pass", "epochs_x_batch")
 
+# Rows of a chunk and pass are placed inside buckets named by the first hex digits of their hash.
+BUCKET_DIGITS = 3
+
 
 def trainable(chunked: DataFrame, min_rows: int) -> DataFrame:
     """Keeps chunks that can fill at least one batch."""
     return chunked.where(F.col("chunk_rows") >= min_rows)
 
 
-def in_passes(
-    chunked: DataFrame, batch_size: int | None, epochs: int, step_rule: str = "full_pass", extra_passes: int = 0
-) -> DataFrame:
+def in_passes(chunked: DataFrame, batch_size: int | None, epochs: int, step_rule: str = "full_pass") -> DataFrame:
     """Repeats the rows of each chunk once per pass; adds ``max_steps`` and ``pass``.
 
     ``step_rule`` is ``'full_pass'`` (``epochs`` passes) or ``'epochs_x_batch'``
     (``epochs * batch_size`` steps, in as many passes as that takes).
     """
+    max_steps, passes = pass_range(batch_size, epochs, step_rule)
+    df = trainable(chunked, batch_size or 1).withColumn("max_steps", max_steps)
+    return df.withColumn("pass", F.explode(passes))
+
+
+def pass_range(
+    batch_size: int | None, epochs: int, step_rule: str = "full_pass", extra: int = 0, first: int = 0, until: int | None = None
+) -> tuple[Column, Column]:
+    """Steps of a chunk in all, and its passes from ``first`` up to, and without, ``until``.
+
+    ``extra`` passes follow the one of the last step.
+    """
     if step_rule not in STEP_RULES:
         raise ValueError(f"unknown step rule {step_rule!r}")
+    if step_rule == "epochs_x_batch" and batch_size is None:
+        raise ValueError("epochs_x_batch needs a batch size")
     size, per_pass = _sizes(batch_size)
-    df = trainable(chunked, batch_size or 1)
-    df = df.withColumn("max_steps", (F.lit(epochs) * (per_pass if step_rule == "full_pass" else size)).cast("long"))
-    last = F.floor((F.col("max_steps") - 1) / per_pass).cast("int") + extra_passes
-    return df.withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
+    max_steps = (F.lit(epochs) * (per_pass if step_rule == "full_pass" else size)).cast("long")
+    last = F.floor((max_steps - 1) / per_pass).cast("int") + extra
+    if until is not None:
+        last = F.least(last, F.lit(until - 1))
+    return max_steps, F.when(last >= first, F.sequence(F.lit(first), last))
 
 
 def order_key(seed: int, ids: Sequence[str]) -> Column:
@@ -52,22 +68,29 @@ def minibatches(
 
     Every pass puts the chunk in a new seeded order and cuts it into full batches;
     the rows left over in a pass are skipped. Adds ``max_steps, pass, batch_id,
-    slot, step``. ``batch_size=None`` makes the chunk one batch. A window holds one
-    pass of one chunk, which ``chunk_count`` bounds.
+    slot, step``. ``batch_size=None`` makes the chunk one batch. Places are counted
+    inside hash buckets, whose offsets come from counts, so a window holds a small
+    part of a pass of a chunk; buckets past the step cap are left out before rows move.
     """
     size, per_pass = _sizes(batch_size)
-    order = Window.partitionBy("chunk", "pass").orderBy(order_key(seed, ids), *ids, *ties)
-    df = in_passes(chunked, batch_size, epochs, step_rule).withColumn("_rn", F.row_number().over(order))
+    df = in_passes(chunked, batch_size, epochs, step_rule).withColumn("_h", order_key(seed, ids))
+    df = df.withColumn("_b", F.coalesce(F.substring("_h", 1, BUCKET_DIGITS), F.lit("")))
+    bucket = ["chunk", "pass", "_b"]
+    before = Window.partitionBy("chunk", "pass").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(*bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     if batch_size and step_rule == "epochs_x_batch":
-        # Implied by the step cap; as a plain limit it lets Spark cut each group early.
-        df = df.where(F.col("_rn") <= epochs * batch_size * batch_size)
+        starts = starts.where(F.col("_off") < epochs * batch_size * batch_size)
+    order = Window.partitionBy(*bucket).orderBy("_h", *ids, *ties)
     df = (
-        df.withColumn("batch_id", F.floor((F.col("_rn") - 1) / size))
-        .withColumn("slot", ((F.col("_rn") - 1) % size).cast("int" if batch_size else "long"))
+        df.join(starts, bucket)
+        .withColumn("_rn", F.col("_off") + F.row_number().over(order) - 1)
+        .withColumn("batch_id", F.floor(F.col("_rn") / size))
+        .withColumn("slot", (F.col("_rn") % size).cast("int" if batch_size else "long"))
         .where(F.col("batch_id") < per_pass)
         .withColumn("step", F.col("pass") * per_pass + F.col("batch_id"))
     )
-    return df.where(F.col("step") < F.col("max_steps")).drop("_rn")
+    return df.where(F.col("step") < F.col("max_steps")).drop("_rn", "_off", "_h", "_b")
 
 
 def eval_flag(evaluate_every: int, step: Column | str = "step", max_steps: Column | str = "max_steps") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
@@ -11,27 +12,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.functions.cell import NetSpec, init_params, truncated_normal
-from gatewise.operators.prep import MAX_CHUNK_ROWS, assign_chunks, chunk_rows, rank_copies, rank_rows
-from gatewise.operators.score import MAX_PARAMETERS, Model
-from gatewise.operators.train import OUTPUT, train_replicas
+from gatewise.operators.metrics import accuracy_of, loss_of
+from gatewise.operators.prep import assign_chunks, chunk_rows, chunk_sizes, minmax, minmax_ranges, rank_copies
+from gatewise.operators.score import MAX_PARAMETERS, Model, score
+from gatewise.operators.train import OUTPUT, states_of, train_replicas
 from gatewise.operators.weights import average_weights
-from gatewise.sources.store import new_path
+from gatewise.sources.store import cut, new_path
 
-# Up to this many rows it is quicker to move the rows once more (``rank_rows``) than to
-# read the keys once more (``assign_chunks``). Both give the same chunks.
-RANK_ROWS = 1 << 26
+# Passes that are laid out and sorted at once; after so many, states and weights are committed.
+PASSES_PER_ROUND = 10
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Tables of one run. ``weights`` has a row per replica, kept step and tensor."""
+    """Tables of one run. ``weights`` has a row per replica, kept step and tensor.
+
+    ``metrics`` without a replica are those of the averaged model on held-out rows.
+    ``totals`` is one row for the whole run, ``ranges`` one row if features were scaled.
+    """
 
     weights: DataFrame
     metrics: DataFrame
     runs: DataFrame
-    seconds: float
+    totals: DataFrame
+    ranges: DataFrame
     path: str
 
+    @property
+    def seconds(self) -> float:
+        return self.totals.first().seconds
+
     def averaged(self, weighting: str = "uniform") -> DataFrame:
         """Mean of the replicas' final weights; ``weighting`` is ``'uniform'`` or ``'rows'``."""
         if weighting not in ("uniform", "rows"):
@@ -52,8 +62,7 @@ def fit(
     spec: NetSpec,
     ids: Sequence[str] | None = ("row_id",),
     ties: Sequence[str] = (),
-    hot_ids: bool = False,
-    num_chunks: int | None = None,
+    num_chunks: int = 4,
     seed: int = 42,
     epochs: int = 1,
     step_rule: str = "full_pass",
@@ -63,97 +72,134 @@ def fit(
     optimizer="adam",
     weight_decay: float = 0.0,
     initializer=truncated_normal,
-    init: Model | None = None,
-    keep_checkpoints: int | None = 1,
+    init: Model | DataFrame | None = None,
+    keep_checkpoints: int | None = None,
     run_id: str = "run",
     output_path: str | None = None,
+    scale: str | None = None,
+    held_out: DataFrame | None = None,
+    passes_per_round: int = PASSES_PER_ROUND,
 ) -> Fit:
     """Trains one replica per chunk and stores weights, metrics and run report.
 
-    ``ids`` identify a row (with ``ties``; ``hot_ids`` if a few ids hold a large share
-    of the rows); None takes rows without a key. Without
-    ``num_chunks`` there are at least 4 chunks, and more once they would pass
-    ``MAX_CHUNK_ROWS`` rows. ``init`` starts from a stored model. ``output_path``
-    defaults to a new folder under the shared checkpoint folder; a run overwrites
-    its own ``run_id`` there, so a repeated run leaves one copy.
+    ``ids`` identify a row (with ``ties``); None takes rows without a key. ``init``
+    starts all replicas from a stored model, or each from its own weights (a row per
+    replica and tensor, see :func:`gatewise.latest_checkpoint`). ``scale`` is a scope
+    of :func:`gatewise.minmax`; the ranges are stored with the run. ``held_out`` rows
+    are scored by the averaged model at the end. Every ``passes_per_round`` passes
+    are a job of their own, whose weights, metrics and states are committed.
+
+    ``output_path`` defaults to a new folder under the shared checkpoint folder; a
+    run replaces all rows of its own ``run_id`` there.
     """
     if spec.parameters() > MAX_PARAMETERS:
         raise ValueError(f"a net of {spec.parameters()} parameters is too large to broadcast")
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"run_id {run_id!r} can't name a folder")
     began = time.perf_counter()
     spark = examples.sparkSession
     total = examples.count()
-    num_chunks = num_chunks or max(4, -(-total // MAX_CHUNK_ROWS))
-    params = init.flat if init else init_params(spec, seed, initializer)
+    ranges = None
+    if scale:
+        ranges = cut(minmax_ranges(examples, spec.in_features, scale), "ranges")
+        examples = minmax(examples, spec.in_features, ranges=ranges)
+    params = init.flat if isinstance(init, Model) else init_params(spec, seed, initializer)
+    states = states_of(init) if isinstance(init, DataFrame) else None
     if ids is None:
         chunked, ids = chunk_rows(rank_copies(examples, seed), num_chunks, remainder), ["rank"]
-    elif hot_ids or total <= RANK_ROWS:
-        chunked = chunk_rows(rank_rows(examples, ids, seed, ties, hot_ids=hot_ids), num_chunks, remainder).drop("rank")
     else:
         chunked = assign_chunks(examples, num_chunks, remainder, ids, seed, ties)
+    passes = epochs + (0 if spec.batch_size else 1)
+    rounds = [(0, None)]
+    if step_rule == "full_pass" and passes > passes_per_round:
+        rounds = [(a, min(a + passes_per_round, passes)) for a in range(0, passes, passes_per_round)]
+        chunked = cut(chunked, "chunked")
     settings = {
         **asdict(spec), "num_chunks": num_chunks, "seed": seed, "epochs": epochs, "step_rule": step_rule,
         "remainder": remainder, "learning_rate": learning_rate, "evaluate_every": evaluate_every,
         "optimizer": optimizer if isinstance(optimizer, str) else getattr(optimizer, "__name__", "custom"),
         "weight_decay": weight_decay, "warm_start": init is not None,
     }
-    trained = train_replicas(
-        chunked,
-        spec,
-        params,
-        num_chunks,
-        ids,
-        seed,
-        epochs,
-        step_rule,
-        learning_rate,
-        evaluate_every,
-        optimizer,
-        weight_decay,
-        keep_checkpoints,
-        ties,
-    )
-    skipped = skipped_chunks(spark, total, num_chunks, remainder, spec.batch_size or 1)
     path = output_path or new_path(spark, "fit")
-    (
-        trained.unionByName(skipped, allowMissingColumns=True)
-        .withColumn("run_id", F.lit(run_id))
-        .withColumn("params", F.when(F.col("kind") == "runs", F.lit(json.dumps(settings, sort_keys=True))))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", "kind")
-        .parquet(path)
-    )
-    return load(spark, path, run_id, time.perf_counter() - began)
-
-
-def load(spark, path: str, run_id: str = "run", seconds: float = 0.0) -> Fit:
+    home = f"{path}/run_id={run_id}"
+
+    def store(rows: DataFrame, mode: str) -> None:
+        rows = rows.withColumn("params", F.when(F.col("kind") == "runs", F.lit(json.dumps(settings, sort_keys=True))))
+        rows.write.mode(mode).partitionBy("kind").parquet(home)
+
+    for number, (first, until) in enumerate(rounds):
+        trained = train_replicas(
+            chunked,
+            spec,
+            params,
+            num_chunks,
+            ids,
+            seed,
+            epochs,
+            step_rule,
+            learning_rate,
+            evaluate_every,
+            optimizer,
+            weight_decay,
+            keep_checkpoints,
+            ties,
+            first,
+            until,
+            states,
+            number == len(rounds) - 1,
+        )
+        store(trained.withColumn("round", F.lit(number)), "append" if number else "overwrite")
+        states = _stored(spark, path, run_id).where(F.col("kind") == "state").where(F.col("round") == number)
+    more = skipped_chunks(spark, total, num_chunks, remainder, spec.batch_size or 1)
+    if ranges is not None:
+        for bound in ("lo", "hi"):
+            row = ranges.select(F.lit("ranges").alias("kind"), F.lit(bound).alias("key"), F.col(bound).alias("values"))
+            more = more.unionByName(row, allowMissingColumns=True)
+    store(more.unionByName(spark.createDataFrame([], f"{OUTPUT}, round int"), allowMissingColumns=True), "append")
+    done = load(spark, path, run_id)
+    if held_out is not None:
+        if ranges is not None:
+            held_out = minmax(held_out, spec.in_features, ranges=ranges)
+        scored = score(held_out, done.model(), keep=["label"])
+        logits, label = F.col("logits"), F.col("label")
+        measured = scored.agg(loss_of(logits, label).alias("held_out_cross_entropy"), accuracy_of(logits, label).alias("held_out_accuracy"))
+        names = "held_out_cross_entropy", "held_out_accuracy"
+        measured = measured.select(F.explode(F.create_map(*[c for n in names for c in (F.lit(n), F.col(n))])).alias("metric", "value"))
+        store(measured.withColumn("kind", F.lit("metrics")), "append")
+    totals = done.runs.agg(F.sum("rows").alias("rows"), F.sum("steps").alias("steps"))
+    totals = totals.withColumn("kind", F.lit("totals")).withColumn("seconds", F.lit(time.perf_counter() - began))
+    store(totals, "append")
+    return load(spark, path, run_id)
+
+
+def _stored(spark, path: str, run_id: str) -> DataFrame:
+    schema = f"{OUTPUT}, round int, params string, run_id string"
+    return spark.read.schema(schema).parquet(path).where(F.col("run_id") == run_id)
+
+
+def load(spark, path: str, run_id: str = "run") -> Fit:
     """Tables of a stored run."""
-    stored = spark.read.schema(f"{OUTPUT}, params string, run_id string").parquet(path).where(F.col("run_id") == run_id)
+    stored = _stored(spark, path, run_id)
 
     def table(kind: str, *columns: str) -> DataFrame:
         return stored.where(F.col("kind") == kind).select("run_id", "replica", *columns)
 
+    bounds = [F.max(F.when(F.col("key") == b, F.col("values"))).alias(b) for b in ("lo", "hi")]
     return Fit(
         weights=table("weights", "step", "key", "layer", "part", "shape", "values"),
         metrics=table("metrics", "step", "metric", "value"),
         runs=table("runs", "rows", "steps", "seconds", "params"),
-        seconds=seconds,
+        totals=table("totals", "rows", "steps", "seconds").drop("replica"),
+        ranges=stored.where(F.col("kind") == "ranges").agg(*bounds),
         path=path,
     )
 
 
 def skipped_chunks(spark, total: int, num_chunks: int, remainder: str, min_rows: int) -> DataFrame:
     """Run-report rows for chunks too small to fill a batch."""
-    run = max(1, total // num_chunks)
-    starts = [min(num_chunks, total), run + 1, total % num_chunks] if remainder == "spread" else [-(-total // run), run, 0]
-    count, step, longer = starts
-    first = F.least(F.col("id"), F.lit(longer)) * step + F.greatest(F.col("id") - longer, F.lit(0)) * run
-    if remainder == "extra" or remainder == "drop":
-        first = F.col("id") * run
-    sizes = spark.range(count).select(first.alias("rank"), F.lit(total).cast("long").alias("n_rows"))
     return (
-        chunk_rows(sizes, num_chunks, remainder)
-        .where((F.col("chunk_rows") > 0) & (F.col("chunk_rows") < min_rows))
+        chunk_sizes(spark, total, num_chunks, remainder)
+        .where(F.col("chunk_rows") < min_rows)
         .select(
             F.lit("runs").alias("kind"),
             F.col("chunk").alias("replica"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewise.functions.columns import argmax, softmax_xent_dense, softmax_xent_sparse
+from gatewise.functions.columns import argmax, class_id, softmax_xent_dense, softmax_xent_sparse
 
 
 def loss_of(logits: Column, label: Column, sparse: bool = True) -> Column:
@@ -15,7 +15,7 @@ def loss_of(logits: Column, label: Column, sparse: bool = True) -> Column:
 
 def accuracy_of(logits: Column, label: Column, sparse: bool = True) -> Column:
     """Share of rows whose first largest logit is the label."""
-    wanted = label if sparse else argmax(label)
+    wanted = class_id(logits, label) if sparse else argmax(label)
     return F.avg((argmax(logits) == wanted).cast("double"))
 
 

@@ -9,18 +9,15 @@ from pyspark.sql import functions as F
 
 from gatewise.sources.store import cut
 
-# Rows are ranked inside buckets named by the first hex digits of their hash, so
-# the offset table has at most 16**4 = 65,536 rows however large the input is.
+# Chunks are told by the first hex digits of a row's hash, so the offset table has at
+# most 16**4 = 65,536 rows however large the input is.
 BUCKET_DIGITS = 4
 
-# First keys of this many chunks are broadcast; with more chunks all rows are ranked.
-MAX_BOUNDARIES = 1 << 20
-
 # Copies of one row are written out in blocks of this many.
 COPY_BLOCK = 1 << 16
 
-# Chunks grow with the table up to this many rows, then their number grows.
-MAX_CHUNK_ROWS = 1 << 22
+# Rows of one part of a ranged table, as numbered by ``monotonically_increasing_id``.
+PART_BITS = 33
 
 
 def valid_examples(df: DataFrame) -> DataFrame:
@@ -28,11 +25,10 @@ def valid_examples(df: DataFrame) -> DataFrame:
     return df.where((F.size("features") >= 1) & F.col("label").isNotNull())
 
 
-def minmax(df: DataFrame, in_features: int, scope: str = "global") -> DataFrame:
-    """Scales ``features`` to 0..1; a zero range gives 0.
+def minmax_ranges(df: DataFrame, in_features: int, scope: str = "global") -> DataFrame:
+    """One row: ``lo`` and ``hi`` of each feature, to be kept and applied to other rows.
 
-    ``scope='global'`` takes one range over all features, ``'column'`` one per
-    feature. The ranges come from one aggregate, used as a scalar subquery.
+    ``scope='global'`` takes one range over all features, ``'column'`` one per feature.
     """
     if scope == "global":
         lo, hi = F.min(F.array_min("features")), F.max(F.array_max("features"))
@@ -42,7 +38,16 @@ def minmax(df: DataFrame, in_features: int, scope: str = "global") -> DataFrame:
         los, his = [F.min(a) for a in at], [F.max(a) for a in at]
     else:
         raise ValueError(f"unknown scope {scope!r}")
-    ranges = df.agg(F.struct(F.array(*los).alias("lo"), F.array(*his).alias("hi")).alias("range")).scalar()
+    return df.agg(F.array(*los).alias("lo"), F.array(*his).alias("hi"))
+
+
+def minmax(df: DataFrame, in_features: int, scope: str = "global", ranges: DataFrame | None = None) -> DataFrame:
+    """Scales ``features`` to 0..1 of ``ranges``, by default its own; a zero range gives 0.
+
+    The ranges are one row (see :func:`minmax_ranges`), used as a scalar subquery.
+    """
+    ranges = minmax_ranges(df, in_features, scope) if ranges is None else ranges
+    ranges = ranges.agg(F.first(F.struct("lo", "hi")).alias("range")).scalar()
 
     def scaled(i: int) -> Column:
         v, lo, hi = (F.get(F.col(c), F.lit(i)) for c in ("features", "_range.lo", "_range.hi"))
@@ -67,78 +72,67 @@ def rank_rows(
     seed: int = 42,
     ties: Sequence[str] = (),
     shuffle: bool = True,
-    hot_ids: bool = False,
 ) -> DataFrame:
     """Adds ``rank`` (0-based, global) and ``n_rows``.
 
     ``ids`` (integers or text) and ``ties`` together must identify a row. The order
-    is ``md5(seed:ids), ids, ties``; with ``shuffle=False`` it is ``ids, ties``.
-
-    Rows with the same ``ids`` share a bucket, hence a task. Where a few ids may hold
-    a large share of the rows, ``hot_ids=True`` ranks by ranges of the whole order
-    instead, which splits them, at the price of writing the rows once. Rows with no
-    key at all go to :func:`rank_copies`.
+    is ``md5(seed:ids), ids, ties``; with ``shuffle=False`` it is ``ids, ties``. Rows
+    are ranked by ranges of the whole order, so rows that share an id are split too.
+    Rows with no key at all go to :func:`rank_copies`.
     """
     if not shuffle:
         return _rank_in_order(df, [*ids, *ties])
-    if hot_ids:
-        return _rank_in_order(df.withColumn("_h", shuffle_hash(seed, *ids)), ["_h", *ids, *ties]).drop("_h")
-    hashed = df.withColumn("_h", shuffle_hash(seed, *ids)).withColumn("_b", _bucket("_h"))
-    offsets = _offsets(hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
-    within = Window.partitionBy("_b").orderBy("_h", *ids, *ties)
-    return (
-        hashed.withColumn("_rn", F.row_number().over(within))
-        .join(F.broadcast(offsets.drop("_n")), "_b")
-        .select(*df.columns, (F.col("_off") + F.col("_rn") - 1).alias("rank"), "n_rows")
-    )
+    return _rank_in_order(df.withColumn("_h", shuffle_hash(seed, *ids)), ["_h", *ids, *ties]).drop("_h")
 
 
 def rank_copies(df: DataFrame, seed: int = 42) -> DataFrame:
     """Rank for rows without a key, where many rows may be copies of one another.
 
     Copies are counted before the shuffle (one row per distinct content travels),
-    ranked as a run, and written out again in blocks, so that a content that makes
-    up a large share of the table is spread over tasks. Adds ``rank`` and ``n_rows``.
+    numbered as they are written out again in blocks, and ranked by
+    ``md5(seed:content as JSON:number)``: copies are spread over the whole order.
+    Adds ``rank`` and ``n_rows``.
     """
     content = df.columns
-    hashed = df.groupBy(*content).agg(F.count(F.lit(1)).alias("_n"))
-    hashed = hashed.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*content)))))
-    hashed = hashed.withColumn("_b", _bucket("_h"))
-    offsets = _offsets(hashed.groupBy("_b").agg(F.sum("_n").alias("_n")))
-    earlier = Window.partitionBy("_b").orderBy("_h", *content).rowsBetween(Window.unboundedPreceding, -1)
     last_block = F.expr(f"(_n - 1) div {COPY_BLOCK}")
     left = F.col("_n") - F.col("_block") * COPY_BLOCK
-    return (
-        hashed.withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(F.broadcast(offsets.drop("_n")), "_b")
+    rows = (
+        df.groupBy(*content)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_json", F.to_json(F.struct(*content)))
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-        .repartition("_h", "_block")
         .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.least(left, F.lit(COPY_BLOCK)) - 1)))
-        .withColumn("rank", F.col("_off") + F.col("_first") + F.col("_block") * COPY_BLOCK + F.col("_copy"))
-        .select(*content, "rank", "n_rows")
+        .withColumn("_copy", F.col("_block") * COPY_BLOCK + F.col("_copy"))
+        .withColumn("_h", shuffle_hash(seed, "_json", "_copy"))
     )
-
-
-def chunk_count(at_least: int = 4, max_rows: int = MAX_CHUNK_ROWS) -> Column:
-    """Number of chunks for a ranked table: ``at_least``, more if chunks would pass ``max_rows``."""
-    return F.greatest(F.lit(at_least).cast("long"), F.ceil(F.col("n_rows") / max_rows).cast("long"))
+    ranked = _rank_in_order(rows.select(*content, "_h", "_json", "_copy"), ["_h", "_json", "_copy"])
+    return ranked.select(*content, "rank", "n_rows")
 
 
 def chunk_rows(ranked: DataFrame, num_chunks: int | Column = 4, remainder: str = "spread") -> DataFrame:
     """Cuts a ranked table into runs of equal length; adds ``chunk`` and ``chunk_rows``.
 
     ``'spread'`` makes exactly ``num_chunks`` chunks whose sizes differ by at most
-    one, ``'extra'`` puts what is left over into further chunks, ``'drop'`` leaves
-    it out. Sizes follow from the row count, so nothing is counted here.
+    one, ``'extra'`` puts what is left over into further chunks. Sizes follow from
+    the row count, so nothing is counted here and no row is left out.
     """
     _check_rule(remainder)
+    _check_chunks(num_chunks)
     parts = num_chunks if isinstance(num_chunks, Column) else F.lit(num_chunks)
     df = ranked.withColumn("_p", parts.cast("long"))
-    if remainder == "drop":
-        df = df.where(F.col("rank") < F.col("_p") * _run_length())
     return _with_chunk(df, _chunk_at(F.col("rank"), remainder), remainder).drop("_p")
 
 
+def chunk_sizes(spark, n_rows: int, num_chunks: int, remainder: str = "spread") -> DataFrame:
+    """``chunk, chunk_rows`` of every chunk that ``n_rows`` rows make."""
+    _check_rule(remainder)
+    _check_chunks(num_chunks)
+    run = max(1, n_rows // num_chunks)
+    count = min(num_chunks, n_rows) if remainder == "spread" else -(-n_rows // run)
+    sizes = spark.range(count).select(F.col("id").alias("chunk"), F.lit(n_rows).cast("long").alias("n_rows"), F.lit(num_chunks).cast("long").alias("_p"))
+    return _with_chunk(sizes, F.col("chunk"), remainder).select("chunk", "chunk_rows")
+
+
 def assign_chunks(
     df: DataFrame,
     num_chunks: int,
@@ -152,11 +146,10 @@ def assign_chunks(
     Nearly all hash buckets lie in one chunk, which their offset tells. In the
     others only the keys are ranked, to find the first row of each chunk; a row's
     chunk is then told by comparing its key with those. What is broadcast has a row
-    per bucket and per chunk. Adds ``n_rows``, ``chunk`` and ``chunk_rows``.
+    per bucket and a key per chunk. Adds ``n_rows``, ``chunk`` and ``chunk_rows``.
     """
     _check_rule(remainder)
-    if remainder == "drop" or num_chunks > MAX_BOUNDARIES:
-        return chunk_rows(rank_rows(df, ids, seed, ties), num_chunks, remainder).drop("rank")
+    _check_chunks(num_chunks)
     place = ["_h", *ids, *ties]
     hashed = df.withColumn("_h", shuffle_hash(seed, *ids)).withColumn("_b", _bucket("_h"))
     buckets = _offsets(hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
@@ -164,10 +157,13 @@ def assign_chunks(
     buckets = buckets.withColumn("_chunk", _chunk_at(F.col("_off"), remainder))
     buckets = buckets.withColumn("_last", _chunk_at(F.col("_off") + F.col("_n") - 1, remainder))
 
+    # Ranked by ranges, so that an id that fills a bucket is split; then from the bucket's first key on.
     shared = buckets.where("_last > _chunk")
-    within = Window.partitionBy("_b").orderBy(*place)
-    keys = hashed.select("_b", *place).join(F.broadcast(shared), "_b")
-    keys = keys.withColumn("_rank", F.col("_off") + F.row_number().over(within) - 1).where("_rank > _off")
+    keys = hashed.select("_b", *place).join(F.broadcast(shared.select("_b")), "_b")
+    keys = _rank_in_order(keys, place).drop("n_rows")
+    first = keys.groupBy("_b").agg(F.min("rank").alias("_first"))
+    keys = keys.join(F.broadcast(shared.join(first, "_b")), "_b")
+    keys = keys.withColumn("_rank", F.col("_off") + F.col("rank") - F.col("_first")).where("_rank > _off")
     firsts = keys.where(_chunk_at(F.col("_rank"), remainder) > _chunk_at(F.col("_rank") - 1, remainder))
     firsts = firsts.groupBy("_b").agg(F.collect_list(F.struct(*place)).alias("_firsts"))
 
@@ -191,17 +187,17 @@ def random_split(df: DataFrame, split: float = 0.8, seed: int | None = None) ->
 
 
 def _rank_in_order(df: DataFrame, order: list[str]) -> DataFrame:
-    # Range bounds come from a sample, so the ranged rows are written once and both
-    # the counts and the ranks are taken from what was written. There are as many
-    # offsets as ranges.
-    ranged = cut(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
-    offsets = _offsets(ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
-    within = Window.partitionBy("_b").orderBy(*order)
-    return (
-        ranged.withColumn("_rn", F.row_number().over(within))
-        .join(F.broadcast(offsets.drop("_n")), "_b")
-        .select(*df.columns, (F.col("_off") + F.col("_rn") - 1).alias("rank"), "n_rows")
-    )
+    # Range bounds come from a sample, so the sorted ranges are written once, each row with
+    # its place in its range, and the counts are taken from what was written. Offsets are
+    # as many as ranges.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_id", PART_BITS)
+    offsets = _offsets(ranged.groupBy(part.alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+    rank = F.col("_off") + F.col("_id").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    offsets = offsets.drop("_n").withColumnRenamed("_b", "_part")
+    placed = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return placed.select(*df.columns, rank.alias("rank"), "n_rows")
 
 
 def _offsets(counts: DataFrame) -> DataFrame:
@@ -216,10 +212,15 @@ def _offsets(counts: DataFrame) -> DataFrame:
 
 
 def _check_rule(remainder: str) -> None:
-    if remainder not in ("spread", "extra", "drop"):
+    if remainder not in ("spread", "extra"):
         raise ValueError(f"unknown remainder rule {remainder!r}")
 
 
+def _check_chunks(num_chunks: int | Column) -> None:
+    if not isinstance(num_chunks, Column) and num_chunks < 1:
+        raise ValueError(f"{num_chunks} chunks")
+
+
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 

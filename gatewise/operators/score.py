@@ -18,9 +18,6 @@ from gatewise.sources.store import broadcast, cut, new_path
 # A model is collected and broadcast whole; its size is set by the net, and checked.
 MAX_PARAMETERS = 1 << 26
 
-# Rows of one key that a task walks in one go; longer keys are cut.
-MAX_RUN = 1 << 22
-
 STATES = ("mean", "zero", "slot")
 
 
@@ -93,6 +90,7 @@ def score_sequences(
     advance: Column | None = None,
     emit: str = "all",
     state: str = "mean",
+    segment: int | None = None,
 ) -> DataFrame:
     """Runs the net along each key's rows in ``order``, carrying ``(h, C)``.
 
@@ -100,9 +98,9 @@ def score_sequences(
     stored output. ``emit='last'`` gives one row per key. Adds ``t, hidden, logits,
     prediction``.
 
-    Keys are exchanged whole, unless one has more than ``MAX_RUN`` rows (counted
-    first). Such keys are cut into segments of that length, scored in rounds: each
-    round takes the next segment of all of them, and the state each left behind.
+    Keys are exchanged whole. With ``segment``, keys of more rows than that are counted
+    first and cut into segments of that length, scored in rounds: each round takes the
+    next segment of all of them, and the state each left behind. Null is a key like others.
     """
     if emit not in ("all", "last"):
         raise ValueError(f"unknown emit rule {emit!r}")
@@ -115,42 +113,49 @@ def score_sequences(
         (F.lit(True) if advance is None else F.coalesce(advance, F.lit(False))).alias("_advance"),
     )
     walk = _walker(spark, model, state, df, out)
-    long_keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_RUN)
-    longest = long_keys.agg(F.max("_n")).first()[0]
-    if longest is not None:
-        long_keys = cut(long_keys)  # at most one per MAX_RUN rows: small beside the table
-
     along = Window.partitionBy(*key).orderBy(*order)
-    short = rows if longest is None else rows.join(F.broadcast(long_keys.select(*key)), key, "left_anti")
+    none = F.lit(None).cast("array<double>")
+    longest, short = None, rows
+    if segment is not None:
+        long_keys = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > segment), "long-keys")
+        longest = long_keys.agg(F.max("_n")).first()[0]
+    if longest is not None:
+        short = _join(rows, long_keys.select(*key), key, "left_anti")
     short = short.withColumn("t", (F.row_number().over(along) - 1).cast("long"))
     short = short.withColumn("_emit", F.lead(F.lit(1)).over(along).isNull() if emit == "last" else F.lit(True))
-    none = F.lit(None).cast("array<double>")
     scored = walk(short.withColumn("_opens", F.col("t") == 0).withColumn("_closes", F.lit(False)).withColumn("_state", none))
     if longest is not None:
-        placed = _in_segments(rows.join(F.broadcast(long_keys), key), key, list(order))
+        placed = _in_segments(_join(rows, long_keys, key), key, list(order), segment)
         done, states = new_path(spark, "sequences"), None
-        for segment in range(-(-longest // MAX_RUN)):
-            part = spark.read.parquet(f"{placed}/_segment={segment}")
+        for number in range(-(-longest // segment)):
+            part = spark.read.parquet(f"{placed}/_segment={number}")
             part = part.withColumn("_emit", F.col("t") + 1 == F.col("_n") if emit == "last" else F.lit(True))
-            part = part.withColumn("_opens", F.col("t") % MAX_RUN == 0)
-            part = part.withColumn("_closes", (F.col("t") + 1) % MAX_RUN == 0)
+            part = part.withColumn("_opens", F.col("t") % segment == 0)
+            part = part.withColumn("_closes", (F.col("t") + 1) % segment == 0)
             if states is None:
                 part = part.withColumn("_state", none)
             else:
-                part = part.join(states.withColumn("_opens", F.lit(True)), [*key, "_opens"], "left")
-            walk(part.repartition(*key).sortWithinPartitions(*key, "t")).write.parquet(f"{done}/{segment}")
-            states = spark.read.parquet(f"{done}/{segment}").where("_state IS NOT NULL").select(*key, "_state")
-        scored = scored.unionByName(spark.read.parquet(*[f"{done}/{n}" for n in range(-(-longest // MAX_RUN))]))
+                part = _join(part, states.withColumn("_opens", F.lit(True)), [*key, "_opens"], "left")
+            walk(part.repartition(*key).sortWithinPartitions(*key, "t")).write.parquet(f"{done}/{number}")
+            states = spark.read.parquet(f"{done}/{number}").where("_state IS NOT NULL").select(*key, "_state")
+        scored = scored.unionByName(spark.read.parquet(*[f"{done}/{n}" for n in range(-(-longest // segment))]))
     return scored.where("_emit").drop("_emit", "_state")
 
 
-def _in_segments(rows: DataFrame, key: list[str], order: list[str]) -> str:
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null equals null; the columns of ``left``, then the others of ``right``."""
+    right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    equal = [left[c].eqNullSafe(right[f"_right_{c}"]) for c in on]
+    return left.join(right, equal, how).drop(*[f"_right_{c}" for c in on])
+
+
+def _in_segments(rows: DataFrame, key: list[str], order: list[str], segment: int) -> str:
     """Numbers the rows of long keys by ranges of (key, order) and stores them by segment."""
     ranked = rank_rows(rows, key, ties=order, shuffle=False)
     first = ranked.groupBy(*key).agg(F.min("rank").alias("_first"))
-    placed = ranked.join(F.broadcast(first), key).withColumn("t", F.col("rank") - F.col("_first"))
+    placed = _join(ranked, first, key).withColumn("t", F.col("rank") - F.col("_first"))
     path = new_path(rows.sparkSession, "segments")
-    placed = placed.withColumn("_segment", F.floor(F.col("t") / MAX_RUN)).drop("rank", "n_rows", "_first")
+    placed = placed.withColumn("_segment", F.floor(F.col("t") / segment)).drop("rank", "n_rows", "_first")
     placed.write.partitionBy("_segment").parquet(path)
     return path
 

@@ -5,23 +5,24 @@ from __future__ import annotations
 import time
 from collections import deque
 from collections.abc import Iterator, Sequence
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.functions import cell
 from gatewise.functions.arrow import matrix
 from gatewise.functions.cell import NetSpec
-from gatewise.operators.batching import in_passes, minibatches, order_key, trainable
+from gatewise.operators.batching import minibatches, order_key, pass_range, trainable
 from gatewise.sources.store import broadcast
 
 # One tagged row type for everything a replica gives back, so that it trains once.
 OUTPUT = (
     "kind string, replica bigint, step bigint, key string, layer int, part string, shape array<int>, "
-    "values array<double>, metric string, value double, rows bigint, steps bigint, seconds double"
+    "values array<double>, metric string, value double, rows bigint, steps bigint, seconds double, state binary"
 )
 OUTPUT_ARROW = pa.schema(
     [
@@ -38,6 +39,7 @@ OUTPUT_ARROW = pa.schema(
         ("rows", pa.int64()),
         ("steps", pa.int64()),
         ("seconds", pa.float64()),
+        ("state", pa.binary()),
     ]
 )
 
@@ -56,24 +58,54 @@ def training_rows(
     epochs: int = 1,
     step_rule: str = "full_pass",
     ties: Sequence[str] = (),
+    first: int = 0,
+    until: int | None = None,
+    states: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of each chunk in one partition, in training order.
+    """Rows of each chunk in one partition, in training order, for passes ``first`` to ``until``.
 
     Rows are exchanged once, to the partition of their chunk's number, so chunks
     share a task only where there are more of them than partitions. The passes are
-    laid out and sorted after that exchange.
+    laid out and sorted after that exchange. A state (``replica, state``) that a
+    replica is to go on from comes as the first row of its chunk.
     """
-    to_chunk = (num_partitions, F.col("chunk").cast("int"))
-    if batch_size and step_rule == "epochs_x_batch":
+    capped = batch_size and step_rule == "epochs_x_batch"
+    if capped:
         # Only the rows of the first steps; few are left to exchange.
-        rows = minibatches(chunked, batch_size, epochs, step_rule, ids, seed, ties).repartitionById(*to_chunk)
+        rows = minibatches(chunked, batch_size, epochs, step_rule, ids, seed, ties)
+    else:
+        rows = trainable(chunked, batch_size or 1)
+    rows = rows.withColumn("_state", F.lit(None).cast("binary"))
+    if states is not None:
+        begun = states.select(F.col("replica").alias("chunk"), F.col("state").alias("_state"))
+        rows = rows.unionByName(begun, allowMissingColumns=True)
+    rows = rows.repartitionById(num_partitions, F.col("chunk").cast("int"))
+    before = F.lit(first - 1)
+    if capped:
+        rows = rows.withColumn("pass", F.coalesce("pass", before))
     else:
         # A whole-chunk batch is evaluated by reading it once more after the last update.
-        rows = trainable(chunked, batch_size or 1).repartitionById(*to_chunk)
-        rows = in_passes(rows, batch_size, epochs, step_rule, extra_passes=0 if batch_size else 1)
+        max_steps, passes = pass_range(batch_size, epochs, step_rule, 0 if batch_size else 1, first, until)
+        passes = F.when(F.col("_state").isNotNull(), F.array(before)).otherwise(passes)
+        rows = rows.withColumn("max_steps", max_steps).withColumn("pass", F.explode(passes))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("max_steps", "chunk_rows")})
     ordered = rows.withColumn("_h", order_key(seed, ids))
     ordered = ordered.sortWithinPartitions("chunk", "pass", "_h", *ids, *ties)
-    return ordered.select(*PLACE, "features", "label")
+    return ordered.select(*PLACE, "features", "label", "_state")
+
+
+def states_of(weights: DataFrame) -> DataFrame:
+    """``replica, state`` to begin from: one model per replica, a row per replica and tensor."""
+    tensors = F.collect_list(F.struct("key", "layer", "part", "shape", "values")).alias("tensors")
+    models = weights.groupBy("replica").agg(tensors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[tuple(t.values()) for t in tensors] for tensors in batch.column("tensors").to_pylist()]
+            states = [cloudpickle.dumps({"flat": cell.from_rows(row)[1]}) for row in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("replica"), pa.array(states, pa.binary())], ["replica", "state"])
+
+    return models.mapInArrow(run, "replica long, state binary")
 
 
 def train_replicas(
@@ -89,29 +121,38 @@ def train_replicas(
     evaluate_every: int = 10,
     optimizer="adam",
     weight_decay: float = 0.0,
-    keep_checkpoints: int | None = 1,
+    keep_checkpoints: int | None = None,
     ties: Sequence[str] = (),
+    first: int = 0,
+    until: int | None = None,
+    states: DataFrame | None = None,
+    final: bool = True,
 ) -> DataFrame:
-    """Trains one replica per chunk, all from ``params``, in the order of ``minibatches``.
+    """Trains one replica per chunk, in the order of ``minibatches``, from ``params`` or its state.
 
     The task of a chunk reads its rows as a stream: it holds the net and one batch,
     whatever the size of the chunk. ``keep_checkpoints`` is how many evaluated steps
-    to keep weights of, the last one included; None keeps all.
+    to keep weights of, the last one included; None keeps all. Passes ``first`` to
+    ``until`` are trained; unless ``final``, each replica leaves a state (net,
+    optimizer, counts) from which the next passes go on.
     """
-    ordered = training_rows(chunked, spec.batch_size, num_partitions, ids, seed, epochs, step_rule, ties)
+    ordered = training_rows(chunked, spec.batch_size, num_partitions, ids, seed, epochs, step_rule, ties, first, until, states)
     make_optimizer = cell.OPTIMIZERS.get(optimizer, optimizer)
     shared = broadcast(chunked.sparkSession, params)
 
     def replica(chunk: int, pieces: Iterator) -> Iterator[pa.RecordBatch]:
         began = time.perf_counter()
-        flat = shared.value.copy()
+        piece = next(pieces)
+        given = cloudpickle.loads(piece[2]) if piece[3] is None else {}
+        flat = given["flat"] if given else shared.value.copy()
         grad, more = np.empty_like(flat), np.empty_like(flat)
         weights, grads, more_grads = spec.views(flat), spec.views(grad), spec.views(more)
-        slots, decayed, solver = slice(0, spec.slots), flat[: spec.decayed()], make_optimizer(learning_rate)
-        kept: deque = deque(maxlen=keep_checkpoints)
-        rows = steps = loss = hits = 0
-        waiting = None  # whole-chunk batches: the step whose metrics this pass gives
-        for (_, in_pass, max_steps, chunk_rows), at, x, y in pieces:
+        slots, decayed = slice(0, spec.slots), flat[: spec.decayed()]
+        solver = given.get("solver") or make_optimizer(learning_rate)
+        kept: deque = deque(given.get("kept", ()), maxlen=keep_checkpoints)
+        rows, steps, loss, hits = given.get("rows", 0), given.get("steps", 0), 0, 0
+        waiting = given.get("waiting")  # whole-chunk batches: the step whose metrics this pass gives
+        for (_, in_pass, max_steps, chunk_rows), at, x, y in pieces if given else chain([piece], pieces):
             size = spec.batch_size or chunk_rows
             step = in_pass * (chunk_rows // size) + at // size
             opens, closes = at % size == 0, at % size + len(y) == size
@@ -142,9 +183,13 @@ def train_replicas(
                     yield _weights(chunk, step, cell.to_rows(weights))
                 elif step + 1 == max_steps or keep_checkpoints > 1:
                     kept.append((step, cell.to_rows(weights)))
+        seconds = given.get("seconds", 0.0) + time.perf_counter() - began
+        if not final:
+            left = {"flat": flat, "solver": solver, "kept": list(kept), "rows": rows, "steps": steps, "waiting": waiting, "seconds": seconds}
+            yield _batch([{"kind": "state", "replica": chunk, "state": cloudpickle.dumps(left)}])
+            return
         for step, tensors in kept:
             yield _weights(chunk, step, tensors)
-        seconds = time.perf_counter() - began
         yield _batch([{"kind": "runs", "replica": chunk, "rows": rows, "steps": steps, "seconds": seconds}])
 
     def replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,18 +204,26 @@ def _pieces(batches: Iterator[pa.RecordBatch], spec: NetSpec):
 
     ``at`` numbers the first row within its pass. A piece is one batch; rows left
     over at the end of a pass are dropped. Of a whole-chunk batch it is PIECE rows.
+    A state is a piece of its own: ``(place, 0, state, None)``.
     """
     unit = spec.batch_size or PIECE
     place, at, x, y = None, 0, None, ()
-    for batch in batches:
+    for batch in _between_states(batches):
         places = [batch.column(c).to_numpy() for c in PLACE]
+        state = batch.column("_state")[0].as_py()
+        if state is not None:
+            if len(y) and spec.batch_size is None:
+                yield place, at, x, y
+            place, at, x, y = None, 0, None, ()
+            yield tuple(int(p[0]) for p in places), 0, state, None
+            continue
         if batch.column("label").null_count:
             raise ValueError("null labels; see valid_examples")
         features, labels = matrix(batch.column("features"), spec.in_features), batch.column("label").to_numpy()
-        if len(labels) and (labels.min() < 0 or labels.max() >= spec.num_classes):
+        if labels.min() < 0 or labels.max() >= spec.num_classes:
             raise ValueError(f"label outside 0..{spec.num_classes - 1}")
         chunk, in_pass = places[0], places[1]
-        starts = np.flatnonzero(np.append(True, (np.diff(chunk) != 0) | (np.diff(in_pass) != 0))) if len(chunk) else []
+        starts = np.flatnonzero(np.append(True, (np.diff(chunk) != 0) | (np.diff(in_pass) != 0)))
         for a, b in zip(starts, [*starts[1:], len(chunk)]):
             here = tuple(int(p[a]) for p in places)
             if here == place and len(y):
@@ -189,6 +242,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], spec: NetSpec):
         yield place, at, x, y
 
 
+def _between_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that are one state row, or rows without any."""
+    for batch in batches:
+        at = 0
+        for state in [*np.flatnonzero(batch.column("_state").is_valid().to_numpy(zero_copy_only=False)).tolist(), len(batch)]:
+            if state > at:
+                yield batch.slice(at, state - at)
+            if state < len(batch):
+                yield batch.slice(state, 1)
+            at = state + 1
+
+
 def _decay(values: np.ndarray, weight_decay: float) -> float | None:
     return weight_decay * float(values @ values) / 2 if weight_decay else None
 

@@ -9,6 +9,9 @@ from gatewise.functions.columns import l2_loss
 
 TENSOR = ("key", "layer", "part")
 
+# Keys of the dense head, which weight decay leaves alone.
+HEAD = ("wd", "bd")
+
 
 def well_formed(weights: DataFrame) -> DataFrame:
     return weights.where(F.col("key").isNotNull() & F.col("values").isNotNull())
@@ -17,8 +20,9 @@ def well_formed(weights: DataFrame) -> DataFrame:
 def average_weights(weights: DataFrame, runs: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Element-wise mean of each tensor over the replicas, one row per tensor.
 
-    With ``runs (replica, rows)`` a replica counts by the rows it was trained on,
-    else all count the same. ``by`` names further columns to keep apart. Elements
+    With ``runs (replica, rows)`` and the columns of ``by``, a replica counts by the
+    rows it was trained on, else all count the same. ``by`` names further columns to
+    keep apart, such as ``run_id``. Elements
     are averaged by a partial and a final aggregate; only then is each tensor, whose
     length is set by the net and not by the data, put together again.
     """
@@ -26,7 +30,7 @@ def average_weights(weights: DataFrame, runs: DataFrame | None = None, by: tuple
     if runs is None:
         df = df.withColumn("_w", F.lit(1.0))
     else:
-        df = df.join(runs.select("replica", F.col("rows").cast("double").alias("_w")), "replica")
+        df = df.join(runs.select(*by, "replica", F.col("rows").cast("double").alias("_w")), [*by, "replica"])
     # A shape has one or two extents; as integers they are cheap to carry per element.
     extents = [F.get("shape", F.lit(n)).alias(f"_d{n}") for n in range(2)]
     elements = df.select(*keys, *extents, "_w", F.posexplode("values").alias("_pos", "_v"))
@@ -40,15 +44,19 @@ def average_weights(weights: DataFrame, runs: DataFrame | None = None, by: tuple
 
 
 def latest_checkpoint(weights: DataFrame, *by: str) -> DataFrame:
-    """Tensors of the last step per run (or other grouping)."""
-    by = by or ("run_id",)
+    """Tensors of the last step of each replica of each run (or other grouping).
+
+    The grouping must leave one row per step and tensor.
+    """
+    by = by or ("run_id", "replica")
     latest = F.max_by(F.struct("step", "shape", "values"), "step").alias("_last")
     return weights.groupBy(*by, *TENSOR).agg(latest).select(*by, *TENSOR, "_last.*")
 
 
 def weight_decay_loss(weights: DataFrame, weight_decay: float, *by: str) -> DataFrame:
-    """Decay term per tensor: ``weight_decay * sum(v*v) / 2``."""
-    return well_formed(weights).select(*by, *TENSOR, (l2_loss(F.col("values")) * weight_decay).alias("decay_loss"))
+    """Decay term per tensor: ``weight_decay * sum(v*v) / 2``. The dense head has none."""
+    recurrent = well_formed(weights).where(~F.col("key").isin(*HEAD))
+    return recurrent.select(*by, *TENSOR, (l2_loss(F.col("values")) * weight_decay).alias("decay_loss"))
 
 
 def initial_state_mean(weights: DataFrame, *by: str) -> DataFrame:

@@ -30,11 +30,9 @@ RANKED = """ranked AS (
 SPREAD = "CASE WHEN rank < (n % p) * (n // p + 1) THEN rank // (n // p + 1) ELSE (rank - n % p) // greatest(1, n // p) END"
 
 
-def chunked(remainder: str, at_least: int = 7) -> str:
-    parts = f"{RANKED}, parts AS (SELECT *, greatest({at_least}, ceil(n / 4194304)::BIGINT) AS p FROM ranked)"
-    keep = "WHERE rank < p * greatest(1, n // p)" if remainder == "drop" else ""
+def chunked(remainder: str, parts: int = 7) -> str:
     chunk = SPREAD if remainder == "spread" else "rank // greatest(1, n // p)"
-    return f"""{parts}, cut AS (SELECT *, {chunk} AS chunk FROM parts {keep}),
+    return f"""{RANKED}, cut AS (SELECT *, {chunk} AS chunk FROM (SELECT *, {parts} AS p FROM ranked)),
 chunked AS (SELECT *, count(*) OVER (PARTITION BY chunk) AS chunk_rows FROM cut)"""
 
 
@@ -140,12 +138,12 @@ def unit_step(h: str, c: str, *xs: str) -> tuple[str, str]:
     return f"({f} * {c} + {i} * tanh({unit_z(2, h, *xs)}))", o
 
 
-def sequences(moves: str) -> str:
+def sequences(moves: str, key: str = "user_id") -> str:
     cell, out = unit_step("h", "c", "x0", "x1")
     return f"""WITH RECURSIVE ev AS (
-  SELECT user_id, event_id, value / 100 AS x0, {moves} AS moves,
+  SELECT {key} AS user_id, event_id, value / 100 AS x0, {moves} AS moves,
          CASE event_type WHEN 'click' THEN 1::DOUBLE WHEN 'view' THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS x1,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t
+         row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) - 1 AS t
   FROM events),
 walk AS (
   SELECT user_id, NULL::BIGINT AS event_id, -1::BIGINT AS t, 0.1::DOUBLE AS h, 0.2::DOUBLE AS c
@@ -168,6 +166,10 @@ FROZEN = f"""{sequences("event_type <> 'error'")}
 SELECT user_id, event_id, t, floor((h) * 1e6 + 0.5) / 1e6 AS h FROM walk WHERE t >= 0"""
 
 
+LONG = f"""{sequences('true', 'CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END')}
+SELECT CASE WHEN user_id >= 0 THEN user_id END AS user_id, event_id, t, floor((h) * 1e6 + 0.5) / 1e6 AS h FROM walk WHERE t >= 0"""
+
+
 # Training of a net with one hidden unit on planted classes
 
 BATCH, EVERY, RATE = 10, 100, "0.01::DOUBLE"
@@ -177,8 +179,7 @@ PLANTED = f"""ranked AS (
          CASE WHEN l_quantity / 50 <= 0.34 THEN 0 WHEN l_quantity / 50 <= 0.67 THEN 1 ELSE 2 END AS label, row_number() OVER (ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey),
            {LINE_KEY}, l_extendedprice, l_shipdate) - 1 AS rank, count(*) OVER () AS n
   FROM lineitem),
-parts AS (SELECT *, greatest(4, ceil(n / 4194304)::BIGINT) AS p FROM ranked),
-chunked AS (SELECT *, {SPREAD} AS chunk FROM parts)"""
+chunked AS (SELECT *, {SPREAD} AS chunk FROM (SELECT *, 4 AS p FROM ranked))"""
 
 
 def unit_params(slots: int) -> dict[tuple[str, int, str, int], tuple[str, str]]:
@@ -268,60 +269,98 @@ said AS (SELECT chunk, avg({LOSS}) AS loss, avg({HIT}) AS hit FROM {unit_forward
 SELECT chunk AS replica, 0::BIGINT AS step, 'cross_entropy' AS metric, floor((loss) * 1e6 + 0.5) / 1e6 AS value FROM said
 UNION ALL SELECT chunk, 0, 'accuracy', floor((hit) * 1e6 + 0.5) / 1e6 FROM said"""
 
-# One pass of Adam over batches of 10, step by step.
+# Adam over batches of 10, step by step.
 SIZE = len(unit_params(BATCH))
-ADAM = f"""WITH RECURSIVE {PLANTED},
+RECURRENT = SIZE - 6  # elements before those of the dense head; only they decay
+LINE_TEXT = "l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey"
+LINE_ORDER = f"{LINE_KEY}, l_extendedprice, l_shipdate"
+
+
+def adam(source: str, key: str, order: str, passes: int = 1, decay: float = 0.0) -> str:
+    """Steps of every chunk of ``chunked``, which ``source`` defines; ``key`` and ``order`` place a row in a pass."""
+    g = f"(g[i] + CASE WHEN i <= {RECURRENT} THEN {decay}::DOUBLE * w[i] ELSE 0 END)" if decay else "g[i]"
+    every = f"for i in range(1, {SIZE + 1})"
+    return f"""WITH RECURSIVE {source},
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY chunk
-           ORDER BY md5('42:0:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey),
-           {LINE_KEY}, l_extendedprice, l_shipdate) - 1 AS rn,
-         count(*) OVER (PARTITION BY chunk) // {BATCH} AS per_pass
-  FROM chunked),
+  SELECT *, row_number() OVER (PARTITION BY chunk, pass ORDER BY md5('42:' || pass || ':' || {key}), {order}) - 1 AS rn
+  FROM (SELECT *, count(*) OVER (PARTITION BY chunk) // {BATCH} AS per_pass FROM chunked), (SELECT unnest(range({passes})) AS pass)),
 batches AS MATERIALIZED (
-  SELECT chunk, rn // {BATCH} AS step, rn % {BATCH} AS slot, x0, x1, x2, x3, label, per_pass
+  SELECT chunk, pass * per_pass + rn // {BATCH} AS step, rn % {BATCH} AS slot, x0, x1, x2, x3, label, per_pass * {passes} AS steps
   FROM numbered WHERE rn // {BATCH} < per_pass),
 walk AS (
   SELECT DISTINCT chunk, 0::BIGINT AS step, {unit_start(BATCH)} AS w,
-         [0::DOUBLE for i in range({SIZE})] AS m, [0::DOUBLE for i in range({SIZE})] AS v, per_pass
+         [0::DOUBLE for i in range({SIZE})] AS m, [0::DOUBLE for i in range({SIZE})] AS v, steps
   FROM batches
   UNION ALL
   SELECT chunk, step + 1,
-         [w[i] - {RATE} * sqrt(1 - pow(0.999::DOUBLE, step + 1)) / (1 - pow(0.9::DOUBLE, step + 1)) * m[i] / (sqrt(v[i]) + 1e-8)
-          for i in range(1, {SIZE + 1})], m, v, per_pass
-  FROM (SELECT chunk, step, w, per_pass, [0.9::DOUBLE * m[i] + 0.1::DOUBLE * g[i] for i in range(1, {SIZE + 1})] AS m,
-               [0.999::DOUBLE * v[i] + 0.001::DOUBLE * g[i] * g[i] for i in range(1, {SIZE + 1})] AS v
-        FROM (SELECT chunk, step, any_value(w) AS w, any_value(m) AS m, any_value(v) AS v, any_value(per_pass) AS per_pass,
+         [w[i] - {RATE} * sqrt(1 - pow(0.999::DOUBLE, step + 1)) / (1 - pow(0.9::DOUBLE, step + 1)) * m[i] / (sqrt(v[i]) + 1e-8) {every}],
+         m, v, steps
+  FROM (SELECT chunk, step, w, steps, [0.9::DOUBLE * m[i] + 0.1::DOUBLE * {g} {every}] AS m,
+               [0.999::DOUBLE * v[i] + 0.001::DOUBLE * {g} * {g} {every}] AS v
+        FROM (SELECT chunk, step, any_value(w) AS w, any_value(m) AS m, any_value(v) AS v, any_value(steps) AS steps,
                      {unit_gradient(BATCH)} AS g
               FROM {unit_backward(unit_forward('(SELECT batches.*, w, m, v FROM walk JOIN batches USING (chunk, step))', BATCH), BATCH)}
               GROUP BY chunk, step))),
 done AS (
-  SELECT chunk AS replica, chunk, step - 1 AS step, w, per_pass FROM walk
-  WHERE step > 0 AND ((step - 1) % {EVERY} = 0 OR step = per_pass))"""
+  SELECT chunk AS replica, chunk, step - 1 AS step, w, steps FROM walk
+  WHERE step > 0 AND ((step - 1) % {EVERY} = 0 OR step = steps))"""
 
-TRAINED = f"""{ADAM},
-last AS (SELECT * FROM done WHERE step + 1 = per_pass)
+
+def trained(passes: int) -> str:
+    return f"""{adam(PLANTED, LINE_TEXT, LINE_ORDER, passes)},
+last AS (SELECT * FROM done WHERE step + 1 = steps)
 {unit_elements('last', BATCH, 'replica', 'step')}"""
 
+
+ADAM = adam(PLANTED, LINE_TEXT, LINE_ORDER)
+
 CHECKPOINTS = f"""{ADAM},
 kept AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY replica ORDER BY step DESC) <= 5)
 {unit_elements('kept', BATCH, 'replica', 'step')}"""
 
-TRAIN_METRICS = f"""{ADAM},
+def train_metrics(steps: str) -> str:
+    return f"""{steps},
 said AS (
-  SELECT replica, step, avg({LOSS}) AS loss, avg({HIT}) AS hit
+  SELECT replica, step, avg({LOSS}) AS loss, avg({HIT}) AS hit, any_value(list_sum([u * u for u in w[1:{RECURRENT}]])) / 2 * 0.01::DOUBLE AS decay
   FROM {unit_forward('(SELECT batches.*, w, replica FROM done JOIN batches USING (chunk, step))', BATCH)} GROUP BY replica, step)
 SELECT replica, step, 'cross_entropy' AS metric, floor((loss) * 1e6 + 0.5) / 1e6 AS value FROM said
 UNION ALL SELECT replica, step, 'accuracy', floor((hit) * 1e6 + 0.5) / 1e6 FROM said"""
 
-# Step rule epochs x batch (10 steps of 10 rows), leftover rows as a chunk of their own.
+
+DECAYED = f"""{train_metrics(adam(PLANTED, LINE_TEXT, LINE_ORDER, decay=0.01))}
+UNION ALL SELECT replica, step, 'weight_decay_loss', floor((decay) * 1e6 + 0.5) / 1e6 FROM said
+UNION ALL SELECT replica, step, 'total_loss', floor((loss + decay) * 1e6 + 0.5) / 1e6 FROM said"""
+
+# Leftover rows are a chunk of their own; a chunk trains its full batches once.
 RUNS = f"""WITH sizes AS (SELECT count(*) AS n, 7 AS p FROM lineitem),
 chunks AS (
   SELECT unnest(range(CAST(ceil(n / greatest(1, n // p)) AS BIGINT))) AS replica, n, greatest(1, n // p) AS bs FROM sizes),
 sized AS (SELECT replica, least(bs, n - replica * bs) AS chunk_rows FROM chunks)
-SELECT replica, CASE WHEN chunk_rows < {BATCH} THEN chunk_rows ELSE 100 END AS rows,
-       {big(f'CASE WHEN chunk_rows < {BATCH} THEN 0 ELSE 10 END', 'steps')}, true AS timed
+SELECT replica, CASE WHEN chunk_rows < {BATCH} THEN chunk_rows ELSE chunk_rows // {BATCH} * {BATCH} END AS rows,
+       {big(f'chunk_rows // {BATCH}', 'steps')}, true AS timed
 FROM sized"""
 
+# Sums of the embedding's quarters; the class is the position of the largest of three.
+QUARTERS = ", ".join("(" + " + ".join(f"embedding[{16 * k + i + 1}]::DOUBLE" for i in range(16)) + f") * 2.0::DOUBLE AS x{k}" for k in range(4))
+VECTORS = f"""vectors AS (
+  SELECT vec_id, x0, x1, x2, x3, CASE WHEN x0 >= x1 AND x0 >= x2 THEN 0 WHEN x1 >= x2 THEN 1 ELSE 2 END AS label,
+         row_number() OVER (ORDER BY md5('43:' || vec_id), vec_id) - 1 AS place, count(*) OVER () AS vecs
+  FROM (SELECT vec_id, {QUARTERS} FROM embeddings)),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS rank, count(*) OVER () AS n
+  FROM vectors WHERE place < floor(0.8::DOUBLE * vecs)),
+chunked AS (SELECT *, {SPREAD} AS chunk FROM (SELECT *, 4 AS p FROM ranked))"""
+
+# The mean of the replicas; of a learned state, the mean over its slots.
+SLOT_MEANS = [" + ".join(f"w[{RECURRENT - 2 * BATCH + 2 * slot + k}]" for slot in range(BATCH)) for k in (1, 2)]
+MEANS = [*(f"w[{i + 1}]" for i in range(RECURRENT - 2 * BATCH)), *(f"({m}) / {BATCH}" for m in SLOT_MEANS), *(f"w[{i}]" for i in range(RECURRENT + 1, SIZE + 1))]
+
+FLAGSHIP = f"""{adam(VECTORS, 'vec_id', 'vec_id', 30)},
+mean AS (SELECT [{', '.join(f'avg({m})' for m in MEANS)}] AS w FROM walk WHERE step = steps),
+held AS (SELECT vectors.*, w, 0 AS slot FROM vectors, mean WHERE place >= floor(0.8::DOUBLE * vecs))
+SELECT count(*) AS n_rows, floor((avg({LOSS})) * 1e6 + 0.5) / 1e6 AS cross_entropy, floor((avg({HIT})) * 1e6 + 0.5) / 1e6 AS accuracy
+FROM {unit_forward('held', 1)}"""
+
 
 # Logits on orders and vectors
 
@@ -339,9 +378,9 @@ SELECT label, count(*) AS n,
        floor((avg(CAST(CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END = label AS INT))) * 1e6 + 0.5) / 1e6 AS accuracy
 FROM lg GROUP BY label"""
 
-VECTOR_ROWS = """rows AS (
-  SELECT vec_id, label, c, CAST(v AS DOUBLE) * 8 AS v
-  FROM (SELECT vec_id, label, unnest(range(10)) AS c, unnest(embedding[1:10]) AS v FROM embeddings)),
+SPAN_SUMS = ", ".join(" + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(c, 64, 10)) for c in range(10))
+VECTOR_ROWS = f"""rows AS (
+  SELECT vec_id, label, unnest(range(10)) AS c, unnest([{SPAN_SUMS}]) * 4.0::DOUBLE AS v FROM embeddings),
 losses AS (
   SELECT vec_id, any_value(label) AS label,
          ln(sum(exp(v))) - max(v) FILTER (c = label) AS loss,
@@ -350,8 +389,7 @@ losses AS (
 
 CURVE = f"""WITH {VECTOR_ROWS},
 ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS rank, count(*) OVER () AS n FROM losses),
-parts AS (SELECT *, greatest(4, ceil(n / 4194304)::BIGINT) AS p FROM ranked),
-chunked AS (SELECT *, {SPREAD} AS chunk FROM parts),
+chunked AS (SELECT *, {SPREAD} AS chunk FROM (SELECT *, 4 AS p FROM ranked)),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY md5('42:0:' || vec_id), vec_id) - 1 AS rn,
          count(*) OVER (PARTITION BY chunk) AS chunk_rows
@@ -383,23 +421,41 @@ SELECT key, layer, part, CAST(pos AS INTEGER) AS pos, floor(({value}) * 1e6 + 0.
 FROM tensors GROUP BY key, layer, part, pos"""
 
 
+AVERAGED_BY_RUN = f"""WITH {TENSORS},
+counted AS (SELECT *, (replica // 10 + CAST(run_id AS BIGINT)) % 7 + 1 AS rows FROM tensors)
+SELECT run_id, key, layer, part, CAST(pos AS INTEGER) AS pos, floor((sum(v * rows) / sum(rows)) * 1e6 + 0.5) / 1e6 AS value
+FROM counted GROUP BY run_id, key, layer, part, pos"""
+
 LATEST = f"""WITH {TENSORS},
-last AS (SELECT run_id, key, layer, part, max(replica) AS step FROM tensors GROUP BY ALL)
-SELECT run_id, key, layer, part, step, CAST(pos AS INTEGER) AS pos, floor((v) * 1e6 + 0.5) / 1e6 AS value
-FROM tensors JOIN last USING (run_id, key, layer, part) WHERE replica = step"""
+steps AS (SELECT run_id, replica % 5 AS replica, key, layer, part, replica // 5 AS step, pos, v FROM tensors)
+SELECT run_id, replica, key, layer, part, step, CAST(pos AS INTEGER) AS pos, floor((v) * 1e6 + 0.5) / 1e6 AS value
+FROM steps QUALIFY step = max(step) OVER (PARTITION BY run_id, replica, key, layer, part)"""
+
+WIDE_WEIGHTS = """weights AS (
+  SELECT k, j, list(w ORDER BY i) FILTER (i < 64) AS ws, sum(w * CASE WHEN i = 1000 THEN 1 ELSE (i - 99) / 10::DOUBLE END) FILTER (i >= 100) AS fixed
+  FROM (SELECT k, i, j, CAST((31 * CASE WHEN i = 1000 THEN 9 ELSE i END + 17 * j + 7 * k) % 13 - 6 AS DOUBLE) / 10 AS w
+        FROM (SELECT unnest(range(4)) AS k), (SELECT unnest(range(64)) AS i UNION ALL SELECT unnest(range(100, 228)) UNION ALL SELECT 1000),
+             (SELECT unnest(range(128)) AS j))
+  GROUP BY k, j)"""
+
+WIDE_GATES = f"""WITH {WIDE_WEIGHTS},
+z AS (SELECT vec_id, k, list_sum([embedding[i]::DOUBLE * ws[i] for i in range(1, 65)]) + fixed AS z FROM embeddings, weights)
+SELECT vec_id, {', '.join(f"floor(({f}(z) FILTER (k = {k})) * 1e6 + 0.5) / 1e6 AS {n}_{q}" for q, k in GATE_NUMBER.items() for n, f in (('least', 'min'), ('most', 'max'), ('sum', 'sum')))}
+FROM z GROUP BY vec_id"""
 
 STATE_MEAN = f"""WITH {TENSORS}
 SELECT replica, key, CAST(pos % 8 AS INTEGER) AS pos, floor((avg(v)) * 1e6 + 0.5) / 1e6 AS value
 FROM tensors GROUP BY replica, key, pos % 8"""
 
 
-def minmax(lo: list[str], hi: list[str]) -> str:
+def minmax(lo: list[str], hi: list[str], ranged: str = "true", scaled_rows: str = "true") -> str:
     ranges = ", ".join([f"{e} AS lo{i}" for i, e in enumerate(lo)] + [f"{e} AS hi{i}" for i, e in enumerate(hi)])
     scaled = ", ".join(
         f"CASE WHEN hi{i} > lo{i} THEN 1 - (hi{i} - x{i}) / (hi{i} - lo{i}) ELSE 0 END AS x{i}"
         for i in range(4)
     )
-    return f"WITH ex AS ({SCAN}), r AS (SELECT {ranges} FROM ex) SELECT {LINE_KEY}, {scaled} FROM ex, r"
+    return f"""WITH ex AS ({SCAN}), r AS (SELECT {ranges} FROM ex WHERE {ranged})
+SELECT {LINE_KEY}, {scaled} FROM ex, r WHERE {scaled_rows}"""
 
 
 ORACLES = {
@@ -410,38 +466,49 @@ ORACLES = {
        count(*) FILTER (CAST(n_chars > 1000 AS INT) <> quality) AS mismatched
 FROM documents LEFT JOIN labels USING (doc_id)""",
     "valid_examples": f"""SELECT doc_id, CAST(n_chars AS DOUBLE) AS x0, {big('quality', 'label')}
-FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL""",
+FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars > 1000""",
+    "scan_csv_gaps": f"""SELECT CAST(o_orderkey AS DOUBLE) AS x0, CAST(o_custkey AS DOUBLE) AS x1, {big('o_orderkey % 3', 'label')}
+FROM orders WHERE o_orderkey % 5 > 1""",
     "minmax_global": minmax(["min(least(x0, x1, x2, x3))"] * 4, ["max(greatest(x0, x1, x2, x3))"] * 4),
     "minmax_column": minmax([f"min(x{i})" for i in range(4)], [f"max(x{i})" for i in range(4)]),
+    "minmax_apply": minmax([f"min(x{i})" for i in range(4)], [f"max(x{i})" for i in range(4)], "l_orderkey % 2 = 0", "l_orderkey % 2 <> 0"),
     "shuffle_rank": f"WITH {RANKED} SELECT o_orderkey, {big('rank', 'rank')} FROM ranked",
     "shuffle_rank_lines": f"""SELECT {LINE_KEY}, {big('''row_number() OVER (
   ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey),
            l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1''', 'rank')}
 FROM lineitem""",
     "order_rank": f"SELECT o_orderkey, {big('row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1', 'rank')} FROM orders",
-    "rank_copies": """SELECT l_quantity, l_linestatus, count(*) AS n, count(*) AS span,
-       (SELECT count(*) FROM lineitem) AS n_rows FROM lineitem GROUP BY l_quantity, l_linestatus""",
+    "rank_copies": """WITH copies AS (
+  SELECT CAST(l_quantity AS INTEGER) AS quantity, l_linestatus,
+         '{"quantity":' || CAST(l_quantity AS INTEGER) || ',"l_linestatus":"' || l_linestatus || '"}' AS json,
+         row_number() OVER (PARTITION BY l_quantity, l_linestatus) - 1 AS copy
+  FROM lineitem)
+SELECT quantity, l_linestatus, row_number() OVER (ORDER BY md5('42:' || json || ':' || copy), json, copy) - 1 AS rank, count(*) OVER () AS n_rows
+FROM copies""",
     "chunk_rows": chunk_rows("extra"),
     "chunk_rows_spread": chunk_rows("spread"),
-    "chunk_rows_drop": chunk_rows("drop"),
     "assign_chunks": assigned("spread"),
     "assign_chunks_extra": assigned("extra"),
     "trainable_chunks": f"""WITH {chunked('extra')}
 SELECT {big('chunk', 'chunk')}, count(*) AS n, max(chunk_rows) AS chunk_rows FROM chunked WHERE chunk_rows >= 10 GROUP BY 1""",
+    "skipped_chunks": """SELECT row_number() OVER () - 1 AS replica, 1::BIGINT AS rows, 0::BIGINT AS steps FROM orders""",
     "train_val_split": f"""WITH {RANKED}
 SELECT o_orderkey, CASE WHEN rank < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'validation' END AS part FROM ranked""",
     "minibatches": batch_rows(1, "chunk_rows // 10"),
     "minibatches_multi_pass": batch_rows(3, "3 * (chunk_rows // 10)"),
     "capped_steps": batch_rows(20, "20"),
+    "capped_steps_long": batch_rows(20, "200"),
     "eval_steps": batches(1, "chunk_rows // 10")
     + "\nSELECT chunk, step, count(*) AS n FROM batched WHERE step % 10 = 0 OR step + 1 = max_steps GROUP BY chunk, step",
     "gate_preactivation": f"WITH {PRE} "
     + wide("z", [(f"z_{q}{j}", "z", f"k = {k} AND j = {j}") for q, k in GATE_NUMBER.items() for j in range(3)]),
+    "gate_preactivation_wide": WIDE_GATES,
     "lstm_gates": f"WITH {GATES} " + wide("gates", [(f"{q}{j}", q, f"j = {j}") for q in "fico" for j in range(3)]),
     "lstm_cell_step": f"WITH {CELL} " + wide("cell", [(f"{q}{j}", q, f"j = {j}") for q in "ch" for j in range(3)]),
     "score_lstm": SCORE,
     "score_sequences": SEQUENCES,
     "score_sequences_frozen": FROZEN,
+    "score_sequences_long": LONG,
     "initial_state_mean": STATE_MEAN,
     "softmax_xent_sparse": ORDER_XENT,
     "softmax_xent_dense": ORDER_XENT,
@@ -451,11 +518,15 @@ SELECT o_orderkey, CASE WHEN rank < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'va
     "weight_decay_loss": DECAY,
     "average_weights": averaged("avg(v)"),
     "average_weights_by_rows": averaged("sum(v * (replica % 7 + 1)) / sum(replica % 7 + 1)"),
+    "average_weights_by_run": AVERAGED_BY_RUN,
     "latest_checkpoint": LATEST,
-    "train_weights": TRAINED,
+    "train_weights": trained(1),
+    "train_two_passes": trained(2),
+    "train_decay_metrics": DECAYED,
     "checkpoints": CHECKPOINTS,
-    "train_metrics": TRAIN_METRICS,
+    "train_metrics": train_metrics(ADAM),
     "run_report": RUNS,
     "train_full_batch": FULL_BATCH_MEAN,
     "train_full_batch_metrics": FULL_BATCH_METRICS,
+    "averaged_model_accuracy": FLAGSHIP,
 }

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewise.functions import columns as C
-from gatewise.functions.cell import NetSpec
 from gatewise.operators import batching, metrics, prep, weights
 from gatewise.operators.fit import Fit, fit
+from gatewise.operators.fit import skipped_chunks as skipped
 from gatewise.operators.score import score, score_sequences
 from gatewise.plans.formula import c0, column_gates, formula_model, h0
 from gatewise.sources import examples as X
@@ -51,9 +51,15 @@ def planted_lines(spark: SparkSession, sf: str) -> DataFrame:
     return X.to_examples(X.read_table(spark, sf, "lineitem"), exprs(LINE_FEATURES), band, *LINE_KEY, *LINE_TIES)
 
 
+def span_sums(values: str, scale: float, spans: list[list[int]]) -> Column:
+    """Sums of the elements at the given places, as an array."""
+    return F.array(*[sum((F.get(values, F.lit(i)).cast("double") for i in at[1:]), F.get(values, F.lit(at[0])).cast("double")) * scale for at in spans])
+
+
 def planted_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """First four embedding elements; class is the position of the largest of three."""
-    df = X.read_table(spark, sf, "embeddings").withColumn("features", C.slice_vector("embedding", 4, 8.0))
+    """Sums of the four quarters of the embedding; class is the position of the largest of the first three."""
+    quarters = [list(range(16 * k, 16 * k + 16)) for k in range(4)]
+    df = X.read_table(spark, sf, "embeddings").withColumn("features", span_sums("embedding", 2.0, quarters))
     return df.select(F.col("vec_id").alias("row_id"), "features", C.argmax(F.slice("features", 1, 3)).alias("label"))
 
 
@@ -62,7 +68,7 @@ def ranked_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunked_orders(spark: SparkSession, sf: str, remainder: str = "spread") -> DataFrame:
-    return prep.chunk_rows(ranked_orders(spark, sf), prep.chunk_count(7), remainder)
+    return prep.chunk_rows(ranked_orders(spark, sf), 7, remainder)
 
 
 def order_logits(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,8 +79,10 @@ def order_logits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_logits(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of the embedding's elements by place modulo 10."""
     df = X.read_table(spark, sf, "embeddings")
-    return df.select("vec_id", C.slice_vector("embedding", 10, 8.0).alias("logits"), F.col("label").cast("long"))
+    logits = span_sums("embedding", 4.0, [list(range(c, 64, 10)) for c in range(10)])
+    return df.select("vec_id", logits.alias("logits"), F.col("label").cast("long"))
 
 
 def vector_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,10 +129,20 @@ def label_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def valid_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose only feature is left out where it is small, so that some rows are too short."""
     df = X.to_examples(labelled_documents(spark, sf), ["n_chars"], F.col("quality"), "doc_id")
+    df = df.withColumn("features", F.filter("features", lambda v: v > 1000))
     return prep.valid_examples(df).select("doc_id", *spread_out("features", ["x0"], exact=True), "label")
 
 
+def scan_csv_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as lines, some of them blank and some with one field."""
+    path = new_path(spark, "orders-csv")
+    line = F.expr("CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '7' ELSE concat_ws(',', o_orderkey, o_custkey, o_orderkey % 3) END")
+    X.read_table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    return X.read_csv(spark, path, 2).select(*spread_out("features", ["x0", "x1"], exact=True), "label")
+
+
 # Preparation
 
 
@@ -136,6 +154,14 @@ def minmax(scope: str):
     return query
 
 
+def minmax_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of the even orders' lines, applied to those of the odd ones."""
+    df = line_examples(spark, sf)
+    even = F.col("l_orderkey") % 2 == 0
+    df = prep.minmax(df.where(~even), 4, ranges=prep.minmax_ranges(df.where(even), 4, "column"))
+    return df.select(*LINE_KEY, *spread_out("features", ["x0", "x1", "x2", "x3"], exact=True))
+
+
 def shuffle_rank(spark: SparkSession, sf: str) -> DataFrame:
     return ranked_orders(spark, sf).select("o_orderkey", "rank")
 
@@ -151,13 +177,8 @@ def order_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rank_copies(spark: SparkSession, sf: str) -> DataFrame:
-    content = ["l_quantity", "l_linestatus"]
-    ranked = prep.rank_copies(X.read_table(spark, sf, "lineitem").select(*content), SEED)
-    return ranked.groupBy(*content).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.max("rank") - F.min("rank") + 1).alias("span"),
-        F.max("n_rows").alias("n_rows"),
-    )
+    lines = X.read_table(spark, sf, "lineitem").select(F.col("l_quantity").cast("int").alias("quantity"), "l_linestatus")
+    return prep.rank_copies(lines, SEED)
 
 
 def chunks(remainder: str):
@@ -181,6 +202,12 @@ def trainable_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.max("chunk_rows").alias("chunk_rows"))
 
 
+def skipped_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Report of a run with twice as many chunks as orders."""
+    total = X.read_table(spark, sf, "orders").count()
+    return skipped(spark, total, 2 * total, "spread", 10).select("replica", "rows", "steps")
+
+
 def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
     return prep.train_val_split(ranked_orders(spark, sf), 0.8).select("o_orderkey", "part")
 
@@ -205,6 +232,10 @@ def capped_steps(spark: SparkSession, sf: str) -> DataFrame:
     return order_batches(spark, sf, epochs=2, step_rule="epochs_x_batch")
 
 
+def capped_steps_long(spark: SparkSession, sf: str) -> DataFrame:
+    return order_batches(spark, sf, epochs=20, step_rule="epochs_x_batch")
+
+
 def eval_steps(spark: SparkSession, sf: str) -> DataFrame:
     due = order_batches(spark, sf).where(batching.eval_flag(10))
     return due.groupBy("chunk", "step").agg(F.count(F.lit(1)).alias("n"))
@@ -224,6 +255,18 @@ def gate_preactivation(spark: SparkSession, sf: str) -> DataFrame:
     return line_examples(spark, sf).select(*LINE_KEY, *out)
 
 
+def gate_preactivation_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The gates of a layer of 128 units over whole embeddings; sum, least and largest unit."""
+    vectors = X.read_table(spark, sf, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
+    state, out = F.lit([h0(j) for j in range(128)]), []
+    for q, gate in column_gates(128, 64).items():
+        z = C.gate_array(F.col("x"), state, *gate)
+        total = F.aggregate(f"z_{q}", F.lit(0.0), lambda acc, v: acc + v)
+        vectors = vectors.withColumn(f"z_{q}", z)
+        out += [r6(f(f"z_{q}")).alias(f"{n}_{q}") for n, f in (("least", F.array_min), ("most", F.array_max))] + [r6(total).alias(f"sum_{q}")]
+    return vectors.select("vec_id", *out)
+
+
 def lstm_gates(spark: SparkSession, sf: str) -> DataFrame:
     gates = C.lstm_gates(*cell_inputs(), column_gates(3))
     out = [r6(v).alias(f"{q}{j}") for q, units in gates.items() for j, v in enumerate(units)]
@@ -264,6 +307,14 @@ def score_sequences_frozen(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("user_id", "event_id", "t", *spread_out("hidden", ["h"]))
 
 
+def score_sequences_long(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the users are one null key, which is cut into segments."""
+    events = event_examples(spark, sf).withColumn("user_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id")))
+    model = formula_model(1, in_features=2)
+    scored = score_sequences(events, model, ["user_id"], ["ts", "event_id"], keep=["event_id"], segment=2500)
+    return scored.select("user_id", "event_id", "t", *spread_out("hidden", ["h"]))
+
+
 def initial_state_mean(spark: SparkSession, sf: str) -> DataFrame:
     states = vector_weights(spark, sf).withColumn("part", F.lit("s"))
     return elements(weights.initial_state_mean(states, "replica"), "state", "replica", "key")
@@ -295,7 +346,7 @@ def accuracy(sparse: bool):
 
 def metric_curve(spark: SparkSession, sf: str) -> DataFrame:
     ranked = prep.rank_rows(vector_logits(spark, sf), ["vec_id"], SEED)
-    batched = batching.minibatches(prep.chunk_rows(ranked, prep.chunk_count()), 10, ids=["vec_id"], seed=SEED)
+    batched = batching.minibatches(prep.chunk_rows(ranked), 10, ids=["vec_id"], seed=SEED)
     curve = metrics.metric_curve(batched, "step")
     return curve.select("step", r6("cross_entropy").alias("cross_entropy"), r6("accuracy").alias("accuracy"))
 
@@ -327,9 +378,18 @@ def average_weights_by_rows(spark: SparkSession, sf: str) -> DataFrame:
     return elements(weights.average_weights(df, runs), "values", *weights.TENSOR)
 
 
+def average_weights_by_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs that use the same replica numbers, with row counts of their own."""
+    df = vector_weights(spark, sf).withColumn("replica", F.expr("replica div 10"))
+    rows = ((F.col("replica") + F.col("run_id").cast("long")) % 7 + 1).alias("rows")
+    runs = df.select("run_id", "replica", rows).distinct()
+    return elements(weights.average_weights(df, runs, by=("run_id",)), "values", "run_id", *weights.TENSOR)
+
+
 def latest_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
-    last = weights.latest_checkpoint(vector_weights(spark, sf))
-    return elements(last, "values", "run_id", *weights.TENSOR, "step")
+    """Replicas of a run share their steps."""
+    df = vector_weights(spark, sf).withColumn("step", F.expr("replica div 5")).withColumn("replica", F.col("replica") % 5)
+    return elements(weights.latest_checkpoint(df), "values", "run_id", "replica", *weights.TENSOR, "step")
 
 
 # Training
@@ -338,26 +398,38 @@ def latest_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
 def planted_fit(spark: SparkSession, sf: str, batch_size: int | None = 10, **options) -> Fit:
     """A net of one hidden unit from formula weights, so that SQL can follow every step."""
     start = formula_model(1, batch_size=batch_size)
+    options = {"keep_checkpoints": 1, "evaluate_every": 100, **options}
     return fit(planted_lines(spark, sf), start.spec, LINE_KEY, LINE_TIES, seed=SEED, init=start, **options)
 
 
 def train_weights(spark: SparkSession, sf: str) -> DataFrame:
-    done = planted_fit(spark, sf, learning_rate=1e-2, evaluate_every=100)
-    return elements(done.weights, "values", "replica", "step", *weights.TENSOR)
+    done = planted_fit(spark, sf, learning_rate=1e-2)
+    return elements(done.final(), "values", "replica", "step", *weights.TENSOR)
+
+
+def train_two_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two passes, each a job that goes on from the state the one before left."""
+    done = planted_fit(spark, sf, learning_rate=1e-2, epochs=2, passes_per_round=1)
+    return elements(done.final(), "values", "replica", "step", *weights.TENSOR)
+
+
+def train_decay_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    done = planted_fit(spark, sf, learning_rate=1e-2, weight_decay=DECAY)
+    return done.metrics.select("replica", "step", "metric", r6("value").alias("value"))
 
 
 def checkpoints(spark: SparkSession, sf: str) -> DataFrame:
-    done = planted_fit(spark, sf, learning_rate=1e-2, evaluate_every=100, keep_checkpoints=5)
+    done = planted_fit(spark, sf, learning_rate=1e-2, keep_checkpoints=5)
     return elements(done.weights, "values", "replica", "step", *weights.TENSOR)
 
 
 def train_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    done = planted_fit(spark, sf, learning_rate=1e-2, evaluate_every=100)
+    done = planted_fit(spark, sf, learning_rate=1e-2)
     return done.metrics.select("replica", "step", "metric", r6("value").alias("value"))
 
 
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
-    done = planted_fit(spark, sf, step_rule="epochs_x_batch", remainder="extra", num_chunks=7)
+    done = planted_fit(spark, sf, remainder="extra", num_chunks=7)
     return done.runs.select("replica", "rows", "steps", (F.col("seconds") >= 0).alias("timed"))
 
 
@@ -379,12 +451,13 @@ def averaged_model_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     ranked = prep.rank_rows(planted_vectors(spark, sf), seed=SEED + 1)
     split = cut(prep.train_val_split(ranked, 0.8).drop("rank", "n_rows"))
     train, held_out = (split.where(F.col("part") == p).drop("part") for p in ("train", "validation"))
-    done = fit(train, NetSpec(4, (8,), 3, 10), seed=SEED, epochs=30, learning_rate=1e-2, evaluate_every=100)
+    start = formula_model(1, batch_size=10)
+    done = fit(train, start.spec, seed=SEED, init=start, epochs=30, learning_rate=1e-2, evaluate_every=100, keep_checkpoints=1)
     scored = score(held_out, done.model())
     return scored.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        metrics.loss_of(F.col("logits"), F.col("label")).alias("cross_entropy"),
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
+        r6(metrics.loss_of(F.col("logits"), F.col("label"))).alias("cross_entropy"),
+        r6(F.avg((F.col("prediction") == F.col("label")).cast("double"))).alias("accuracy"),
     )
 
 
@@ -394,29 +467,34 @@ QUERIES = {
     "attach_labels": labelled_documents,
     "label_coverage": label_coverage,
     "valid_examples": valid_examples,
+    "scan_csv_gaps": scan_csv_gaps,
     "minmax_global": minmax("global"),
     "minmax_column": minmax("column"),
+    "minmax_apply": minmax_apply,
     "shuffle_rank": shuffle_rank,
     "shuffle_rank_lines": shuffle_rank_lines,
     "order_rank": order_rank,
     "rank_copies": rank_copies,
     "chunk_rows": chunks("extra"),
     "chunk_rows_spread": chunks("spread"),
-    "chunk_rows_drop": chunks("drop"),
     "assign_chunks": assign_chunks("spread"),
     "assign_chunks_extra": assign_chunks("extra"),
     "trainable_chunks": trainable_chunks,
+    "skipped_chunks": skipped_chunks,
     "train_val_split": train_val_split,
     "minibatches": minibatches,
     "minibatches_multi_pass": minibatches_multi_pass,
     "capped_steps": capped_steps,
+    "capped_steps_long": capped_steps_long,
     "eval_steps": eval_steps,
     "gate_preactivation": gate_preactivation,
+    "gate_preactivation_wide": gate_preactivation_wide,
     "lstm_gates": lstm_gates,
     "lstm_cell_step": lstm_cell_step,
     "score_lstm": score_lstm,
     "score_sequences": score_user_sequences,
     "score_sequences_frozen": score_sequences_frozen,
+    "score_sequences_long": score_sequences_long,
     "initial_state_mean": initial_state_mean,
     "softmax_xent_sparse": softmax_xent(True),
     "softmax_xent_dense": softmax_xent(False),
@@ -426,8 +504,11 @@ QUERIES = {
     "weight_decay_loss": weight_decay_loss,
     "average_weights": average_weights,
     "average_weights_by_rows": average_weights_by_rows,
+    "average_weights_by_run": average_weights_by_run,
     "latest_checkpoint": latest_checkpoint,
     "train_weights": train_weights,
+    "train_two_passes": train_two_passes,
+    "train_decay_metrics": train_decay_metrics,
     "checkpoints": checkpoints,
     "train_metrics": train_metrics,
     "run_report": run_report,

@@ -39,9 +39,17 @@ def test_step_cap_of_the_other_rule(spark, n, epochs, passes):
     assert df.count() == epochs * 100
 
 
-def test_step_cap_cuts_groups_before_rows_move(spark):
-    plan = minibatches(chunk(spark, 1000), 10, 2, "epochs_x_batch")._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("row_number(), 200, Final") < plan.index("Exchange") < plan.index("row_number(), 200, Partial")
+@pytest.mark.parametrize("epochs", [2, 20])
+def test_step_cap_leaves_buckets_out_before_rows_move(spark, epochs):
+    df = minibatches(chunk(spark, 40_000), 10, epochs, "epochs_x_batch")
+    assert df.count() == epochs * 100
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert f"< {epochs * 100})" in plan or f"< {epochs * 100}" in plan
+
+
+def test_the_cap_needs_a_batch_size(spark):
+    with pytest.raises(ValueError, match="batch size"):
+        minibatches(chunk(spark, 10), None, 2, "epochs_x_batch")
 
 
 def test_whole_chunk_as_batch(spark):

@@ -2,11 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewise import Model, NetSpec, assign_chunks, average_weights, chunk_rows, fit, minibatches, rank_rows, score
+from gatewise import Model, NetSpec, assign_chunks, average_weights, chunk_rows, fit, latest_checkpoint, minibatches, rank_copies, rank_rows, score
 from gatewise.functions import cell
 from gatewise.functions.columns import argmax, vector
 from gatewise.operators import fit as fit_module
 from gatewise.operators import train
+from gatewise.operators.weights import weight_decay_loss
 
 
 def planted(spark, n=400):
@@ -69,7 +70,7 @@ def test_equal_chunks_give_equal_replicas(spark):
         "chunk_rows", F.lit(40).cast("long")
     )
     df = df.withColumn("chunk", F.col("chunk").cast("long"))
-    out = train.train_replicas(df, SPEC, cell.init_params(SPEC, 1), 2).where("kind = 'weights'")
+    out = train.train_replicas(df, SPEC, cell.init_params(SPEC, 1), 2, keep_checkpoints=1).where("kind = 'weights'")
     a, b = (out.where(F.col("replica") == r).select("key", "layer", "part", "values") for r in (0, 1))
     assert a.count() == 16 and a.exceptAll(b).count() == 0
 
@@ -88,7 +89,7 @@ def test_training_equals_a_plain_loop(spark):
             cell.gradients(SPEC.views(flat), SPEC.views(grad), SPEC, x, y, slice(0, 10), 0.1)
             grad[: SPEC.decayed()] += 0.01 * flat[: SPEC.decayed()]
             solver.update(flat, grad)
-        got = Model.load(done.weights.where(F.col("replica") == replica))
+        got = Model.load(done.final().where(F.col("replica") == replica))
         assert np.abs(got.flat - flat).max() < 1e-12
     last = done.metrics.where(f"replica = {replica} AND step = 5").collect()
     values = {r.metric: r.value for r in last}
@@ -153,12 +154,18 @@ def test_warm_start_and_rewritten_run(spark, tmp_path):
     again = fit(planted(spark, 80), SPEC, num_chunks=2, run_id="007", output_path=path)
     assert weights_of(again) == before
     assert weights_of(fit_module.load(spark, path, "007")) == before and second.runs.count() == 2
+    assert fit_module.load(spark, path, "007").seconds > 0 and again.totals.first().rows == 80
+    empty = fit(planted(spark, 8), SPEC, num_chunks=2, run_id="007", output_path=path)
+    assert empty.weights.count() == 0 and empty.metrics.count() == 0 and empty.runs.count() == 2
 
 
 def test_rows_without_a_key(spark):
     copies = planted(spark, 50).select("features", "label").withColumn("n", F.explode(F.array(*[F.lit(0)] * 4))).drop("n")
     done = fit(copies, SPEC, ids=None, num_chunks=2)
     assert done.runs.agg(F.sum("rows")).first()[0] == 200
+    few = spark.range(4000).select(F.array(*[(F.col("id") % 4).cast("double")] * 4).alias("features"), (F.col("id") % 3).alias("label"))
+    balanced = chunk_rows(rank_copies(few), 4).groupBy("chunk", "label").count()
+    assert balanced.count() == 12 and balanced.where("count < 250 OR count > 420").count() == 0
     assert weights_of(done) == weights_of(fit(copies.repartition(3), SPEC, ids=None, num_chunks=2))
 
 
@@ -206,14 +213,60 @@ def test_training_plan(spark):
     rows = plan.split("BroadcastExchange")[0]
     assert rows.count("Exchange ") == 1 and "Exchange shufflepartitionidpassthrough" in rows
     assert rows.index("MapInArrow") < rows.index("Sort") < rows.index("explode") < rows.index("passthrough")
+    assert "BroadcastExchange" in plan
 
 
-def test_ties_hot_ids_and_large_tables_train_alike(spark, monkeypatch):
+def test_ties_tell_rows_apart(spark):
     df = planted(spark, 120).withColumn("t", F.col("row_id")).withColumn("row_id", F.col("row_id") % 2)
-    plain, hot = (fit(df, SPEC, ties=["t"], num_chunks=2, hot_ids=h) for h in (False, True))
-    assert weights_of(plain) == weights_of(hot)
-    monkeypatch.setattr(fit_module, "RANK_ROWS", 10)
-    assert weights_of(plain) == weights_of(fit(df, SPEC, ties=["t"], num_chunks=2))
+    done = fit(df, SPEC, ties=["t"], num_chunks=2)
+    assert weights_of(done) == weights_of(fit(df.repartition(7), SPEC, ties=["t"], num_chunks=2))
+
+
+@pytest.mark.parametrize("batch_size", [10, None])
+def test_rounds_train_as_one_job_does(spark, batch_size):
+    spec, options = NetSpec(4, (3,), 3, batch_size), dict(num_chunks=3, epochs=5, evaluate_every=2, weight_decay=0.01)
+    whole, rounds = (fit(planted(spark, 100), spec, passes_per_round=n, **options) for n in (99, 2))
+    assert weights_of(whole) == weights_of(rounds)
+    said = [sorted(map(tuple, d.metrics.collect())) for d in (whole, rounds)]
+    assert said[0] == said[1] and len(said[0]) > 0
+    ran = [sorted(map(tuple, d.runs.select("replica", "rows", "steps").collect())) for d in (whole, rounds)]
+    assert ran[0] == ran[1]
+
+
+def test_each_replica_goes_on_from_its_own_weights(spark):
+    first = fit(planted(spark, 100), SPEC, num_chunks=3, run_id="a")
+    last = latest_checkpoint(first.weights)
+    again = fit(planted(spark, 100), SPEC, num_chunks=3, init=last, learning_rate=0.0, optimizer="sgd")
+    for replica in range(3):
+        was, now = (Model.load(d.final().where(F.col("replica") == replica)).flat for d in (first, again))
+        assert (was == now).all()
+
+
+def test_scaling_and_held_out_rows(spark):
+    df = planted(spark, 200).withColumn("features", F.transform("features", lambda v: v * 50 + 7))
+    done = fit(df, SPEC, num_chunks=2, epochs=3, scale="column", held_out=df.where("row_id < 40"))
+    lo, hi = done.ranges.first()
+    assert len(lo) == 4 and min(h - l for l, h in zip(lo, hi)) > 90
+    said = {r.metric: r.value for r in done.metrics.where("replica IS NULL").collect()}
+    assert set(said) == {"held_out_cross_entropy", "held_out_accuracy"} and 0 <= said["held_out_accuracy"] <= 1
+
+
+@pytest.mark.parametrize("n, p", [(2, 4), (150, 200), (157, 4)])
+@pytest.mark.parametrize("rule", ["spread", "extra"])
+def test_the_report_accounts_for_every_row(spark, n, p, rule):
+    runs = fit(planted(spark, n), NetSpec(4, (2,), 3, 10), num_chunks=p, remainder=rule).runs
+    replicas = [r.replica for r in runs.collect()]
+    assert len(set(replicas)) == len(replicas)
+    tails = 9 * len([r for r in runs.collect() if r.steps])
+    assert n - tails <= runs.agg(F.sum("rows")).first()[0] <= n
+
+
+def test_decay_of_the_kernel_and_of_the_columns_agree(spark):
+    done = fit(planted(spark, 100), SPEC, num_chunks=2, weight_decay=0.01)
+    columns = weight_decay_loss(done.final(), 0.01, "replica").groupBy("replica").agg(F.sum("decay_loss").alias("d"))
+    last = done.metrics.where("metric = 'weight_decay_loss' AND step = 4").select("replica", "value")
+    for row in columns.join(last, "replica").collect():
+        assert row.d == pytest.approx(row.value)
 
 
 def test_uniform_average_is_the_mean_of_all(done):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from gatewise import assign_chunks, chunk_rows, minmax, rank_copies, rank_rows, train_val_split, valid_examples
+from gatewise import assign_chunks, chunk_rows, minmax, minmax_ranges, rank_copies, rank_rows, train_val_split, valid_examples
 from gatewise.operators import prep
 from gatewise.sources.examples import attach_labels, label_mismatches, read_csv
 
@@ -19,7 +19,7 @@ def test_csv_skips_blank_and_one_field_lines(spark, tmp_path):
     assert [(r.features, r.label) for r in rows] == [([5.1, 3.5, 1.4, 0.2], 0), ([4.9, 3.0, 1.4, 0.2], 1)]
 
 
-@pytest.mark.parametrize("line", ["1,2,3", "1,2,3,4,0,9", "1,x,3,4,0", "1,2,3,4,zero", "1,2,3,4,"])
+@pytest.mark.parametrize("line", ["1,2,3", "1,2,3,4,0,9", "1,x,3,4,0", "1,2,3,4,zero", "1,2,3,4,", "5.1,,1.4", "1,,2,3,0,9"])
 def test_csv_stops_at_bad_lines(spark, tmp_path, line):
     path = write(tmp_path, f"5.1,3.5,1.4,0.2,0\n{line}\n")
     with pytest.raises(PySparkException):
@@ -52,6 +52,13 @@ def test_minmax_scopes_and_zero_range(spark):
     assert minmax(flat, 2).first().features == [0.0, 0.0]
 
 
+def test_minmax_with_kept_ranges(spark, tmp_path):
+    old = spark.createDataFrame([([0.0, 10.0],), ([4.0, 30.0],)], "features array<double>")
+    minmax_ranges(old, 2, "column").write.parquet(f"{tmp_path}/ranges")
+    new = spark.createDataFrame([([2.0, 50.0],)], "features array<double>")
+    assert minmax(new, 2, ranges=spark.read.parquet(f"{tmp_path}/ranges")).first().features == [0.5, 2.0]
+
+
 def test_rank_does_not_depend_on_partitioning(spark):
     df = spark.range(1000).withColumnRenamed("id", "row_id")
     ranks = []
@@ -69,21 +76,28 @@ def test_rank_in_order(spark):
     assert rank_rows(df, shuffle=False).where("rank <> row_id OR n_rows <> 500").count() == 0
 
 
-def test_hot_ids_rank_the_same(spark):
+def test_a_hot_id_is_ranked_in_parts(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 1000, -1).otherwise(F.col("id")).alias("row_id"), F.col("id").alias("t"))
-    plain, ranged = (rank_rows(df, ties=["t"], hot_ids=hot) for hot in (False, True))
-    assert plain.exceptAll(ranged).count() == 0 and ranged.count() == 3000
+    ranked = rank_rows(df, ties=["t"])
+    order = [r.t for r in df.withColumn("h", prep.shuffle_hash(42, "row_id")).orderBy("h", "row_id", "t").collect()]
+    assert [r.t for r in ranked.orderBy("rank").collect()] == order
+    assert [r["rank"] for r in ranked.orderBy("rank").collect()] == list(range(3000))
+
+
+def test_ranking_moves_rows_once(spark):
+    plan = rank_rows(spark.range(100).withColumnRenamed("id", "row_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("BroadcastExchange")[0] and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
 
 
-def test_copies_of_one_row_are_split_and_none_is_lost(spark, monkeypatch):
+def test_copies_of_one_row_are_spread_and_none_is_lost(spark, monkeypatch):
     monkeypatch.setattr(prep, "COPY_BLOCK", 16)
     df = spark.range(3000).select(F.when(F.col("id") < 1000, -1).otherwise(F.col("id") % 1500).alias("x"))
     ranked = rank_copies(df)
-    assert sorted(r.rank for r in ranked.collect()) == list(range(3000))
-    same = ranked.groupBy("x").agg(F.count("*").alias("n"), (F.max("rank") - F.min("rank") + 1).alias("span"))
-    assert same.where("n <> span").count() == 0
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(3000))
     assert ranked.exceptAll(rank_copies(df.repartition(5))).count() == 0
     assert ranked.select("x").exceptAll(df).count() == 0
+    hot = chunk_rows(ranked, 4).where("x = -1").groupBy("chunk").count().collect()
+    assert len(hot) == 4 and all(150 < r["count"] < 350 for r in hot)
 
 
 def ranked_sizes(spark):
@@ -113,7 +127,6 @@ def test_chunks_hold_every_row_and_know_their_size(spark, rule):
     [
         (4, "extra", {37: 4, 2: 1}),
         (4, "spread", {38: 2, 37: 2}),
-        (4, "drop", {37: 4}),
         (40, "extra", {3: 50}),
         (40, "spread", {4: 30, 3: 10}),
         (200, "extra", {1: 150}),
@@ -127,7 +140,7 @@ def test_chunk_sizes_of_150_rows(spark, p, rule, sizes):
     assert {r["count"]: r.n for r in chunks.collect()} == sizes
 
 
-@pytest.mark.parametrize("rule", ["spread", "extra", "drop"])
+@pytest.mark.parametrize("rule", ["spread", "extra"])
 @pytest.mark.parametrize("n, p", [(1000, 4), (1000, 300), (150, 40), (7, 20), (1, 3)])
 def test_assigned_chunks_are_those_of_ranked_rows(spark, monkeypatch, n, p, rule):
     monkeypatch.setattr(prep, "BUCKET_DIGITS", 1)  # several rows and chunk starts per bucket
@@ -144,10 +157,21 @@ def test_assigning_chunks_moves_only_keys(spark):
     assert "payload" in rows and "Exchange" not in rows
 
 
-def test_chunks_grow_in_number_past_the_size_limit(spark):
-    ranked = spark.range(100).select(F.col("id").alias("rank"), F.lit(100).cast("long").alias("n_rows"))
-    df = chunk_rows(ranked, prep.chunk_count(4, max_rows=10))
-    assert df.select("chunk").distinct().count() == 10
+@pytest.mark.parametrize("n", [100, 5000])
+def test_the_number_of_chunks_is_what_the_caller_says(spark, n):
+    ranked = spark.range(n).select(F.col("id").alias("rank"), F.lit(n).cast("long").alias("n_rows"))
+    assert chunk_rows(ranked).select("chunk").distinct().count() == 4
+    with pytest.raises(ValueError):
+        chunk_rows(ranked, 0)
+
+
+@pytest.mark.parametrize("rule", ["spread", "extra"])
+@pytest.mark.parametrize("n, p", [(150, 4), (2, 4), (150, 200), (7, 3), (0, 3)])
+def test_chunk_sizes_without_rows(spark, n, p, rule):
+    ranked = spark.range(n).select(F.col("id").alias("rank"), F.lit(n).cast("long").alias("n_rows"))
+    want = chunk_rows(ranked, p, rule).select("chunk", "chunk_rows").distinct()
+    got = prep.chunk_sizes(spark, n, p, rule)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
 def test_split(spark):

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from gatewise import Model, NetSpec, score, score_sequences
 from gatewise.functions import cell
-from gatewise.operators import score as score_module
 from gatewise.functions.columns import vector
 
 
@@ -76,17 +75,16 @@ def by_hand(m, items):
     return out
 
 
-@pytest.mark.parametrize("arrow_rows, max_run", [(3, 1 << 22), (10_000, 1 << 22), (10_000, 15), (7, 25)])
-def test_sequences_equal_a_plain_loop(spark, monkeypatch, arrow_rows, max_run):
+@pytest.mark.parametrize("arrow_rows, segment", [(3, None), (10_000, None), (10_000, 15), (7, 25), (7, 1000)])
+def test_sequences_equal_a_plain_loop(spark, arrow_rows, segment):
     """One key holds a third of the rows; batches cut keys anywhere; long keys are cut into segments."""
-    monkeypatch.setattr(score_module, "MAX_RUN", max_run)
     m = model()
-    df = rows(spark, 300).withColumn("key", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 17))
+    df = rows(spark, 300).withColumn("key", F.when(F.col("id") % 3 != 0, F.col("id") % 17))
     df = df.withColumn("moves", F.col("id") % 5 != 0).withColumn("name", F.concat(F.lit("k"), "key"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow_rows)
-    scored = score_sequences(df, m, ["key", "name"], ["id"], keep=["id"], advance=F.col("moves"))
+    scored = score_sequences(df, m, ["key", "name"], ["id"], keep=["id"], advance=F.col("moves"), segment=segment)
     got = {r.id: r for r in scored.collect()}
-    last = score_sequences(df, m, ["key", "name"], ["id"], advance=F.col("moves"), emit="last").collect()
+    last = score_sequences(df, m, ["key", "name"], ["id"], advance=F.col("moves"), emit="last", segment=segment).collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert scored.columns == ["key", "name", "id", "t", "hidden", "logits", "prediction"]
     sequences = {}

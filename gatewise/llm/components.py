@@ -9,7 +9,7 @@ from gatewise.llm.scratch import table
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` (least node reachable) of the nodes in ``links(a, b)``.
+    """``node, component`` (least node reachable) of the nodes in ``links(a, b)`` but the least themselves.
 
     Each round hands the larger, then the smaller neighbours of every node to the least node
     around it, until nothing changes; a row is then a node and its component. Rounds aggregate

@@ -5,9 +5,10 @@
 2. Texts with the same set are one class from here on. Bands of the signature make buckets.
 3. Every bucket compares its least member with all others (a star, no pairs within the bucket).
 4. Links are confirmed on full sets, and joined to components.
-5. Buckets that still hold several components compare further members of different components,
-   each with the likeliest few of every other component, four times as many in each round, until
-   no pair of the bucket that could be a link is left untested.
+5. Buckets that still hold several components get the sets of their members. Members of different
+   components whose signatures are alike enough are compared in full where they meet, in the first
+   band they share; of what is linked only what joins two components leaves the task, so a group
+   gives no more rows than it has members. Large buckets are dealt out in pairs of blocks.
 
 Defined results: null or empty texts, and texts without words, have 0 shingles and no links; a
 row without id links with nothing, has no component and is kept; repeated rows are alike and get
@@ -33,7 +34,7 @@ from gatewise.llm.text import Block, blocks, column, distinct, mix, rows_of, shi
 BANDS, WIDTH = 26, 5
 
 #: Signatures that agree in fewer slots than this share aren't verified; 0.8 lies over four deviations above.
-LIKELY = 0.64
+LIKELY = 0.65
 
 #: Members of a bucket compared at once in memory; larger buckets are dealt out in pairs of blocks.
 MEMBERS = 1024
@@ -116,13 +117,21 @@ def sign(docs: DataFrame, size: int = 5, bands: int = BANDS, width: int = WIDTH)
     return docs.mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, keys array<long>, sig binary")
 
 
+def overlap(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` per cent of their union. Empty sets share nothing."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)``, those whose full sets overlap enough. ``texts``: ``id, text``."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    held = table(texts.join(wanted, "id").dropDuplicates(["id", "text"]), "candidate-texts")
-    left = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = held.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    joined = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, np.ndarray] = {}
@@ -139,64 +148,68 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             return out
 
         for batch in batches:
-            step = 16
-            for at in range(0, len(batch), step):
-                piece = batch.slice(at, step)
-                ones = sets(column(piece, "text_b").to_pylist() + column(piece, "text_a").to_pylist())
-                half = len(piece)
-                linked = []
-                for x, y in zip(ones[:half], ones[half:]):
-                    if len(x) > len(y):
-                        x, y = y, x
-                    shared = 0
-                    if len(x):
-                        place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        shared = int((y[place] == x).sum())
-                    linked.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
+            for at in range(0, len(batch), 16):
+                piece = batch.slice(at, 16)
+                both = sets(column(piece, "text_b").to_pylist() + column(piece, "text_a").to_pylist())
+                linked = [overlap(x, y, percent) for x, y in zip(both[: len(piece)], both[len(piece) :])]
                 yield piece.select(["a", "b"]).filter(pa.array(linked))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return table(joined.mapInArrow(run, f"a {kind}, b {kind}").distinct(), "links")
 
 
-def cross_pairs(members: DataFrame, most: int, slots: int, percent: int) -> DataFrame:
-    """Likely links between components within each bucket: ``a, b, more``.
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """``id, elements`` (sorted hashes, as bytes) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(column(batch, "text")):
+                hashes, firsts = shingle_sets(block, size)
+                elements = [hashes[a:b].tobytes() for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(block.start, len(block)), pa.array(elements, pa.binary())], ["id", "elements"])
+
+    return texts.mapInArrow(run, "id long, elements binary")
+
+
+def cross_links(members: DataFrame, bands: int, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between components within each bucket, as many as join them.
 
-    ``members``: ``band, block_i, block_j, block, id, component, n_shingles, sig``. A member gets at
-    most ``most`` partners of each other component, likeliest first; ``more`` tells that some are left.
+    ``members``: ``band, number (of the band), block_i, block_j, block, id, component, n_shingles,
+    sig, elements``.
     """
 
-    def of_group(group: pa.Table) -> tuple[np.ndarray, ...]:
-        get = lambda c: group[c].to_numpy()
-        ids, parts, n, block = get("id"), get("component"), get("n_shingles"), get("block")
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), slots)
+    def of_group(group: pa.Table) -> list[tuple[int, int]]:
+        ids, parts, n, block = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "block"))
+        parts = parts.copy()
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), bands * width)
+        sets = [np.frombuffer(e, np.uint64) for e in group["elements"].to_pylist()]
         i, j = group["block_i"][0].as_py(), group["block_j"][0].as_py()
-        rows = np.flatnonzero(block == i)
-        cols = np.flatnonzero(block == j)
-        out = []
+        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        number, out = group["number"][0].as_py(), []
         for x in rows:
-            ys = cols[(parts[cols] != parts[x]) & ((ids[cols] > ids[x]) | (i != j))]
+            ys = cols[parts[cols] != parts[x]]
+            ys = ys[ys > x] if i == j else ys
             ys = ys[100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])]
             if not len(ys):
                 continue
-            alike = (sig[ys] == sig[x]).sum(1)
-            ys, alike = ys[alike >= LIKELY * slots], alike[alike >= LIKELY * slots]
-            order = np.lexsort((-alike, parts[ys]))
-            ys = ys[order]
-            first = np.ones(len(ys), bool)
-            first[1:] = parts[ys[1:]] != parts[ys[:-1]]
-            place = np.arange(len(ys)) - np.maximum.accumulate(np.where(first, np.arange(len(ys)), 0))
-            chosen = ys[place < most]
-            out.append((np.full(len(chosen), ids[x]), ids[chosen], np.full(len(chosen), len(chosen) < len(ys))))
-        return tuple(map(np.concatenate, zip(*out))) if out else ()
+            same = sig[ys] == sig[x]
+            alike = same.sum(1)
+            shared = same.reshape(len(ys), bands, width).all(2)
+            # A pair that meets in several bands is compared in the first of them.
+            chosen = np.flatnonzero((alike >= LIKELY * bands * width) & (shared.argmax(1) == number))
+            for y in ys[chosen[np.argsort(-alike[chosen], kind="stable")]].tolist():
+                if parts[y] != parts[x] and overlap(sets[x], sets[y], percent):
+                    out.append((int(ids[x]), int(ids[y])))
+                    parts[parts == parts[y]] = parts[x]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in each_group(batches, ["band", "block_i", "block_j"]):
             if found := of_group(group):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b"])
 
     dealt = members.repartition("band", "block_i", "block_j").sortWithinPartitions("band", "block_i", "block_j")
-    return dealt.mapInArrow(run, "a long, b long, more boolean")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_links(signed: DataFrame, texts: DataFrame, size: int, percent: int, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
@@ -208,39 +221,37 @@ def near_links(signed: DataFrame, texts: DataFrame, size: int, percent: int, ban
         .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sig").alias("sig")),
         "classes",
     )
-    members = reps.select("id", "n_shingles", F.explode("keys").alias("band"))
+    members = reps.select("id", "n_shingles", F.posexplode("keys").alias("number", "band"))
     buckets = members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = table(buckets, "buckets")
-    crowded = table(members.join(buckets, "band"), "bucket-members")
+    crowded = table(members.join(buckets.hint("merge"), "band"), "bucket-members")
     sized = reps.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"))
     stars = crowded.where("id <> hub").select(F.col("hub"), F.col("id").alias("b"), F.col("n_shingles").alias("n")).distinct().join(sized, "hub")
     stars = stars.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
     tested = table(_likely(stars.select(F.col("hub").alias("a"), "b").distinct(), reps, slots), "pairs")
-    links = verify(tested, texts, size, percent)
-    found = components(links)
-    most = 4
-    while True:
-        several = crowded.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left")
-        several = several.withColumn("component", F.coalesce("component", "id"))
-        mixed = several.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        several = several.join(mixed, "band").join(reps.select("id", "sig"), "id")
-        several = deal(several, "id", F.ceil(F.col("size") / MEMBERS)).select(
-            "band", "block_i", "block_j", "block", "id", "component", "n_shingles", "sig"
-        )
-        proposed = cross_pairs(several, most, slots, percent)
-        proposed = proposed.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
-        proposed = table(proposed, "pairs")
-        more = proposed.where("more").limit(1).count()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = table(proposed.select("a", "b").join(known, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty() and not more:
-            return found
-        tested = tested.select("a", "b").unionByName(new)
-        links = links.unionByName(verify(new, texts, size, percent))
-        found = components(links)
-        if not more:
-            return found
-        most *= 4
+    # Texts move once, here; what follows reads those of buckets only.
+    wanted = crowded.select("id").distinct()
+    held = table(texts.join(wanted.hint("merge"), "id"), "candidate-texts")
+    found = components(verify(tested, held, size, percent))
+
+    several = crowded.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left")
+    several = table(several.withColumn("component", F.coalesce("component", "id")), "labelled-members")
+    mixed = several.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    several = several.join(mixed, "band")
+    sets = _sets(held.join(several.select("id").distinct(), "id", "left_semi"), size)
+    several = several.join(reps.select("id", "sig"), "id").join(sets, "id")
+    several = deal(several, "id", F.ceil(F.col("size") / MEMBERS))
+    more = cross_links(several.select("band", "number", "block_i", "block_j", "block", "id", "component", "n_shingles", "sig", "elements"), bands, width, percent)
+    return merged(found, table(more, "cross-links"))
+
+
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after ``more`` links ``a, b``: the few components they join are joined, and their members follow."""
+    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    between = more.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    joined = components(between.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    moved = found.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return moved.unionByName(joined.select(F.col("component").alias("node"), F.col("least").alias("component")))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, slots: int) -> DataFrame:

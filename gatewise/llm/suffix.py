@@ -38,7 +38,7 @@ from gatewise.llm.text import Block, Hashes, blocks, column, mix, runs
 #: Bytes of an anchor. Shorter ones make fewer segments, longer ones are seldom alike by chance.
 ANCHOR = 72
 
-#: Bytes of segments per suffix array, and different segments of an anchor before it is split.
+#: Bytes of segments per suffix array, and different segments of an anchor; one with more of either is split.
 ARRAY_BYTES, SEGMENTS = 2 << 20, 8192
 
 #: Windows per part when an anchor with too many segments is split, first and at last.
@@ -75,14 +75,25 @@ def window_runs(block: Block, length: int, k: int) -> dict[str, np.ndarray]:
 
 
 def segments(block: Block, length: int, k: int) -> dict[str, np.ndarray]:
-    """:func:`window_runs` with neighbours of equal anchor bytes joined (periodic text); ``anchors`` counts them."""
+    """:func:`window_runs` with neighbours of equal anchor bytes joined; ``anchors`` counts them.
+
+    A joined run of ``full`` windows that repeats with a period, at least twice, has all its windows
+    in the first period: ``n`` is then the period. Otherwise ``n`` is ``full``.
+    """
     found = window_runs(block, length, k)
     h, row = found["h"], found["row"]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
-    n = np.add.reduceat(found["n"], first) if len(first) else found["n"]
-    return {"start": found["start"][first], "n": n, "h": h[first], "row": row[first], "anchors": np.diff(np.append(first, len(h)))}
+    full = np.add.reduceat(found["n"], first) if len(first) else found["n"]
+    anchors = np.diff(np.append(first, len(h)))
+    n, start = full.copy(), found["start"][first]
+    for at in np.flatnonzero(anchors > 1):
+        period = int(found["anchor"][first[at] + 1] - found["anchor"][first[at]])
+        some = block.data[start[at] : start[at] + full[at] + length - 1]
+        if full[at] >= 2 * period and np.array_equal(some[period:], some[:-period]):
+            n[at] = period
+    return {"start": start, "n": n, "full": full, "h": h[first], "row": row[first], "anchors": anchors}
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,12 +220,13 @@ def _all_segments(rows: DataFrame, length: int, k: int) -> DataFrame:
                         column(batch, "t").take(pa.array(got["row"] + block.start)),
                         pa.array((got["start"] - block.offsets[got["row"]]).astype(np.int32)),
                         pa.array(got["n"].astype(np.int32)),
+                        pa.array(got["full"].astype(np.int32)),
                         pa.array(got["anchors"] > 1),
                     ],
-                    ["h", "t", "start", "n", "periodic"],
+                    ["h", "t", "start", "n", "full", "folded"],
                 )
 
-    return rows.select("t", "text").mapInArrow(run, "h long, t binary, start int, n int, periodic boolean")
+    return rows.select("t", "text").mapInArrow(run, "h long, t binary, start int, n int, full int, folded boolean")
 
 
 def _repeated_anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
@@ -241,12 +253,12 @@ def _snippets(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 pieces = [text[a:b] for a, b in zip(start.tolist(), (start + n + length - 1).tolist())]
                 names = [xxhash.xxh3_128_digest(p) for p in pieces]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(names, pa.binary()), pa.array([t] * len(h), pa.binary()), pa.array(start), pa.array(n), found.field("periodic"), pa.array(pieces, pa.binary())],
-                    ["h", "c", "t", "start", "n", "periodic", "bytes"],
+                    [pa.array(h), pa.array(names, pa.binary()), pa.array([t] * len(h), pa.binary()), pa.array(start), pa.array(n), found.field("full"), found.field("folded"), pa.array(pieces, pa.binary())],
+                    ["h", "c", "t", "start", "n", "full", "folded", "bytes"],
                 )
 
     joined = rows.select("t", "text").dropDuplicates(["t"]).join(wanted, "t")
-    return joined.select("t", "text", "segments").mapInArrow(run, "h long, c binary, t binary, start int, n int, periodic boolean, bytes binary")
+    return joined.select("t", "text", "segments").mapInArrow(run, "h long, c binary, t binary, start int, n int, full int, folded boolean, bytes binary")
 
 
 def _repeats(segs: DataFrame, length: int) -> DataFrame:
@@ -325,19 +337,21 @@ def repeat_groups(docs: DataFrame, length: int = 200, id_col: str = "doc_id", te
 def _repeat_groups(rows: DataFrame, length: int) -> DataFrame:
     k = min(ANCHOR, length)
     anchors = table(_repeated_anchors(rows, length, k), "anchors")
-    wanted = _all_segments(rows, length, k).join(anchors, "h").groupBy("t").agg(F.collect_set(F.struct("h", "start", "n", "periodic")).alias("segments"))
+    wanted = _all_segments(rows, length, k).join(anchors, "h").groupBy("t").agg(F.collect_set(F.struct("h", "start", "n", "full", "folded")).alias("segments"))
     snippets = table(_snippets(rows, wanted, length), "snippets")
-    alike = snippets.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("periodic").alias("periodic"))
+    alike = snippets.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.max("folded").alias("folded"))
     alike = table(alike, "segments")
     whole = alike.where("copies > 1").select(F.col("c").alias("repeat"), (F.col("n") + length - 1).alias("size"), "c", F.lit(0).alias("at"))
 
-    differing = alike.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max("periodic").alias("periodic"))
-    differing = differing.where("kinds > 1 OR periodic").select("h", "kinds")
-    segs = snippets.join(differing, "h").select("h", "c", F.lit(0).alias("at"), "n", "bytes", "kinds").dropDuplicates(["h", "c"])
+    mass = F.sum(F.col("n") + length - 1).alias("mass")
+    differing = alike.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), mass, F.max("folded").alias("folded"))
+    differing = differing.where("kinds > 1 OR folded").select("h", "kinds", "mass")
+    segs = snippets.join(differing, "h").select("h", "c", F.lit(0).alias("at"), "n", "bytes", "kinds", "mass").dropDuplicates(["h", "c"])
     segs = table(segs, "different")
-    found = [whole, _repeats(segs.where(F.col("kinds") <= SEGMENTS), length)]
+    fits = (F.col("kinds") <= SEGMENTS) & (F.col("mass") <= ARRAY_BYTES)
+    found = [whole, _repeats(segs.where(fits), length)]
     for width in WIDTHS:
-        crowded = segs.where(F.col("kinds") > SEGMENTS)
+        crowded = segs.where(~fits)
         if crowded.isEmpty():
             break
         parts = table(_split(crowded.select("c", "at", "n", "bytes").repartition(crowded.sparkSession.sparkContext.defaultParallelism * 4), length, k, width), "parts")
@@ -347,16 +361,17 @@ def _repeat_groups(rows: DataFrame, length: int) -> DataFrame:
         digest = F.unhex(F.md5("bytes"))
         again = parts.join(same.where("copies > 1").select("h", "bytes"), ["h", "bytes"])
         found.append(again.select(digest.alias("repeat"), (F.col("n") + length - 1).alias("size"), "c", "at"))
-        kinds = same.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        segs = table(same.join(kinds, "h").select("h", "one.c", "one.at", "n", "bytes", "kinds"), "different")
-        last = width == WIDTHS[-1]
-        found.append(_repeats_of_parts(parts, segs if last else segs.where(F.col("kinds") <= SEGMENTS), length))
+        kinds = same.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), mass).where("kinds > 1")
+        segs = table(same.join(kinds, "h").select("h", "one.c", "one.at", "n", "bytes", "kinds", "mass"), "different")
+        found.append(_repeats_of_parts(parts, segs if width == WIDTHS[-1] else segs.where(fits), length))
     repeats = found[0]
     for more in found[1:]:
         repeats = repeats.unionByName(more)
-    return repeats.join(snippets.select("c", "t", F.col("start").alias("from")), "c").select(
+    repeats = repeats.join(snippets.select("c", "t", F.col("start").alias("from")), "c").select(
         "repeat", "size", "t", (F.col("from") + F.col("at")).alias("start")
     )
+    periodic = snippets.where("full > n").select(F.col("c").alias("repeat"), (F.col("full") + length - 1).alias("size"), "t", "start")
+    return repeats.unionByName(periodic)
 
 
 def _repeats_of_parts(parts: DataFrame, segs: DataFrame, length: int) -> DataFrame:

@@ -39,7 +39,7 @@ from gatewise.llm.text import Block, Hashes, blocks, column, mix, runs
 ANCHOR = 72
 
 #: Bytes of segments per suffix array, and different segments of an anchor; one with more of either is split.
-ARRAY_BYTES, SEGMENTS = 2 << 20, 8192
+ARRAY_BYTES, SEGMENTS = 1 << 20, 8192
 
 #: Windows per part when an anchor with too many segments is split, first and at last.
 WIDTHS = (16, 1)
@@ -103,19 +103,20 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     prefixes of 1, 2, 4 .. symbols are kept, so that lengths are read off them.
     """
     n = len(symbols)
-    levels = [np.append(np.unique(symbols, return_inverse=True)[1].astype(np.int32) + 1, np.zeros(1, np.int32))]
-    reach = 1
+    one = np.append(symbols, 0).astype(np.int32)
+    two = one << 9  # symbols are below 512, so pairs of them are ranks as they are
+    two[:-1] += one[1:]
+    levels, reach = [one, two], 2
     while True:
         rank = levels[-1]
-        behind = np.zeros(n, np.uint64)
-        behind[: n - reach] = rank[reach:n]
-        key = (rank[:n].astype(np.uint64) << np.uint64(32)) | behind
-        order = np.argsort(key, kind="stable")
-        done = reach * 2 >= depth
+        key = rank[:n].astype(np.uint64) << np.uint64(32)
+        key[: max(0, n - reach)] |= rank[reach:n].astype(np.uint64)
+        order = np.argsort(key)
         key = key[order]
-        new = np.ones(n, np.int32)
+        new = np.ones(n, bool)
         new[1:] = key[1:] != key[:-1]
-        if done or new.all():
+        del key
+        if reach * 2 >= depth or new.all():
             break
         rank = np.zeros(n + 1, np.int32)
         rank[order] = np.cumsum(new, dtype=np.int32)
@@ -154,7 +155,7 @@ def maximal_repeats(texts: list[bytes], windows: np.ndarray, length: int) -> lis
     kept = np.flatnonzero(starts)
     if not len(kept):
         return []
-    common = np.minimum.reduceat(common, np.concatenate([[0], kept[:-1] + 1]))[: len(kept)]
+    common = np.minimum.reduceat(common[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1]))
     order, text, place = order[kept], text[kept], place[kept]
     common[0] = 0
     left = np.where(place > 0, symbols[order - 1], -1 - np.arange(len(order)))

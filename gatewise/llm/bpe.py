@@ -26,7 +26,7 @@ from gatewise.llm.text import column
 from gatewise.sources.store import broadcast
 
 #: Bytes of words given to one recursive query, and words remembered by a worker (memory only).
-QUERY_BYTES, REMEMBERED = 1 << 18, 600_000
+QUERY_BYTES, REMEMBERED = 1 << 18, 500_000
 
 #: Bytes of text whose words are collected before the new ones are encoded.
 TEXT_BYTES = 4 << 20
@@ -112,6 +112,13 @@ class Coder:
 _coders: dict[tuple, Coder] = {}
 
 
+def coder(key: tuple[str, str], vocabulary: bytes) -> Coder:
+    """The worker's own, which it keeps for its next tasks."""
+    if key not in _coders:
+        _coders[key] = Coder(vocabulary, key[1])
+    return _coders[key]
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, ids (decimal, joined by commas), n_tokens, decoded (bytes)`` of each row.
 
@@ -139,10 +146,9 @@ def _coded(docs, vocabulary, pattern, id_col, text_col, fields, made) -> DataFra
     names = [field.split()[0] for field in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _coders:
-            _coders[key] = Coder(sent.value, pattern)
+        own = coder(key, sent.value)
         for ids, texts in _pieces(batches):
-            columns = zip(*[made(got) for got in _coders[key].texts(texts)])
+            columns = zip(*[made(got) for got in own.texts(texts)])
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], ["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -32,6 +32,14 @@ LARGE = 1 / 3
 _encoders: dict[tuple, tiktoken.Encoding] = {}
 
 
+def encoder(key: tuple[str, str], vocabulary: bytes) -> tiktoken.Encoding:
+    """The worker's own, which it keeps for its next tasks."""
+    if key not in _encoders:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _encoders[key] = tiktoken.Encoding("ranks", pat_str=key[1], mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
+
+
 def token_pieces(
     docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -47,10 +55,7 @@ def token_pieces(
     key = (vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _encoders:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
-            _encoders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        encode = _encoders[key].encode_ordinary
+        encode = encoder(key, sent.value).encode_ordinary
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:

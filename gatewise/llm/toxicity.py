@@ -148,8 +148,10 @@ def disguised(block: Block, starts: np.ndarray, ends: np.ndarray, firsts: np.nda
     letter, sign, joint = kind == 1, kind == 2, kind == 3
     joins = np.zeros(len(kind), bool)
     joins[1:-1] = joint[1:-1] & letter[:-2] & letter[2:]
+    # Behind a letter ! and | are punctuation more often than letters; before one they aren't.
+    soft = (block.data == 33) | (block.data == 124)
     between = np.zeros(len(kind), bool)
-    between[1:] = sign[1:] & letter[:-1]
+    between[1:] = sign[1:] & letter[:-1] & ~soft[1:]
     between[:-1] |= sign[:-1] & letter[1:]
     triple = np.zeros(len(kind), bool)
     low = lower(block.data)
@@ -159,11 +161,8 @@ def disguised(block: Block, starts: np.ndarray, ends: np.ndarray, firsts: np.nda
         sums = np.concatenate([[0], np.cumsum(mask)])
         return sums[ends] - sums[starts]
 
-    # A sign at the very end is punctuation more often than a letter, unless it is a digit or $.
     letters, size = per_word(letter), ends - starts
-    tail = (block.data[ends - 1] == 33) | (block.data[ends - 1] == 124)
-    odd = per_word(between) - (tail & between[ends - 1]) > 0
-    odd &= letters > 0
+    odd = (per_word(between) > 0) & (letters > 0)
     odd |= (per_word(joins) >= 2) & (2 * per_word(joins) + 1 >= letters)
     odd |= per_word(triple) > 0
     odd &= size <= 64

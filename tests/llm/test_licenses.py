@@ -64,7 +64,8 @@ def test_cosines_equal_dense_vectors():
 
 
 def test_hard_rows(spark):
-    df = hard(spark).withColumn("path", hard(spark)["doc_id"].cast("string"))
+    df = hard(spark)
+    df = df.withColumn("path", df["doc_id"].cast("string"))
     got = licenses.license_scan(df)
     assert got.count() == df.count() and got.where("how <> 'none'").count() == 0
     assert licenses.license_scan(df.limit(0)).count() == 0

@@ -38,6 +38,9 @@ from gatewise.llm.text import Block, Hashes, blocks, column, mix, runs
 #: Bytes of an anchor. Shorter ones make fewer segments, longer ones are seldom alike by chance.
 ANCHOR = 72
 
+#: Bytes of texts whose windows are taken at once.
+TEXT_BYTES = 1 << 20
+
 #: Bytes of segments per suffix array, and different segments of an anchor; one with more of either is split.
 ARRAY_BYTES, SEGMENTS = 1 << 20, 8192
 
@@ -137,9 +140,36 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
 def maximal_repeats(texts: list[bytes], windows: np.ndarray, length: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Maximal repeats of at least ``length`` bytes that start in the first ``windows[i]`` places of text i.
 
-    Each is ``(bytes, texts, places)`` with all occurrences. A scan with a stack meets the nodes of
-    the prefix interval tree from the leaves up; a node is kept if the bytes left of its occurrences
-    differ, or one of them begins its text.
+    Each is ``(bytes, texts, places)`` with all occurrences.
+    """
+    text, place, nodes = repeat_nodes(texts, windows, length)
+    return [(size, text[a:b], place[a:b]) for size, a, b in nodes]
+
+
+def covered(texts: list[bytes], windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the maximal repeats cover: ``text, begin, end`` of spans that neither overlap nor touch."""
+    text, place, nodes = repeat_nodes(texts, windows, length)
+    longest = np.zeros(len(text), np.int64)
+    for size, a, b in nodes:
+        np.maximum(longest[a:b], size, out=longest[a:b])
+    some = longest > 0
+    text, begin, end = text[some], place[some], (place + longest)[some]
+    order = np.lexsort((begin, text))
+    far = 1 << 40  # texts side by side, too far apart to touch
+    text, begin, end = text[order], (begin + text * far)[order], (end + text * far)[order]
+    reach = np.maximum.accumulate(end) if len(end) else end
+    new = np.ones(len(text), bool)
+    new[1:] = begin[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(text)) - 1
+    return text[first], begin[first] - text[first] * far, reach[last] - text[first] * far
+
+
+def repeat_nodes(texts: list[bytes], windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Sorted suffixes (``text, place``) and the maximal repeats among them: ``(bytes, first, last)``, the last exclusive.
+
+    A scan with a stack meets the nodes of the prefix interval tree from the leaves up; a node is
+    kept if the bytes left of its occurrences differ, or one of them begins its text.
     """
     sizes = np.array([len(t) for t in texts])
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
@@ -154,7 +184,7 @@ def maximal_repeats(texts: list[bytes], windows: np.ndarray, length: int) -> lis
     # Only starts of windows; the length shared over those left out is the least in between.
     kept = np.flatnonzero(starts)
     if not len(kept):
-        return []
+        return text[:0], place[:0], []
     common = np.minimum.reduceat(common[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1]))
     order, text, place = order[kept], text[kept], place[kept]
     common[0] = 0
@@ -178,8 +208,7 @@ def maximal_repeats(texts: list[bytes], windows: np.ndarray, length: int) -> lis
                 top = stack.pop()
                 top[3] = top[3] or node[3] or top[2] != node[2]
                 if top[3]:
-                    some = slice(begin + top[1], begin + i)
-                    out.append((top[0], text[some], place[some]))
+                    out.append((top[0], begin + top[1], begin + i))
                 node = [now, top[1], top[2], top[3]]
             if now < length:
                 continue
@@ -187,7 +216,7 @@ def maximal_repeats(texts: list[bytes], windows: np.ndarray, length: int) -> lis
                 stack[-1][3] = stack[-1][3] or node[3] or stack[-1][2] != node[2]
             else:
                 stack.append(node)
-    return out
+    return text, place, out
 
 
 def split_runs(snippet: bytes, n: int, length: int, k: int, width: int) -> Iterator[tuple[int, int, int]]:
@@ -213,7 +242,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _all_segments(rows: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(column(batch, "text")):
+            for block in blocks(column(batch, "text"), TEXT_BYTES):
                 got = segments(block, length, k)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -233,7 +262,7 @@ def _all_segments(rows: DataFrame, length: int, k: int) -> DataFrame:
 def _repeated_anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(column(batch, "text")):
+            for block in blocks(column(batch, "text"), TEXT_BYTES):
                 got = segments(block, length, k)
                 h, at = np.unique(got["h"], return_inverse=True)
                 n = np.bincount(at, got["anchors"], len(h)).astype(np.int32)
@@ -262,8 +291,12 @@ def _snippets(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.select("t", "text", "segments").mapInArrow(run, "h long, c binary, t binary, start int, n int, full int, folded boolean, bytes binary")
 
 
-def _repeats(segs: DataFrame, length: int) -> DataFrame:
-    """Maximal repeats among segments ``h, c, at, n, bytes`` of the same ``h``: ``repeat, size, c, at``."""
+def _repeats(segs: DataFrame, length: int, groups_too: bool) -> DataFrame:
+    """Maximal repeats among segments ``h, c, at, n, bytes`` of the same ``h``: ``repeat, size, c, at``.
+
+    Repeats lie within repeats, so all groups together may have many more occurrences than the texts
+    have bytes; unless they are wanted, only the spans they cover are given, without ``repeat``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []
@@ -290,6 +323,14 @@ def _repeats(segs: DataFrame, length: int) -> DataFrame:
     def array(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         texts, names = rows["bytes"].to_pylist(), rows["c"].to_pylist()
         offset = rows["at"].to_numpy()
+        if not groups_too:
+            text, begin, end = covered(texts, rows["n"].to_numpy(), length)
+            own = pa.array([names[x] for x in text], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(text), pa.binary()), pa.array((end - begin).astype(np.int32)), own, pa.array((begin + offset[text]).astype(np.int32))],
+                ["repeat", "size", "c", "at"],
+            )
+            return
         ids, sizes, own, places = [], [], [], []
         for size, text, place in maximal_repeats(texts, rows["n"].to_numpy(), length):
             first = texts[text[0]][place[0] : place[0] + size]
@@ -332,10 +373,10 @@ def repeat_groups(docs: DataFrame, length: int = 200, id_col: str = "doc_id", te
     times are not listed again for each copy.
     """
     workers(docs.sparkSession)
-    return _repeat_groups(_texts(docs, id_col, text_col), length)
+    return _repeat_groups(_texts(docs, id_col, text_col), length, True)
 
 
-def _repeat_groups(rows: DataFrame, length: int) -> DataFrame:
+def _repeat_groups(rows: DataFrame, length: int, groups_too: bool) -> DataFrame:
     k = min(ANCHOR, length)
     anchors = table(_repeated_anchors(rows, length, k), "anchors")
     wanted = _all_segments(rows, length, k).join(anchors, "h").groupBy("t").agg(F.collect_set(F.struct("h", "start", "n", "full", "folded")).alias("segments"))
@@ -350,7 +391,7 @@ def _repeat_groups(rows: DataFrame, length: int) -> DataFrame:
     segs = snippets.join(differing, "h").select("h", "c", F.lit(0).alias("at"), "n", "bytes", "kinds", "mass").dropDuplicates(["h", "c"])
     segs = table(segs, "different")
     fits = (F.col("kinds") <= SEGMENTS) & (F.col("mass") <= ARRAY_BYTES)
-    found = [whole, _repeats(segs.where(fits), length)]
+    found = [whole, _repeats(segs.where(fits), length, groups_too)]
     for width in WIDTHS:
         crowded = segs.where(~fits)
         if crowded.isEmpty():
@@ -364,7 +405,7 @@ def _repeat_groups(rows: DataFrame, length: int) -> DataFrame:
         found.append(again.select(digest.alias("repeat"), (F.col("n") + length - 1).alias("size"), "c", "at"))
         kinds = same.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), mass).where("kinds > 1")
         segs = table(same.join(kinds, "h").select("h", "one.c", "one.at", "n", "bytes", "kinds", "mass"), "different")
-        found.append(_repeats_of_parts(parts, segs if width == WIDTHS[-1] else segs.where(fits), length))
+        found.append(_repeats_of_parts(parts, segs if width == WIDTHS[-1] else segs.where(fits), length, groups_too))
     repeats = found[0]
     for more in found[1:]:
         repeats = repeats.unionByName(more)
@@ -375,9 +416,9 @@ def _repeat_groups(rows: DataFrame, length: int) -> DataFrame:
     return repeats.unionByName(periodic)
 
 
-def _repeats_of_parts(parts: DataFrame, segs: DataFrame, length: int) -> DataFrame:
+def _repeats_of_parts(parts: DataFrame, segs: DataFrame, length: int, groups_too: bool) -> DataFrame:
     """Repeats among different parts, for every part that has the bytes of the one that stands for it."""
-    one = _repeats(segs, length).withColumnsRenamed({"c": "one_c", "at": "found_at"})
+    one = _repeats(segs, length, groups_too).withColumnsRenamed({"c": "one_c", "at": "found_at"})
     stands = segs.select("h", "bytes", F.col("c").alias("one_c"), F.col("at").alias("one_at"), "n")
     within = (F.col("found_at") >= F.col("one_at")) & (F.col("found_at") < F.col("one_at") + F.col("n"))
     one = one.join(stands, "one_c").where(within).select("repeat", "size", "h", "bytes", (F.col("found_at") - F.col("one_at")).alias("add"))
@@ -388,7 +429,7 @@ def spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
     """Texts by MD5 ``t`` with ``pieces``, the unordered ``(start, size)`` of their repeats, and their ``copies``."""
     workers(docs.sparkSession)
     rows = _texts(docs, id_col, text_col)
-    pieces = _repeat_groups(rows, length).groupBy("t").agg(F.collect_set(F.struct("start", "size")).alias("pieces"))
+    pieces = _repeat_groups(rows, length, False).groupBy("t").agg(F.collect_set(F.struct("start", "size")).alias("pieces"))
     copies = rows.groupBy("t").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return table(pieces.join(copies, "t", "full"), "spans")
 

@@ -154,10 +154,12 @@ def covered(texts: list[bytes], windows: np.ndarray, length: int) -> tuple[np.nd
         np.maximum(longest[a:b], size, out=longest[a:b])
     some = longest > 0
     text, begin, end = text[some], place[some], (place + longest)[some]
+    if not len(text):
+        return text, begin, end
     order = np.lexsort((begin, text))
     far = 1 << 40  # texts side by side, too far apart to touch
     text, begin, end = text[order], (begin + text * far)[order], (end + text * far)[order]
-    reach = np.maximum.accumulate(end) if len(end) else end
+    reach = np.maximum.accumulate(end)
     new = np.ones(len(text), bool)
     new[1:] = begin[1:] > reach[:-1]
     first = np.flatnonzero(new)

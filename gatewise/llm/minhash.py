@@ -175,13 +175,14 @@ def cross_links(members: DataFrame, bands: int, width: int, percent: int) -> Dat
     """Links ``a, b`` between components within each bucket, as many as join them.
 
     ``members``: ``band, number (of the band), block_i, block_j, block, id, component, n_shingles,
-    sig, elements``.
+    sig, keys (of all bands), elements``.
     """
 
     def of_group(group: pa.Table) -> list[tuple[int, int]]:
         ids, parts, n, block = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "block"))
         parts = parts.copy()
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), bands * width)
+        keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), bands)
         sets = [np.frombuffer(e, np.uint64) for e in group["elements"].to_pylist()]
         i, j = group["block_i"][0].as_py(), group["block_j"][0].as_py()
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -192,11 +193,9 @@ def cross_links(members: DataFrame, bands: int, width: int, percent: int) -> Dat
             ys = ys[100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])]
             if not len(ys):
                 continue
-            same = sig[ys] == sig[x]
-            alike = same.sum(1)
-            shared = same.reshape(len(ys), bands, width).all(2)
-            # A pair that meets in several bands is compared in the first of them.
-            chosen = np.flatnonzero((alike >= LIKELY * bands * width) & (shared.argmax(1) == number))
+            alike = (sig[ys] == sig[x]).sum(1)
+            # A pair that meets in several bands is compared in the first of them, told by the keys it meets by.
+            chosen = np.flatnonzero((alike >= LIKELY * bands * width) & ((keys[ys] == keys[x]).argmax(1) == number))
             for y in ys[chosen[np.argsort(-alike[chosen], kind="stable")]].tolist():
                 if parts[y] != parts[x] and overlap(sets[x], sets[y], percent):
                     out.append((int(ids[x]), int(ids[y])))
@@ -238,9 +237,9 @@ def near_links(signed: DataFrame, texts: DataFrame, size: int, percent: int, ban
     mixed = several.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     several = several.join(mixed, "band")
     sets = _sets(held.join(several.select("id").distinct(), "id", "left_semi"), size)
-    several = several.join(reps.select("id", "sig"), "id").join(sets, "id")
+    several = several.join(reps.select("id", "sig", "keys"), "id").join(sets, "id")
     several = deal(several, "id", F.ceil(F.col("size") / MEMBERS))
-    more = cross_links(several.select("band", "number", "block_i", "block_j", "block", "id", "component", "n_shingles", "sig", "elements"), bands, width, percent)
+    more = cross_links(several.select("band", "number", "block_i", "block_j", "block", "id", "component", "n_shingles", "sig", "keys", "elements"), bands, width, percent)
     return merged(found, table(more, "cross-links"))
 
 

@@ -76,6 +76,15 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_dedup(df).collect()} == want
 
 
+def test_bands_alike_by_their_bytes_only_are_not_where_a_pair_meets(spark):
+    """Slots differ in the first band but not in the byte kept of each: the pair meets in the second band and is linked there."""
+    elements = np.arange(40, dtype=np.uint64).tobytes()
+    rows = [(7, 1, 0, 0, 0, k, k, 40, bytes(10), [k, 7], elements) for k in (3, 5)]
+    kind = "band long, number int, block_i int, block_j int, block int, id long, component long, n_shingles long, sig binary, keys array<long>, elements binary"
+    links = minhash.cross_links(spark.createDataFrame(rows, kind), 2, 5, 80).collect()
+    assert [tuple(sorted(r)) for r in links] == [(3, 5)]
+
+
 def test_signatures_follow_the_walks_element_by_element():
     """The same permutations and values, one element after the other, with early stopping."""
     r = np.random.default_rng(5)

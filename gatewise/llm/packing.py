@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,22 @@ LARGE = 1 / 3
 _encoders: dict[tuple, tiktoken.Encoding] = {}
 
 
-def encoder(key: tuple[str, str], vocabulary: bytes) -> tiktoken.Encoding:
-    """The worker's own, which it keeps for its next tasks."""
+def added_tokens(vocabulary: str) -> tuple[tuple[str, int], ...]:
+    """Strings that the tokenizer in the JSON file of the same name takes as one token wherever they stand, and their ids."""
+    path = Path(vocabulary).with_suffix(".json")
+    if not path.exists():
+        return ()
+    added = json.loads(path.read_text("utf-8"))["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens that reach beyond their string in {path}")
+    return tuple((t["content"], t["id"]) for t in added)
+
+
+def encoder(key: tuple[str, str, tuple[tuple[str, int], ...]], vocabulary: bytes) -> tiktoken.Encoding:
+    """The worker's own, which it keeps for its next tasks. ``key``: vocabulary, pattern and added tokens."""
     if key not in _encoders:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        _encoders[key] = tiktoken.Encoding("ranks", pat_str=key[1], mergeable_ranks=ranks, special_tokens={})
+        _encoders[key] = tiktoken.Encoding("ranks", pat_str=key[1], mergeable_ranks=ranks, special_tokens=dict(key[2]))
     return _encoders[key]
 
 
@@ -45,6 +58,7 @@ def token_pieces(
 ) -> DataFrame:
     """Tokens of each text and ``end_id``, cut into pieces of ``capacity``, of which the first may be shorter.
 
+    A text is cut at the strings of :func:`added_tokens`, which give their own ids; the rest is encoded part by part.
     ``id, piece, start, length, ids_crc32`` and, for the plan, the task ``part`` and the piece's
     number ``nth`` among those of its length there. Written once.
     """
@@ -52,16 +66,16 @@ def token_pieces(
     workers(spark)
     with open(vocabulary, "rb") as f:
         sent = broadcast(spark, f.read())
-    key = (vocabulary, pattern)
+    key = (vocabulary, pattern, added_tokens(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(key, sent.value).encode_ordinary
+        encode = encoder(key, sent.value).encode
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             took, rows = [], []
             for at, text in enumerate(column(batch, "text").to_pylist()):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+                ids = np.array([*encode(text or "", allowed_special="all"), end_id], "<u4")
                 cut = (len(ids) - 1) % capacity + 1
                 for piece, to in enumerate(range(cut, len(ids) + 1, capacity)):
                     start = max(0, to - capacity) if piece else 0

@@ -108,5 +108,19 @@ def test_tokens_are_those_of_the_other_library():
         assert plain.encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_are_matched_whole(spark):
+    """Against the tokenizer as it is, which takes the strings of its added tokens as tokens."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(2)
+    alphabet = [*"ab Z'.\n\t0 ", "  ", "é", "日", "'ll", "<|endoftext|>", "<|endoftext|", "|>", "<", "\r\n", "\x85"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "a  <|endoftext|>  b"]
+    texts += ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.id: (r.length, r.ids_crc32) for r in packing.token_pieces(df, PATH, public_tokenizers.PATTERN).collect()}
+    for k, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes())), repr(text)
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0

@@ -3,7 +3,8 @@
 1. A character trigram model is counted over all texts.
 2. Words that look disguised (digits or signs for letters, letters spaced out or joined by signs,
    letters repeated three times or more) become character lattices; Viterbi decoding under the
-   trigram model and a channel model picks the letters meant. All other words are as they are.
+   trigram model and a channel model picks the letters meant, and where in a spaced-out run one
+   word ends and the next begins. All other words are as they are.
 3. Words and word beginnings that labelled toxic texts hold much more often than others, restored
    words included, make a lexicon; a logistic regression on a text's lexicon words gives its score.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -106,38 +108,53 @@ class Channel:
         self.known: dict[str, str] = {}
 
     def restore(self, word: str) -> str:
-        """The likeliest letters of a word; signs at its ends that stand for nothing go."""
+        """The likeliest letters of a word, or words of a spaced-out run; signs at its ends that stand for nothing go."""
+        if len(word) > 64:
+            return self._decode(word.lower())  # not kept: long words seldom come again
         if word not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = self._decode(word.lower())
         return self.known[word]
 
+    def words(self, word: str) -> list[str]:
+        """What :meth:`restore` finds, and every two neighbours as one, as trigrams may see a short word inside a longer one."""
+        found = self.restore(word).split()
+        return found + [a + b for a, b in pairwise(found)]
+
     def _decode(self, word: str) -> str:
         log = self.log
         # The lattice: at each character the letters it may stand for, "" for none, with their channel cost.
-        best = {(0, 0): (0.0, "")}
+        # A path is its last letter and the path before, so that a step costs the same however long the word.
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
-        for c in word[:200]:
+        for c in word:
             if c in LEET:
                 options = [(x, -0.2) for x in LEET[c]] + [("", -5.0)]
             elif c.isalpha():
                 options = [(c, 0.0)] + ([("", -0.3)] if c == before else [])
+            elif c.isspace():
+                options = [("", -0.1), (" ", -0.1)]
             else:
-                options = [("", -0.1 if c in JOINTS or c.isspace() else -1.0)]
-            now: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
+                options = [("", -0.1 if c in JOINTS else -1.0)]
+            now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in best.items():
                 for x, channel in options:
                     if x:
-                        s = 2 + ALPHABET.index(x) if x in ALPHABET else 1
-                        key, value = (b, s), (cost + channel + log[a][b][s], text + x)
+                        s = 0 if x == " " else 2 + ALPHABET.index(x) if x in ALPHABET else 1
+                        key, value = (b, s), (cost + channel + log[a][b][s], (x, path))
                     else:
-                        key, value = (a, b), (cost + channel, text)
+                        key, value = (a, b), (cost + channel, path)
                     if key not in now or value[0] > now[key][0]:
                         now[key] = value
             best = now
             before = c
-        return max(best.items(), key=lambda kv: (kv[1][0] + log[kv[0][0]][kv[0][1]][0], kv[1][1]))[1][1] + word[200:]
+        path = max(best.items(), key=lambda kv: (kv[1][0] + log[kv[0][0]][kv[0][1]][0], kv[0]))[1][1]
+        letters = []
+        while path:
+            letters.append(path[0])
+            path = path[1]
+        return "".join(reversed(letters))
 
 
 def disguised(block: Block, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int]]:
@@ -153,19 +170,23 @@ def disguised(block: Block, starts: np.ndarray, ends: np.ndarray, firsts: np.nda
     between = np.zeros(len(kind), bool)
     between[1:] = sign[1:] & letter[:-1] & ~soft[1:]
     between[:-1] |= sign[:-1] & letter[1:]
+    # Letters are counted and compared by code point, not by byte.
+    head = (block.data & 0xC0) != 0x80
+    at = np.flatnonzero(head)
+    code = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+    code[((code >= 65) & (code <= 90)) | ((code >= 0xC0) & (code <= 0xDE) & (code != 0xD7))] += 32
+    alpha = letter[at] & ((code < 128) | ((code >= 0xC0) & (code != 0xD7) & (code != 0xF7) & ((code < 0x2000) | (code > 0x2BFF))))
     triple = np.zeros(len(kind), bool)
-    low = lower(block.data)
-    triple[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] < 128)
+    triple[at[2:]] = alpha[2:] & (code[2:] == code[1:-1]) & (code[1:-1] == code[:-2])
 
     def per_word(mask: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(mask)])
         return sums[ends] - sums[starts]
 
-    letters, size = per_word(letter), ends - starts
+    letters, size = per_word(letter & head), per_word(head)
     odd = (per_word(between) > 0) & (letters > 0)
     odd |= (per_word(joins) >= 2) & (2 * per_word(joins) + 1 >= letters)
     odd |= per_word(triple) > 0
-    odd &= size <= 64
     out = [(int(k), int(k) + 1) for k in np.flatnonzero(odd)]
     row = rows_of(firsts)
     short = (size == 1) & (letter[starts] | sign[starts])
@@ -191,11 +212,11 @@ def features(block: Block, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return own_row, own
     raw = block.data.tobytes()
-    restored = [channel.restore(raw[starts[a] : ends[b - 1]].decode("utf-8", "replace")).encode() for a, b in found]
-    joined = np.frombuffer(b" ".join(restored), np.uint8)
-    size = np.array([len(r) for r in restored])
+    restored = [(row[a], w.encode()) for a, b in found for w in channel.words(raw[starts[a] : ends[b - 1]].decode("utf-8", "replace"))]
+    joined = np.frombuffer(b" ".join(w for _, w in restored), np.uint8)
+    size = np.array([len(w) for _, w in restored], np.int64)
     begin = np.cumsum(size + 1) - size - 1
-    more_row, more = _features_of(joined, begin[size > 0], (begin + size)[size > 0], row[[a for a, _ in found]][size > 0])
+    more_row, more = _features_of(joined, begin, begin + size, np.array([r for r, _ in restored], np.int64))
     return np.concatenate([own_row, more_row]), np.concatenate([own, more])
 
 

@@ -57,6 +57,33 @@ def test_plain_words_are_left_alone(model):
     assert len(found) == 0
 
 
+def decoded(model, text):
+    block = next(blocks(pa.array([text])))
+    starts, ends, firsts = words(block)
+    raw = block.data.tobytes()
+    return [model.channel.words(raw[starts[a] : ends[b - 1]].decode()) for a, b in toxicity.disguised(block, starts, ends, firsts)]
+
+
+def test_spaced_runs_restore_to_several_words(model):
+    assert decoded(model, "t h e i d i o t") == [["the", "idiot", "theidiot"]]
+    long = " ".join("which not they are " * 20)  # over 200 characters in front
+    assert "moron" in decoded(model, f"{long} m o r o n")[0]
+    clean, bad, hidden = model.scores(pa.array(["the of and to", "the of and to stupid loser", "the of and to s t u p i d l o s e r"]))
+    assert hidden == pytest.approx(bad) and hidden > clean + 0.3
+
+
+@pytest.mark.parametrize("said", ["idi" + "o" * 100 + "t", "idi" + "o" * 300 + "t", "mor0" + "o" * 80 + "n"])
+def test_words_of_any_length_are_restored(model, said):
+    assert [w for found in decoded(model, said) for w in found][0] in BAD
+
+
+@pytest.mark.parametrize("said", ["é t é s", "ñ a ñ a", "fééééé", "ÉéÉ", "é.é.é"])
+def test_accented_letters_count_as_one(model, said):
+    block = next(blocks(pa.array([said])))
+    starts, ends, firsts = words(block)
+    assert toxicity.disguised(block, starts, ends, firsts) == [(0, len(starts))]
+
+
 def test_disguise_does_not_hide(spark, model):
     clean, bad, hidden = "the of and to in is", "the idiot of and moron to in is", "the 1d1ot of and m o r o n to in is"
     scores = model.scores(pa.array([clean, bad, hidden, "", None]))

@@ -6,6 +6,10 @@ Spans are alike if their words are (A-Z lower-cased, white space ignored). Of ea
 repeats, the first occurrence (least id, then place) stays; all others go, with every sentence they
 cover. Spans are counted by one hash first, so that only those that repeat move with their place.
 
+With ``least=1`` spans are all runs of ``SENTENCES`` sentences. Whatever longer run repeats is made of
+such runs that repeat, so all of it goes, up to its last sentence. A higher ``least`` leaves out short
+runs, and the last sentences of a run where they have fewer words.
+
 Defined results: null and empty texts have no sentences; a null id comes after all others; rows with
 the same id and text count as one and get the same result; texts with fewer words than a span keep
 all; an empty table gives no rows; other columns are not read.

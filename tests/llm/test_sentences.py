@@ -68,5 +68,17 @@ def test_shared_passages(spark, seed):
     check(spark.createDataFrame(data, "doc_id long, text string"))
 
 
+def test_query_takes_short_runs_and_the_ends_of_passages(spark, tmp_path):
+    from gatewise.llm.queries import QUERIES
+
+    ten = "one two three four five six seven eight nine ten."
+    passage = f"{ten} {ten.upper()} And so it ends."
+    texts = [f"{passage} Here is text of its own that nothing else holds.", f"{passage} Other words follow in this one until it stops too."]
+    texts += ["Who knows? Nobody does.", "Who knows? Nobody does.", f"First words. {passage}", "Nobody does. Who knows?"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in QUERIES["op2_sentence_span_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: [], 1: [0, 1, 2], 2: [], 3: [0, 1], 4: [1, 2, 3], 5: []}
+
+
 def test_empty_table(spark):
     assert sentences.dedup_spans(empty(spark)).count() == 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewise.llm import bpe, exact, licenses, minhash, packing, sentences, simhash, suffix, toolcalls, toxicity
+from gatewise.llm import bpe, codes, exact, licenses, minhash, packing, quality, sentences, simhash, suffix, toolcalls, toxicity, whitening
 
 QUERIES, ORACLES = {}, {}
 
@@ -143,3 +143,57 @@ ORACLES["op9_exact_dedup"] = r"""
 @query
 def op10_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(read(spark, sf_dir), size=4)
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """The rounds one after the other; entries and vectors as rows of part, place and value."""
+    steps = [
+        """kept AS MATERIALIZED (
+        SELECT vec_id, label, embedding FROM embeddings
+        WHERE embedding IS NOT NULL AND len([v for v in embedding if v IS NULL OR NOT isfinite(v)]) = 0
+    ), vals AS MATERIALIZED (
+        SELECT vec_id, (i - 1) // (n // 8) AS part, (i - 1) % (n // 8) AS place, floor(4096 * embedding[i]::DOUBLE)::BIGINT AS v
+        FROM (SELECT vec_id, embedding, len(embedding) AS n, unnest(range(1, len(embedding) + 1)) AS i FROM kept)
+    ), first AS (
+        SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 16
+    ), book0 AS MATERIALIZED (
+        SELECT part, entry, place, v AS c FROM vals JOIN first USING (vec_id)
+    )"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+        SELECT vec_id, part, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d
+        FROM (SELECT vec_id, part, entry, sum((v - c) * (v - c))::BIGINT AS d FROM vals JOIN book{k} USING (part, place) GROUP BY vec_id, part, entry)
+        GROUP BY vec_id, part
+    )""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (
+        SELECT part, entry, place, sum(v)::BIGINT AS s, count(*) AS n FROM vals JOIN near{k} USING (vec_id, part) GROUP BY part, entry, place
+    ), book{k + 1} AS MATERIALIZED (
+        SELECT part, entry, place, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM book{k} LEFT JOIN mean{k} USING (part, entry, place)
+    )""")
+    return "WITH " + ", ".join(steps) + f"""
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+        (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, place)) FROM book{rounds}) AS codebooks_sha256
+    FROM (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+    JOIN kept USING (vec_id)
+"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))

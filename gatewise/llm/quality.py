@@ -20,6 +20,7 @@ are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +40,7 @@ SAMPLE, PIECES = 40_000, 8192
 #: Bytes of a piece, of a dictionary at most, and bytes of samples for each byte of a dictionary at least.
 PIECE, DICTIONARY, EXAMPLES = 512, 1 << 16, 8
 
-#: Pieces of a text in the sample of a dictionary, spread over the text.
+#: Pieces of a text in the sample of a dictionary at most, spread over the text.
 PER_TEXT = 16
 
 #: Compression level, and bytes a frame has whatever it holds.
@@ -154,26 +155,28 @@ def train(
     ids = ids.orderBy(F.xxhash64("key"), "key").limit(sample)
     # At most ``sample`` rows of an id and a label.
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("key"))
-    rows = rows.select("id", "text", "good", (F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(3)) == 0).alias("apart"))
+    rows = rows.select("text", "good", (F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(3)) == 0).alias("apart"))
     counted = {(r.apart, r.good): r.n for r in rows.groupBy("apart", "good").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = sum(n for (_, good), n in counted.items() if good) / max(1, sum(counted.values()))
     if len({bool(good) for (apart, good) in counted if apart}) < 2:
         return Model(b"", b"", np.array([-30.0 if share == 0 else 30.0 if share == 1 else np.log(share / (1 - share)), 0, 0, 0]))
 
+    # Pieces of a text, by label, such that no more than PIECES, or one of each sampled text, are collected.
+    most = {bool(good): min(PER_TEXT, max(1, PIECES // n)) for (apart, good), n in counted.items() if not apart}
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, text, good in zip(column(batch, "id"), column(batch, "text"), column(batch, "good")):
+            for text, good in zip(column(batch, "text"), column(batch, "good").to_pylist()):
                 some = pieces(text.as_py())
-                some = some[:: max(1, -(-len(some) // PER_TEXT))]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([id_.as_py()] * n, id_.type), pa.array(range(n), pa.int32()), pa.array(some, pa.binary()), pa.array([good.as_py()] * n, pa.int32())], ["id", "at", "piece", "good"])
+                first = zlib.crc32(b"".join(some)) % max(1, len(some))
+                some = [some[(first + k * len(some) // most[good > 0]) % len(some)] for k in range(min(most[good > 0], len(some)))]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([good] * len(some), pa.int32())], ["piece", "good"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    some = rows.where(~F.col("apart")).select("id", "text", "good").mapInArrow(cut, f"id {kind}, at int, piece binary, good int")
+    some = rows.where(~F.col("apart")).select("text", "good").mapInArrow(cut, "piece binary, good int").collect()
     known = []
-    for good in (1, 0):
-        of_label = some.where((F.col("good") > 0) == bool(good)).orderBy(F.xxhash64("id", "at"), "id", "at", "piece").limit(PIECES)
-        known.append(dictionary([bytes(r.piece) for r in of_label.select("piece").collect()]))
+    for label in (True, False):
+        of_label = sorted((zlib.crc32(r.piece), bytes(r.piece)) for r in some if (r.good > 0) == label)  # whatever the order of tasks
+        known.append(dictionary([piece for _, piece in of_label[:PIECES]]))
     model = Model(*known, np.zeros(4))
     unfit = broadcast(spark, model)
 

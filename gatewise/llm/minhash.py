@@ -5,10 +5,10 @@
 2. Texts with the same set are one class from here on. Bands of the signature make buckets.
 3. Every bucket compares its least member with all others (a star, no pairs within the bucket).
 4. Links are confirmed on full sets, and joined to components.
-5. Buckets that still hold several components get the sets of their members. Members of different
-   components whose signatures are alike enough are compared in full where they meet, in the first
-   band they share; of what is linked only what joins two components leaves the task, so a group
-   gives no more rows than it has members. Large buckets are dealt out in pairs of blocks.
+5. In buckets that still hold several components, members whose signatures are alike enough to one of
+   another component get their sets. They are compared in full where they meet, in the first band they
+   share; of what is linked only what joins two components leaves the task, so a group gives no more
+   rows than it has members. Large buckets are dealt out in pairs of blocks, by members and by bytes.
 
 Defined results: null or empty texts, and texts without words, have 0 shingles and no links; a
 row without id links with nothing, has no component and is kept; repeated rows are alike and get
@@ -36,8 +36,8 @@ BANDS, WIDTH = 26, 5
 #: Signatures that agree in fewer slots than this share aren't verified; 0.8 lies over four deviations above.
 LIKELY = 0.65
 
-#: Members of a bucket compared at once in memory; larger buckets are dealt out in pairs of blocks.
-MEMBERS = 1024
+#: Members of a bucket, and bytes of their sets, compared at once in memory; larger buckets are dealt out in pairs of blocks.
+MEMBERS, SET_BYTES = 1024, 4 << 20
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,33 +171,73 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, elements binary")
 
 
-def cross_links(members: DataFrame, bands: int, width: int, percent: int) -> DataFrame:
+def _meeting(group: pa.Table, bands: int, width: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``x, ys, parts``: for each member of a group the members of other components it may be linked with, likest first.
+
+    ``parts`` are the components, which the caller may join as it goes.
+    """
+    parts, n, block = (group[c].to_numpy() for c in ("component", "n_shingles", "block"))
+    parts = parts.copy()
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(n), bands * width)
+    keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(len(n), bands)
+    i, j, number = (group[c][0].as_py() for c in ("block_i", "block_j", "number"))
+    cols = np.flatnonzero(block == j)
+    for x in np.flatnonzero(block == i):
+        ys = cols[parts[cols] != parts[x]]
+        ys = ys[ys > x] if i == j else ys
+        ys = ys[100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])]
+        if not len(ys):
+            continue
+        alike = (sig[ys] == sig[x]).sum(1)
+        # A pair that meets in several bands is compared in the first of them, told by the keys it meets by.
+        chosen = np.flatnonzero((alike >= LIKELY * bands * width) & ((keys[ys] == keys[x]).argmax(1) == number))
+        if len(chosen):
+            yield int(x), ys[chosen[np.argsort(-alike[chosen], kind="stable")]], parts
+
+
+def _dealt(members: DataFrame, *more: str) -> DataFrame:
+    """Groups of a bucket or two blocks of it, one after the other in a partition."""
+    place = ["band", "block_i", "block_j"]
+    dealt = members.select(*place, "number", "block", "id", "component", "n_shingles", "sig", "keys", *more)
+    return dealt.repartition(*place).sortWithinPartitions(*place)
+
+
+def with_partners(members: DataFrame, bands: int, width: int, percent: int) -> DataFrame:
+    """``band, id`` of the members that signatures give a likely partner in another component.
+
+    ``members``: ``band, number (of the band), size, id, component, n_shingles, sig, keys (of all bands)``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in each_group(batches, ["band", "block_i", "block_j"]):
+            met = np.zeros(len(group), bool)
+            for x, ys, _ in _meeting(group, bands, width, percent):
+                met[x] = met[ys] = True
+            if met.any():
+                found = group.select(["band", "id"]).filter(pa.array(met))
+                yield from found.to_batches()
+
+    return _dealt(deal(members, "id", F.ceil(F.col("size") / MEMBERS))).mapInArrow(run, "band long, id long").distinct()
+
+
+def cross_links(members: DataFrame, sets: DataFrame, bands: int, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` between components within each bucket, as many as join them.
 
-    ``members``: ``band, number (of the band), block_i, block_j, block, id, component, n_shingles,
-    sig, keys (of all bands), elements``.
+    Members whose signatures show no partner have gone before the sets, ``id, elements``, come in; what
+    is left of a bucket is dealt out in blocks of ``SET_BYTES``.
     """
+    some = table(members.join(with_partners(members, bands, width, percent), ["band", "id"]), "likely-members")
+    sizes = some.groupBy("band").agg(F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    some = some.join(sizes, "band").join(sets.join(some.select("id").distinct(), "id", "left_semi"), "id")
+    some = deal(some, "id", F.ceil(F.greatest(F.col("bytes") / SET_BYTES, F.col("size") / MEMBERS)))
 
     def of_group(group: pa.Table) -> list[tuple[int, int]]:
-        ids, parts, n, block = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "block"))
-        parts = parts.copy()
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), bands * width)
-        keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), bands)
-        sets = [np.frombuffer(e, np.uint64) for e in group["elements"].to_pylist()]
-        i, j = group["block_i"][0].as_py(), group["block_j"][0].as_py()
-        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        number, out = group["number"][0].as_py(), []
-        for x in rows:
-            ys = cols[parts[cols] != parts[x]]
-            ys = ys[ys > x] if i == j else ys
-            ys = ys[100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])]
-            if not len(ys):
-                continue
-            alike = (sig[ys] == sig[x]).sum(1)
-            # A pair that meets in several bands is compared in the first of them, told by the keys it meets by.
-            chosen = np.flatnonzero((alike >= LIKELY * bands * width) & ((keys[ys] == keys[x]).argmax(1) == number))
-            for y in ys[chosen[np.argsort(-alike[chosen], kind="stable")]].tolist():
-                if parts[y] != parts[x] and overlap(sets[x], sets[y], percent):
+        ids, elements, out = group["id"].to_numpy(), group["elements"].combine_chunks(), []
+        whole = lambda k: np.frombuffer(elements[k].as_buffer(), np.uint64)
+        for x, ys, parts in _meeting(group, bands, width, percent):
+            own = whole(x)
+            for y in ys.tolist():
+                if parts[y] != parts[x] and overlap(own, whole(y), percent):
                     out.append((int(ids[x]), int(ids[y])))
                     parts[parts == parts[y]] = parts[x]
         return out
@@ -207,8 +247,7 @@ def cross_links(members: DataFrame, bands: int, width: int, percent: int) -> Dat
             if found := of_group(group):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b"])
 
-    dealt = members.repartition("band", "block_i", "block_j").sortWithinPartitions("band", "block_i", "block_j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _dealt(some, "elements").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_links(signed: DataFrame, texts: DataFrame, size: int, percent: int, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
@@ -236,10 +275,8 @@ def near_links(signed: DataFrame, texts: DataFrame, size: int, percent: int, ban
     several = table(several.withColumn("component", F.coalesce("component", "id")), "labelled-members")
     mixed = several.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     several = several.join(mixed, "band")
-    sets = _sets(held.join(several.select("id").distinct(), "id", "left_semi"), size)
-    several = several.join(reps.select("id", "sig", "keys"), "id").join(sets, "id")
-    several = deal(several, "id", F.ceil(F.col("size") / MEMBERS))
-    more = cross_links(several.select("band", "number", "block_i", "block_j", "block", "id", "component", "n_shingles", "sig", "keys", "elements"), bands, width, percent)
+    several = several.join(reps.select("id", "sig", "keys"), "id").select("band", "number", "size", "id", "component", "n_shingles", "sig", "keys")
+    more = cross_links(several, _sets(held, size), bands, width, percent)
     return merged(found, table(more, "cross-links"))
 
 

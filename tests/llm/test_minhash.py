@@ -67,8 +67,9 @@ def test_hard_rows(spark, size):
     assert kept.columns == df.columns and kept.where("doc_id = 5").count() == 1 - int(want[5] != 5)
 
 
-def test_components_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "MEMBERS", 8)  # buckets are dealt out in blocks
+@pytest.mark.parametrize("size, limit", [("MEMBERS", 8), ("SET_BYTES", 4000)])
+def test_components_equal_brute_force(spark, monkeypatch, size, limit):
+    monkeypatch.setattr(minhash, size, limit)  # buckets are dealt out in blocks
     data = near_copies(150, 7)
     df = spark.createDataFrame(data, "doc_id long, text string")
     want = brute(data, 5)
@@ -79,9 +80,10 @@ def test_components_equal_brute_force(spark, monkeypatch):
 def test_bands_alike_by_their_bytes_only_are_not_where_a_pair_meets(spark):
     """Slots differ in the first band but not in the byte kept of each: the pair meets in the second band and is linked there."""
     elements = np.arange(40, dtype=np.uint64).tobytes()
-    rows = [(7, 1, 0, 0, 0, k, k, 40, bytes(10), [k, 7], elements) for k in (3, 5)]
-    kind = "band long, number int, block_i int, block_j int, block int, id long, component long, n_shingles long, sig binary, keys array<long>, elements binary"
-    links = minhash.cross_links(spark.createDataFrame(rows, kind), 2, 5, 80).collect()
+    rows = [(7, 1, 2, k, k, 40, bytes(10), [k, 7]) for k in (3, 5)]
+    kind = "band long, number int, size long, id long, component long, n_shingles long, sig binary, keys array<long>"
+    sets = spark.createDataFrame([(k, elements) for k in (3, 5, 9)], "id long, elements binary")
+    links = minhash.cross_links(spark.createDataFrame(rows, kind), sets, 2, 5, 80).collect()
     assert [tuple(sorted(r)) for r in links] == [(3, 5)]
 
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gatewise.operators.prep import shuffle_hash
+from gatewise.operators.places import Target, prefix_counts, rows_at
+from gatewise.operators.prep import _rank_in_order, shuffle_hash
 
 STEP_RULES = ("full_pass", "epochs_x_batch")
 
 # Rows of a chunk and pass are placed inside buckets named by the first hex digits of their hash.
 BUCKET_DIGITS = 3
 
+# Digits by which the rows of every chunk are counted to find the row a pass is cut at.
+CUT_DIGITS = 2
+
 
 def trainable(chunked: DataFrame, min_rows: int) -> DataFrame:
     """Keeps chunks that can fill at least one batch."""
@@ -70,17 +75,18 @@ def minibatches(
     the rows left over in a pass are skipped. Adds ``max_steps, pass, batch_id,
     slot, step``. ``batch_size=None`` makes the chunk one batch. Places are counted
     inside hash buckets, whose offsets come from counts, so a window holds a small
-    part of a pass of a chunk; buckets past the step cap are left out before rows move.
+    part of a pass of a chunk. Rows past a step cap go before that, where they are read,
+    by comparing their key with that of the first row past it.
     """
     size, per_pass = _sizes(batch_size)
     df = in_passes(chunked, batch_size, epochs, step_rule).withColumn("_h", order_key(seed, ids))
+    if batch_size and step_rule == "epochs_x_batch":
+        df = before_cap(df, chunked, batch_size, epochs, ids, seed, ties)
     df = df.withColumn("_b", F.coalesce(F.substring("_h", 1, BUCKET_DIGITS), F.lit("")))
     bucket = ["chunk", "pass", "_b"]
     before = Window.partitionBy("chunk", "pass").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
     starts = starts.select(*bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    if batch_size and step_rule == "epochs_x_batch":
-        starts = starts.where(F.col("_off") < epochs * batch_size * batch_size)
     order = Window.partitionBy(*bucket).orderBy("_h", *ids, *ties)
     df = (
         df.join(starts, bucket)
@@ -93,6 +99,50 @@ def minibatches(
     return df.where(F.col("step") < F.col("max_steps")).drop("_rn", "_off", "_h", "_b")
 
 
+def pass_cuts(
+    chunked: DataFrame, in_pass: Column, rank: Callable[[int], int], ids: Sequence[str], seed: int, ties: Sequence[str]
+) -> DataFrame:
+    """``chunk, cut``: of each chunk the place ``_h, ids, ties`` of the row at ``rank(rows)`` in the order of one pass.
+
+    ``in_pass`` tells the pass from ``chunk_rows``. Chunks without a row at that rank are left out. Nothing is
+    sorted: the digits of the order keys are counted, by chunk, until the row is found.
+    """
+    place = ["_h", *ids, *ties]
+    rows = chunked.withColumn("pass", in_pass).withColumn("_h", order_key(seed, ids)).withColumn("_g", F.col("chunk").cast("string"))
+    by_chunk: dict[str, list[tuple[str, int]]] = {}
+    for g, p, n in prefix_counts(rows, CUT_DIGITS, group_col="_g"):
+        by_chunk.setdefault(g, []).append((p, n))
+    targets = {}
+    for g, counted in by_chunk.items():
+        left = rank(sum(n for _, n in counted))
+        for p, n in counted:
+            if left < n:
+                targets[Target(g, p, left)] = g
+                break
+            left -= n
+    found = rows_at(rows, targets, place, "_g", _rank_in_order)
+    kind = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("cut", T.StructType([rows.schema[c] for c in place]))])
+    return chunked.sparkSession.createDataFrame([(int(targets[t]), row) for t, row in found.items()], kind)
+
+
+def before_cap(
+    df: DataFrame, chunked: DataFrame, batch_size: int, epochs: int, ids: Sequence[str], seed: int, ties: Sequence[str]
+) -> DataFrame:
+    """Of rows in passes, with their order key ``_h``, those of the first ``epochs * batch_size`` steps."""
+    steps = epochs * batch_size
+
+    def rows_of_last(n: int) -> int:
+        per_pass = max(1, n // batch_size)
+        return (steps - (steps - 1) // per_pass * per_pass) * batch_size
+
+    per_pass = F.greatest(F.lit(1).cast("long"), F.floor(F.col("chunk_rows") / batch_size))
+    last = F.floor((F.lit(steps) - 1) / per_pass).cast("int")
+    cuts = pass_cuts(trainable(chunked, batch_size), last, rows_of_last, ids, seed, ties)
+    df = df.withColumn("_last", last).join(F.broadcast(cuts), "chunk", "left")
+    kept = (F.col("pass") < F.col("_last")) | F.col("cut").isNull() | (F.struct("_h", *ids, *ties) < F.col("cut"))
+    return df.where(kept).drop("_last", "cut")
+
+
 def eval_flag(evaluate_every: int, step: Column | str = "step", max_steps: Column | str = "max_steps") -> Column:
     """True at every ``evaluate_every``-th step and at the last one."""
     step, max_steps = (F.col(c) if isinstance(c, str) else c for c in (step, max_steps))

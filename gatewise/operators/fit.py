@@ -1,4 +1,4 @@
-"""Whole training run: rank, chunk, batch, train, store, average."""
+"""Whole training run: chunk, batch, train in committed rounds, store, average; and going on with a run that stopped."""
 
 from __future__ import annotations
 
@@ -8,19 +8,23 @@ import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.functions.cell import NetSpec, init_params, truncated_normal
 from gatewise.operators.metrics import accuracy_of, loss_of
-from gatewise.operators.prep import assign_chunks, chunk_rows, chunk_sizes, minmax, minmax_ranges, rank_copies
+from gatewise.operators.prep import assign_counted, chunk_sizes, minmax, minmax_ranges, number_copies, sizes_of_chunks
 from gatewise.operators.score import MAX_PARAMETERS, Model, score
-from gatewise.operators.train import OUTPUT, states_of, train_replicas
+from gatewise.operators.train import OUTPUT, rounds_of, states_of, train_replicas
 from gatewise.operators.weights import average_weights
-from gatewise.sources.store import cut, new_path
+from gatewise.sources.store import cut, listed, new_path, read_text, remove, write_text
 
-# Passes that are laid out and sorted at once; after so many, states and weights are committed.
-PASSES_PER_ROUND = 10
+# Rows of a chunk that are trained between two commits, and numbers that a task holds of them, at most.
+ROWS_PER_ROUND, NUMBERS = 1 << 20, 1 << 24
+
+# Number of the folder that holds what is known of the run as a whole.
+REPORT = -1
 
 
 @dataclass(frozen=True)
@@ -78,7 +82,9 @@ def fit(
     output_path: str | None = None,
     scale: str | None = None,
     held_out: DataFrame | None = None,
-    passes_per_round: int = PASSES_PER_ROUND,
+    rows_per_round: int | None = None,
+    max_rounds: int | None = None,
+    resume: bool = False,
 ) -> Fit:
     """Trains one replica per chunk and stores weights, metrics and run report.
 
@@ -86,34 +92,40 @@ def fit(
     starts all replicas from a stored model, or each from its own weights (a row per
     replica and tensor, see :func:`gatewise.latest_checkpoint`). ``scale`` is a scope
     of :func:`gatewise.minmax`; the ranges are stored with the run. ``held_out`` rows
-    are scored by the averaged model at the end. Every ``passes_per_round`` passes
-    are a job of their own, whose weights, metrics and states are committed.
+    are scored by the averaged model at the end.
+
+    Training is a sequence of rounds, each of at most ``rows_per_round`` rows of every
+    chunk (in whole batches): several passes over small chunks, or a part of a pass over
+    a large one. A round is one job; its weights, metrics and the replicas' states are
+    committed, with a line in the run's manifest, and can be read by :func:`load` while
+    the run goes on. ``resume`` goes on after the last committed round of a run that
+    stopped, which must have had the same settings, rows included; what it gives is what
+    the whole run would have given. ``max_rounds`` stops after so many rounds.
 
-    ``output_path`` defaults to a new folder under the shared checkpoint folder; a
-    run replaces all rows of its own ``run_id`` there.
+    ``output_path`` defaults to a new folder under the shared checkpoint folder; unless it
+    goes on, a run replaces all rows of its own ``run_id`` there.
     """
     if spec.parameters() > MAX_PARAMETERS:
         raise ValueError(f"a net of {spec.parameters()} parameters is too large to broadcast")
     if not re.fullmatch(r"[\w.-]+", run_id):
         raise ValueError(f"run_id {run_id!r} can't name a folder")
+    if resume and output_path is None:
+        raise ValueError("a run that goes on needs its output_path")
     began = time.perf_counter()
     spark = examples.sparkSession
-    total = examples.count()
     ranges = None
     if scale:
         ranges = cut(minmax_ranges(examples, spec.in_features, scale), "ranges")
-        examples = minmax(examples, spec.in_features, ranges=ranges)
     params = init.flat if isinstance(init, Model) else init_params(spec, seed, initializer)
-    states = states_of(init) if isinstance(init, DataFrame) else None
     if ids is None:
-        chunked, ids = chunk_rows(rank_copies(examples, seed), num_chunks, remainder), ["rank"]
-    else:
-        chunked = assign_chunks(examples, num_chunks, remainder, ids, seed, ties)
-    passes = epochs + (0 if spec.batch_size else 1)
-    rounds = [(0, None)]
-    if step_rule == "full_pass" and passes > passes_per_round:
-        rounds = [(a, min(a + passes_per_round, passes)) for a in range(0, passes, passes_per_round)]
-        chunked = cut(chunked, "chunked")
+        examples = number_copies(examples).withColumn("content", F.md5("_json")).withColumnRenamed("_copy", "copy").drop("_json")
+        examples, ids = cut(examples, "numbered"), ["content", "copy"]
+    chunked, total = assign_counted(examples, num_chunks, remainder, ids, seed, ties)
+    if ranges is not None:
+        chunked = minmax(chunked, spec.in_features, ranges=ranges)
+    sizes, smallest = sizes_of_chunks(total, num_chunks, remainder), spec.batch_size or 1
+    rows_per_round = rows_per_round or min(ROWS_PER_ROUND, NUMBERS // spec.in_features)
+    rounds = rounds_of(sizes, spec.batch_size, epochs, step_rule, rows_per_round)
     settings = {
         **asdict(spec), "num_chunks": num_chunks, "seed": seed, "epochs": epochs, "step_rule": step_rule,
         "remainder": remainder, "learning_rate": learning_rate, "evaluate_every": evaluate_every,
@@ -122,12 +134,30 @@ def fit(
     }
     path = output_path or new_path(spark, "fit")
     home = f"{path}/run_id={run_id}"
+    same = {**settings, "rows": total, "rows_per_round": rows_per_round, "keep_checkpoints": keep_checkpoints, "scale": scale}
+    same = json.loads(json.dumps(same))
+    done = _manifest(spark, home) if resume else None
+    if resume and done is not None and done["settings"] != same:
+        changed = sorted(k for k in same if done["settings"].get(k) != same[k])
+        raise ValueError(f"not the run that stopped: {', '.join(changed)} differ")
+    if done is None:
+        remove(spark, home)
+        done = {"settings": same, "rounds": 0, "seconds": 0.0, "of": len(rounds)}
+    states = None
+    if done["rounds"]:
+        states = _states(spark, path, run_id, done["rounds"] - 1)
+    elif isinstance(init, DataFrame):
+        trained = chunk_sizes(spark, total, num_chunks, remainder).where(F.col("chunk_rows") >= smallest)
+        states = states_of(init.join(trained.select(F.col("chunk").alias("replica")), "replica", "left_semi"))
 
-    def store(rows: DataFrame, mode: str) -> None:
+    def store(rows: DataFrame, number: int) -> None:
         rows = rows.withColumn("params", F.when(F.col("kind") == "runs", F.lit(json.dumps(settings, sort_keys=True))))
-        rows.write.mode(mode).partitionBy("kind").parquet(home)
+        rows.write.mode("overwrite").partitionBy("kind").parquet(f"{home}/round={number}")
 
-    for number, (first, until) in enumerate(rounds):
+    until = len(rounds) if max_rounds is None else min(len(rounds), done["rounds"] + max_rounds)
+    if until - done["rounds"] > 1:
+        chunked = cut(chunked, "chunked")
+    for number in range(done["rounds"], until):
         trained = train_replicas(
             chunked,
             spec,
@@ -143,42 +173,68 @@ def fit(
             weight_decay,
             keep_checkpoints,
             ties,
-            first,
-            until,
+            rounds[number],
             states,
             number == len(rounds) - 1,
         )
-        store(trained.withColumn("round", F.lit(number)), "append" if number else "overwrite")
-        states = _stored(spark, path, run_id).where(F.col("kind") == "state").where(F.col("round") == number)
-    more = skipped_chunks(spark, total, num_chunks, remainder, spec.batch_size or 1)
+        store(trained, number)
+        done = {**done, "rounds": number + 1, "seconds": done["seconds"] + time.perf_counter() - began}
+        began = time.perf_counter()
+        write_text(spark, f"{home}/_manifest-{number + 1:09d}.json", json.dumps(done))
+        states = _states(spark, path, run_id, number)
+    if done["rounds"] < len(rounds):
+        return load(spark, path, run_id)
+
+    more = skipped_chunks(spark, total, num_chunks, remainder, smallest)
+    more = more.unionByName(spark.createDataFrame([], OUTPUT), allowMissingColumns=True)
     if ranges is not None:
         for bound in ("lo", "hi"):
             row = ranges.select(F.lit("ranges").alias("kind"), F.lit(bound).alias("key"), F.col(bound).alias("values"))
             more = more.unionByName(row, allowMissingColumns=True)
-    store(more.unionByName(spark.createDataFrame([], f"{OUTPUT}, round int"), allowMissingColumns=True), "append")
-    done = load(spark, path, run_id)
     if held_out is not None:
         if ranges is not None:
             held_out = minmax(held_out, spec.in_features, ranges=ranges)
-        scored = score(held_out, done.model(), keep=["label"])
+        scored = score(held_out, load(spark, path, run_id).model(), keep=["label"])
         logits, label = F.col("logits"), F.col("label")
         measured = scored.agg(loss_of(logits, label).alias("held_out_cross_entropy"), accuracy_of(logits, label).alias("held_out_accuracy"))
         names = "held_out_cross_entropy", "held_out_accuracy"
         measured = measured.select(F.explode(F.create_map(*[c for n in names for c in (F.lit(n), F.col(n))])).alias("metric", "value"))
-        store(measured.withColumn("kind", F.lit("metrics")), "append")
-    totals = done.runs.agg(F.sum("rows").alias("rows"), F.sum("steps").alias("steps"))
-    totals = totals.withColumn("kind", F.lit("totals")).withColumn("seconds", F.lit(time.perf_counter() - began))
-    store(totals, "append")
+        more = more.unionByName(measured.withColumn("kind", F.lit("metrics")), allowMissingColumns=True)
+    size = spec.batch_size or np.maximum(sizes, 1)
+    steps = np.where(sizes >= smallest, epochs * (sizes // size if step_rule == "full_pass" else size), 0)
+    rows = np.where(sizes >= smallest, steps * size, sizes)
+    totals = spark.range(1).select(
+        F.lit("totals").alias("kind"),
+        F.lit(int(rows.sum())).cast("long").alias("rows"),
+        F.lit(int(steps.sum())).cast("long").alias("steps"),
+        F.lit(done["seconds"] + time.perf_counter() - began).alias("seconds"),
+    )
+    store(more.unionByName(totals, allowMissingColumns=True), REPORT)
     return load(spark, path, run_id)
 
 
+def _manifest(spark, home: str) -> dict | None:
+    """What the last committed round has left of itself."""
+    files = listed(spark, home, "_manifest-*.json")
+    return json.loads(read_text(spark, files[-1])) if files else None
+
+
+def _states(spark, path: str, run_id: str, number: int) -> DataFrame:
+    """States that the replicas left at the end of a round."""
+    return spark.read.schema(OUTPUT).parquet(f"{path}/run_id={run_id}/round={number}").where(F.col("kind") == "state")
+
+
 def _stored(spark, path: str, run_id: str) -> DataFrame:
+    """All rows of the committed rounds of a run."""
+    home, done = f"{path}/run_id={run_id}", _manifest(spark, f"{path}/run_id={run_id}")
     schema = f"{OUTPUT}, round int, params string, run_id string"
-    return spark.read.schema(schema).parquet(path).where(F.col("run_id") == run_id)
+    if done is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(home).where(F.col("round") < done["rounds"])
 
 
 def load(spark, path: str, run_id: str = "run") -> Fit:
-    """Tables of a stored run."""
+    """Tables of a stored run, or of the rounds of it that are committed so far."""
     stored = _stored(spark, path, run_id)
 
     def table(kind: str, *columns: str) -> DataFrame:

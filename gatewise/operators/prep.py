@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gatewise.operators.places import Target, prefix_counts, rows_at
 from gatewise.sources.store import cut
 
 # Chunks are told by the first hex digits of a row's hash, so the offset table has at
@@ -85,13 +89,10 @@ def rank_rows(
     return _rank_in_order(df.withColumn("_h", shuffle_hash(seed, *ids)), ["_h", *ids, *ties]).drop("_h")
 
 
-def rank_copies(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Rank for rows without a key, where many rows may be copies of one another.
+def number_copies(df: DataFrame) -> DataFrame:
+    """Gives rows without a key one: ``_json``, their content, and ``_copy``, which numbers the rows of a content.
 
-    Copies are counted before the shuffle (one row per distinct content travels),
-    numbered as they are written out again in blocks, and ranked by
-    ``md5(seed:content as JSON:number)``: copies are spread over the whole order.
-    Adds ``rank`` and ``n_rows``.
+    Copies are counted before the shuffle (one row per distinct content travels) and written out again in blocks.
     """
     content = df.columns
     last_block = F.expr(f"(_n - 1) div {COPY_BLOCK}")
@@ -103,10 +104,18 @@ def rank_copies(df: DataFrame, seed: int = 42) -> DataFrame:
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
         .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.least(left, F.lit(COPY_BLOCK)) - 1)))
         .withColumn("_copy", F.col("_block") * COPY_BLOCK + F.col("_copy"))
-        .withColumn("_h", shuffle_hash(seed, "_json", "_copy"))
     )
-    ranked = _rank_in_order(rows.select(*content, "_h", "_json", "_copy"), ["_h", "_json", "_copy"])
-    return ranked.select(*content, "rank", "n_rows")
+    return rows.select(*content, "_json", "_copy")
+
+
+def rank_copies(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Rank for rows without a key, where many rows may be copies of one another.
+
+    Rows are numbered by :func:`number_copies` and ranked by ``md5(seed:content as JSON:number)``: copies
+    are spread over the whole order. Adds ``rank`` and ``n_rows``.
+    """
+    rows = number_copies(df).withColumn("_h", shuffle_hash(seed, "_json", "_copy"))
+    return _rank_in_order(rows, ["_h", "_json", "_copy"]).select(*df.columns, "rank", "n_rows")
 
 
 def chunk_rows(ranked: DataFrame, num_chunks: int | Column = 4, remainder: str = "spread") -> DataFrame:
@@ -141,37 +150,58 @@ def assign_chunks(
     seed: int = 42,
     ties: Sequence[str] = (),
 ) -> DataFrame:
-    """The chunks of ``chunk_rows(rank_rows(df))``, without moving the rows.
+    """The chunks of ``chunk_rows(rank_rows(df))``, without moving or ranking the rows.
 
-    Nearly all hash buckets lie in one chunk, which their offset tells. In the
-    others only the keys are ranked, to find the first row of each chunk; a row's
-    chunk is then told by comparing its key with those. What is broadcast has a row
-    per bucket and a key per chunk. Adds ``n_rows``, ``chunk`` and ``chunk_rows``.
+    Nearly all hash buckets lie in one chunk, which their count tells. In the others the first row of
+    each chunk is found by counting further digits; a row's chunk is then told by comparing its key
+    with those. What is broadcast has a row per bucket and a key per chunk. Adds ``n_rows``, ``chunk``
+    and ``chunk_rows``.
     """
+    return assign_counted(df, num_chunks, remainder, ids, seed, ties)[0]
+
+
+def assign_counted(
+    df: DataFrame, num_chunks: int, remainder: str = "spread", ids: Sequence[str] = ("row_id",), seed: int = 42, ties: Sequence[str] = ()
+) -> tuple[DataFrame, int]:
+    """What :func:`assign_chunks` gives, and the number of rows, which it has counted."""
     _check_rule(remainder)
     _check_chunks(num_chunks)
-    place = ["_h", *ids, *ties]
-    hashed = df.withColumn("_h", shuffle_hash(seed, *ids)).withColumn("_b", _bucket("_h"))
-    buckets = _offsets(hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
-    buckets = buckets.withColumn("_p", F.lit(num_chunks).cast("long"))
-    buckets = buckets.withColumn("_chunk", _chunk_at(F.col("_off"), remainder))
-    buckets = buckets.withColumn("_last", _chunk_at(F.col("_off") + F.col("_n") - 1, remainder))
-
-    # Ranked by ranges, so that an id that fills a bucket is split; then from the bucket's first key on.
-    shared = buckets.where("_last > _chunk")
-    keys = hashed.select("_b", *place).join(F.broadcast(shared.select("_b")), "_b")
-    keys = _rank_in_order(keys, place).drop("n_rows")
-    first = keys.groupBy("_b").agg(F.min("rank").alias("_first"))
-    keys = keys.join(F.broadcast(shared.join(first, "_b")), "_b")
-    keys = keys.withColumn("_rank", F.col("_off") + F.col("rank") - F.col("_first")).where("_rank > _off")
-    firsts = keys.where(_chunk_at(F.col("_rank"), remainder) > _chunk_at(F.col("_rank") - 1, remainder))
-    firsts = firsts.groupBy("_b").agg(F.collect_list(F.struct(*place)).alias("_firsts"))
-
-    told = buckets.join(firsts, "_b", "left").select("_b", "n_rows", "_p", "_chunk", "_firsts")
+    spark, place = df.sparkSession, ["_h", *ids, *ties]
+    hashed = df.withColumn("_h", shuffle_hash(seed, *ids))
+    counts = prefix_counts(hashed, BUCKET_DIGITS)
+    bucket, sizes = [p for _, p, _ in counts], np.array([n for _, _, n in counts], np.int64)
+    offsets, n_rows = np.cumsum(sizes) - sizes, int(sizes.sum())
+    starts = np.cumsum(sizes_of_chunks(n_rows, num_chunks, remainder))[:-1] if n_rows else np.zeros(0, np.int64)
+
+    # Chunks that begin inside a bucket: the row they begin with.
+    holds = np.searchsorted(offsets, starts, "right") - 1
+    inside = [Target("", bucket[b], int(s - offsets[b])) for b, s in zip(holds, starts) if s > offsets[b]]
+    firsts: dict[str, list] = {}
+    for target, row in rows_at(hashed, inside, place, rank_in_order=_rank_in_order).items():
+        firsts.setdefault(target.prefix, []).append(row)
+    known = T.StructType([hashed.schema[c] for c in place])
+    kind = T.StructType([T.StructField("_b", T.StringType()), T.StructField("_firsts", T.ArrayType(known))])
+    told = pa.table({"_b": pa.array(bucket, pa.string()), "_chunk": np.searchsorted(starts, offsets, "right")})
+    told = spark.createDataFrame(told).join(F.broadcast(spark.createDataFrame(list(firsts.items()), kind)), "_b", "left")
+
     passed = F.size(F.filter("_firsts", lambda first: first <= F.struct(*place)))
-    df = hashed.join(F.broadcast(told), "_b")
+    rows = hashed.withColumn("_b", _bucket("_h")).join(F.broadcast(told), "_b")
+    rows = rows.withColumn("n_rows", F.lit(n_rows).cast("long")).withColumn("_p", F.lit(num_chunks).cast("long"))
     chunk = F.col("_chunk") + F.when(F.col("_firsts").isNull(), 0).otherwise(passed)
-    return _with_chunk(df, chunk, remainder).drop("_h", "_b", "_p", "_chunk", "_firsts")
+    rows = _with_chunk(rows, chunk, remainder).drop("_h", "_b", "_p", "_chunk", "_firsts")
+    return rows.select(*df.columns, "n_rows", "chunk", "chunk_rows"), n_rows
+
+
+def sizes_of_chunks(n_rows: int, num_chunks: int, remainder: str = "spread") -> np.ndarray:
+    """Rows of every chunk that ``n_rows`` rows make."""
+    _check_rule(remainder)
+    _check_chunks(num_chunks)
+    run = max(1, n_rows // num_chunks)
+    count = min(num_chunks, n_rows) if remainder == "spread" else -(-n_rows // run)
+    chunk = np.arange(count)
+    if remainder == "spread":
+        return n_rows // num_chunks + (chunk < n_rows % num_chunks)
+    return np.minimum(run, n_rows - chunk * run)
 
 
 def train_val_split(ranked: DataFrame, split: float = 0.8) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import time
 from collections import deque
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 from itertools import chain, groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from gatewise.functions import cell
 from gatewise.functions.arrow import matrix
 from gatewise.functions.cell import NetSpec
-from gatewise.operators.batching import minibatches, order_key, pass_range, trainable
+from gatewise.operators.batching import STEP_RULES, order_key, pass_cuts, pass_range, trainable
 from gatewise.sources.store import broadcast
 
 # One tagged row type for everything a replica gives back, so that it trains once.
@@ -46,52 +48,101 @@ OUTPUT_ARROW = pa.schema(
 # Rows of one batch that are multiplied at once; larger batches add up their gradients.
 PIECE = 1 << 13
 
-PLACE = ("chunk", "pass", "max_steps", "chunk_rows")
+# What a row is told of its place: chunk, pass, steps of the run, rows of the chunk, rank its part of the pass begins at.
+PLACE = ("chunk", "pass", "max_steps", "chunk_rows", "begins")
+
+
+class Round(NamedTuple):
+    """What is trained in one job: passes ``first`` to ``until``, or of one pass the ranks ``low`` to ``high`` (None: the end).
+
+    A round of whole passes is ``resident``: its chunks are small enough to be held and put in each pass's order in the task.
+    Of a whole-chunk batch ``piece`` rows are multiplied at once.
+    """
+
+    first: int
+    until: int
+    low: int = 0
+    high: int | None = None
+    resident: bool = False
+    piece: int = PIECE
+
+
+def rounds_of(sizes: np.ndarray, batch_size: int | None, epochs: int, step_rule: str, rows_per_round: int) -> list[Round]:
+    """Rounds of at most ``rows_per_round`` rows of a chunk (in whole batches), for chunks of these sizes."""
+    if step_rule not in STEP_RULES:
+        raise ValueError(f"unknown step rule {step_rule!r}")
+    if step_rule == "epochs_x_batch" and batch_size is None:
+        raise ValueError("epochs_x_batch needs a batch size")
+    unit = batch_size or PIECE
+    most = max(1, rows_per_round // unit) * unit
+    sizes = np.unique(sizes[sizes >= (batch_size or 1)])
+    if not len(sizes):
+        return [Round(0, 1, resident=True, piece=PIECE)]
+    if batch_size is None:
+        # A whole-chunk batch is evaluated by reading it once more after the last update.
+        per_pass, needed = sizes, sizes * (epochs + 1)
+    else:
+        per_pass = sizes // batch_size * batch_size
+        needed = per_pass * epochs if step_rule == "full_pass" else np.full(len(sizes), epochs * batch_size**2)
+    passes, longest = int((-(-needed // per_pass)).max()), int(sizes.max())
+    if longest <= most and (step_rule == "full_pass" or needed.max() >= longest):
+        each = max(1, most // longest)
+        return [Round(a, min(a + each, passes), resident=True, piece=PIECE) for a in range(0, passes, each)]
+    out = []
+    for n in range(passes):
+        here = int(np.minimum(per_pass, needed - n * per_pass).max())
+        whole = int(per_pass[needed > n * per_pass].max())
+        for low in range(0, here, most):
+            high = low + most if low + most < here else here if here < whole else None
+            out.append(Round(n, n + 1, low, high, piece=PIECE))
+    return out
 
 
 def training_rows(
     chunked: DataFrame,
     batch_size: int | None,
     num_partitions: int,
+    now: Round,
     ids: Sequence[str] = ("row_id",),
     seed: int = 42,
     epochs: int = 1,
     step_rule: str = "full_pass",
     ties: Sequence[str] = (),
-    first: int = 0,
-    until: int | None = None,
     states: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of each chunk in one partition, in training order, for passes ``first`` to ``until``.
+    """The rows of one round, those of a chunk in one partition and in order.
 
-    Rows are exchanged once, to the partition of their chunk's number, so chunks
-    share a task only where there are more of them than partitions. The passes are
-    laid out and sorted after that exchange. A state (``replica, state``) that a
-    replica is to go on from comes as the first row of its chunk.
+    Rows are exchanged once, to the partition of their chunk's number, so chunks share a task only where
+    there are more of them than partitions. In a round of whole passes a row comes once, in the order of its
+    id, with the text its order keys are made from; of a part of a pass only that part's rows are exchanged,
+    and come in the order of the pass. A state (``replica, state``) that a replica is to go on from comes as
+    the first row of its chunk.
     """
-    capped = batch_size and step_rule == "epochs_x_batch"
-    if capped:
-        # Only the rows of the first steps; few are left to exchange.
-        rows = minibatches(chunked, batch_size, epochs, step_rule, ids, seed, ties)
+    rows = trainable(chunked, batch_size or 1)
+    max_steps, _ = pass_range(batch_size, epochs, step_rule)
+    rows = rows.withColumn("max_steps", max_steps)
+    if now.resident:
+        key = F.concat_ws(":", F.lit(""), *[F.col(c).cast("string") for c in ids])
+        rows, order = rows.withColumn("_key", key), [*ids, *ties]
     else:
-        rows = trainable(chunked, batch_size or 1)
+        in_pass, place = F.lit(now.first), F.struct("_h", *ids, *ties)
+        rows = rows.withColumn("pass", in_pass).withColumn("_h", order_key(seed, ids)).withColumn("_key", F.lit(None).cast("string"))
+        order = ["_h", *ids, *ties]
+        if now.high is not None:
+            cuts = pass_cuts(trainable(chunked, batch_size or 1), in_pass, lambda n: now.high, ids, seed, ties)
+            rows = rows.join(F.broadcast(cuts), "chunk", "left").where(F.col("cut").isNull() | (place < F.col("cut"))).drop("cut")
+        if now.low:
+            cuts = pass_cuts(trainable(chunked, batch_size or 1), in_pass, lambda n: now.low, ids, seed, ties)
+            rows = rows.join(F.broadcast(cuts), "chunk").where(place >= F.col("cut")).drop("cut")
     rows = rows.withColumn("_state", F.lit(None).cast("binary"))
     if states is not None:
         begun = states.select(F.col("replica").alias("chunk"), F.col("state").alias("_state"))
         rows = rows.unionByName(begun, allowMissingColumns=True)
     rows = rows.repartitionById(num_partitions, F.col("chunk").cast("int"))
-    before = F.lit(first - 1)
-    if capped:
-        rows = rows.withColumn("pass", F.coalesce("pass", before))
-    else:
-        # A whole-chunk batch is evaluated by reading it once more after the last update.
-        max_steps, passes = pass_range(batch_size, epochs, step_rule, 0 if batch_size else 1, first, until)
-        passes = F.when(F.col("_state").isNotNull(), F.array(before)).otherwise(passes)
-        rows = rows.withColumn("max_steps", max_steps).withColumn("pass", F.explode(passes))
+    rows = rows.sortWithinPartitions("chunk", F.col("_state").isNull(), *order)
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("max_steps", "chunk_rows")})
-    ordered = rows.withColumn("_h", order_key(seed, ids))
-    ordered = ordered.sortWithinPartitions("chunk", "pass", "_h", *ids, *ties)
-    return ordered.select(*PLACE, "features", "label", "_state")
+    place = [F.lit(now.first).alias("pass"), "max_steps", "chunk_rows", F.lit(now.low).cast("long").alias("begins")]
+    return rows.select("chunk", *place, "features", "label", "_key", "_state")
 
 
 def states_of(weights: DataFrame) -> DataFrame:
@@ -123,20 +174,19 @@ def train_replicas(
     weight_decay: float = 0.0,
     keep_checkpoints: int | None = None,
     ties: Sequence[str] = (),
-    first: int = 0,
-    until: int | None = None,
+    now: Round | None = None,
     states: DataFrame | None = None,
     final: bool = True,
 ) -> DataFrame:
     """Trains one replica per chunk, in the order of ``minibatches``, from ``params`` or its state.
 
-    The task of a chunk reads its rows as a stream: it holds the net and one batch,
-    whatever the size of the chunk. ``keep_checkpoints`` is how many evaluated steps
-    to keep weights of, the last one included; None keeps all. Passes ``first`` to
-    ``until`` are trained; unless ``final``, each replica leaves a state (net,
-    optimizer, counts) from which the next passes go on.
+    A task holds the net and the rows of a resident round, or, of a part of a pass, the net and one batch.
+    ``keep_checkpoints`` is how many evaluated steps to keep weights of, the last one included; None keeps
+    all. What ``now`` covers is trained (by default all passes); unless ``final``, each replica leaves a
+    state (net, optimizer, counts, what a batch has added up so far) from which the next round goes on.
     """
-    ordered = training_rows(chunked, spec.batch_size, num_partitions, ids, seed, epochs, step_rule, ties, first, until, states)
+    now = Round(0, 1 << 30, resident=True) if now is None else now
+    ordered = training_rows(chunked, spec.batch_size, num_partitions, now, ids, seed, epochs, step_rule, ties, states)
     make_optimizer = cell.OPTIMIZERS.get(optimizer, optimizer)
     shared = broadcast(chunked.sparkSession, params)
 
@@ -145,16 +195,18 @@ def train_replicas(
         piece = next(pieces)
         given = cloudpickle.loads(piece[2]) if piece[3] is None else {}
         flat = given["flat"] if given else shared.value.copy()
-        grad, more = np.empty_like(flat), np.empty_like(flat)
+        grad, more = given.get("grad", np.empty_like(flat)), np.empty_like(flat)
         weights, grads, more_grads = spec.views(flat), spec.views(grad), spec.views(more)
         slots, decayed = slice(0, spec.slots), flat[: spec.decayed()]
         solver = given.get("solver") or make_optimizer(learning_rate)
         kept: deque = deque(given.get("kept", ()), maxlen=keep_checkpoints)
-        rows, steps, loss, hits = given.get("rows", 0), given.get("steps", 0), 0, 0
+        rows, steps, loss, hits = (given.get(name, 0) for name in ("rows", "steps", "loss", "hits"))
         waiting = given.get("waiting")  # whole-chunk batches: the step whose metrics this pass gives
-        for (_, in_pass, max_steps, chunk_rows), at, x, y in pieces if given else chain([piece], pieces):
+        for (_, in_pass, max_steps, chunk_rows, _), at, x, y in pieces if given else chain([piece], pieces):
             size = spec.batch_size or chunk_rows
             step = in_pass * (chunk_rows // size) + at // size
+            if step >= max_steps and waiting is None:
+                continue
             opens, closes = at % size == 0, at % size + len(y) == size
             logits = cell.gradients(weights, grads if opens else more_grads, spec, x, y, slots, 1 / size)
             if not opens:
@@ -185,7 +237,7 @@ def train_replicas(
                     kept.append((step, cell.to_rows(weights)))
         seconds = given.get("seconds", 0.0) + time.perf_counter() - began
         if not final:
-            left = {"flat": flat, "solver": solver, "kept": list(kept), "rows": rows, "steps": steps, "waiting": waiting, "seconds": seconds}
+            left = {"flat": flat, "grad": grad, "solver": solver, "kept": list(kept), "rows": rows, "steps": steps, "loss": loss, "hits": hits, "waiting": waiting, "seconds": seconds}
             yield _batch([{"kind": "state", "replica": chunk, "state": cloudpickle.dumps(left)}])
             return
         for step, tensors in kept:
@@ -193,20 +245,75 @@ def train_replicas(
         yield _batch([{"kind": "runs", "replica": chunk, "rows": rows, "steps": steps, "seconds": seconds}])
 
     def replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, pieces in groupby(_pieces(batches, spec), key=lambda piece: piece[0][0]):
-            yield from replica(chunk, pieces)
+        pieces = _in_passes(batches, spec, now, seed) if now.resident else _pieces(batches, spec, now.piece)
+        for chunk, of_chunk in groupby(pieces, key=lambda piece: piece[0][0]):
+            yield from replica(chunk, of_chunk)
 
     return ordered.mapInArrow(replicas, OUTPUT)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], spec: NetSpec):
+def _examples(batch: pa.RecordBatch, spec: NetSpec) -> tuple[np.ndarray, np.ndarray]:
+    if batch.column("label").null_count:
+        raise ValueError("null labels; see valid_examples")
+    features, labels = matrix(batch.column("features"), spec.in_features), batch.column("label").to_numpy()
+    if labels.min() < 0 or labels.max() >= spec.num_classes:
+        raise ValueError(f"label outside 0..{spec.num_classes - 1}")
+    return features, labels
+
+
+def _in_passes(batches: Iterator[pa.RecordBatch], spec: NetSpec, now: Round, seed: int):
+    """Pieces of whole passes, see :func:`_pieces`: a chunk's rows are kept and put in each pass's order.
+
+    The order is that of ``order_key``; rows with equal keys stay in the order they come in.
+    """
+
+    def passes(place: tuple, held: list):
+        x, y = (np.concatenate(part) for part in list(zip(*held))[:2])
+        keys = [key for part in held for key in part[2]]
+        chunk, _, max_steps, n, _ = place
+        size = spec.batch_size or n
+        per_pass = n // size
+        last = -(-max_steps // per_pass) + (0 if spec.batch_size else 1)
+        for k in range(now.first, min(now.until, last)):
+            digests = b"".join(md5(f"{seed}:{k}{key}".encode()).digest() for key in keys)
+            order = np.lexsort(np.frombuffer(digests, ">u8").reshape(-1, 2).T[::-1])
+            unit, end = spec.batch_size or now.piece, per_pass * size
+            for at in range(0, end, unit):
+                rows = order[at : min(at + unit, end)]
+                yield (chunk, k, max_steps, n, 0), at, x[rows], y[rows]
+
+    place, held = None, []
+    for batch in _between_states(batches):
+        places = [batch.column(c).to_numpy() for c in PLACE]
+        state = batch.column("_state")[0].as_py()
+        if state is not None:
+            if held:
+                yield from passes(place, held)
+            place, held = None, []
+            yield tuple(int(p[0]) for p in places), 0, state, None
+            continue
+        features, labels = _examples(batch, spec)
+        chunk = places[0]
+        starts = np.flatnonzero(np.append(True, np.diff(chunk) != 0))
+        for a, b in zip(starts, [*starts[1:], len(chunk)]):
+            here = tuple(int(p[a]) for p in places)
+            if here != place:
+                if held:
+                    yield from passes(place, held)
+                place, held = here, []
+            held.append((features[a:b], labels[a:b], batch.column("_key").slice(a, b - a).to_pylist()))
+    if held:
+        yield from passes(place, held)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], spec: NetSpec, piece: int = PIECE):
     """Cuts ordered rows into ``(place, at, x, y)``, alike for any Arrow batch size.
 
     ``at`` numbers the first row within its pass. A piece is one batch; rows left
-    over at the end of a pass are dropped. Of a whole-chunk batch it is PIECE rows.
+    over at the end of a pass are dropped. Of a whole-chunk batch it is ``piece`` rows.
     A state is a piece of its own: ``(place, 0, state, None)``.
     """
-    unit = spec.batch_size or PIECE
+    unit = spec.batch_size or piece
     place, at, x, y = None, 0, None, ()
     for batch in _between_states(batches):
         places = [batch.column(c).to_numpy() for c in PLACE]
@@ -217,13 +324,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], spec: NetSpec):
             place, at, x, y = None, 0, None, ()
             yield tuple(int(p[0]) for p in places), 0, state, None
             continue
-        if batch.column("label").null_count:
-            raise ValueError("null labels; see valid_examples")
-        features, labels = matrix(batch.column("features"), spec.in_features), batch.column("label").to_numpy()
-        if labels.min() < 0 or labels.max() >= spec.num_classes:
-            raise ValueError(f"label outside 0..{spec.num_classes - 1}")
-        chunk, in_pass = places[0], places[1]
-        starts = np.flatnonzero(np.append(True, (np.diff(chunk) != 0) | (np.diff(in_pass) != 0)))
+        features, labels = _examples(batch, spec)
+        chunk = places[0]
+        starts = np.flatnonzero(np.append(True, np.diff(chunk) != 0))
         for a, b in zip(starts, [*starts[1:], len(chunk)]):
             here = tuple(int(p[a]) for p in places)
             if here == place and len(y):
@@ -232,7 +335,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], spec: NetSpec):
                 if here != place:
                     if len(y) and spec.batch_size is None:
                         yield place, at, x, y
-                    place, at = here, 0
+                    place, at = here, here[-1]
                 x, y = features[a:b], labels[a:b]
             whole = len(y) - len(y) % unit
             for k in range(0, whole, unit):

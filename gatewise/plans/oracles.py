@@ -306,8 +306,19 @@ done AS (
   WHERE step > 0 AND ((step - 1) % {EVERY} = 0 OR step = steps))"""
 
 
-def trained(passes: int) -> str:
-    return f"""{adam(PLANTED, LINE_TEXT, LINE_ORDER, passes)},
+# Whole numbers read from lines; a row's key is the digest of its content as JSON, and its number among its copies.
+LINES = f"""lines AS (
+  SELECT *, '{{"features":[' || x0 || ',' || x1 || ',' || x2 || ',' || x3 || '],"label":' || label || '}}' AS json
+  FROM (SELECT floor(l_quantity / 10)::DOUBLE AS x0, l_linenumber::DOUBLE AS x1, floor(l_discount * 50)::DOUBLE AS x2, floor(l_tax * 50)::DOUBLE AS x3,
+               CASE WHEN l_quantity / 50 <= 0.34 THEN 0 WHEN l_quantity / 50 <= 0.67 THEN 1 ELSE 2 END AS label FROM lineitem)),
+copies AS (SELECT *, md5(json) AS content, row_number() OVER (PARTITION BY json) - 1 AS copy FROM lines),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY md5('42:' || content || ':' || copy), content, copy) - 1 AS rank, count(*) OVER () AS n FROM copies),
+chunked AS (SELECT *, {SPREAD} AS chunk FROM (SELECT *, 4 AS p FROM ranked))"""
+
+
+def trained(passes: int, source: str = PLANTED, key: str = LINE_TEXT, order: str = LINE_ORDER) -> str:
+    return f"""{adam(source, key, order, passes)},
 last AS (SELECT * FROM done WHERE step + 1 = steps)
 {unit_elements('last', BATCH, 'replica', 'step')}"""
 
@@ -522,6 +533,8 @@ SELECT o_orderkey, CASE WHEN rank < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'va
     "latest_checkpoint": LATEST,
     "train_weights": trained(1),
     "train_two_passes": trained(2),
+    "train_resumed": trained(2),
+    "train_csv": trained(1, LINES, "content || ':' || copy", "content, copy"),
     "train_decay_metrics": DECAYED,
     "checkpoints": CHECKPOINTS,
     "train_metrics": train_metrics(ADAM),

@@ -408,8 +408,30 @@ def train_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_two_passes(spark: SparkSession, sf: str) -> DataFrame:
-    """Two passes, each a job that goes on from the state the one before left."""
-    done = planted_fit(spark, sf, learning_rate=1e-2, epochs=2, passes_per_round=1)
+    """Two passes, cut into jobs within them, each of which goes on from the state the one before left."""
+    rows = X.read_table(spark, sf, "lineitem").count()
+    done = planted_fit(spark, sf, learning_rate=1e-2, epochs=2, rows_per_round=rows // 6)
+    return elements(done.final(), "values", "replica", "step", *weights.TENSOR)
+
+
+def train_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same run, stopped after its first job and gone on with."""
+    rows, path = X.read_table(spark, sf, "lineitem").count(), new_path(spark, "resumed")
+    options = dict(learning_rate=1e-2, epochs=2, rows_per_round=rows // 6, output_path=path)
+    planted_fit(spark, sf, max_rounds=1, **options)
+    done = planted_fit(spark, sf, resume=True, **options)
+    return elements(done.final(), "values", "replica", "step", *weights.TENSOR)
+
+
+def train_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of whole numbers, many of them alike, written and fitted without a key."""
+    path = new_path(spark, "train-csv")
+    fields = ["l_quantity / 10", "l_linenumber", "l_discount * 50", "l_tax * 50"]
+    band = "CASE WHEN l_quantity / 50 <= 0.34 THEN 0 WHEN l_quantity / 50 <= 0.67 THEN 1 ELSE 2 END"
+    lines = X.read_table(spark, sf, "lineitem").select(*[F.floor(F.expr(f)).alias(f"x{i}") for i, f in enumerate(fields)], F.expr(band).alias("y"))
+    lines.select(F.concat_ws(",", *lines.columns).alias("value")).write.text(path)
+    start = formula_model(1, batch_size=10)
+    done = fit(X.read_csv(spark, path, 4), start.spec, ids=None, seed=SEED, init=start, learning_rate=1e-2, evaluate_every=100, keep_checkpoints=1)
     return elements(done.final(), "values", "replica", "step", *weights.TENSOR)
 
 
@@ -508,6 +530,8 @@ QUERIES = {
     "latest_checkpoint": latest_checkpoint,
     "train_weights": train_weights,
     "train_two_passes": train_two_passes,
+    "train_resumed": train_resumed,
+    "train_csv": train_csv,
     "train_decay_metrics": train_decay_metrics,
     "checkpoints": checkpoints,
     "train_metrics": train_metrics,

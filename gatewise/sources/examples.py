@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gatewise.functions.columns import vector
 
@@ -24,27 +23,15 @@ def read_csv(spark: SparkSession, path: str, in_features: int = 4) -> DataFrame:
     """Header-less numeric CSV: ``in_features`` fields, then the class id.
 
     Blank lines and lines of one field are skipped. A line of another width, or a
-    field that is not a number, stops the job. Lines carry no key, so the result
-    has none; :func:`gatewise.rank_copies` gives each row one.
+    field that is not a number, stops the job, whichever columns are read: a line's
+    fields and their check are one expression, which gives the line's row or none.
+    Lines carry no key, so the result has none; ``fit(ids=None)`` gives each row one.
     """
-    names = [f"x{i}" for i in range(in_features)] + ["y"]
-    fields = [T.StructField(n, T.StringType()) for n in [*names, "bad_line"]]
-    lines = spark.read.csv(
-        path,
-        schema=T.StructType(fields),
-        header=False,
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord="bad_line",
-    )
-    one_field = F.coalesce(~F.contains("bad_line", F.lit(",")), F.lit(False))
-    wrong_width = F.raise_error(F.concat(F.lit("wrong number of fields: "), F.col("bad_line")))
+    fields = F.transform(F.split(F.trim(F.col("value"), F.lit(" \t\r")), ","), _bare)
     return (
-        lines.where(~one_field)
-        .withColumn("x0", F.when(F.col("bad_line").isNull(), F.col("x0")).otherwise(wrong_width))
-        .select(
-            F.array(*[_number(n, "double") for n in names[:-1]]).alias("features"),
-            _number("y", "long").alias("label"),
-        )
+        spark.read.text(path)
+        .select(F.explode(_example(fields, in_features)).alias("row"))
+        .select("row.features", "row.label")
     )
 
 
@@ -62,8 +49,24 @@ def label_mismatches(df: DataFrame, label: str, other: str) -> DataFrame:
     )
 
 
-def _number(name: str, kind: str) -> Column:
-    text = F.trim(F.col(name))
-    value = text.try_cast(kind)
-    error = F.raise_error(F.concat(F.lit("not a number: "), F.coalesce(text, F.lit("<missing>"))))
-    return F.coalesce(value, error.cast(kind))
+def _bare(field: Column) -> Column:
+    """A field without space and quotation marks around it; numbers hold neither."""
+    return F.trim(F.trim(field), F.lit('"'))
+
+
+def _example(fields: Column, in_features: int) -> Column:
+    """The line's example as an array of one, or of none if the line is to be skipped."""
+    numbers = F.transform(F.slice(fields, 1, in_features), lambda f: f.try_cast("double"))
+    label = F.element_at(fields, -1).try_cast("long")
+    said = F.concat_ws(",", fields)
+    row = F.array(F.struct(numbers.alias("features"), label.alias("label")))
+
+    def stop(text: str) -> Column:
+        return F.raise_error(F.concat(F.lit(text), said)).cast("array<struct<features:array<double>,label:bigint>>")
+
+    return (
+        F.when(F.size(fields) < 2, F.slice(row, 1, 0))
+        .when(F.size(fields) != in_features + 1, stop("wrong number of fields: "))
+        .when(F.exists(numbers, F.isnull) | label.isNull(), stop("not a number: "))
+        .otherwise(row)
+    )

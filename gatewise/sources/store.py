@@ -42,6 +42,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    """A path of Hadoop's, and the file system it lies in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all."""
+    where, files = _file_system(spark, path)
+    part = where.suffix(".part")
+    out = files.create(part, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    if not files.rename(part, where):
+        raise OSError(f"can't write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where, files = _file_system(spark, path)
+    stream = files.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def listed(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Files of a folder, in the order of their names."""
+    where, files = _file_system(spark, f"{folder}/{pattern}")
+    return sorted(str(f.getPath().toString()) for f in files.globStatus(where) or ())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes what an earlier run has written to its own folder."""
+    where, files = _file_system(spark, folder)
+    files.delete(where, True)
+
+
 def broadcast(spark: SparkSession, value) -> Broadcast:
     """Broadcasts ``value``, once this package has been sent to the executors."""
     context = spark.sparkContext

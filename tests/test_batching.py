@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewise import eval_flag, minibatches, trainable
+from gatewise.operators import batching, places
 
 
 def chunk(spark, n, chunks=1):
@@ -40,11 +41,27 @@ def test_step_cap_of_the_other_rule(spark, n, epochs, passes):
 
 
 @pytest.mark.parametrize("epochs", [2, 20])
-def test_step_cap_leaves_buckets_out_before_rows_move(spark, epochs):
-    df = minibatches(chunk(spark, 40_000), 10, epochs, "epochs_x_batch")
-    assert df.count() == epochs * 100
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert f"< {epochs * 100})" in plan or f"< {epochs * 100}" in plan
+def test_rows_past_the_cap_go_before_any_row_moves(spark, epochs):
+    chunked = chunk(spark, 40_000, 3)
+    df = minibatches(chunked, 10, epochs, "epochs_x_batch")
+    assert df.count() == epochs * 100 * 3
+    passes = batching.in_passes(chunked, 10, epochs, "epochs_x_batch").withColumn("_h", batching.order_key(42, ["row_id"]))
+    kept = batching.before_cap(passes, chunked, 10, epochs, ["row_id"], 42, [])
+    assert kept.count() == epochs * 100 * 3  # exactly the rows of the steps
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("BroadcastExchange")[0] and "Window" not in plan
+
+
+def test_cuts_are_the_rows_at_their_ranks(spark, monkeypatch):
+    monkeypatch.setattr(places, "FEW", 2)
+    df = chunk(spark, 700, 2).withColumn("t", F.col("row_id")).withColumn("row_id", F.floor(F.col("row_id") / 120))
+    for rank in (0, 1, 350, 699):
+        cuts = {r.chunk: r.cut for r in batching.pass_cuts(df, F.lit(3), lambda n: rank, ["row_id"], 7, ["t"]).collect()}
+        ranked = df.withColumn("pass", F.lit(3)).withColumn("_h", batching.order_key(7, ["row_id"])).collect()
+        for c in (0, 1):
+            order = sorted((r["_h"], r.row_id, r.t) for r in ranked if r.chunk == c)
+            assert tuple(cuts[c]) == order[rank]
+    assert batching.pass_cuts(df, F.lit(0), lambda n: n, ["row_id"], 7, ["t"]).count() == 0
 
 
 def test_the_cap_needs_a_batch_size(spark):

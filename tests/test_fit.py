@@ -6,8 +6,10 @@ from gatewise import Model, NetSpec, assign_chunks, average_weights, chunk_rows,
 from gatewise.functions import cell
 from gatewise.functions.columns import argmax, vector
 from gatewise.operators import fit as fit_module
-from gatewise.operators import train
+from gatewise.operators import prep, train
 from gatewise.operators.weights import weight_decay_loss
+from gatewise.sources.examples import read_csv
+from gatewise.sources.store import cut
 
 
 def planted(spark, n=400):
@@ -189,31 +191,65 @@ def test_custom_optimizer_and_initializer(spark):
 
 
 @pytest.mark.parametrize("rule", ["full_pass", "epochs_x_batch"])
-def test_kernel_cuts_the_batches_of_the_relational_form(spark, rule):
+@pytest.mark.parametrize("rows_per_round", [1 << 20, 60, 20, 10])
+def test_kernel_cuts_the_batches_of_the_relational_form(spark, rule, rows_per_round):
     df = spark.range(130).select(F.col("id").alias("row_id"), vector("id").alias("features"), F.lit(0).cast("long").alias("label"))
     chunked, spec = chunk_rows(rank_rows(df), 5), NetSpec(1, (1,), 1, 10)
-    ordered = train.training_rows(chunked, 10, 3, epochs=2, step_rule=rule)
-
-    def steps(batches):
-        for (chunk, in_pass, _, rows), at, x, _ in train._pieces(batches, spec):
-            for slot, row in enumerate(x[:, 0]):
-                row = [int(v) for v in (chunk, in_pass * (rows // 10) + at // 10, slot, row)]
-                yield train.pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("chunk", "step", "slot", "row"), row)})
-
-    got = ordered.mapInArrow(steps, "chunk long, step long, slot long, row long").collect()
+    rounds = train.rounds_of(prep.sizes_of_chunks(130, 5), 10, 2, rule, rows_per_round)
+    assert (len(rounds) > 1) == (rows_per_round < (60 if rule == "full_pass" else 260))
+    got = []
+    for now in rounds:
+        ordered = train.training_rows(chunked, 10, 3, now, epochs=2, step_rule=rule)
+
+        def steps(batches):
+            cut = train._in_passes(batches, spec, now, 42) if now.resident else train._pieces(batches, spec)
+            for (chunk, in_pass, most, rows, _), at, x, _ in cut:
+                for slot, row in enumerate(x[:, 0]):
+                    row = [int(v) for v in (chunk, in_pass * (rows // 10) + at // 10, slot, row)]
+                    if row[1] < most:
+                        yield train.pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("chunk", "step", "slot", "row"), row)})
+
+        got += ordered.mapInArrow(steps, "chunk long, step long, slot long, row long").collect()
     want = minibatches(chunked, 10, 2, rule).select("chunk", "step", "slot", "row_id").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 0
 
 
+@pytest.mark.parametrize("batch_size", [7, None])
+@pytest.mark.parametrize("rule", ["full_pass", "epochs_x_batch"])
+def test_rounds_cover_every_row_once(monkeypatch, batch_size, rule):
+    monkeypatch.setattr(train, "PIECE", 7)
+    if batch_size is None and rule == "epochs_x_batch":
+        with pytest.raises(ValueError, match="batch size"):
+            train.rounds_of(np.array([9]), None, 1, rule, 9)
+        return
+    for sizes in ([5], [7], [100, 99], [50, 50, 8], [1000]):
+        for epochs in (1, 2, 9):
+            for rows in (1, 7, 30, 100, 5000):
+                rounds = train.rounds_of(np.array(sizes), batch_size, epochs, rule, rows)
+                places = [(r.first, r.low) for r in rounds]
+                assert places == sorted(set(places)) and all(r.resident or r.until == r.first + 1 for r in rounds)
+                for n in sizes:
+                    size = batch_size or n
+                    if n < size:
+                        continue
+                    steps = epochs * (n // size if rule == "full_pass" else size) if batch_size else epochs + 1
+                    for step in range(steps):
+                        k, at = divmod(step * size, n // size * size)
+                        within = [r for r in rounds if r.first <= k < r.until and r.low <= at and (r.high is None or at + size <= r.high)]
+                        assert len(within) == 1 or batch_size is None
+                    assert all(r.high is None or r.high - r.low <= max(7, rows) for r in rounds)
+
+
 def test_training_plan(spark):
     chunked = assign_chunks(planted(spark), 4)
-    out = train.train_replicas(chunked, SPEC, cell.init_params(SPEC, 1), 4, epochs=3)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    # rows move once, to their chunk; the passes are laid out after that
-    rows = plan.split("BroadcastExchange")[0]
-    assert rows.count("Exchange ") == 1 and "Exchange shufflepartitionidpassthrough" in rows
-    assert rows.index("MapInArrow") < rows.index("Sort") < rows.index("explode") < rows.index("passthrough")
-    assert "BroadcastExchange" in plan
+    for now in (train.Round(0, 3, resident=True), train.Round(1, 2, 40, 80)):
+        out = train.train_replicas(chunked, SPEC, cell.init_params(SPEC, 1), 4, epochs=3, now=now)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # rows move once, to their chunk, and one copy of them is sorted
+        rows = plan.split("BroadcastExchange")[0]
+        assert rows.count("Exchange ") == 1 and "Exchange shufflepartitionidpassthrough" in rows
+        assert rows.index("MapInArrow") < rows.index("Sort") < rows.index("passthrough") and "explode" not in plan
+        assert "BroadcastExchange" in plan
 
 
 def test_ties_tell_rows_apart(spark):
@@ -222,15 +258,71 @@ def test_ties_tell_rows_apart(spark):
     assert weights_of(done) == weights_of(fit(df.repartition(7), SPEC, ties=["t"], num_chunks=2))
 
 
+def outcome(done):
+    """Weights, metrics and report of a run, without times."""
+    said = sorted(map(tuple, done.metrics.collect()), key=str)
+    return weights_of(done), said, sorted(map(tuple, done.runs.select("replica", "rows", "steps").collect())), done.totals.select("rows", "steps").collect()
+
+
 @pytest.mark.parametrize("batch_size", [10, None])
-def test_rounds_train_as_one_job_does(spark, batch_size):
-    spec, options = NetSpec(4, (3,), 3, batch_size), dict(num_chunks=3, epochs=5, evaluate_every=2, weight_decay=0.01)
-    whole, rounds = (fit(planted(spark, 100), spec, passes_per_round=n, **options) for n in (99, 2))
-    assert weights_of(whole) == weights_of(rounds)
-    said = [sorted(map(tuple, d.metrics.collect())) for d in (whole, rounds)]
-    assert said[0] == said[1] and len(said[0]) > 0
-    ran = [sorted(map(tuple, d.runs.select("replica", "rows", "steps").collect())) for d in (whole, rounds)]
-    assert ran[0] == ran[1]
+def test_rounds_train_as_one_job_does(spark, monkeypatch, batch_size):
+    monkeypatch.setattr(train, "PIECE", 10)
+    spec, options = NetSpec(4, (3,), 3, batch_size), dict(num_chunks=3, epochs=4, evaluate_every=2, weight_decay=0.01)
+    whole = outcome(fit(planted(spark, 100), spec, **options))
+    assert all(map(len, whole))
+    for rows, count in ((70, 3 if batch_size is None else 2), (20, 10 if batch_size is None else 8)):
+        rounds = train.rounds_of(prep.sizes_of_chunks(100, 3), batch_size, 4, "full_pass", rows)
+        assert len(rounds) == count
+        assert outcome(fit(planted(spark, 100), spec, rows_per_round=rows, **options)) == whole
+
+
+@pytest.mark.parametrize("batch_size, rule", [(10, "full_pass"), (None, "full_pass"), (5, "epochs_x_batch")])
+def test_a_run_that_stopped_goes_on(spark, tmp_path, monkeypatch, batch_size, rule):
+    monkeypatch.setattr(train, "PIECE", 10)
+    spec, df = NetSpec(4, (3,), 3, batch_size), planted(spark, 100)
+    options = dict(num_chunks=3, epochs=2, evaluate_every=2, keep_checkpoints=2, step_rule=rule, rows_per_round=20)
+    whole = fit(df, spec, **options)
+    path = f"{tmp_path}/fit"
+    first = fit(df, spec, output_path=path, max_rounds=1, **options)
+    assert first.runs.count() == 0 and (first.metrics.count() > 0) == (batch_size is not None)  # what is committed can be read
+    second = fit(df.repartition(5), spec, output_path=path, max_rounds=1, resume=True, **options)
+    assert second.runs.count() == 0 and (second.metrics.count() > first.metrics.count()) == (batch_size is not None)
+    # A round whose job ended before its commit leaves nothing that counts.
+    (tmp_path / "fit/run_id=run/round=2/kind=metrics").mkdir(parents=True)
+    (tmp_path / "fit/run_id=run/round=2/kind=metrics/part-0.parquet").write_bytes(b"broken off")
+    last = fit(df, spec, output_path=path, resume=True, **options)
+    assert outcome(last) == outcome(whole)
+    assert outcome(fit(df, spec, output_path=path, resume=True, **options)) == outcome(whole)  # nothing left to do
+    with pytest.raises(ValueError, match="seed"):
+        fit(df, spec, output_path=path, resume=True, seed=7, **options)
+    with pytest.raises(ValueError, match="output_path"):
+        fit(df, spec, resume=True)
+
+
+def test_a_chunk_has_one_row_in_the_report(spark):
+    first = fit(planted(spark, 25), SPEC, num_chunks=3)
+    start = latest_checkpoint(first.weights, "replica")
+    more = start.where("replica = 0").withColumn("replica", F.explode(F.array(*[F.lit(n).cast("long") for n in range(3)])))
+    runs = fit(planted(spark, 25), SPEC, num_chunks=2, remainder="extra", init=more).runs
+    assert sorted(map(tuple, runs.select("replica", "rows", "steps").collect())) == [(0, 10, 1), (1, 10, 1), (2, 1, 0)]
+
+
+def test_training_from_a_file(spark, tmp_path):
+    rows = planted(spark, 120).collect()
+    path = tmp_path / "train.csv"
+    path.write_text("\n".join(",".join(map(str, [*r.features, r.label])) + "\n" * (r.row_id % 3) for r in rows))
+    done = fit(read_csv(spark, str(path), 4), SPEC, ids=None, num_chunks=2)
+    assert done.runs.agg(F.sum("rows")).first()[0] == 120 and done.model().flat.shape == (SPEC.parameters(),)
+    by_key = fit(planted(spark, 120).select("features", "label"), SPEC, ids=None, num_chunks=2)
+    assert weights_of(done) == weights_of(by_key)
+
+
+def test_a_run_is_few_jobs(spark):
+    status, df = spark.sparkContext.statusTracker(), cut(planted(spark, 400))
+    spark.sparkContext.setJobGroup("few", "one run")
+    fit(df, SPEC, epochs=12)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(status.getJobIdsForGroup("few")) < 10
 
 
 def test_each_replica_goes_on_from_its_own_weights(spark):

@@ -20,10 +20,21 @@ def test_csv_skips_blank_and_one_field_lines(spark, tmp_path):
 
 
 @pytest.mark.parametrize("line", ["1,2,3", "1,2,3,4,0,9", "1,x,3,4,0", "1,2,3,4,zero", "1,2,3,4,", "5.1,,1.4", "1,,2,3,0,9"])
-def test_csv_stops_at_bad_lines(spark, tmp_path, line):
-    path = write(tmp_path, f"5.1,3.5,1.4,0.2,0\n{line}\n")
+def test_csv_stops_at_bad_lines_whatever_is_read(spark, tmp_path, line):
+    df = read_csv(spark, write(tmp_path, f"5.1,3.5,1.4,0.2,0\n{line}\n"), 4)
+    for read in (df, df.select("label"), df.select("features"), df.groupBy("label").count(), df.agg(F.count(F.lit(1)))):
+        with pytest.raises(PySparkException, match="wrong number of fields|not a number"):
+            read.collect()
     with pytest.raises(PySparkException):
-        read_csv(spark, path, 4).collect()
+        df.count()
+
+
+def test_csv_can_be_counted_and_pruned(spark, tmp_path):
+    path = write(tmp_path, '5.1,3.5,1.4,0.2,0\r\n\r\n7\n \t\n"4.9", 3.0,1.4,"0.2",1\n1e-3,.5,-2,+4,2')
+    df = read_csv(spark, path, 4)
+    assert df.count() == 3 and sorted(r.label for r in df.select("label").collect()) == [0, 1, 2]
+    assert df.where("label = 1").first().features == [4.9, 3.0, 1.4, 0.2]
+    assert df.where("label = 2").first().features == [0.001, 0.5, -2.0, 4.0]
 
 
 def test_csv_with_one_feature(spark, tmp_path):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -63,8 +62,8 @@ def l2_loss(values: Column) -> Column:
 
 
 # The recurrent cell as columns. Written out term by term, a small net stays in
-# generated code; ``gate_array`` takes a layer of any width, and ``operators.score``
-# is the job for whole nets.
+# generated code; ``operators.score`` is the job for whole nets, ``operators.blocks``
+# for layers of any width.
 
 
 def affine(inputs: Sequence[Column], weights: Sequence[Sequence[float]], bias: Sequence[float]) -> list[Column]:
@@ -78,23 +77,6 @@ def affine(inputs: Sequence[Column], weights: Sequence[Sequence[float]], bias: S
     return out
 
 
-def gate_array(x: Column, h: Column, wx, wh, bias, activation=None) -> Column:
-    """One gate of a layer of any width: ``x`` and ``h`` are arrays, and so is the result.
-
-    The weights are one constant, a row per unit with its bias at the end.
-    """
-    units = [[*map(float, unit), float(b)] for unit, b in zip(zip(*wx, *wh), bias)]
-    constant = F.from_json(F.lit(json.dumps(units)), F.lit("array<array<double>>"))
-    inputs = F.concat(x, h, F.array(F.lit(1.0)))
-
-    def unit_of(weights: Column) -> Column:
-        terms = F.zip_with(inputs, weights, lambda v, w: v * w)
-        z = F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
-        return activation(z) if activation else z
-
-    return F.transform(constant, unit_of)
-
-
 def gate_preactivation(x, h, wx, wh, bias, activation=None) -> list[Column]:
     """One gate: ``activation(h.Wh + x.Wx + b)``, per hidden unit."""
     z = affine([*x, *h], [*wx, *wh], bias)

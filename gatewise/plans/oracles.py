@@ -517,6 +517,7 @@ SELECT o_orderkey, CASE WHEN rank < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'va
     "lstm_gates": f"WITH {GATES} " + wide("gates", [(f"{q}{j}", q, f"j = {j}") for q in "fico" for j in range(3)]),
     "lstm_cell_step": f"WITH {CELL} " + wide("cell", [(f"{q}{j}", q, f"j = {j}") for q in "ch" for j in range(3)]),
     "score_lstm": SCORE,
+    "score_lstm_blocks": SCORE,
     "score_sequences": SEQUENCES,
     "score_sequences_frozen": FROZEN,
     "score_sequences_long": LONG,

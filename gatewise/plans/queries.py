@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewise.functions import columns as C
-from gatewise.operators import batching, metrics, prep, weights
+from gatewise.functions.cell import to_rows
+from gatewise.operators import batching, blocks, metrics, prep, weights
 from gatewise.operators.fit import Fit, fit
 from gatewise.operators.fit import skipped_chunks as skipped
 from gatewise.operators.score import score, score_sequences
@@ -255,16 +256,30 @@ def gate_preactivation(spark: SparkSession, sf: str) -> DataFrame:
     return line_examples(spark, sf).select(*LINE_KEY, *out)
 
 
+def formula_weights(spark: SparkSession, *hidden_units: int, in_features: int = 4) -> DataFrame:
+    """The formula net as a weights table."""
+    tensors = [(*t[:4], t[4].tolist()) for t in to_rows(formula_model(*hidden_units, in_features=in_features).params())]
+    return spark.createDataFrame(tensors, "key string, layer int, part string, shape array<int>, values array<double>")
+
+
 def gate_preactivation_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """The gates of a layer of 128 units over whole embeddings; sum, least and largest unit."""
-    vectors = X.read_table(spark, sf, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
-    state, out = F.lit([h0(j) for j in range(128)]), []
-    for q, gate in column_gates(128, 64).items():
-        z = C.gate_array(F.col("x"), state, *gate)
+    """The gates of a layer of 128 units over whole embeddings, as a join with its weights; sum, least and largest unit."""
+    vectors = X.read_table(spark, sf, "embeddings")
+    inputs = blocks.vector_inputs(vectors, ["vec_id"], F.col("embedding").cast("array<double>"), "x")
+    z = blocks.layer_gates(formula_weights(spark, 128, in_features=64), 0, inputs, ["vec_id"])
+    out = []
+    for q in ("f", "i", "c", "o"):
         total = F.aggregate(f"z_{q}", F.lit(0.0), lambda acc, v: acc + v)
-        vectors = vectors.withColumn(f"z_{q}", z)
-        out += [r6(f(f"z_{q}")).alias(f"{n}_{q}") for n, f in (("least", F.array_min), ("most", F.array_max))] + [r6(total).alias(f"sum_{q}")]
-    return vectors.select("vec_id", *out)
+        least, most = F.min(F.array_min(f"z_{q}")), F.max(F.array_max(f"z_{q}"))
+        out += [r6(v).alias(f"{n}_{q}") for n, v in (("least", least), ("most", most), ("sum", F.sum(total)))]
+    return z.groupBy("vec_id").agg(*out)
+
+
+def score_lstm_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The net of ``score_lstm`` as tables alone."""
+    lines = line_examples(spark, sf, *LINE_KEY, *LINE_TIES)
+    scored = blocks.score_blocks(lines, formula_weights(spark, 3, 2), [*LINE_KEY, *LINE_TIES], 2)
+    return scored.select(*LINE_KEY, *spread_out("logits", ["logit0", "logit1", "logit2"]), "prediction")
 
 
 def lstm_gates(spark: SparkSession, sf: str) -> DataFrame:
@@ -514,6 +529,7 @@ QUERIES = {
     "lstm_gates": lstm_gates,
     "lstm_cell_step": lstm_cell_step,
     "score_lstm": score_lstm,
+    "score_lstm_blocks": score_lstm_blocks,
     "score_sequences": score_user_sequences,
     "score_sequences_frozen": score_sequences_frozen,
     "score_sequences_long": score_sequences_long,

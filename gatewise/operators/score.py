@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewise.functions import cell
 from gatewise.functions.arrow import lists, matrix
-from gatewise.operators.prep import rank_rows
-from gatewise.sources.store import broadcast, cut, new_path
+from gatewise.sources.store import broadcast, new_path
 
 # A model is collected and broadcast whole; its size is set by the net, and checked.
 MAX_PARAMETERS = 1 << 26
@@ -90,17 +92,18 @@ def score_sequences(
     advance: Column | None = None,
     emit: str = "all",
     state: str = "mean",
-    segment: int | None = None,
 ) -> DataFrame:
     """Runs the net along each key's rows in ``order``, carrying ``(h, C)``.
 
     Rows where ``advance`` is false leave the state as it is and give the last
     stored output. ``emit='last'`` gives one row per key. Adds ``t, hidden, logits,
-    prediction``.
+    prediction``. Null is a key like others.
 
-    Keys are exchanged whole. With ``segment``, keys of more rows than that are counted
-    first and cut into segments of that length, scored in rounds: each round takes the
-    next segment of all of them, and the state each left behind. Null is a key like others.
+    Rows are dealt out by ranges of (key, order), so a key of any number of rows is spread over
+    as many tasks as its share of the rows. A first job scores all sequences that begin inside a
+    range. The rows a range begins with may go on with the key of the range before; they are scored
+    in rounds, each of which takes up the states that ranges before have left. A key over n ranges
+    takes n rounds, which are of those rows alone.
     """
     if emit not in ("all", "last"):
         raise ValueError(f"unknown emit rule {emit!r}")
@@ -112,101 +115,192 @@ def score_sequences(
         F.col(features).alias("_x"),
         (F.lit(True) if advance is None else F.coalesce(advance, F.lit(False))).alias("_advance"),
     )
-    walk = _walker(spark, model, state, df, out)
-    along = Window.partitionBy(*key).orderBy(*order)
-    none = F.lit(None).cast("array<double>")
-    longest, short = None, rows
-    if segment is not None:
-        long_keys = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > segment), "long-keys")
-        longest = long_keys.agg(F.max("_n")).first()[0]
-    if longest is not None:
-        short = _join(rows, long_keys.select(*key), key, "left_anti")
-    short = short.withColumn("t", (F.row_number().over(along) - 1).cast("long"))
-    short = short.withColumn("_emit", F.lead(F.lit(1)).over(along).isNull() if emit == "last" else F.lit(True))
-    scored = walk(short.withColumn("_opens", F.col("t") == 0).withColumn("_closes", F.lit(False)).withColumn("_state", none))
-    if longest is not None:
-        placed = _in_segments(_join(rows, long_keys, key), key, list(order), segment)
-        done, states = new_path(spark, "sequences"), None
-        for number in range(-(-longest // segment)):
-            part = spark.read.parquet(f"{placed}/_segment={number}")
-            part = part.withColumn("_emit", F.col("t") + 1 == F.col("_n") if emit == "last" else F.lit(True))
-            part = part.withColumn("_opens", F.col("t") % segment == 0)
-            part = part.withColumn("_closes", (F.col("t") + 1) % segment == 0)
-            if states is None:
-                part = part.withColumn("_state", none)
-            else:
-                part = _join(part, states.withColumn("_opens", F.lit(True)), [*key, "_opens"], "left")
-            walk(part.repartition(*key).sortWithinPartitions(*key, "t")).write.parquet(f"{done}/{number}")
-            states = spark.read.parquet(f"{done}/{number}").where("_state IS NOT NULL").select(*key, "_state")
-        scored = scored.unionByName(spark.read.parquet(*[f"{done}/{n}" for n in range(-(-longest // segment))]))
-    return scored.where("_emit").drop("_emit", "_state")
-
-
-def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join in which null equals null; the columns of ``left``, then the others of ``right``."""
-    right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
-    equal = [left[c].eqNullSafe(right[f"_right_{c}"]) for c in on]
-    return left.join(right, equal, how).drop(*[f"_right_{c}" for c in on])
-
-
-def _in_segments(rows: DataFrame, key: list[str], order: list[str], segment: int) -> str:
-    """Numbers the rows of long keys by ranges of (key, order) and stores them by segment."""
-    ranked = rank_rows(rows, key, ties=order, shuffle=False)
-    first = ranked.groupBy(*key).agg(F.min("rank").alias("_first"))
-    placed = _join(ranked, first, key).withColumn("t", F.col("rank") - F.col("_first"))
-    path = new_path(rows.sparkSession, "segments")
-    placed = placed.withColumn("_segment", F.floor(F.col("t") / segment)).drop("rank", "n_rows", "_first")
-    placed.write.partitionBy("_segment").parquet(path)
-    return path
-
-
-def _walker(spark: SparkSession, model: Model, state: str, df: DataFrame, out: list[str]):
-    """Job over rows sorted by key and time, keys never split between partitions."""
+    schema = _schema(df, out) + _WALKED
     shared = broadcast(spark, (model, model.start(state)))
+    path = new_path(spark, "sequences")
+    ranged = rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).select(*out, "_x", "_advance")
+    walked = ranged.mapInArrow(_first_walk(shared, key, out, emit), schema)
+    walked.write.partitionBy("_kind", "_part").parquet(f"{path}/0")
+    stored = spark.read.schema(schema).parquet(f"{path}/0")
+    begun, edges = stored.where("_kind = 'raw'"), stored.where("_kind = 'edge'")
+
+    # Which ranges go on with the key of the one before, and which hold one key alone; a row per range.
+    first = begun.where("_seq = 0").select("_part", F.struct(*key).alias("first"))
+    ends = edges.select("_part", F.struct(*key).alias("last"), F.col("_state").isNull().alias("single"))
+    before = F.lag("last").over(Window.orderBy("_part"))
+    ends = ends.join(first, "_part").withColumn("goes_on", F.coalesce(before.eqNullSafe(F.col("first")) & before.isNotNull(), F.lit(False)))
+    ranges = sorted(map(tuple, ends.select("_part", "single", "goes_on").collect()))
+    single = {part for part, alone, _ in ranges if alone}
+    turns, open_ended, last = {}, set(), None
+    for part, _, goes_on in ranges:
+        if goes_on:
+            open_ended.add(last)
+        turns[part] = turns[last] + 1 if goes_on and last in single else 1
+        last = part
+    follows = {b[0]: a[0] for a, b in zip(ranges, ranges[1:]) if b[2]}
+
+    states, done = edges, [stored.where("_kind = 'done'")]
+    for turn in range(1, max(turns.values(), default=0) + 1):
+        now = [part for part in turns if turns[part] == turn]
+        given = spark.createDataFrame([(follows[part], part) for part in now if part in follows], "_before int, _now int")
+        given = states.join(F.broadcast(given), states["_part"] == given["_before"]).drop("_part", "_before").withColumnRenamed("_now", "_part")
+        some = begun.where(F.col("_part").isin(now)).unionByName(given.withColumn("_seq", F.lit(-1).cast("long")))
+        some = some.repartition("_part").sortWithinPartitions("_part", "_seq").select(*out, "_x", "_advance", "t", "_state", "_seq", "_part")
+        some.mapInArrow(_next_walk(shared, out, emit, single), schema).write.partitionBy("_kind").parquet(f"{path}/{turn}")
+        stored = spark.read.schema(schema).parquet(f"{path}/{turn}")
+        states = stored.where("_kind = 'edge'")
+        done.append(stored.where("_kind = 'done'"))
+    scored = reduce(DataFrame.unionByName, done)
+    if emit == "last":
+        scored = scored.where(~F.col("_tail") | ~F.col("_part").isin(sorted(open_ended)))
+    return scored.select(*out, "t", "hidden", "logits", "prediction")
+
+
+# What a walk gives for each row, beside the columns that are kept: scored rows ("done"), rows still to be
+# scored ("raw") and the state at the end of a range ("edge").
+_WALKED = (
+    "t bigint, hidden array<double>, logits array<double>, prediction bigint, _x array<double>, _advance boolean, "
+    "_state array<double>, _seq bigint, _tail boolean, _kind string, _part int"
+)
+
+
+class _Walk:
+    """The net on its way along sorted rows: the state of the sequence it is in, and how many rows that had."""
+
+    def __init__(self, shared, out: list[str], emit: str, part: int):
+        self.model, self.start = shared.value
+        self.params, self.out, self.emit, self.part = self.model.params(), out, emit, part
+        self.reset()
+        self.pending = None
+
+    def reset(self) -> None:
+        self.carried, self.t = np.concatenate([v[0] for pair in self.start for v in pair]), 0
+
+    def rows(self, batch: pa.RecordBatch, opens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Scores rows; ``opens`` marks those a sequence begins with."""
+        if opens[0] and self.pending is not None:
+            yield self.pending
+        x, top, n = matrix(batch.column("_x"), self.model.spec.in_features), len(self.start), len(batch)
+        moves = batch.column("_advance").to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, opens[1:]))
+        begin = [(np.repeat(h, len(first), axis=0), np.repeat(c, len(first), axis=0)) for h, c in self.start]
+        t = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+        if not opens[0]:
+            _set(begin, 0, self.carried)
+            t[: first[1] if len(first) > 1 else n] += self.t
+        hidden, end = _walk(self.params, begin, first, x, moves)
+        self.carried, self.t = np.concatenate([v[-1] for pair in end for v in pair]), int(t[-1]) + 1
+        picked = np.append(opens[1:], True) if self.emit == "last" else np.ones(n, bool)
+        batch, hidden, t = batch.filter(pa.array(picked)), hidden[picked], t[picked]
+        logits = hidden @ self.params["wd", top] + self.params["bd", top]
+        scored = _walked(batch, self.out, "done", self.part, t=pa.array(t), hidden=lists(hidden), logits=lists(logits), prediction=pa.array(logits.argmax(axis=1)))
+        if self.emit == "all":
+            yield scored
+        else:  # whether the last row ends its sequence, the next one tells
+            self.pending = scored.slice(len(scored) - 1)
+            yield scored.slice(0, len(scored) - 1)
+
+    def end(self, tail: bool) -> Iterator[pa.RecordBatch]:
+        """The row held back, marked if the sequence may go on elsewhere."""
+        if self.pending is not None:
+            at = self.pending.schema.get_field_index("_tail")
+            yield self.pending.set_column(at, "_tail", pa.array([tail]))
+        self.pending = None
+
+
+def _walked(batch: pa.RecordBatch, out: list[str], kind: str, part: int, **given: pa.Array) -> pa.RecordBatch:
+    """Rows of one kind; columns that aren't given are null."""
+    n, numbers = len(batch), pa.list_(pa.float64())
+    types = {
+        "t": pa.int64(), "hidden": numbers, "logits": numbers, "prediction": pa.int64(), "_x": numbers, "_advance": pa.bool_(),
+        "_state": numbers, "_seq": pa.int64(),
+    }
+    columns = [given.get(c, pa.nulls(n, kind_)) for c, kind_ in types.items()]
+    columns += [pa.array([False] * n, pa.bool_()), pa.array([kind] * n, pa.string()), pa.array([part] * n, pa.int32())]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), *columns], [*out, *types, "_tail", "_kind", "_part"])
+
+
+def _first_walk(shared, key: list[str], out: list[str], emit: str):
+    """Job over one range: scores the sequences that begin in it, hands on the rows before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, start = shared.value
-        params, top, carried = model.params(), len(start), None
+        walk = _Walk(shared, out, emit, TaskContext.get().partitionId())
+        before, seq, leads, last = None, 0, True, None
         for batch in batches:
-            if not batch.num_rows:
+            if not len(batch):
                 continue
-            x = matrix(batch.column("_x"), model.spec.in_features)
-            opens, moves, closes, emits = (
-                batch.column(c).to_numpy(zero_copy_only=False) for c in ("_opens", "_advance", "_closes", "_emit")
-            )
-            first = np.flatnonzero(np.append(True, opens[1:]))
-            begin = [(np.repeat(h, len(first), axis=0), np.repeat(c, len(first), axis=0)) for h, c in start]
-            if not opens[0]:
-                _set(begin, 0, carried)
-            given = batch.column("_state")
-            for at in np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False)):
-                _set(begin, np.searchsorted(first, at), np.array(given[int(at)].as_py()))
-            hidden, end = _walk(params, begin, first, x, moves)
-            vectors = np.concatenate([v for pair in end for v in pair], axis=1)
-            carried = vectors[-1]
-
-            picked = emits | closes
-            batch, hidden = batch.filter(pa.array(picked)), hidden[picked]
-            logits = hidden @ params["wd", top] + params["bd", top]
-            run_of = np.cumsum(opens) - 1 + (not opens[0])
-            left = [vectors[r] if c else None for r, c in zip(run_of[picked], closes[picked])] if closes.any() else None
-            kind = pa.list_(pa.float64())
-            columns = [
-                *(batch.column(c) for c in (*out, "t")),
-                lists(hidden),
-                lists(logits),
-                pa.array(logits.argmax(axis=1)),
-                pa.nulls(len(hidden), kind) if left is None else pa.array(left, kind),
-                batch.column("_emit"),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [*out, "t", "hidden", "logits", "prediction", "_state", "_emit"])
-
-    schema = _schema(df, out) + (
-        "t bigint, hidden array<double>, logits array<double>, prediction bigint, _state array<double>, _emit boolean"
-    )
-    return lambda rows: rows.select(
-        *out, "t", "_x", "_advance", "_emit", "_opens", "_closes", "_state"
-    ).mapInArrow(run, schema)
+            opens = _changes(batch, key, before)
+            before, last, a = batch.slice(len(batch) - 1), batch.slice(len(batch) - 1), 0
+            if leads:
+                found = np.flatnonzero(opens[1 if seq == 0 else 0 :]) + (seq == 0)
+                a = int(found[0]) if len(found) else len(batch)
+                raw = batch.slice(0, a)
+                yield _walked(raw, out, "raw", walk.part, _x=raw.column("_x"), _advance=raw.column("_advance"), _seq=pa.array(np.arange(seq, seq + a)))
+                seq, leads = seq + a, a == len(batch)
+            if a < len(batch):
+                yield from walk.rows(batch.slice(a), opens[a:])
+        if last is not None:
+            yield from walk.end(True)
+            state = [None if leads else walk.carried]
+            yield _walked(last, out, "edge", walk.part, t=pa.array([walk.t]), _state=pa.array(state, pa.list_(pa.float64())))
+
+    return run
+
+
+def _next_walk(shared, out: list[str], emit: str, single: set[int]):
+    """Job over the first sequences of ranges, one after the other, each behind the state it goes on from, if any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = last = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            yield from walk.end(walk.part in single)
+            yield _walked(last, out, "edge", walk.part, t=pa.array([walk.t]), _state=pa.array([walk.carried], pa.list_(pa.float64())))
+
+        for batch in batches:
+            part = batch.column("_part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                rows = batch.slice(a, b - a)
+                if not len(rows):
+                    continue
+                opens = np.zeros(len(rows), bool)
+                if walk is None or part[a] != walk.part:
+                    if walk is not None:
+                        yield from close()
+                    walk, opens[0] = _Walk(shared, out, emit, int(part[a])), True
+                if rows.column("_seq")[0].as_py() < 0:
+                    walk.carried, walk.t = np.array(rows.column("_state")[0].as_py()), rows.column("t")[0].as_py()
+                    rows, opens = rows.slice(1), np.zeros(len(rows) - 1, bool)
+                    last = batch.slice(a, 1)
+                if len(rows):
+                    last = rows.slice(len(rows) - 1)
+                    yield from walk.rows(rows, opens)
+        if walk is not None:
+            yield from close()
+
+    return run
+
+
+def _changes(batch: pa.RecordBatch, key: list[str], before: pa.RecordBatch | None) -> np.ndarray:
+    """Whether each row's key is another than that of the row before; null and NaN are like themselves."""
+    out = np.zeros(len(batch), bool)
+    out[0] = before is None
+    for c in key:
+        column = batch.column(c)
+        if before is not None:
+            column = pa.concat_arrays([before.column(c), column])
+        a, b = column.slice(0, len(column) - 1), column.slice(1)
+        if pa.types.is_nested(column.type):
+            values = column.to_pylist()
+            differs = np.array([x != y for x, y in zip(values, values[1:])], bool)
+        else:
+            differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+            if pa.types.is_floating(column.type):
+                differs = differs & ~pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False).to_numpy(zero_copy_only=False)
+            differs = differs | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+        out[len(out) - len(differs) :] |= differs
+    return out
 
 
 def _set(states: list, run: int, vector: np.ndarray) -> None:

@@ -323,10 +323,10 @@ def score_sequences_frozen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_sequences_long(spark: SparkSession, sf: str) -> DataFrame:
-    """A third of the users are one null key, which is cut into segments."""
+    """A third of the users are one null key, which lies in several ranges."""
     events = event_examples(spark, sf).withColumn("user_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id")))
     model = formula_model(1, in_features=2)
-    scored = score_sequences(events, model, ["user_id"], ["ts", "event_id"], keep=["event_id"], segment=2500)
+    scored = score_sequences(events, model, ["user_id"], ["ts", "event_id"], keep=["event_id"])
     return scored.select("user_id", "event_id", "t", *spread_out("hidden", ["h"]))
 
 

@@ -75,17 +75,21 @@ def by_hand(m, items):
     return out
 
 
-@pytest.mark.parametrize("arrow_rows, segment", [(3, None), (10_000, None), (10_000, 15), (7, 25), (7, 1000)])
-def test_sequences_equal_a_plain_loop(spark, arrow_rows, segment):
-    """One key holds a third of the rows; batches cut keys anywhere; long keys are cut into segments."""
+@pytest.mark.parametrize("arrow_rows, parts", [(3, 8), (10_000, 1), (10_000, 8), (7, 40), (7, 3)])
+def test_sequences_equal_a_plain_loop(spark, arrow_rows, parts):
+    """One key holds a third of the rows; batches and ranges cut keys anywhere."""
     m = model()
     df = rows(spark, 300).withColumn("key", F.when(F.col("id") % 3 != 0, F.col("id") % 17))
     df = df.withColumn("moves", F.col("id") % 5 != 0).withColumn("name", F.concat(F.lit("k"), "key"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow_rows)
-    scored = score_sequences(df, m, ["key", "name"], ["id"], keep=["id"], advance=F.col("moves"), segment=segment)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts == 1)
+    scored = score_sequences(df, m, ["key", "name"], ["id"], keep=["id"], advance=F.col("moves"))
     got = {r.id: r for r in scored.collect()}
-    last = score_sequences(df, m, ["key", "name"], ["id"], advance=F.col("moves"), emit="last", segment=segment).collect()
+    last = score_sequences(df, m, ["key", "name"], ["id"], advance=F.col("moves"), emit="last").collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert scored.columns == ["key", "name", "id", "t", "hidden", "logits", "prediction"]
     sequences = {}
     for r in df.orderBy("id").collect():
@@ -99,6 +103,29 @@ def test_sequences_equal_a_plain_loop(spark, arrow_rows, segment):
     }
 
 
+def test_one_key_over_many_ranges(spark):
+    """All rows are one key, so every range but the first goes on with the one before."""
+    m, df = model(), rows(spark, 90).withColumn("k", F.lit(None).cast("string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    scored = score_sequences(df, m, ["k"], ["id"], keep=["id"])
+    last = score_sequences(df, m, ["k"], ["id"], emit="last").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.id: r for r in scored.collect()}
+    for t, (r, h) in enumerate(zip(df.orderBy("id").collect(), by_hand(m, [(r.features, True) for r in df.orderBy("id").collect()]))):
+        assert got[r.id].t == t and got[r.id].hidden == pytest.approx(list(h), abs=1e-12)
+    assert [(r.t, r.hidden) for r in last] == [(89, got[89].hidden)]
+    assert score_sequences(df.limit(0), m, ["k"], ["id"]).count() == 0
+
+
+def test_keys_of_any_kind_are_told_apart(spark):
+    nan = float("nan")
+    keys = [(None, "a", [1]), (None, None, [1]), (nan, "a", [1]), (nan, "a", [2]), (0.0, "a", None), (1.5, "a", [1])]
+    data = [(*k, n, [0.1 * n, 1.0]) for n in range(30) for k in keys]
+    df = spark.createDataFrame(data, "a double, b string, c array<int>, n int, features array<double>")
+    last = score_sequences(df, model(), ["a", "b", "c"], ["n"], emit="last").collect()
+    assert len(last) == 6 and {r.t for r in last} == {29}
+
+
 def test_load_checks_the_table(spark):
     m = model()
     tensors = spark.createDataFrame(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.functions.columns import l2_loss
+from gatewise.operators.exact import exact_sums
 
 TENSOR = ("key", "layer", "part")
 
@@ -23,8 +24,9 @@ def average_weights(weights: DataFrame, runs: DataFrame | None = None, by: tuple
     With ``runs (replica, rows)`` and the columns of ``by``, a replica counts by the
     rows it was trained on, else all count the same. ``by`` names further columns to
     keep apart, such as ``run_id``. Elements
-    are averaged by a partial and a final aggregate; only then is each tensor, whose
-    length is set by the net and not by the data, put together again.
+    are averaged by partial and final aggregates, to the same bits whatever the order of
+    the replicas; only then is each tensor, whose length is set by the net and not by the
+    data, put together again.
     """
     df, keys = well_formed(weights), [*by, *TENSOR]
     if runs is None:
@@ -34,9 +36,9 @@ def average_weights(weights: DataFrame, runs: DataFrame | None = None, by: tuple
     # A shape has one or two extents; as integers they are cheap to carry per element.
     extents = [F.get("shape", F.lit(n)).alias(f"_d{n}") for n in range(2)]
     elements = df.select(*keys, *extents, "_w", F.posexplode("values").alias("_pos", "_v"))
-    means = elements.groupBy(*keys, "_d0", "_d1", "_pos").agg(
-        (F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("_mean")
-    )
+    place = [*keys, "_d0", "_d1", "_pos"]
+    sums = exact_sums(elements, place, F.col("_v") * F.col("_w"), None if runs is None else F.col("_w"))
+    means = sums.select(*place, (F.col("total") / F.col("weight")).alias("_mean"))
     together = F.array_sort(F.collect_list(F.struct("_pos", "_mean")))
     shape = F.array_compact(F.array("_d0", "_d1")).alias("shape")
     means = means.groupBy(*keys, "_d0", "_d1").agg(F.transform(together, lambda e: e["_mean"]).alias("values"))

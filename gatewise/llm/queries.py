@@ -28,7 +28,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of two sentences, however short: together they cover all longer runs that repeat."""
-    return sentences.dedup_spans(read(spark, sf_dir), least=1).drop("kept")
+    return sentences.dedup_spans(read(spark, sf_dir)).drop("kept")
 
 
 @query
@@ -65,7 +65,7 @@ TOOLS = {
 
 @query
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each assistant turn as a call that needs the assistant's last but one turn; each later user turn as a result of the turn before.
+    """Each assistant turn as a call that needs the assistant's last but one turn; each later user turn as a result of the turn before; all other turns as messages.
 
     Arguments are derived from the turn's text; by conversation some are mistyped, some lack a field, some are cut off.
     """
@@ -81,7 +81,9 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = own.join(earlier, ["conv_id", "turn"], "left")
     asked = F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - 1)
     results = turns.where("role = 'user' AND turn > 0").select("conv_id", "turn", asked.alias("call_id"), F.col("text").alias("content"))
-    return toolcalls.format_calls(calls, results, TOOLS)
+    other = ~F.coalesce(F.expr("role = 'assistant' OR (role = 'user' AND turn > 0)"), F.lit(False))
+    messages = read(spark, sf_dir, "conversations").where(other).select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return toolcalls.format_calls(calls, results, TOOLS, messages)
 
 
 ORACLES["op7_tool_calls"] = r"""
@@ -116,6 +118,10 @@ ORACLES["op7_tool_calls"] = r"""
     UNION ALL
     SELECT conv_id, turn, 'orphan', call_id, NULL, 'orphan', '', '{"id":"' || call_id || '","result":' || to_json(text)::VARCHAR || ',"status":"orphan"}'
     FROM answers a WHERE (conv_id, turn - 1) NOT IN (SELECT (conv_id, turn) FROM own)
+    UNION ALL
+    SELECT conv_id, turn, 'message', NULL, NULL, 'message', '',
+        '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+    FROM conversations WHERE NOT coalesce(role = 'assistant' OR (role = 'user' AND turn > 0), false)
 """
 
 

@@ -6,7 +6,7 @@ Spans are alike if their words are (A-Z lower-cased, white space ignored). Of ea
 repeats, the first occurrence (least id, then place) stays; all others go, with every sentence they
 cover. Spans are counted by one hash first, so that only those that repeat move with their place.
 
-With ``least=1`` spans are all runs of ``SENTENCES`` sentences. Whatever longer run repeats is made of
+By default spans are all runs of ``SENTENCES`` sentences. Whatever longer run repeats is made of
 such runs that repeat, so all of it goes, up to its last sentence. A higher ``least`` leaves out short
 runs, and the last sentences of a run where they have fewer words.
 
@@ -29,7 +29,7 @@ from gatewise.llm.scratch import table, workers
 from gatewise.llm.text import BASES, Block, Hashes, blocks, column, lower, rows_of, words
 
 #: Sentences and words of a span, at least.
-SENTENCES, WORDS = 2, 16
+SENTENCES, WORDS = 2, 1
 
 
 def cut(block: Block) -> dict[str, np.ndarray]:

@@ -2,7 +2,7 @@
 
 Only DataFrame and SQL operations: no Python runs on the executors.
 
-Calls and results are joined by conversation and identifier. A call may need the result of another
+Calls and results are hash-joined by conversation and identifier. A call may need the result of another
 (``after``); its depth is its distance from a call that needs none, found by pointer doubling, so a
 chain of n calls takes log n joins. Arguments are parsed and each field of the tool's schema is
 checked for presence and type. Canonical JSON has sorted keys, no spaces and one spelling of each
@@ -51,7 +51,7 @@ def depths(calls: DataFrame) -> DataFrame:
             break
         ahead = steps.select("conv_id", F.col("call_id").alias("after"), F.col("after").alias("next"), F.col("depth").alias("more"), F.lit(True).alias("there"))
         steps = table(
-            steps.join(ahead, ["conv_id", "after"], "left").select(
+            steps.join(ahead.hint("shuffle_hash"), ["conv_id", "after"], "left").select(
                 "conv_id",
                 "call_id",
                 F.when(F.col("after").isNotNull() & F.col("there").isNull(), F.col("after")).otherwise(F.col("next")).alias("after"),
@@ -93,16 +93,17 @@ def errors(name: Column, arguments: Column, schemas: Mapping[str, Mapping[str, s
     return out
 
 
-def format_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, str]]) -> DataFrame:
-    """Messages of calls with their results: ``conv_id, turn, kind, call_id, depth, status, errors, json``.
+def format_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, str]], messages: DataFrame | None = None) -> DataFrame:
+    """Messages of a conversation, calls with their results: ``conv_id, turn, kind, call_id, depth, status, errors, json``.
 
     ``calls``: ``conv_id, turn, call_id, after, name, arguments``. ``results``: ``conv_id, turn,
-    call_id, content``. Within a conversation ``depth, turn`` is a topological order; ``kind`` is
-    ``call`` or ``orphan``, ``status`` is ``done``, ``open`` or ``invalid``.
+    call_id, content``. ``messages``, all other turns: ``conv_id, turn, role, content``. Within a
+    conversation ``depth, turn`` is a topological order of the calls; ``kind`` is ``call``, ``orphan``
+    or ``message``, ``status`` is ``done``, ``open``, ``invalid`` or, of the other kinds, the kind.
     """
     # The first result of an identifier, by an aggregate, so that no group is sorted whole.
     firsts = results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("result"))
-    own = calls.join(depths(calls), ["conv_id", "call_id"], "left").join(firsts, ["conv_id", "call_id"], "left")
+    own = _joined(_joined(calls, depths(calls)), firsts)
     own = own.withColumn("errors", errors(F.col("name"), F.col("arguments"), schemas))
     own = own.withColumn("status", F.when(F.size("errors") > 0, "invalid").when(F.col("result").isNull(), "open").otherwise("done"))
     body = F.coalesce(canonical(F.col("arguments")), F.lit("null"))
@@ -116,11 +117,21 @@ def format_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Map
     )
     linked = own.select("conv_id", "turn", F.lit("call").alias("kind"), "call_id", "depth", "status", F.array_join("errors", "; ").alias("errors"), json.alias("json"))
     known = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select("conv_id", "call_id", F.lit(True).alias("asked")).distinct()
-    orphans = results.join(firsts.select("conv_id", "call_id", F.col("result.turn").alias("first_turn")), ["conv_id", "call_id"], "left").join(known, ["conv_id", "call_id"], "left")
+    orphans = _joined(_joined(results, firsts.select("conv_id", "call_id", F.col("result.turn").alias("first_turn"))), known)
     orphans = orphans.where("asked IS NULL OR NOT turn <=> first_turn")
     json = F.concat(F.lit('{"id":'), _text("call_id"), F.lit(',"result":'), _text("content"), F.lit(',"status":"orphan"}'))
     rest = orphans.select("conv_id", "turn", F.lit("orphan").alias("kind"), "call_id", F.lit(None).cast("long").alias("depth"), F.lit("orphan").alias("status"), F.lit("").alias("errors"), json.alias("json"))
-    return linked.unionByName(rest)
+    out = linked.unionByName(rest)
+    if messages is None:
+        return out
+    json = F.concat(F.lit('{"content":'), _text("content"), F.lit(',"role":'), _text("role"), F.lit("}"))
+    plain = {"kind": F.lit("message"), "call_id": F.lit(None).cast("string"), "depth": F.lit(None).cast("long"), "status": F.lit("message"), "errors": F.lit(""), "json": json}
+    return out.unionByName(messages.select("conv_id", "turn", *[value.alias(name) for name, value in plain.items()]))
+
+
+def _joined(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Hash join by identifier; the hashed side has one row per identifier, so rows of a frequent one only stream past."""
+    return rows.join(one.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
 
 
 def _text(name: str) -> Column:

@@ -9,8 +9,8 @@
    words included, make a lexicon; a logistic regression on a text's lexicon words gives its score.
 
 Labels are learned from a sample of at most ``SAMPLE`` labelled rows, taken by a hash of the id.
-Texts are scored by their characters alone. The model's size is bounded by the alphabet and by
-``LEXICON``, so it can be sent to the executors.
+Texts are scored by their characters alone. The model's size is bounded by the alphabet and by the
+sample, so it can be sent to the executors.
 
 Defined results: null counts as empty; a text without lexicon words gets the score of such texts;
 a null id is not held out; repeated rows get the same score; with repeated labels of an id the
@@ -33,13 +33,13 @@ from gatewise.llm.scratch import workers
 from gatewise.llm.text import Block, Hashes, blocks, column, lower, mix, rows_of, words
 from gatewise.sources.store import broadcast
 
-#: Labelled rows learned from, and words in the lexicon, at most.
-SAMPLE, LEXICON = 40_000, 50_000
+#: Labelled rows learned from at most. It bounds the lexicon, too: its words are in several of these texts.
+SAMPLE = 40_000
 
 #: Documents that must hold a word for it to enter the lexicon, and how many times likelier it must be.
 SUPPORT, ODDS = 4, 4.0
 
-#: Bytes of a word's beginning that is a feature of its own; the word must be longer.
+#: Characters of a word's beginning that is a feature of its own; the word must be longer.
 STEM = 5
 
 #: A text with this score or more counts as toxic.
@@ -232,8 +232,10 @@ def _features_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np
     some = begin < end
     begin, end, row = begin[some], end[some], row[some]
     hashes = Hashes(data)
-    longer = end - begin > STEM
-    stems = mix(hashes(begin[longer], begin[longer] + STEM) ^ _STEM_SALT)
+    heads = (data & 0xC0) != 0x80  # the first byte of each character
+    place, number = np.flatnonzero(heads), np.concatenate([[0], np.cumsum(heads)])
+    longer = number[end] - number[begin] > STEM
+    stems = mix(hashes(begin[longer], place[number[begin[longer]] + STEM]) ^ _STEM_SALT)
     return np.concatenate([row, row[longer]]), np.concatenate([hashes(begin, end), stems])
 
 
@@ -336,7 +338,7 @@ def train(
     seen = seen.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("bad") >= SUPPORT)
     odds = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (good + 1)))
     chosen = seen.withColumn("odds", odds).where(F.col("odds") >= float(np.log(ODDS)))
-    chosen = chosen.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "feature").limit(LEXICON).select("feature", "odds").collect()
+    chosen = chosen.select("feature", "odds").collect()
     lexicon = np.array([r.feature for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(lexicon)
     model = Model(counts, lexicon[order], np.array([r.odds for r in chosen], float)[order], np.zeros(3))

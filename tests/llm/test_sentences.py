@@ -19,7 +19,7 @@ def cut(text):
     return [(b, out[i + 1][0] if i + 1 < len(out) else len(text), w) for i, (b, w) in enumerate(out)]
 
 
-def brute(data, least=2, n_words=16):
+def brute(data, n_words, least=2):
     seen, out = {}, {}
     for i, text in sorted(set(data), key=lambda r: (r[0] is None, r[0] or 0)):
         cuts, gone = cut(text or ""), set()
@@ -43,10 +43,10 @@ def brute(data, least=2, n_words=16):
     return out
 
 
-def check(df):
-    want = brute([(r.doc_id, r.text) for r in df.collect()])
+def check(df, least):
+    want = brute([(r.doc_id, r.text) for r in df.collect()], least)
     texts = {(r.doc_id, r.text or "") for r in df.collect()}
-    got = sentences.dedup_spans(df).collect()
+    got = (sentences.dedup_spans(df) if least == 1 else sentences.dedup_spans(df, least=least)).collect()
     assert len(got) == df.count()
     left = sorted((str(i), n, tuple(gone), kept) for (i, t), (n, gone, kept) in want.items() if (i, t) in texts)
     assert sorted({(str(r.doc_id), r.n_sentences, tuple(r.removed), r.kept) for r in got}) == sorted(set(left))
@@ -55,17 +55,18 @@ def check(df):
         assert bool(r.first_ids) == bool(r.removed)
 
 
-def test_hard_rows(spark):
+@pytest.mark.parametrize("least", [1, 16])
+def test_hard_rows(spark, least):
     df = hard(spark).where("doc_id IS NOT NULL OR text IS NULL")
-    check(df)
+    check(df, least)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_shared_passages(spark, seed):
+@pytest.mark.parametrize("seed, least", [(1, 1), (2, 1), (1, 16), (2, 16)])
+def test_shared_passages(spark, seed, least):
     passage = prose(seed, 60)
     data = [(k, prose(10 * k + seed, 30) + (passage if k % 3 else passage.upper()) + prose(7 * k + seed, 20)) for k in range(12)]
     data += [(20, passage + passage), (21, "Er. Er. Er. Er."), (22, "Er. Er. Er. Er.")]
-    check(spark.createDataFrame(data, "doc_id long, text string"))
+    check(spark.createDataFrame(data, "doc_id long, text string"), least)
 
 
 def test_query_takes_short_runs_and_the_ends_of_passages(spark, tmp_path):

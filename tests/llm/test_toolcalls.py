@@ -65,6 +65,25 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert formatted(spark, []).count() == 0
 
 
+def test_every_other_turn_is_a_message(spark):
+    messages = [(1, 0, "system", 'be "kind"\n'), (1, 1, "user", "hi"), (1, 1, "user", "hi"), (2, 0, None, None)]
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, content string")
+    call = spark.createDataFrame([(1, 2, "a", None, "none", "{}")], CALLS)
+    got = toolcalls.format_calls(call, spark.createDataFrame([], RESULTS), SCHEMAS, df)
+    plain = got.where("kind = 'message'").orderBy("conv_id", "turn").collect()
+    assert got.count() == 5 and [(r.conv_id, r.turn) for r in plain] == [(1, 0), (1, 1), (1, 1), (2, 0)]
+    assert plain[0].json == '{"content":"be \\"kind\\"\\n","role":"system"}' and plain[3].json == '{"content":null,"role":null}'
+
+
+def test_joins_are_hashed(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = formatted(spark, [(1, 1, "a", None, "none", "{}"), (1, 2, "b", "a", "none", "{}")])._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_python_on_the_executors(spark):
     plan = formatted(spark, [(1, 1, "a", None, "none", "{}")])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

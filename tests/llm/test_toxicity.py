@@ -91,6 +91,72 @@ def test_disguise_does_not_hide(spark, model):
     assert scores[3] == scores[4] == scores[0]
 
 
+def every_path(channel, word):
+    """All ways through a word's lattice: what it may mean, and the cost of that."""
+    paths, before = [("", 0.0)], ""
+    for c in word:
+        if c in toxicity.LEET:
+            options = [(x, -0.2) for x in toxicity.LEET[c]] + [("", -5.0)]
+        elif c.isalpha():
+            options = [(c, 0.0)] + ([("", -0.3)] if c == before else [])
+        elif c.isspace():
+            options = [("", -0.1), (" ", -0.1)]
+        else:
+            options = [("", -0.1 if c in toxicity.JOINTS else -1.0)]
+        paths = [(said + x, cost + price) for said, cost in paths for x, price in options]
+        before = c
+    best: dict[str, float] = {}
+    for said, cost in paths:
+        s = [0, 0, *(0 if x == " " else 2 + toxicity.ALPHABET.index(x) if x in toxicity.ALPHABET else 1 for x in said), 0]
+        total = cost + sum(channel.log[a][b][c] for a, b, c in zip(s, s[1:], s[2:]))
+        best[said] = max(total, best.get(said, -np.inf))
+    return best
+
+
+@pytest.mark.parametrize("word", ["1d10t", "m0r0n", "l0o0ser", "$tup1d", "i d i o t", "s.t_u-p*d", "aab!|1", "tr@5h", "é t é s", "looooser", "7h3 1d", "a1!", "ñ4ñ4", "1", "...", "xx yy"])
+def test_decoding_equals_enumeration_of_all_paths(model, word):
+    best = every_path(model.channel, word)
+    found = model.channel._decode(word)
+    assert best[found] == pytest.approx(max(best.values()), abs=1e-9)
+
+
+def test_the_model_is_what_plain_counting_gives(spark, model):
+    """Trigrams, document counts, odds and inputs again, with dictionaries."""
+    docs, labels = table(spark)
+    texts, toxic = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    for text in texts.values():
+        s = [0, 0, *toxicity.symbols(text).tolist(), 0]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            counts[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
+    assert (counts == model.counts).all()
+    parts = {r.doc_id: r.p for r in docs.selectExpr("doc_id", "pmod(xxhash64('part', doc_id), 3) AS p").collect()}
+    inside = [i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1 and parts[i] != 0]
+    bad = sum(toxic[i] for i in inside)
+    seen: dict[str, list[int]] = {}
+    for i in inside:
+        terms = {w for word in texts[i].split() for w in ([word, word[: toxicity.STEM] + "*"] if len(word) > toxicity.STEM else [word])}
+        for term in terms:
+            seen.setdefault(term, [0, 0])[toxic[i]] += 1
+    odds = {t: np.log(((b + 0.5) / (bad + 1)) / ((g + 0.5) / (len(inside) - bad + 1))) for t, (g, b) in seen.items() if b >= toxicity.SUPPORT}
+    odds = {t: v for t, v in odds.items() if v >= np.log(toxicity.ODDS)}
+    assert sorted(odds.values()) == pytest.approx(sorted(model.odds.tolist())) and len(odds) >= len(BAD)
+    x = model.signals(pa.array(list(texts.values())))
+    for row, text in zip(x, texts.values()):
+        hits = {t for word in text.split() for t in (word, word[: toxicity.STEM] + "*" if len(word) > toxicity.STEM else word) if t in odds}
+        assert row.tolist() == pytest.approx([1, np.log1p(sum(odds[t] for t in hits)), np.log1p(len(hits))])
+
+
+def test_beginnings_are_cut_by_character():
+    data = "éééééé ééééé éééééà aéaéaéa".encode()
+    block = next(blocks(pa.array([data.decode()])))
+    starts, ends, firsts = words(block)
+    row, found = toxicity._features_of(block.data, starts, ends, np.arange(len(starts)))
+    of = {k: found[row == k].tolist() for k in range(4)}
+    assert [len(of[k]) for k in range(4)] == [2, 1, 2, 2]
+    assert of[0][1] == of[2][1] and of[0][0] != of[2][0] and of[3][1] != of[0][1]
+
+
 def test_hard_rows(spark, model):
     df = hard(spark)
     got = toxicity.score(df, model)

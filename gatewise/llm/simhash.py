@@ -1,12 +1,14 @@
 """Document fingerprints (operator 1): SimHash and permuted block tables.
 
 The terms of a text are its word pairs, weighted by 1 + ln(count). Every term's hash votes with
-its weight for or against each bit; the fingerprint has the bits that won.
+its weight for or against each bit; the fingerprint has the bits that won. Weights are whole
+numbers, so votes are exact in any order and equal texts have equal fingerprints wherever they lie.
 
-Fingerprints within a Hamming radius are found without comparing all: cut into radius + 2 blocks,
-two such fingerprints agree in at least two blocks, so they meet in one of the tables whose key is
-a choice of two blocks. Large buckets of a table are dealt out in pairs of blocks of rows, and
-links are counted where they are found, so that no pairs are written.
+Fingerprints within a Hamming radius are found without comparing all: cut into radius + k blocks,
+two such fingerprints agree in at least k blocks, so they meet in one of the tables whose key is
+a choice of k blocks; k is such that a bucket holds few fingerprints by chance. Large buckets of a
+table are dealt out in pairs of blocks of rows, and links are counted where they are found, so that
+no pairs are written.
 
 Defined results: null counts as empty; a text without words has the fingerprint of zeros; a single
 word is a term; null ids come after all others; rows with the same id are in the order of their
@@ -25,34 +27,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewise.llm.groups import deal, each_group
+from gatewise.llm.groups import deal, groups
 from gatewise.llm.scratch import partitions, table, workers
 from gatewise.llm.text import blocks, column, distinct, mix, rows_of, shingles
 
-#: Bits of a fingerprint, words of a term, terms whose votes are counted at once.
-BITS, TERM, VOTES = 128, 2, 1 << 14
+#: Bits of a fingerprint, words of a term, texts whose votes are counted at once, and weight of a term that occurs once.
+BITS, TERM, VOTES, UNIT = 128, 2, 1 << 12, 1 << 16
+
+#: Bits in which fingerprints of texts that are alike may differ. Of copies with a word in 100 changed about five
+#: in six lie within it, of those with a word in 300 nearly all (see the README).
+RADIUS = 10
 
 #: Rows of a bucket compared at once in memory.
 MEMBERS = 2048
 
 
+# For each byte, which way its bits vote.
+_WAYS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1
+
+
 def fingerprints(texts: pa.Array) -> np.ndarray:
-    """``BITS / 8`` bytes for each text."""
+    """``BITS / 8`` bytes for each text.
+
+    The weights of a text's terms are summed by each byte of their hashes; the sums vote with the bits of the byte.
+    """
     out = np.zeros((len(texts), BITS // 8), np.uint8)
     for block in blocks(texts):
         terms, firsts, counts = distinct(*shingles(block, TERM))
-        weights = (1 + np.log(counts)).astype(np.float32)
+        weights = np.rint(UNIT * (1 + np.log(counts)))
         row = rows_of(firsts)
-        votes = np.zeros((len(block), BITS), np.float32)
-        for at in range(0, len(terms), VOTES):
-            some = terms[at : at + VOTES]
-            halves = np.stack([some, mix(some + np.uint64(0x9E3779B97F4A7C15))], 1)
-            signs = np.unpackbits(halves.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-            signs *= weights[at : at + VOTES, None]
-            own = row[at : at + VOTES]
-            heads = np.flatnonzero(np.diff(own, prepend=-1))
-            votes[own[heads]] += np.add.reduceat(signs, heads, axis=0)
-        out[block.start : block.start + len(block)] = np.packbits(votes > 0, axis=1)
+        for a in range(0, len(block), VOTES):
+            n = min(VOTES, len(block) - a)
+            some = slice(firsts[a], firsts[a + n])
+            halves = np.stack([terms[some], mix(terms[some] + np.uint64(0x9E3779B97F4A7C15))], 1).view(np.uint8).reshape(-1, BITS // 8)
+            place = (row[some] - a) * 256
+            for k in range(BITS // 8):
+                votes = np.bincount(place + halves[:, k], weights[some], n * 256).reshape(n, 256) @ _WAYS
+                out[block.start + a : block.start + a + n, k] = np.packbits(votes > 0, axis=1)[:, 0]
     return out
 
 
@@ -137,69 +148,104 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
-def block_keys(prints: np.ndarray, radius: int) -> np.ndarray:
-    """A key for each fingerprint and table; a table takes two of ``radius + 2`` blocks to the front."""
+def front_blocks(prints: int, radius: int) -> int:
+    """How many of ``radius + k`` blocks a key takes, so that a bucket holds about one of so many fingerprints by chance."""
+    k = 2
+    while 2.0 ** (BITS * k / (radius + k)) < prints and k < 6:
+        k += 1
+    return k
+
+
+def block_keys(prints: np.ndarray, radius: int, front: int = 2) -> np.ndarray:
+    """A key for each fingerprint and table; a table takes ``front`` of ``radius + front`` blocks to the front."""
     bits = np.unpackbits(prints, axis=1)
-    cut = np.linspace(0, bits.shape[1], radius + 3).astype(int)
+    cut = np.linspace(0, bits.shape[1], radius + front + 1).astype(int)
+    parts = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        packed = np.zeros((len(bits), 8), np.uint8)
+        packed[:, : -(-(b - a) // 8)] = np.packbits(bits[:, a:b], axis=1)
+        parts.append(packed.view(np.uint64)[:, 0] if b - a <= 64 else None)
+    if any(part is None for part in parts):
+        raise ValueError("a radius of at least one bit")
     keys = []
-    for number, (i, j) in enumerate(combinations(range(radius + 2), 2)):
-        front = np.concatenate([bits[:, cut[i] : cut[i + 1]], bits[:, cut[j] : cut[j + 1]]], 1)
-        packed = np.packbits(front, axis=1)
-        whole = np.zeros((len(bits), -(-packed.shape[1] // 8) * 8), np.uint8)
-        whole[:, : packed.shape[1]] = packed
+    for number, chosen in enumerate(combinations(range(radius + front), front)):
         key = np.full(len(bits), number + 1, np.uint64)
-        for part in whole.view(np.uint64).T:
-            key = mix(key ^ part)
+        for k in chosen:
+            key = mix(key ^ parts[k]) + np.uint64(number)
         keys.append(key)
     return np.stack(keys, 1)
 
 
-def links_within(prints: DataFrame, radius: int = 3, print_col: str = "fingerprint") -> DataFrame:
+def _longs(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints as two longs each."""
+    return np.ascontiguousarray(prints).view(np.int64).reshape(len(prints), 2)
+
+
+def _alike(keys: np.ndarray, prints: np.ndarray, block: np.ndarray, pair: tuple[np.ndarray, np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of sorted groups that are within ``radius`` bits and in the two blocks of their group, by their distance in the order."""
+    words = prints.view(np.uint64)
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (pair[0][1:] != pair[0][:-1]) | (pair[1][1:] != pair[1][:-1])))
+    last = np.repeat(np.append(starts[1:], len(keys)), np.diff(np.append(starts, len(keys))))
+    x, apart = np.arange(len(keys)), 1
+    while True:
+        x = x[x + apart < last[x]]
+        if not len(x):
+            return
+        y = x + apart
+        near = np.bitwise_count(words[x] ^ words[y]).sum(1) <= radius
+        same = pair[0][x] == pair[1][x]
+        near &= same | (block[x] != block[y])
+        if near.any():
+            yield x[near], y[near]
+        apart += 1
+
+
+def links_within(prints: DataFrame, radius: int = RADIUS, print_col: str = "fingerprint") -> DataFrame:
     """``<print_col>, links``: for each different fingerprint (hex), how many others are within ``radius`` bits.
 
-    Fingerprints without others are left out.
+    Fingerprints without others are left out. Keys are made again where they are needed instead of being stored.
     """
     workers(prints.sparkSession)
+    own = table(prints.select(F.col(print_col).alias("print")).where("print IS NOT NULL").distinct(), "prints")
+    front = front_blocks(own.count(), radius)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = column(batch, "print")
-            raw = np.frombuffer(bytes.fromhex("".join(own.to_pylist())), np.uint8).reshape(len(own), BITS // 8)
-            keys = block_keys(raw, radius)
-            tables = keys.shape[1]
-            many = np.repeat(np.arange(len(own)), tables)
-            yield pa.RecordBatch.from_arrays([own.take(pa.array(many)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(keys.ravel().view(np.int64))], ["print", "number", "key"])
-
-    own = prints.select(F.col(print_col).alias("print")).where("print IS NOT NULL").distinct()
-    keys = table(own.mapInArrow(keyed, "print string, number int, key long"), "block-tables")
-    buckets = keys.groupBy("number", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = deal(keys.join(buckets, ["number", "key"]), "print", F.ceil(F.col("size") / MEMBERS))
-    by = ["number", "key", "block_i", "block_j"]
+            raw = np.frombuffer(bytes.fromhex("".join(column(batch, "print").to_pylist())), np.uint8).reshape(-1, BITS // 8)
+            keys = block_keys(raw, radius, front)
+            halves = np.repeat(_longs(raw), keys.shape[1], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["key", "a", "b"])
+
+    keys = own.mapInArrow(keyed, "key long, a long, b long")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = deal(keys.join(buckets, "key"), "a", F.ceil(F.col("size") / MEMBERS)).select("key", "a", "b", "block", "block_i", "block_j")
+    by = ["key", "block_i", "block_j"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in each_group(batches, by):
-            names = group["print"].to_pylist()
-            raw = np.frombuffer(bytes.fromhex("".join(names)), np.uint8).reshape(len(names), BITS // 8)
-            keys = block_keys(raw, radius)
-            block, number = group["block"].to_numpy(), group["number"][0].as_py()
-            i, j = group["block_i"][0].as_py(), group["block_j"][0].as_py()
-            rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            links = np.zeros(len(names), np.int64)
-            for x in rows:
-                ys = cols[cols > x] if i == j else cols
-                ys = ys[distance(raw[ys], raw[x]) <= radius]
-                # A pair that meets in several tables counts in the first of them.
-                ys = ys[(keys[ys] == keys[x]).argmax(1) == number] if len(ys) else ys
-                links[x] += len(ys)
-                links[ys] += 1
-            some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some], pa.string()), pa.array(links[some])], ["print", "links"])
+        for some in groups(batches, by):
+            key, block, i, j = (some[c].to_numpy() for c in ("key", "block", "block_i", "block_j"))
+            prints = np.stack([some["a"].to_numpy(), some["b"].to_numpy()], 1)
+            met = [pair for pair in _alike(key, prints, block, (i, j), radius)]
+            if not met:
+                continue
+            x, y = (np.concatenate(side) for side in zip(*met))
+            # A pair that meets in several tables counts in the first of them.
+            first = []
+            for part in range(0, len(x), 4096):
+                both = [block_keys(prints[side[part : part + 4096]].view(np.uint8).reshape(-1, BITS // 8), radius, front) for side in (x, y)]
+                at = (both[0] == both[1]).argmax(1)
+                first.append(both[0][np.arange(len(at)), at].view(np.int64) == key[x[part : part + 4096]])
+            first = np.concatenate(first)
+            links = np.bincount(np.concatenate([x[first], y[first]]), minlength=len(key))
+            rows = np.flatnonzero(links)
+            names = [p.tobytes().hex() for p in prints[rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(links[rows])], ["print", "links"])
 
     found = members.repartition(*by).sortWithinPartitions(*by).mapInArrow(compared, "print string, links long")
     return found.groupBy("print").agg(F.sum("links").alias("links")).withColumnRenamed("print", print_col)
 
 
-def fingerprint_documents(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`edited_fingerprints` and ``near_prints``: other fingerprints of the table within ``radius`` bits."""
     found = table(edited_fingerprints(docs, id_col, text_col), "edited")
     near = links_within(found, radius).withColumnRenamed("links", "near_prints")

@@ -34,9 +34,9 @@ from gatewise.llm.text import blocks, column, distinct, mix, rows_of, shingles
 #: Bits of a fingerprint, words of a term, texts whose votes are counted at once, and weight of a term that occurs once.
 BITS, TERM, VOTES, UNIT = 128, 2, 1 << 12, 1 << 16
 
-#: Bits in which fingerprints of texts that are alike may differ. Of copies with a word in 100 changed about five
-#: in six lie within it, of those with a word in 300 nearly all (see the README).
-RADIUS = 10
+#: Bits in which fingerprints of texts that are alike may differ: nearly all copies with a word in 300 changed lie
+#: within it, and about half of those with a word in 100 (see the README).
+RADIUS = 8
 
 #: Rows of a bucket compared at once in memory.
 MEMBERS = 2048
@@ -149,9 +149,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def front_blocks(prints: int, radius: int) -> int:
-    """How many of ``radius + k`` blocks a key takes, so that a bucket holds about one of so many fingerprints by chance."""
+    """How many of ``radius + k`` blocks a key takes, so that few of so many fingerprints share a bucket by chance."""
     k = 2
-    while 2.0 ** (BITS * k / (radius + k)) < prints and k < 6:
+    while 2.0 ** (BITS * k / (radius + k)) < 2 * prints and k < 6:
         k += 1
     return k
 

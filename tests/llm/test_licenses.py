@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gatewise.llm import licenses
@@ -57,10 +60,81 @@ def test_cosines_equal_dense_vectors():
         if not len(own):
             continue
         dots = np.vstack([made.matrix, np.zeros((20, len(made.names)))]).T @ vector / np.linalg.norm(vector)
-        if cosine[u]:
-            assert cosine[u] == pytest.approx(dots.max()) and dots[best[u]] == pytest.approx(dots.max())
-        else:
-            assert dots.max() < 0.85
+        assert cosine[u] == pytest.approx(dots.max()) and dots[best[u]] == pytest.approx(dots.max())
+
+
+def wrapped(text, width, sign=""):
+    out, line = [], ""
+    for word in text.split():
+        if line and len(line) + len(word) >= width:
+            out, line = [*out, sign + line], ""
+        line = f"{line} {word}".strip()
+    return "\n".join([*out, sign + line])
+
+
+def test_units_ruled_out_are_not_near():
+    """Every unit again, by its dense vector."""
+    made = licenses.Templates()
+    made.weigh(5000, {k: (k * 37) % 900 for k in range(len(made.terms))})
+    texts = [f"{prose(k, 60)}\n\n{wrapped(made_text, 40 + k, '# ')}\n{prose(k + 9, 20)}" for k, (_, made_text) in enumerate(licenses.TEMPLATES[:42])]
+    texts += ["", "...", "the the the of of", "license", licenses._MIT_GRANT * 3]
+    units = licenses.Units(next(licenses.blocks(pa.array(texts))))
+    near, best, cosine = made.near(units)
+    every, far = made.cosines(*(lambda at, number: (units.terms[at], number))(*units.words(np.arange(len(units.first)))), len(units.first))
+    assert near.tolist() == np.flatnonzero(far >= licenses.NEAR).tolist() and len(near) > 60
+    assert best.tolist() == every[near].tolist() and cosine == pytest.approx(far[near])
+
+
+GPL = licenses._GNU.format(":", "", ",", "3")
+BSD = licenses._BSD_CONDITIONS, licenses._BSD_NO_ENDORSEMENT, licenses._BSD_NO_WARRANTY
+MIT = licenses._MIT_GRANT + licenses._MIT_CONDITION, licenses._MIT_NO_WARRANTY
+ISC = licenses._ISC_GRANT, licenses._ISC_NO_WARRANTY
+FILES = {
+    "GPL-3.0": "# Copyright (C) 2020 Ann Other\n#\n" + wrapped(GPL, 60, "# ") + "\n#\n" + wrapped(licenses._GNU_NO_WARRANTY.format(""), 60, "# ") + "\n\nimport os\n",
+    "GPL-2.0": " * " + wrapped(licenses._GNU.format(";", "", ";", "2"), 50, " * ") + "\n */\nint main() { return 0; }\n",
+    "LGPL-2.1": wrapped(licenses._GNU.format(";", "Lesser", ";", "2.1").replace("program", "library"), 70, "// "),
+    "MIT": "MIT License\n\nCopyright (c) 2020 Ann Other\n\n" + "\n\n".join(wrapped(t, 76) for t in MIT) + "\n",
+    "ISC": "ISC License\n\nCopyright (c) 2020, Ann Other\n\n" + "\n\n".join(wrapped(t, 76) for t in ISC) + "\n",
+    "BSD-2-Clause": "Copyright 2020 Ann Other\n\n" + "\n\n".join(wrapped(t, 70) for t in (BSD[0], BSD[2])) + "\n",
+    "BSD-3-Clause": "Copyright 2020 Ann Other\n\n" + "\n\n".join(wrapped(t, 70) for t in BSD) + "\n",
+    "Apache-2.0": wrapped(licenses._APACHE, 70, "# ") + "\n#\n" + wrapped(licenses._APACHE_NO_WARRANTY, 70, "# ") + "\nimport sys\n",
+    "Zlib": wrapped(licenses._ZLIB, 66),
+    "MPL-2.0": "/* " + wrapped(licenses._MPL, 66, " * ") + " */",
+}
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_wrapped_headers_and_licence_files(spark, name):
+    assert scan(spark, [("x", FILES[name]), ("y", prose(9, 400)), ("z", prose(3, 50) + "\n\n" + FILES[name])])[0][0] == name
+
+
+@pytest.mark.parametrize("line, name", [("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"), ("SPDX-License-Identifier: Nobody-Knows-1.0", None)])
+def test_identifiers(spark, line, name):
+    assert scan(spark, [("x", line + "\nint main() { return 0; }"), ("y", prose(9, 400))])[0][0] == name
+
+
+def test_inheritance_equals_a_plain_walk(spark):
+    r = random.Random(8)
+    folders = [""] + ["/".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(40)]
+    texts = [APACHE, "Released under the MIT License.", prose(1, 30), prose(2, 40), "SPDX-License-Identifier: ISC"]
+    rows = []
+    for k in range(150):
+        folder, name = r.choice(folders), r.choice(["LICENSE", "COPYING.txt", "x.py", "y.py", "license_tool.py"])
+        rows.append((f"{folder}/{name}".lstrip("/"), r.choice(texts)))
+    own = {APACHE: "Apache-2.0", texts[1]: "MIT", texts[4]: "ISC"}
+    got = scan(spark, rows)
+    files: dict[str, list] = {}
+    for path, text in rows:  # all licenses here are at a cosine of 1, so the first by name and path holds
+        if text in own:
+            files.setdefault(path.rpartition("/")[0], []).append((own[text], path))
+    for k, (path, text) in enumerate(rows):
+        if text in own:
+            assert got[k] == (own[text], "own", None)
+            continue
+        folder = path.rpartition("/")[0]
+        while folder and folder not in files:
+            folder = folder.rpartition("/")[0]
+        assert got[k] == ((min(files[folder])[0], "inherited", min(files[folder])[1]) if folder in files else (None, "none", None))
 
 
 def test_hard_rows(spark):

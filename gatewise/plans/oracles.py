@@ -426,10 +426,10 @@ TENSORS = """tensors AS (
   FROM embeddings)"""
 
 
-def averaged(value: str) -> str:
+def averaged(value: str, rows: str = "true") -> str:
     return f"""WITH {TENSORS}
 SELECT key, layer, part, CAST(pos AS INTEGER) AS pos, floor(({value}) * 1e6 + 0.5) / 1e6 AS value
-FROM tensors GROUP BY key, layer, part, pos"""
+FROM tensors WHERE {rows} GROUP BY key, layer, part, pos"""
 
 
 AVERAGED_BY_RUN = f"""WITH {TENSORS},
@@ -511,6 +511,8 @@ SELECT o_orderkey, CASE WHEN rank < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'va
     "capped_steps_long": batch_rows(20, "200"),
     "eval_steps": batches(1, "chunk_rows // 10")
     + "\nSELECT chunk, step, count(*) AS n FROM batched WHERE step % 10 = 0 OR step + 1 = max_steps GROUP BY chunk, step",
+    "chunk_partitions": f"""WITH {chunked('spread')}
+SELECT o_orderkey, {big('chunk', 'chunk')}, {big('chunk_rows', 'chunk_rows')}, CAST(chunk AS INTEGER) AS part FROM chunked""",
     "gate_preactivation": f"WITH {PRE} "
     + wide("z", [(f"z_{q}{j}", "z", f"k = {k} AND j = {j}") for q, k in GATE_NUMBER.items() for j in range(3)]),
     "gate_preactivation_wide": WIDE_GATES,
@@ -531,6 +533,7 @@ SELECT o_orderkey, CASE WHEN rank < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'va
     "average_weights": averaged("avg(v)"),
     "average_weights_by_rows": averaged("sum(v * (replica % 7 + 1)) / sum(replica % 7 + 1)"),
     "average_weights_by_run": AVERAGED_BY_RUN,
+    "average_weights_gaps": averaged("avg(v)", "replica % 6 <> 0 AND replica % 7 <> 1"),
     "latest_checkpoint": LATEST,
     "train_weights": trained(1),
     "train_two_passes": trained(2),

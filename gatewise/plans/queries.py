@@ -11,6 +11,7 @@ from gatewise.operators import batching, blocks, metrics, prep, weights
 from gatewise.operators.fit import Fit, fit
 from gatewise.operators.fit import skipped_chunks as skipped
 from gatewise.operators.score import score, score_sequences
+from gatewise.operators.train import Round, training_rows
 from gatewise.plans.formula import c0, column_gates, formula_model, h0
 from gatewise.sources import examples as X
 from gatewise.sources.store import cut, new_path
@@ -242,8 +243,14 @@ def eval_steps(spark: SparkSession, sf: str) -> DataFrame:
     return due.groupBy("chunk", "step").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Cell stages and scoring
+def chunk_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a chunk in the partition of its number, as they come to its task."""
+    rows = chunked_orders(spark, sf).withColumn("features", C.vector("o_orderkey")).withColumn("label", F.lit(0).cast("long"))
+    ordered = training_rows(rows, 10, 7, Round(0, 1, resident=True), ["o_orderkey"], SEED)
+    return ordered.select(F.get("features", F.lit(0)).cast("long").alias("o_orderkey"), "chunk", "chunk_rows", F.spark_partition_id().alias("part"))
+
 
+# Cell stages and scoring
 
 
 def cell_inputs() -> tuple[list[Column], list[Column]]:
@@ -401,6 +408,13 @@ def average_weights_by_run(spark: SparkSession, sf: str) -> DataFrame:
     return elements(weights.average_weights(df, runs, by=("run_id",)), "values", "run_id", *weights.TENSOR)
 
 
+def average_weights_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Some rows lack their key, some their values; they don't count."""
+    df = vector_weights(spark, sf).withColumn("key", F.when(F.col("replica") % 6 != 0, F.col("key")))
+    df = df.withColumn("values", F.when(F.col("replica") % 7 != 1, F.col("values")))
+    return elements(weights.average_weights(df), "values", *weights.TENSOR)
+
+
 def latest_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
     """Replicas of a run share their steps."""
     df = vector_weights(spark, sf).withColumn("step", F.expr("replica div 5")).withColumn("replica", F.col("replica") % 5)
@@ -524,6 +538,7 @@ QUERIES = {
     "capped_steps": capped_steps,
     "capped_steps_long": capped_steps_long,
     "eval_steps": eval_steps,
+    "chunk_partitions": chunk_partitions,
     "gate_preactivation": gate_preactivation,
     "gate_preactivation_wide": gate_preactivation_wide,
     "lstm_gates": lstm_gates,
@@ -543,6 +558,7 @@ QUERIES = {
     "average_weights": average_weights,
     "average_weights_by_rows": average_weights_by_rows,
     "average_weights_by_run": average_weights_by_run,
+    "average_weights_gaps": average_weights_gaps,
     "latest_checkpoint": latest_checkpoint,
     "train_weights": train_weights,
     "train_two_passes": train_two_passes,

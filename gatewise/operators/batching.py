@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewise.operators.places import Target, prefix_counts, rows_at
+from gatewise.operators.places import COUNTED, Target, prefix_counts, rows_at
 from gatewise.operators.prep import _rank_in_order, shuffle_hash
 
 STEP_RULES = ("full_pass", "epochs_x_batch")
@@ -16,8 +16,6 @@ STEP_RULES = ("full_pass", "epochs_x_batch")
 # Rows of a chunk and pass are placed inside buckets named by the first hex digits of their hash.
 BUCKET_DIGITS = 3
 
-# Digits by which the rows of every chunk are counted to find the row a pass is cut at.
-CUT_DIGITS = 2
 
 
 def trainable(chunked: DataFrame, min_rows: int) -> DataFrame:
@@ -100,17 +98,21 @@ def minibatches(
 
 
 def pass_cuts(
-    chunked: DataFrame, in_pass: Column, rank: Callable[[int], int], ids: Sequence[str], seed: int, ties: Sequence[str]
+    chunked: DataFrame, in_pass: Column, rank: Callable[[int], int], ids: Sequence[str], seed: int, ties: Sequence[str], chunks: int = 256
 ) -> DataFrame:
     """``chunk, cut``: of each chunk the place ``_h, ids, ties`` of the row at ``rank(rows)`` in the order of one pass.
 
     ``in_pass`` tells the pass from ``chunk_rows``. Chunks without a row at that rank are left out. Nothing is
-    sorted: the digits of the order keys are counted, by chunk, until the row is found.
+    sorted: the digits of the order keys are counted, by chunk, until the row is found. ``chunks`` is about how
+    many there are; the fewer, the more digits are counted at once.
     """
+    digits = 1
+    while chunks * 16 ** (digits + 1) <= COUNTED:
+        digits += 1
     place = ["_h", *ids, *ties]
     rows = chunked.withColumn("pass", in_pass).withColumn("_h", order_key(seed, ids)).withColumn("_g", F.col("chunk").cast("string"))
     by_chunk: dict[str, list[tuple[str, int]]] = {}
-    for g, p, n in prefix_counts(rows, CUT_DIGITS, group_col="_g"):
+    for g, p, n in prefix_counts(rows, digits, group_col="_g"):
         by_chunk.setdefault(g, []).append((p, n))
     targets = {}
     for g, counted in by_chunk.items():

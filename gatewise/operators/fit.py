@@ -157,6 +157,7 @@ def fit(
     until = len(rounds) if max_rounds is None else min(len(rounds), done["rounds"] + max_rounds)
     if until - done["rounds"] > 1:
         chunked = cut(chunked, "chunked")
+    cuts: dict = {}
     for number in range(done["rounds"], until):
         trained = train_replicas(
             chunked,
@@ -176,6 +177,7 @@ def fit(
             rounds[number],
             states,
             number == len(rounds) - 1,
+            cuts,
         )
         store(trained, number)
         done = {**done, "rounds": number + 1, "seconds": done["seconds"] + time.perf_counter() - began}

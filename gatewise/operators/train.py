@@ -109,6 +109,7 @@ def training_rows(
     step_rule: str = "full_pass",
     ties: Sequence[str] = (),
     states: DataFrame | None = None,
+    cuts: dict[tuple[int, int], DataFrame] | None = None,
 ) -> DataFrame:
     """The rows of one round, those of a chunk in one partition and in order.
 
@@ -116,9 +117,11 @@ def training_rows(
     there are more of them than partitions. In a round of whole passes a row comes once, in the order of its
     id, with the text its order keys are made from; of a part of a pass only that part's rows are exchanged,
     and come in the order of the pass. A state (``replica, state``) that a replica is to go on from comes as
-    the first row of its chunk.
+    the first row of its chunk. ``cuts`` keeps the places that passes are cut at, as the next round begins
+    where this one ends.
     """
     rows = trainable(chunked, batch_size or 1)
+    cuts = {} if cuts is None else cuts
     max_steps, _ = pass_range(batch_size, epochs, step_rule)
     rows = rows.withColumn("max_steps", max_steps)
     if now.resident:
@@ -128,12 +131,14 @@ def training_rows(
         in_pass, place = F.lit(now.first), F.struct("_h", *ids, *ties)
         rows = rows.withColumn("pass", in_pass).withColumn("_h", order_key(seed, ids)).withColumn("_key", F.lit(None).cast("string"))
         order = ["_h", *ids, *ties]
+        for rank in (now.low, now.high):
+            if rank and (now.first, rank) not in cuts:
+                cuts[now.first, rank] = pass_cuts(trainable(chunked, batch_size or 1), in_pass, lambda n: rank, ids, seed, ties, num_partitions)
         if now.high is not None:
-            cuts = pass_cuts(trainable(chunked, batch_size or 1), in_pass, lambda n: now.high, ids, seed, ties)
-            rows = rows.join(F.broadcast(cuts), "chunk", "left").where(F.col("cut").isNull() | (place < F.col("cut"))).drop("cut")
+            end = F.broadcast(cuts[now.first, now.high])
+            rows = rows.join(end, "chunk", "left").where(F.col("cut").isNull() | (place < F.col("cut"))).drop("cut")
         if now.low:
-            cuts = pass_cuts(trainable(chunked, batch_size or 1), in_pass, lambda n: now.low, ids, seed, ties)
-            rows = rows.join(F.broadcast(cuts), "chunk").where(place >= F.col("cut")).drop("cut")
+            rows = rows.join(F.broadcast(cuts[now.first, now.low]), "chunk").where(place >= F.col("cut")).drop("cut")
     rows = rows.withColumn("_state", F.lit(None).cast("binary"))
     if states is not None:
         begun = states.select(F.col("replica").alias("chunk"), F.col("state").alias("_state"))
@@ -177,6 +182,7 @@ def train_replicas(
     now: Round | None = None,
     states: DataFrame | None = None,
     final: bool = True,
+    cuts: dict[tuple[int, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Trains one replica per chunk, in the order of ``minibatches``, from ``params`` or its state.
 
@@ -186,7 +192,7 @@ def train_replicas(
     state (net, optimizer, counts, what a batch has added up so far) from which the next round goes on.
     """
     now = Round(0, 1 << 30, resident=True) if now is None else now
-    ordered = training_rows(chunked, spec.batch_size, num_partitions, now, ids, seed, epochs, step_rule, ties, states)
+    ordered = training_rows(chunked, spec.batch_size, num_partitions, now, ids, seed, epochs, step_rule, ties, states, cuts)
     make_optimizer = cell.OPTIMIZERS.get(optimizer, optimizer)
     shared = broadcast(chunked.sparkSession, params)
 

@@ -118,8 +118,8 @@ def fit(
         ranges = cut(minmax_ranges(examples, spec.in_features, scale), "ranges")
     params = init.flat if isinstance(init, Model) else init_params(spec, seed, initializer)
     if ids is None:
-        examples = number_copies(examples).withColumn("content", F.md5("_json")).withColumnRenamed("_copy", "copy").drop("_json")
-        examples, ids = cut(examples, "numbered"), ["content", "copy"]
+        examples = number_copies(examples).withColumn("_content", F.md5("_json")).drop("_json")
+        examples, ids = cut(examples, "numbered"), ["_content", "_copy"]
     chunked, total = assign_counted(examples, num_chunks, remainder, ids, seed, ties)
     if ranges is not None:
         chunked = minmax(chunked, spec.in_features, ranges=ranges)

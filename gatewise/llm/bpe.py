@@ -5,9 +5,20 @@ through a recursive query whose rows are token positions: they join the merge ta
 leftmost pair of minimum rank is contracted, until no pair is left. Words decode by an ordered
 aggregation of their tokens' bytes; a text is the sequence of its words.
 
+A long word (text without spaces, encoded data) would take a step for each of its merges. Its query
+contracts in one step all pairs that one merge after the other would come to contract in any case:
+
+* A pair that ranks before both of its neighbours is contracted unless another merge takes one of its
+  tokens first. That needs a token that grows up to the pair from outside and joins a part of it at a
+  lower rank; tables name such merges by the neighbour, the part and the byte behind the neighbour.
+* The token made must not join what may come beside it at a lower rank than its own, as then the
+  order would matter. The same tables tell.
+* In a chain of overlapping pairs of one rank, every second one is contracted, from the left.
+* Of pairs of the word's least rank, those before the first that fails the second rule, and that one.
+
 Defined results: null and empty texts have no tokens; special tokens' strings are ordinary text;
-repeated rows give repeated results; null ids stay null; other columns are not read. A word's
-query takes a step per merge, so a single word of very many bytes takes its square in time.
+repeated rows give repeated results; null ids stay null; other columns are not read. Words of any
+length are encoded whole.
 """
 
 from __future__ import annotations
@@ -28,6 +39,9 @@ from gatewise.sources.store import broadcast
 #: Bytes of words given to one recursive query, and words remembered by a worker (memory only).
 QUERY_BYTES, REMEMBERED = 1 << 18, 500_000
 
+#: Bytes from which a word goes through the query of long words; both give the same tokens.
+LONG = 512
+
 #: Bytes of text whose words are collected before the new ones are encoded.
 TEXT_BYTES = 4 << 20
 
@@ -38,12 +52,15 @@ MERGES = """
     JOIN tokens l ON l.hex = substr(t.hex, 1, t.k) JOIN tokens r ON r.hex = substr(t.hex, t.k + 1)
 """
 
-ENCODE = """
+START = """
     WITH RECURSIVE steps(word, pos, tok, merging) AS (
         SELECT w.word::INTEGER, w.k::INTEGER, t.id::INTEGER, true
         FROM (SELECT word, hex, unnest(range(length(hex) // 2)) AS k FROM words ANTI JOIN tokens USING (hex)) w
         JOIN tokens t ON t.hex = substr(w.hex, 2 * w.k + 1, 2)
       UNION ALL
+"""
+
+ONE_PAIR = """
         (WITH pairs AS (
             SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lag(pos) OVER w AS last_pos
             FROM steps WHERE merging WINDOW w AS (PARTITION BY word ORDER BY pos)
@@ -54,6 +71,65 @@ ENCODE = """
         )
         SELECT word, pos, CASE WHEN place = least THEN (least >> 32)::INTEGER ELSE tok END, least IS NOT NULL
         FROM ranked JOIN best USING (word) WHERE least IS NULL OR last_pos IS NULL OR last_pos <> (least & 4294967295))
+"""
+
+#: Tables of long words: first and last bytes of tokens; the least merge of a token that ends in (begins with) a part
+#: and goes on with a byte, by the other token of the merge.
+GROWING = """
+    CREATE TABLE edges AS SELECT id, hex[1:2] AS first, hex[-2:] AS last FROM tokens;
+    CREATE TABLE cuts AS
+    SELECT id, hex[1:k] AS head, hex[k + 1:] AS tail, hex[k - 1:k] AS head_byte, hex[k + 1:k + 2] AS tail_byte
+    FROM (SELECT id, hex, unnest(range(2, length(hex), 2)) AS k FROM tokens);
+    CREATE TABLE from_left AS
+    SELECT t.id AS l, m.r, head_byte AS byte, min(m.id) AS id
+    FROM cuts c JOIN tokens t ON t.hex = c.tail JOIN merges m ON m.l = c.id GROUP BY ALL;
+    CREATE TABLE from_right AS
+    SELECT m.l, t.id AS r, tail_byte AS byte, min(m.id) AS id
+    FROM cuts c JOIN tokens t ON t.hex = c.head JOIN merges m ON m.r = c.id GROUP BY ALL;
+    DROP TABLE cuts
+"""
+
+ALL_SURE_PAIRS = """
+        (WITH beside AS (
+            SELECT s.word, s.pos, s.tok, row_number() OVER w AS nth, lag(tok) OVER w AS x, lead(tok) OVER w AS b, lead(tok, 2) OVER w AS y,
+                lag(last, 2) OVER w AS left_byte, lead(first, 3) OVER w AS right_byte
+            FROM steps s JOIN edges e ON e.id = s.tok WHERE merging WINDOW w AS (PARTITION BY word ORDER BY pos)
+        ), ranked AS (
+            SELECT s.*, m.id, coalesce(m.id, 2147483647) AS own FROM beside s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.b
+        ), near AS (
+            SELECT *, lag(own, 1, 2147483647) OVER w AS left_own, min((own::BIGINT << 32) + pos) OVER (PARTITION BY word) AS least,
+                own < 2147483647 AND own <= left_own AND own <= lead(own, 1, 2147483647) OVER w AS low
+            FROM ranked WINDOW w AS (PARTITION BY word ORDER BY pos)
+        ), lows AS (
+            SELECT * FROM near WHERE low
+        ), undisturbed AS (
+            SELECT n.word, n.pos, true AS undisturbed
+            FROM lows n LEFT JOIN from_left f ON f.l = n.x AND f.r = n.tok AND f.byte = n.left_byte
+            LEFT JOIN from_right g ON g.l = n.b AND g.r = n.y AND g.byte = n.right_byte
+            WHERE coalesce(f.id > own, true) AND coalesce(g.id > own, true)
+        ), disturbing AS (
+            SELECT n.word, n.pos, true AS disturbing
+            FROM lows n LEFT JOIN merges m ON m.l = n.x AND m.r = n.id LEFT JOIN merges o ON o.l = n.id AND o.r = n.y
+            LEFT JOIN from_left f ON f.l = n.x AND f.r = n.id AND f.byte = n.left_byte
+            LEFT JOIN from_right g ON g.l = n.id AND g.r = n.y AND g.byte = n.right_byte
+            WHERE least(m.id, o.id, f.id, g.id) < own
+        ), told AS (
+            SELECT n.*, undisturbed, disturbing, min(CASE WHEN disturbing AND own = least >> 32 THEN pos END) OVER (PARTITION BY word) AS until
+            FROM near n LEFT JOIN undisturbed USING (word, pos) LEFT JOIN disturbing USING (word, pos)
+        ), sure AS (
+            SELECT *, low AND disturbing IS NULL AND (undisturbed IS NOT NULL OR (own = least >> 32 AND pos < coalesce(until, 2147483647))) AS sure FROM told
+        ), chains AS (
+            SELECT *, max(CASE WHEN NOT sure OR own <> left_own THEN nth * 2 + (sure AND own < left_own)::INTEGER END) OVER w AS head
+            FROM sure WINDOW w AS (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING)
+        ), chosen AS (
+            SELECT *, own < 2147483647 AND ((own::BIGINT << 32) + pos = least OR (sure AND head % 2 = 1 AND (nth - head // 2) % 2 = 0)) AS joins FROM chains
+        ), gone AS (
+            SELECT *, lag(joins, 1, false) OVER (PARTITION BY word ORDER BY pos) AS taken FROM chosen
+        )
+        SELECT word, pos, CASE WHEN joins THEN id ELSE tok END, least >> 32 < 2147483647 FROM gone WHERE NOT taken)
+"""
+
+DONE = """
     ), done AS (
         SELECT word, pos, tok FROM steps WHERE NOT merging
       UNION ALL
@@ -76,23 +152,31 @@ class Coder:
         self.con.register("given", tokens)
         self.con.execute("CREATE TABLE tokens AS SELECT * FROM given")
         self.con.execute(MERGES)
+        self.growing = False
 
     def learn(self, words: Iterable[str]) -> None:
         """Encodes words in queries of a bounded size."""
-        some, size = [], 0
+        waiting: dict[str, list[str]] = {ONE_PAIR: [], ALL_SURE_PAIRS: []}
+        sizes = dict.fromkeys(waiting, 0)
         for word in words:
-            some.append(word)
-            size += len(word.encode())
-            if size >= QUERY_BYTES:
-                self._query(some)
-                some, size = [], 0
-        if some:
-            self._query(some)
-
-    def _query(self, words: list[str]) -> None:
+            size = len(word.encode())
+            step = ALL_SURE_PAIRS if size >= LONG else ONE_PAIR
+            waiting[step].append(word)
+            sizes[step] += size
+            if sizes[step] >= QUERY_BYTES:
+                self._query(waiting[step], step)
+                waiting[step], sizes[step] = [], 0
+        for step, some in waiting.items():
+            if some:
+                self._query(some, step)
+
+    def _query(self, words: list[str], step: str) -> None:
+        if step is ALL_SURE_PAIRS and not self.growing:
+            self.con.execute(GROWING)
+            self.growing = True
         self.con.register("given_words", pa.table({"word": range(len(words)), "hex": [w.encode().hex() for w in words]}))
         self.con.execute("CREATE OR REPLACE TEMP TABLE words AS SELECT * FROM given_words")
-        for at, ids, n, hexes in self.con.execute(ENCODE).fetchall():
+        for at, ids, n, hexes in self.con.execute(START + step + DONE).fetchall():
             self.known[words[at]] = (ids, n, bytes.fromhex(hexes))
 
     def texts(self, texts: list[str]) -> list[tuple[str, int, bytes]]:

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -45,5 +46,38 @@ def test_small_queries_give_the_same(monkeypatch):
     assert coder.texts(["some words which repeat some words"]) == whole
 
 
+def of(coder, words):
+    coder.known.clear()
+    coder.learn(words)
+    return [coder.known[w][0] for w in words]
+
+
+def plain(word):
+    return ",".join(map(str, PLAIN._core_bpe.encode_ordinary(word)))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_all_sure_pairs_at_once_give_the_tokens_of_one_after_the_other(monkeypatch, seed):
+    """Words of few letters, where chains and merges that disturb one another are many; and pieces of tokens."""
+    coder = bpe._coders.get("test") or bpe.Coder(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    bpe._coders["test"] = coder
+    r = random.Random(seed)
+    pieces = [p for p in (t.decode("utf-8", "ignore") for t in RANKS) if p.isalpha()]
+    letters = [["a", "b"], list("etaoin"), list("asdfghjklASDF"), list("กขคงจนมอ"), list("的是不了人我在有"), pieces]
+    words = ["".join(r.choices(some, k=r.randint(2, 60))) for some in letters for _ in range(60)]
+    words = [w for w in dict.fromkeys(words) if PLAIN._core_bpe.encode_ordinary(w) and coder.find(w) == [w]]
+    monkeypatch.setattr(bpe, "LONG", 1)
+    assert of(coder, words) == [plain(w) for w in words]
+    monkeypatch.setattr(bpe, "LONG", 1 << 30)
+    assert of(coder, words) == [plain(w) for w in words]
+
+
+@pytest.mark.parametrize("letters", ["a", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "กขคงจฉชซฌญดตถทธนบปผ", "的是不了人我在有他这"])
+def test_very_long_words(letters):
+    coder = bpe._coders.get("test") or bpe.Coder(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    word = "".join(random.Random(5).choices(letters, k=100_000 // len(letters[0].encode())))
+    assert coder.find(word) == [word] and of(coder, [word]) == [plain(word)]
+
+
 def test_empty_table(spark):
     assert bpe.digests(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0

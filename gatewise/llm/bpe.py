@@ -18,7 +18,7 @@ contracts in one step all pairs that one merge after the other would come to con
 
 Defined results: null and empty texts have no tokens; special tokens' strings are ordinary text;
 repeated rows give repeated results; null ids stay null; other columns are not read. Words of any
-length are encoded whole.
+length are encoded whole, with about 700 bytes of memory a byte above 256 KB (a megabyte: 36 s, 0.7 GB).
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ from gatewise.sources.store import broadcast
 #: Bytes of words given to one recursive query, and words remembered by a worker (memory only).
 QUERY_BYTES, REMEMBERED = 1 << 18, 500_000
 
+#: Memory of a query, and again as much for each further :data:`QUERY_BYTES` of a word longer than that.
+MEMORY_MB = 300
+
 #: Bytes from which a word goes through the query of long words; both give the same tokens.
 LONG = 512
 
@@ -76,9 +79,9 @@ ONE_PAIR = """
 #: Tables of long words: first and last bytes of tokens; the least merge of a token that ends in (begins with) a part
 #: and goes on with a byte, by the other token of the merge.
 GROWING = """
-    CREATE TABLE edges AS SELECT id, hex[1:2] AS first, hex[-2:] AS last FROM tokens;
+    CREATE TABLE edges AS SELECT id, ('0x' || hex[1:2])::UTINYINT AS first, ('0x' || hex[-2:])::UTINYINT AS last FROM tokens;
     CREATE TABLE cuts AS
-    SELECT id, hex[1:k] AS head, hex[k + 1:] AS tail, hex[k - 1:k] AS head_byte, hex[k + 1:k + 2] AS tail_byte
+    SELECT id, hex[1:k] AS head, hex[k + 1:] AS tail, ('0x' || hex[k - 1:k])::UTINYINT AS head_byte, ('0x' || hex[k + 1:k + 2])::UTINYINT AS tail_byte
     FROM (SELECT id, hex, unnest(range(2, length(hex), 2)) AS k FROM tokens);
     CREATE TABLE from_left AS
     SELECT t.id AS l, m.r, head_byte AS byte, min(m.id) AS id
@@ -91,7 +94,7 @@ GROWING = """
 
 ALL_SURE_PAIRS = """
         (WITH beside AS (
-            SELECT s.word, s.pos, s.tok, row_number() OVER w AS nth, lag(tok) OVER w AS x, lead(tok) OVER w AS b, lead(tok, 2) OVER w AS y,
+            SELECT s.word, s.pos, s.tok, (row_number() OVER w)::INTEGER AS nth, lag(tok) OVER w AS x, lead(tok) OVER w AS b, lead(tok, 2) OVER w AS y,
                 lag(last, 2) OVER w AS left_byte, lead(first, 3) OVER w AS right_byte
             FROM steps s JOIN edges e ON e.id = s.tok WHERE merging WINDOW w AS (PARTITION BY word ORDER BY pos)
         ), ranked AS (
@@ -114,15 +117,15 @@ ALL_SURE_PAIRS = """
             LEFT JOIN from_right g ON g.l = n.id AND g.r = n.y AND g.byte = n.right_byte
             WHERE least(m.id, o.id, f.id, g.id) < own
         ), told AS (
-            SELECT n.*, undisturbed, disturbing, min(CASE WHEN disturbing AND own = least >> 32 THEN pos END) OVER (PARTITION BY word) AS until
+            SELECT n.* EXCLUDE (x, b, y, left_byte, right_byte), undisturbed, disturbing, min(CASE WHEN disturbing AND own = least >> 32 THEN pos END) OVER (PARTITION BY word) AS until
             FROM near n LEFT JOIN undisturbed USING (word, pos) LEFT JOIN disturbing USING (word, pos)
         ), sure AS (
-            SELECT *, low AND disturbing IS NULL AND (undisturbed IS NOT NULL OR (own = least >> 32 AND pos < coalesce(until, 2147483647))) AS sure FROM told
+            SELECT word, pos, tok, nth, id, own, left_own, least, low AND disturbing IS NULL AND (undisturbed IS NOT NULL OR (own = least >> 32 AND pos < coalesce(until, 2147483647))) AS sure FROM told
         ), chains AS (
             SELECT *, max(CASE WHEN NOT sure OR own <> left_own THEN nth * 2 + (sure AND own < left_own)::INTEGER END) OVER w AS head
             FROM sure WINDOW w AS (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING)
         ), chosen AS (
-            SELECT *, own < 2147483647 AND ((own::BIGINT << 32) + pos = least OR (sure AND head % 2 = 1 AND (nth - head // 2) % 2 = 0)) AS joins FROM chains
+            SELECT word, pos, tok, id, least, own < 2147483647 AND ((own::BIGINT << 32) + pos = least OR (sure AND head % 2 = 1 AND (nth - head // 2) % 2 = 0)) AS joins FROM chains
         ), gone AS (
             SELECT *, lag(joins, 1, false) OVER (PARTITION BY word ORDER BY pos) AS taken FROM chosen
         )
@@ -146,7 +149,7 @@ class Coder:
     def __init__(self, vocabulary: bytes, pattern: str):
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         rows = [line.split() for line in vocabulary.splitlines() if line]
         tokens = pa.table({"hex": [base64.b64decode(a).hex() for a, _ in rows], "id": pa.array([int(b) for _, b in rows], pa.int32())})
         self.con.register("given", tokens)
@@ -174,6 +177,8 @@ class Coder:
         if step is ALL_SURE_PAIRS and not self.growing:
             self.con.execute(GROWING)
             self.growing = True
+        more = sum(len(w.encode()) for w in words) // QUERY_BYTES
+        self.con.execute(f"SET memory_limit = '{MEMORY_MB * (1 + more)}MB'")
         self.con.register("given_words", pa.table({"word": range(len(words)), "hex": [w.encode().hex() for w in words]}))
         self.con.execute("CREATE OR REPLACE TEMP TABLE words AS SELECT * FROM given_words")
         for at, ids, n, hexes in self.con.execute(START + step + DONE).fetchall():

@@ -19,6 +19,9 @@ from gatewise.llm.scratch import folder, table
 #: Deleted before texts are compared: the characters of ``[\x20\x09-\x0D]``.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
+#: Parts in which the rows of a digest are compared.
+PARTS = 1024
+
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
@@ -87,27 +90,32 @@ def decide(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """Decisions on :func:`tagged` rows: ``row, id, keep_id, group_size, kept, text_sha256``.
 
     Texts with the same digest are compared byte by byte with that of the row the state holds;
-    should a text differ, it is grouped by its bytes instead.
+    should a text differ, it is grouped by its bytes instead. Rows of a digest meet in up to
+    :data:`PARTS` parts, each with what the state holds, so that no task has all copies of a text.
     """
     if rows.isEmpty():
         stats = rows.select("digest", F.lit(0).cast("long").alias("size"), F.struct("place", "row").alias("first"))
     else:
         stats = state(rows)
-    hits = stats.where("size > 1")
-    alone = rows.select("row", "id", "digest").join(hits.select("digest"), "digest", "left_anti")
-    # The one place where texts move, and only those of hits are written.
-    same = rows.select("row", "id", "digest", "place", rows["doc"][text_col].alias("text")).join(hits.select("digest", "first"), "digest")
-    same = table(same.withColumn("bytes", normalised(F.col("text"))).drop("text"), "exact-hits")
-    holders = same.where("row = first.row").select("digest", F.col("bytes").alias("held"))
-    compared = same.join(holders, "digest").select(
-        "row", "id", "digest", "place", F.when(F.col("bytes") != F.col("held"), F.col("bytes")).otherwise("").alias("other")
-    )
-    groups = compared.groupBy("digest", "other").agg(
-        F.count(F.lit(1)).alias("group_size"), F.min(F.struct("place", "row")).alias("stays")
-    )
-    found = compared.join(groups, ["digest", "other"]).select(
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
+    used = rows.groupBy("digest", "part").agg(F.lit(True).alias("hit"))
+    hits = table(used.join(stats.where("size > 1").select("digest", F.col("first.row").alias("holder")), "digest"), "exact-hits")
+    # The one place where all texts move; only those of hits are written.
+    told = rows.select("row", "id", "digest", "part", "place", rows["doc"][text_col].alias("text")).join(hits, ["digest", "part"], "left")
+    told = table(told.withColumn("bytes", F.when(F.col("hit"), normalised(F.col("text")))).drop("text"), "exact-told")
+    same = told.where("hit")
+    holders = same.where("row = holder").select("digest", F.col("bytes").alias("held"))
+    held = hits.select("digest", "part").join(holders, "digest")
+    differs = F.when(F.col("bytes") != F.col("held"), F.col("bytes")).otherwise("")
+    compared = same.join(held, ["digest", "part"]).select("row", "id", "digest", "part", "place", differs.alias("other"))
+    compared = table(compared, "exact-compared")
+    by_part = compared.groupBy("digest", "part", "other").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("place", "row")).alias("stays"))
+    groups = by_part.groupBy("digest", "other").agg(F.sum("size").alias("group_size"), F.min("stays").alias("stays"))
+    groups = by_part.select("digest", "part", "other").join(groups, ["digest", "other"])
+    found = compared.join(groups, ["digest", "part", "other"]).select(
         "row", "id", F.col("stays.place.id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"), F.col("digest").alias("text_sha256")
     )
+    alone = told.where("hit IS NULL")
     return found.unionByName(
         alone.select("row", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
     )

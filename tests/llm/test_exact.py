@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from gatewise.llm import exact
 from tests.llm.cases import empty, hard, rows
 
@@ -45,6 +47,25 @@ def test_texts_with_one_digest_are_told_apart_by_their_bytes(spark, monkeypatch)
     assert got == {k: (k % 3, 3, k < 3) for k in range(9)}
 
 
+@pytest.mark.parametrize("parts", [3, 1024])
+def test_parts_of_a_digest_give_the_same(spark, monkeypatch, parts):
+    """A third of the rows are copies of one text; some digests are made to clash with it."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact, "PARTS", parts)
+    texts = ["the one" if k % 3 == 0 else f"text {k // 4}" for k in range(300)]
+    data = list(zip(range(300), texts))
+    keys = {i: key for key, g in brute(data).items() for *_, i, _ in g}
+    first = {key: (g[0][2], len(g)) for key, g in brute(data).items()}
+    want = sorted((i, *first[key], first[key][0] == i) for i, key in keys.items())
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.dedup_exact(df).collect()) == want
+    clash = exact.table(exact.tagged(df).withColumn("digest", F.when(F.col("id") < 100, "same").otherwise(F.col("digest"))), "clash")
+    low = sorted((i, *first[k], first[k][0] == i) for i, k in keys.items() if k != "theone" and i < 96)
+    got = {r.id: (r.id, r.keep_id, r.group_size, r.kept) for r in exact.decide(clash).collect()}
+    assert [got[x[0]] for x in low] == low
+
+
 def test_state_goes_on_where_it_was_left(spark, tmp_path):
     first = exact.tagged(spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string"))
     second = exact.tagged(spark.createDataFrame([(3, "x"), (4, "z")], "doc_id long, text string"))

@@ -167,18 +167,17 @@ class Coder:
             waiting[step].append(word)
             sizes[step] += size
             if sizes[step] >= QUERY_BYTES:
-                self._query(waiting[step], step)
+                self._query(waiting[step], step, sizes[step])
                 waiting[step], sizes[step] = [], 0
         for step, some in waiting.items():
             if some:
-                self._query(some, step)
+                self._query(some, step, sizes[step])
 
-    def _query(self, words: list[str], step: str) -> None:
+    def _query(self, words: list[str], step: str, size: int) -> None:
         if step is ALL_SURE_PAIRS and not self.growing:
             self.con.execute(GROWING)
             self.growing = True
-        more = sum(len(w.encode()) for w in words) // QUERY_BYTES
-        self.con.execute(f"SET memory_limit = '{MEMORY_MB * (1 + more)}MB'")
+        self.con.execute(f"SET memory_limit = '{MEMORY_MB * (1 + size // QUERY_BYTES)}MB'")
         self.con.register("given_words", pa.table({"word": range(len(words)), "hex": [w.encode().hex() for w in words]}))
         self.con.execute("CREATE OR REPLACE TEMP TABLE words AS SELECT * FROM given_words")
         for at, ids, n, hexes in self.con.execute(START + step + DONE).fetchall():

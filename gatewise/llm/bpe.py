@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import duckdb
 import pyarrow as pa
@@ -39,8 +40,8 @@ from gatewise.sources.store import broadcast
 #: Bytes of words given to one recursive query, and words remembered by a worker (memory only).
 QUERY_BYTES, REMEMBERED = 1 << 18, 500_000
 
-#: Memory of a query, and again as much for each further :data:`QUERY_BYTES` of a word longer than that.
-MEMORY_MB = 300
+#: Most memory of a query, and again as much for each further :data:`QUERY_BYTES` of a word longer than that.
+MEMORY_MB = 600
 
 #: Bytes from which a word goes through the query of long words; both give the same tokens.
 LONG = 512
@@ -50,14 +51,15 @@ TEXT_BYTES = 4 << 20
 
 MERGES = """
     CREATE TABLE merges AS
-    SELECT l.id AS l, r.id AS r, t.id AS id
+    SELECT l.id AS l, r.id AS r, t.id AS id, (l.id::BIGINT << 32) + r.id AS pair
     FROM (SELECT id, hex, unnest(range(2, length(hex), 2)) AS k FROM tokens) t
     JOIN tokens l ON l.hex = substr(t.hex, 1, t.k) JOIN tokens r ON r.hex = substr(t.hex, t.k + 1)
 """
 
+#: ``spot`` is a token's word, and its position in the lower 32 bits.
 START = """
-    WITH RECURSIVE steps(word, pos, tok, merging) AS (
-        SELECT w.word::INTEGER, w.k::INTEGER, t.id::INTEGER, true
+    WITH RECURSIVE steps(spot, tok, merging) AS (
+        SELECT (w.word::BIGINT << 32) + w.k, t.id::INTEGER, true
         FROM (SELECT word, hex, unnest(range(length(hex) // 2)) AS k FROM words ANTI JOIN tokens USING (hex)) w
         JOIN tokens t ON t.hex = substr(w.hex, 2 * w.k + 1, 2)
       UNION ALL
@@ -65,15 +67,16 @@ START = """
 
 ONE_PAIR = """
         (WITH pairs AS (
-            SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lag(pos) OVER w AS last_pos
-            FROM steps WHERE merging WINDOW w AS (PARTITION BY word ORDER BY pos)
+            SELECT spot, tok, lead(spot) OVER w AS next_spot, lead(tok) OVER w AS next_tok, lag(spot) OVER w AS last_spot
+            FROM steps WHERE merging WINDOW w AS (ORDER BY spot)
         ), ranked AS (
-            SELECT p.*, (m.id::BIGINT << 32) + pos AS place FROM pairs p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next_tok
+            SELECT p.*, spot >> 32 AS word, (m.id::BIGINT << 32) + (spot & 4294967295) AS place
+            FROM pairs p LEFT JOIN merges m ON m.pair = CASE WHEN next_spot >> 32 = spot >> 32 THEN (tok::BIGINT << 32) + next_tok END
         ), best AS (
             SELECT word, min(place) AS least FROM ranked GROUP BY word
         )
-        SELECT word, pos, CASE WHEN place = least THEN (least >> 32)::INTEGER ELSE tok END, least IS NOT NULL
-        FROM ranked JOIN best USING (word) WHERE least IS NULL OR last_pos IS NULL OR last_pos <> (least & 4294967295))
+        SELECT spot, CASE WHEN place = least THEN (least >> 32)::INTEGER ELSE tok END, least IS NOT NULL
+        FROM ranked JOIN best USING (word) WHERE least IS NULL OR last_spot IS NULL OR last_spot <> (word << 32) + (least & 4294967295))
 """
 
 #: Tables of long words: first and last bytes of tokens; the least merge of a token that ends in (begins with) a part
@@ -94,9 +97,9 @@ GROWING = """
 
 ALL_SURE_PAIRS = """
         (WITH beside AS (
-            SELECT s.word, s.pos, s.tok, (row_number() OVER w)::INTEGER AS nth, lag(tok) OVER w AS x, lead(tok) OVER w AS b, lead(tok, 2) OVER w AS y,
+            SELECT spot >> 32 AS word, (spot & 4294967295)::INTEGER AS pos, s.tok, (row_number() OVER w)::INTEGER AS nth, lag(tok) OVER w AS x, lead(tok) OVER w AS b, lead(tok, 2) OVER w AS y,
                 lag(last, 2) OVER w AS left_byte, lead(first, 3) OVER w AS right_byte
-            FROM steps s JOIN edges e ON e.id = s.tok WHERE merging WINDOW w AS (PARTITION BY word ORDER BY pos)
+            FROM steps s JOIN edges e ON e.id = s.tok WHERE merging WINDOW w AS (PARTITION BY spot >> 32 ORDER BY spot)
         ), ranked AS (
             SELECT s.*, m.id, coalesce(m.id, 2147483647) AS own FROM beside s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.b
         ), near AS (
@@ -129,16 +132,16 @@ ALL_SURE_PAIRS = """
         ), gone AS (
             SELECT *, lag(joins, 1, false) OVER (PARTITION BY word ORDER BY pos) AS taken FROM chosen
         )
-        SELECT word, pos, CASE WHEN joins THEN id ELSE tok END, least >> 32 < 2147483647 FROM gone WHERE NOT taken)
+        SELECT (word << 32) + pos, CASE WHEN joins THEN id ELSE tok END, least >> 32 < 2147483647 FROM gone WHERE NOT taken)
 """
 
 DONE = """
     ), done AS (
-        SELECT word, pos, tok FROM steps WHERE NOT merging
+        SELECT spot, tok FROM steps WHERE NOT merging
       UNION ALL
-        SELECT word, 0, id FROM words JOIN tokens USING (hex)
+        SELECT word::BIGINT << 32, id FROM words JOIN tokens USING (hex)
     )
-    SELECT word, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY pos) AS bytes
+    SELECT spot >> 32 AS word, string_agg(tok::VARCHAR, ',' ORDER BY spot) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY spot) AS bytes
     FROM done JOIN tokens ON id = tok GROUP BY word
 """
 
@@ -149,6 +152,7 @@ class Coder:
     def __init__(self, vocabulary: bytes, pattern: str):
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.before: dict[str, tuple[str, int, bytes]] = {}
         self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         rows = [line.split() for line in vocabulary.splitlines() if line]
         tokens = pa.table({"hex": [base64.b64decode(a).hex() for a, _ in rows], "id": pa.array([int(b) for _, b in rows], pa.int32())})
@@ -186,14 +190,16 @@ class Coder:
     def texts(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """Ids joined by commas, their number and the decoded bytes of each text."""
         split = [self.find(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = dict.fromkeys(w for ws in split for w in ws if w not in self.known)
-        self.learn(new)
+        if len(self.known) > REMEMBERED // 2:  # words not met since the last time go
+            self.before, self.known = self.known, {}
+        new = dict.fromkeys(chain.from_iterable(split)).keys() - self.known.keys()
+        again = self.before.keys() & new
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
+        self.learn(new - again)
         out = []
-        for ws in split:
-            got = [self.known[w] for w in ws]
-            out.append((",".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])))
+        for words in split:
+            ids, sizes, parts = zip(*map(self.known.__getitem__, words)) if words else ((), (), ())
+            out.append((",".join(ids), sum(sizes), b"".join(parts)))
         return out
 
 

@@ -38,7 +38,7 @@ from gatewise.llm.text import column
 from gatewise.sources.store import broadcast
 
 #: Bytes of words given to one recursive query, and words remembered by a worker (memory only).
-QUERY_BYTES, REMEMBERED = 1 << 18, 500_000
+QUERY_BYTES, REMEMBERED = 1 << 18, 1_000_000
 
 #: Most memory of a query, and again as much for each further :data:`QUERY_BYTES` of a word longer than that.
 MEMORY_MB = 600
@@ -141,7 +141,7 @@ DONE = """
       UNION ALL
         SELECT word::BIGINT << 32, id FROM words JOIN tokens USING (hex)
     )
-    SELECT spot >> 32 AS word, string_agg(tok::VARCHAR, ',' ORDER BY spot) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY spot) AS bytes
+    SELECT spot >> 32 AS word, string_agg(tok::VARCHAR, ',' ORDER BY spot) AS ids, string_agg(hex, '' ORDER BY spot) AS bytes
     FROM done JOIN tokens ON id = tok GROUP BY word
 """
 
@@ -151,8 +151,8 @@ class Coder:
 
     def __init__(self, vocabulary: bytes, pattern: str):
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.before: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, tuple[str, str]] = {}
+        self.before: dict[str, tuple[str, str]] = {}
         self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         rows = [line.split() for line in vocabulary.splitlines() if line]
         tokens = pa.table({"hex": [base64.b64decode(a).hex() for a, _ in rows], "id": pa.array([int(b) for _, b in rows], pa.int32())})
@@ -184,8 +184,9 @@ class Coder:
         self.con.execute(f"SET memory_limit = '{MEMORY_MB * (1 + size // QUERY_BYTES)}MB'")
         self.con.register("given_words", pa.table({"word": range(len(words)), "hex": [w.encode().hex() for w in words]}))
         self.con.execute("CREATE OR REPLACE TEMP TABLE words AS SELECT * FROM given_words")
-        for at, ids, n, hexes in self.con.execute(START + step + DONE).fetchall():
-            self.known[words[at]] = (ids, n, bytes.fromhex(hexes))
+        for at, ids, hexes in self.con.execute(START + step + DONE).fetchall():
+            word, decoded = words[at], bytes.fromhex(hexes).decode("utf-8", "surrogateescape")
+            self.known[word] = (ids, word if decoded == word else decoded)  # one object for both
 
     def texts(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """Ids joined by commas, their number and the decoded bytes of each text."""
@@ -198,8 +199,9 @@ class Coder:
         self.learn(new - again)
         out = []
         for words in split:
-            ids, sizes, parts = zip(*map(self.known.__getitem__, words)) if words else ((), (), ())
-            out.append((",".join(ids), sum(sizes), b"".join(parts)))
+            some, parts = zip(*map(self.known.__getitem__, words)) if words else ((), ())
+            ids = ",".join(some)
+            out.append((ids, ids.count(",") + 1 if ids else 0, "".join(parts).encode("utf-8", "surrogateescape")))
         return out
 
 

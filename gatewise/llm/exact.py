@@ -90,7 +90,8 @@ def decide(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """Decisions on :func:`tagged` rows: ``row, id, keep_id, group_size, kept, text_sha256``.
 
     Texts with the same digest are compared byte by byte with that of the row the state holds;
-    should a text differ, it is grouped by its bytes instead. Rows of a digest meet in up to
+    should a text differ, it is grouped by its bytes instead. Joins that move texts are merges at
+    every size, so that what they take grows with the input. Rows of a digest meet in up to
     :data:`PARTS` parts, each with what the state holds, so that no task has all copies of a text.
     """
     if rows.isEmpty():
@@ -101,13 +102,13 @@ def decide(rows: DataFrame, text_col: str = "text") -> DataFrame:
     used = rows.groupBy("digest", "part").agg(F.lit(True).alias("hit"))
     hits = table(used.join(stats.where("size > 1").select("digest", F.col("first.row").alias("holder")), "digest"), "exact-hits")
     # The one place where all texts move; only those of hits are written.
-    told = rows.select("row", "id", "digest", "part", "place", rows["doc"][text_col].alias("text")).join(hits, ["digest", "part"], "left")
+    told = rows.select("row", "id", "digest", "part", "place", rows["doc"][text_col].alias("text")).join(hits.hint("merge"), ["digest", "part"], "left")
     told = table(told.withColumn("bytes", F.when(F.col("hit"), normalised(F.col("text")))).drop("text"), "exact-told")
     same = told.where("hit")
     holders = same.where("row = holder").select("digest", F.col("bytes").alias("held"))
     held = hits.select("digest", "part").join(holders, "digest")
     differs = F.when(F.col("bytes") != F.col("held"), F.col("bytes")).otherwise("")
-    compared = same.join(held, ["digest", "part"]).select("row", "id", "digest", "part", "place", differs.alias("other"))
+    compared = same.join(held.hint("merge"), ["digest", "part"]).select("row", "id", "digest", "part", "place", differs.alias("other"))
     compared = table(compared, "exact-compared")
     by_part = compared.groupBy("digest", "part", "other").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("place", "row")).alias("stays"))
     groups = by_part.groupBy("digest", "other").agg(F.sum("size").alias("group_size"), F.min("stays").alias("stays"))
@@ -135,4 +136,4 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay, with all their columns."""
     rows = tagged(docs, id_col, text_col)
     gone = decide(rows, text_col).where(~F.col("kept")).select("row")
-    return rows.join(gone, "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    return rows.join(gone.hint("merge"), "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

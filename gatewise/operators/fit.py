@@ -16,13 +16,16 @@ from gatewise.functions.cell import NetSpec, init_params, truncated_normal
 from gatewise.operators.metrics import accuracy_of, loss_of
 from gatewise.operators.prep import assign_counted, chunk_sizes, minmax, minmax_ranges, number_copies, sizes_of_chunks
 from gatewise.operators.score import MAX_PARAMETERS, Model, score
-from gatewise.operators.train import OUTPUT, rounds_of, states_of, train_replicas
+from gatewise.operators.train import OUTPUT, ordered_pages, rounds_of, states_of, train_replicas
 from gatewise.operators.weights import average_weights
 from gatewise.sources.store import cut, listed, new_path, read_text, remove, write_text
 
 # Rows of a chunk that are trained between two commits, and numbers that a task holds of them, at most.
 ROWS_PER_ROUND, NUMBERS = 1 << 20, 1 << 24
 
+# Rows of a chunk, and numbers of them, that a task reads in one round, whatever is asked for.
+MOST_ROWS, MOST_NUMBERS = 1 << 23, 1 << 25
+
 # Number of the folder that holds what is known of the run as a whole.
 REPORT = -1
 
@@ -96,7 +99,8 @@ def fit(
 
     Training is a sequence of rounds, each of at most ``rows_per_round`` rows of every
     chunk (in whole batches): several passes over small chunks, or a part of a pass over
-    a large one. A round is one job; its weights, metrics and the replicas' states are
+    a large one, which is put in order once and of which a round reads its own rows. A
+    round reads at most 2^23 rows of a chunk. A round is one job; its weights, metrics and the replicas' states are
     committed, with a line in the run's manifest, and can be read by :func:`load` while
     the run goes on. ``resume`` goes on after the last committed round of a run that
     stopped, which must have had the same settings, rows included; what it gives is what
@@ -125,7 +129,7 @@ def fit(
         chunked = minmax(chunked, spec.in_features, ranges=ranges)
     sizes, smallest = sizes_of_chunks(total, num_chunks, remainder), spec.batch_size or 1
     rows_per_round = rows_per_round or min(ROWS_PER_ROUND, NUMBERS // spec.in_features)
-    rounds = rounds_of(sizes, spec.batch_size, epochs, step_rule, rows_per_round)
+    rounds = rounds_of(sizes, spec.batch_size, epochs, step_rule, min(rows_per_round, MOST_ROWS, max(1, MOST_NUMBERS // spec.in_features)))
     settings = {
         **asdict(spec), "num_chunks": num_chunks, "seed": seed, "epochs": epochs, "step_rule": step_rule,
         "remainder": remainder, "learning_rate": learning_rate, "evaluate_every": evaluate_every,
@@ -155,10 +159,18 @@ def fit(
         rows.write.mode("overwrite").partitionBy("kind").parquet(f"{home}/round={number}")
 
     until = len(rounds) if max_rounds is None else min(len(rounds), done["rounds"] + max_rounds)
-    if until - done["rounds"] > 1:
+    if len({now.first for now in rounds[done["rounds"] : until]}) > 1:
         chunked = cut(chunked, "chunked")
     cuts: dict = {}
+    pages = None
     for number in range(done["rounds"], until):
+        now = rounds[number]
+        if pages is not None and pages.number != now.first:
+            remove(spark, pages.path)
+            pages = None
+        of_pass = [r for r in rounds if r.first == now.first]
+        if pages is None and not now.resident and len(of_pass) > 1:
+            pages = ordered_pages(chunked, spec, now.first, total, ids, seed, ties, of_pass[-1].high, num_chunks)
         trained = train_replicas(
             chunked,
             spec,
@@ -174,16 +186,19 @@ def fit(
             weight_decay,
             keep_checkpoints,
             ties,
-            rounds[number],
+            now,
             states,
             number == len(rounds) - 1,
             cuts,
+            pages,
         )
         store(trained, number)
         done = {**done, "rounds": number + 1, "seconds": done["seconds"] + time.perf_counter() - began}
         began = time.perf_counter()
         write_text(spark, f"{home}/_manifest-{number + 1:09d}.json", json.dumps(done))
         states = _states(spark, path, run_id, number)
+    if pages is not None:
+        remove(spark, pages.path)
     if done["rounds"] < len(rounds):
         return load(spark, path, run_id)
 

@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from gatewise.functions import cell
 from gatewise.functions.arrow import matrix
 from gatewise.functions.cell import NetSpec
 from gatewise.operators.batching import STEP_RULES, order_key, pass_cuts, pass_range, trainable
-from gatewise.sources.store import broadcast
+from gatewise.sources.store import broadcast, new_path
 
 # One tagged row type for everything a replica gives back, so that it trains once.
 OUTPUT = (
@@ -48,6 +48,11 @@ OUTPUT_ARROW = pa.schema(
 # Rows of one batch that are multiplied at once; larger batches add up their gradients.
 PIECE = 1 << 13
 
+# Rows of one part of a pass that is put in order, and bytes of a page that its rows are packed in, about.
+PART_ROWS, PAGE_BYTES = 1 << 20, 1 << 13
+
+PAGES = "part int, chunk long, at long, n int, chunk_rows long, features binary, labels binary"
+
 # What a row is told of its place: chunk, pass, steps of the run, rows of the chunk, rank its part of the pass begins at.
 PLACE = ("chunk", "pass", "max_steps", "chunk_rows", "begins")
 
@@ -150,6 +155,117 @@ def training_rows(
     return rows.select("chunk", *place, "features", "label", "_key", "_state")
 
 
+class Pages(NamedTuple):
+    """One pass in the order of its rows, written in ``parts`` that are runs of that order.
+
+    ``parts`` has ``part, chunk, first, rows``: the rank, in its chunk, of the first row that a part holds of a chunk, and their number.
+    """
+
+    number: int
+    path: str
+    parts: list[tuple[int, int, int, int]]
+
+
+def ordered_pages(
+    chunked: DataFrame,
+    spec: NetSpec,
+    in_pass: int,
+    total: int,
+    ids: Sequence[str] = ("row_id",),
+    seed: int = 42,
+    ties: Sequence[str] = (),
+    cap: int | None = None,
+    num_chunks: int = 256,
+) -> Pages:
+    """Puts a pass in order once, so that each of its rounds reads no more than its own rows.
+
+    The whole order is cut into ranges, whatever chunks they lie in, and each is written as pages: some rows'
+    features and labels as numbers. Rows of a chunk from rank ``cap`` on are left out.
+    """
+    rows = trainable(chunked, spec.batch_size or 1)
+    if cap is not None:
+        end = F.broadcast(pass_cuts(rows, F.lit(in_pass), lambda n: cap, ids, seed, ties, num_chunks))
+    rows = rows.withColumn("pass", F.lit(in_pass)).withColumn("_h", order_key(seed, ids))
+    if cap is not None:
+        rows = rows.join(end, "chunk", "left").where(F.col("cut").isNull() | (F.struct("_h", *ids, *ties) < F.col("cut")))
+    order = ["chunk", "_h", *ids, *ties]
+    rows = rows.withColumn("_h", F.unhex("_h")).select(*dict.fromkeys([*order, "chunk_rows", "features", "label"]))
+    rows = rows.repartitionByRange(max(1, -(-total // PART_ROWS)), *order).sortWithinPartitions(*order)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, most = TaskContext.get().partitionId(), max(1, PAGE_BYTES // (8 * spec.in_features + 4))
+        place, at, x, y = None, 0, None, ()
+
+        def pages(end: int) -> Iterator[pa.RecordBatch]:
+            starts = range(0, end, most)
+            if starts:
+                cuts = [(k, min(k + most, end)) for k in starts]
+                n, whole = len(cuts), np.ones(len(cuts), np.int64)
+                columns = [
+                    pa.array((whole * part).astype(np.int32)), pa.array(whole * place[0]), pa.array(np.array(starts) + at),
+                    pa.array(np.array([b - a for a, b in cuts], np.int32)), pa.array(whole * place[1]),
+                    pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([y[a:b].tobytes() for a, b in cuts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "at", "n", "chunk_rows", "features", "labels"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            features, labels = _examples(batch, spec)
+            features, labels = features.astype("<f8", copy=False), labels.astype("<i4")
+            for a, b, here in _runs([batch.column(c).to_numpy() for c in ("chunk", "chunk_rows")]):
+                if here == place:
+                    x, y = np.concatenate([x, features[a:b]]), np.concatenate([y, labels[a:b]])
+                else:
+                    yield from pages(len(y))
+                    place, at, x, y = here, 0, features[a:b], labels[a:b]
+            whole = len(y) - len(y) % most
+            yield from pages(whole)
+            at, x, y = at + whole, x[whole:], y[whole:]
+        yield from pages(len(y))
+
+    path, spark = new_path(chunked.sparkSession, "pass"), chunked.sparkSession
+    narrow = rows.select("chunk", "chunk_rows", "features", "label")
+    narrow.mapInArrow(pack, PAGES).write.partitionBy("part").parquet(path)
+    counted = spark.read.schema(PAGES).parquet(path).groupBy("part", "chunk").agg(F.sum("n").alias("n")).collect()
+    parts, before = [], {}
+    for part, chunk, n in sorted(map(tuple, counted)):
+        parts.append((part, chunk, before.get(chunk, 0), n))
+        before[chunk] = before.get(chunk, 0) + n
+    return Pages(in_pass, path, parts)
+
+
+def page_rows(
+    pages: Pages, spark, batch_size: int | None, num_partitions: int, now: Round, epochs: int = 1, step_rule: str = "full_pass",
+    states: DataFrame | None = None,
+) -> DataFrame:
+    """The pages that hold the rows of a round, those of a chunk in one partition and in order, after its state.
+
+    What is read are the parts that the round's ranks lie in.
+    """
+    parts = [p for p in pages.parts if p[2] + p[3] > now.low and (now.high is None or p[2] < now.high)]
+    if parts:
+        files = [f"{pages.path}/part={part}" for part in dict.fromkeys(p[0] for p in parts)]
+        rows = spark.read.schema(PAGES).option("basePath", pages.path).parquet(*files)
+    else:
+        rows = spark.createDataFrame([], PAGES)
+    first = spark.createDataFrame([p[:3] for p in parts], "part int, chunk long, first long")
+    rows = rows.join(F.broadcast(first), ["part", "chunk"]).withColumn("at", F.col("at") + F.col("first"))
+    rows = rows.where(F.col("at") + F.col("n") > now.low)
+    if now.high is not None:
+        rows = rows.where(F.col("at") < now.high)
+    max_steps, _ = pass_range(batch_size, epochs, step_rule)
+    rows = rows.withColumn("max_steps", max_steps).withColumn("_state", F.lit(None).cast("binary"))
+    if states is not None:
+        begun = states.select(F.col("replica").alias("chunk"), F.col("state").alias("_state"))
+        rows = rows.unionByName(begun, allowMissingColumns=True)
+    rows = rows.repartitionById(num_partitions, F.col("chunk").cast("int"))
+    rows = rows.sortWithinPartitions("chunk", F.col("_state").isNull(), "at")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("max_steps", "chunk_rows", "at")})
+    place = [F.lit(now.first).alias("pass"), "max_steps", "chunk_rows", F.lit(now.low).cast("long").alias("begins")]
+    return rows.select("chunk", *place, "at", "n", "features", "labels", "_state")
+
+
 def states_of(weights: DataFrame) -> DataFrame:
     """``replica, state`` to begin from: one model per replica, a row per replica and tensor."""
     tensors = F.collect_list(F.struct("key", "layer", "part", "shape", "values")).alias("tensors")
@@ -183,6 +299,7 @@ def train_replicas(
     states: DataFrame | None = None,
     final: bool = True,
     cuts: dict[tuple[int, int], DataFrame] | None = None,
+    pages: Pages | None = None,
 ) -> DataFrame:
     """Trains one replica per chunk, in the order of ``minibatches``, from ``params`` or its state.
 
@@ -190,9 +307,13 @@ def train_replicas(
     ``keep_checkpoints`` is how many evaluated steps to keep weights of, the last one included; None keeps
     all. What ``now`` covers is trained (by default all passes); unless ``final``, each replica leaves a
     state (net, optimizer, counts, what a batch has added up so far) from which the next round goes on.
+    ``pages`` are the pass that ``now`` is a part of, where it has been put in order.
     """
     now = Round(0, 1 << 30, resident=True) if now is None else now
-    ordered = training_rows(chunked, spec.batch_size, num_partitions, now, ids, seed, epochs, step_rule, ties, states, cuts)
+    if pages is None:
+        ordered = training_rows(chunked, spec.batch_size, num_partitions, now, ids, seed, epochs, step_rule, ties, states, cuts)
+    else:
+        ordered = page_rows(pages, chunked.sparkSession, spec.batch_size, num_partitions, now, epochs, step_rule, states)
     make_optimizer = cell.OPTIMIZERS.get(optimizer, optimizer)
     shared = broadcast(chunked.sparkSession, params)
 
@@ -251,7 +372,10 @@ def train_replicas(
         yield _batch([{"kind": "runs", "replica": chunk, "rows": rows, "steps": steps, "seconds": seconds}])
 
     def replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _in_passes(batches, spec, now, seed) if now.resident else _pieces(batches, spec, now.piece)
+        if pages is not None:
+            pieces = _cut(_unpacked(batches, spec, now), spec, now.piece)
+        else:
+            pieces = _in_passes(batches, spec, now, seed) if now.resident else _pieces(batches, spec, now.piece)
         for chunk, of_chunk in groupby(pieces, key=lambda piece: piece[0][0]):
             yield from replica(chunk, of_chunk)
 
@@ -299,10 +423,7 @@ def _in_passes(batches: Iterator[pa.RecordBatch], spec: NetSpec, now: Round, see
             yield tuple(int(p[0]) for p in places), 0, state, None
             continue
         features, labels = _examples(batch, spec)
-        chunk = places[0]
-        starts = np.flatnonzero(np.append(True, np.diff(chunk) != 0))
-        for a, b in zip(starts, [*starts[1:], len(chunk)]):
-            here = tuple(int(p[a]) for p in places)
+        for a, b, here in _runs(places):
             if here != place:
                 if held:
                     yield from passes(place, held)
@@ -319,38 +440,67 @@ def _pieces(batches: Iterator[pa.RecordBatch], spec: NetSpec, piece: int = PIECE
     over at the end of a pass are dropped. Of a whole-chunk batch it is ``piece`` rows.
     A state is a piece of its own: ``(place, 0, state, None)``.
     """
+    return _cut(_unpacked(batches, spec), spec, piece)
+
+
+def _cut(runs, spec: NetSpec, piece: int):
+    """Pieces of runs of rows ``(place, x, y)`` and states ``(place, state, None)``."""
     unit = spec.batch_size or piece
     place, at, x, y = None, 0, None, ()
-    for batch in _between_states(batches):
-        places = [batch.column(c).to_numpy() for c in PLACE]
-        state = batch.column("_state")[0].as_py()
-        if state is not None:
+    for here, features, labels in runs:
+        if labels is None:
             if len(y) and spec.batch_size is None:
                 yield place, at, x, y
             place, at, x, y = None, 0, None, ()
-            yield tuple(int(p[0]) for p in places), 0, state, None
+            yield here, 0, features, None
             continue
-        features, labels = _examples(batch, spec)
-        chunk = places[0]
-        starts = np.flatnonzero(np.append(True, np.diff(chunk) != 0))
-        for a, b in zip(starts, [*starts[1:], len(chunk)]):
-            here = tuple(int(p[a]) for p in places)
-            if here == place and len(y):
-                x, y = np.concatenate([x, features[a:b]]), np.concatenate([y, labels[a:b]])
-            else:
-                if here != place:
-                    if len(y) and spec.batch_size is None:
-                        yield place, at, x, y
-                    place, at = here, here[-1]
-                x, y = features[a:b], labels[a:b]
-            whole = len(y) - len(y) % unit
-            for k in range(0, whole, unit):
-                yield place, at + k, x[k : k + unit], y[k : k + unit]
-            at, x, y = at + whole, x[whole:], y[whole:]
+        if here == place and len(y):
+            x, y = np.concatenate([x, features]), np.concatenate([y, labels])
+        else:
+            if here != place:
+                if len(y) and spec.batch_size is None:
+                    yield place, at, x, y
+                place, at = here, here[-1]
+            x, y = features, labels
+        whole = len(y) - len(y) % unit
+        for k in range(0, whole, unit):
+            yield place, at + k, x[k : k + unit], y[k : k + unit]
+        at, x, y = at + whole, x[whole:], y[whole:]
     if len(y) and spec.batch_size is None:
         yield place, at, x, y
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch], spec: NetSpec, paged: Round | None = None):
+    """Runs of rows of one place, and states, see :func:`_cut`; ``paged`` is the round whose rows come in pages."""
+    for batch in _between_states(batches):
+        places = [batch.column(c).to_numpy() for c in PLACE]
+        state = batch.column("_state")[0].as_py()
+        if state is not None:
+            yield tuple(int(p[0]) for p in places), state, None
+        elif paged is None:
+            features, labels = _examples(batch, spec)
+            for a, b, here in _runs(places):
+                yield here, features[a:b], labels[a:b]
+        else:
+            at, n = batch.column("at").to_numpy(), batch.column("n").to_numpy()
+            for a, b, here in _runs(places):
+                x = np.concatenate([np.frombuffer(v.as_buffer(), "<f8") for v in batch.column("features")[a:b]]).reshape(-1, spec.in_features)
+                y = np.concatenate([np.frombuffer(v.as_buffer(), "<i4") for v in batch.column("labels")[a:b]]).astype(np.int64)
+                first, end = int(at[a]), int(at[b - 1] + n[b - 1])
+                if len(y) != end - first:
+                    raise ValueError(f"pages of chunk {here[0]} don't follow one another")
+                kept = slice(max(0, paged.low - first), (end if paged.high is None else min(end, paged.high)) - first)
+                yield here, x[kept], y[kept]
+
+
+def _runs(places: list[np.ndarray]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+    """``begin, end, place`` of the runs of rows of one chunk, which comes first in a place."""
+    chunk = places[0]
+    starts = np.flatnonzero(np.append(True, np.diff(chunk) != 0))
+    for a, b in zip(starts, [*starts[1:], len(chunk)]):
+        yield int(a), int(b), tuple(int(p[a]) for p in places)
+
+
 def _between_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches that are one state row, or rows without any."""
     for batch in batches:

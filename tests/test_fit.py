@@ -258,6 +258,34 @@ def test_ties_tell_rows_apart(spark):
     assert weights_of(done) == weights_of(fit(df.repartition(7), SPEC, ties=["t"], num_chunks=2))
 
 
+@pytest.mark.parametrize("batch_size", [10, None])
+def test_rounds_read_their_own_part_of_a_pass(spark, monkeypatch, batch_size):
+    """A pass is put in order once; a round opens the files of its ranks and no others."""
+    monkeypatch.setattr(train, "PART_ROWS", 50)
+    monkeypatch.setattr(train, "PAGE_BYTES", 100)
+    monkeypatch.setattr(train, "PIECE", 10)
+    spec, df = NetSpec(1, (1,), 1, batch_size), spark.range(800).select(F.col("id").alias("row_id"), vector("id").alias("features"), F.lit(0).cast("long").alias("label"))
+    chunked, total = prep.assign_counted(df, 2)
+    pages = train.ordered_pages(chunked, spec, 1, total)
+    assert sum(p[3] for p in pages.parts) == 800 and len({p[0] for p in pages.parts}) > 8
+    want = [r.row_id for r in minibatches(chunk_rows(rank_rows(df), 2), 10, 2).where("pass = 1").orderBy("chunk", "step", "slot").collect()]
+    for low, high in ((0, 40), (40, 80), (200, 240), (360, None)):
+        rows = train.page_rows(pages, spark, batch_size, 2, train.Round(1, 2, low, high), epochs=2)
+        assert len(rows.inputFiles()) <= 6
+        got = {0: [], 1: []}
+        for place, at, x, y in train._cut(train._unpacked(rows.toArrow().to_batches(), spec, train.Round(1, 2, low, high)), spec, 10):
+            assert place[1:] == (1, 80 if batch_size else 2, 400, low) and at == low + len(got[place[0]])
+            got[place[0]] += [int(v) for v in x[:, 0]]
+        assert got == {0: want[:400][low:high], 1: want[400:][low:high]}
+
+
+def test_a_round_is_bounded_whatever_is_asked_for(spark, tmp_path, monkeypatch):
+    whole = fit(planted(spark, 200), SPEC, num_chunks=2, rows_per_round=100)
+    monkeypatch.setattr(fit_module, "MOST_ROWS", 20)
+    done = fit(planted(spark, 200), SPEC, num_chunks=2, rows_per_round=100, output_path=f"{tmp_path}/fit")
+    assert len(list((tmp_path / "fit/run_id=run").glob("_manifest-*.json"))) == 5 and outcome(done) == outcome(whole)
+
+
 def outcome(done):
     """Weights, metrics and report of a run, without times."""
     said = sorted(map(tuple, done.metrics.collect()), key=str)

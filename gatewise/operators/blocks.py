@@ -3,7 +3,9 @@
 ``score`` sends the whole net to every executor. Here a net is only ever a table, so its size is not
 bounded by what can be broadcast: a tensor is cut into a row per input and block of units, each row
 meets the inputs of its number, and the products are added up, first within the task. Spark chooses
-by size how the two sides meet.
+by size how the two sides meet; blocks are written once, so that their size is known. What all rows
+share (state, bias) is a number per unit and is looked up, as a join by block would bring all rows of a
+block to one task.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gatewise.functions.columns import argmax, sigmoid
 from gatewise.operators.weights import initial_state_mean
+from gatewise.sources.store import cut
 
 # Units of a block; so many sums for each gate stay in generated code.
 WIDTH = 8
@@ -37,7 +40,7 @@ def weight_blocks(weights: DataFrame, layer: int, gates: Sequence[str] = GATES)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("units") / WIDTH).cast("int") - 1)).alias("block"))
     first = F.col("i") * F.col("units") + F.col("block") * WIDTH + 1
     rows = rows.select("gate", "part", "i", "block", F.slice("values", first, F.least(F.lit(WIDTH), F.col("units") - F.col("block") * WIDTH)).alias("w"))
-    return rows.groupBy("part", "i", "block").agg(*[F.first(F.when(F.col("gate") == g, F.col("w")), True).alias(f"w_{g}") for g in gates])
+    return cut(rows.groupBy("part", "i", "block").agg(*[F.first(F.when(F.col("gate") == g, F.col("w")), True).alias(f"w_{g}") for g in gates]), "blocks")
 
 
 def products(inputs: DataFrame, blocks: DataFrame, by: Sequence[str], gates: Sequence[str] = GATES) -> DataFrame:
@@ -53,6 +56,20 @@ def vector_inputs(df: DataFrame, by: Sequence[str], vector: Column, part: str) -
     return df.select(*by, F.lit(part).alias("part"), F.posexplode(vector).alias("i", "v"))
 
 
+def _by_block(shared: DataFrame, *columns: str) -> Column:
+    """Of a table with a row per block of a layer, the columns of a row's ``block``, looked up."""
+    blocks = F.map_from_entries(F.collect_list(F.struct("block", F.struct(*columns))))
+    shared = shared.agg(blocks.alias("of"), F.sequence(F.lit(0), F.max("block")).alias("numbers"))
+    in_order = F.transform("numbers", lambda block: F.element_at("of", block))
+    return F.get(shared.select(in_order.alias("blocks")).scalar(), F.col("block"))
+
+
+def _met(df: DataFrame, shared: DataFrame, *columns: str) -> DataFrame:
+    """Inner join by block with what all rows of a layer share."""
+    df = df.withColumn("_shared", _by_block(shared, *columns)).where("_shared IS NOT NULL")
+    return df.withColumns({c: F.col(f"_shared.{c}") for c in columns}).drop("_shared")
+
+
 def layer_gates(weights: DataFrame, layer: int, inputs: DataFrame, by: Sequence[str]) -> DataFrame:
     """``by, block, z_f, z_i, z_o, z_c``: pre-activations of a layer that starts from its learned state.
 
@@ -63,7 +80,7 @@ def layer_gates(weights: DataFrame, layer: int, inputs: DataFrame, by: Sequence[
     bias = weights.sparkSession.range(1).select(F.lit("b").alias("part"), F.lit(0).alias("i"), F.lit(1.0).alias("v"))
     same = products(vector_inputs(hidden, [], F.col("state"), "h").unionByName(bias), blocks, [])
     same = same.withColumnsRenamed({f"z_{g}": f"s_{g}" for g in GATES})
-    z = products(inputs, blocks, by).join(same, "block")
+    z = _met(products(inputs, blocks, by), same, *[f"s_{g}" for g in GATES])
     return z.select(*by, "block", *[F.zip_with(f"z_{g}", f"s_{g}", lambda a, b: a + b).alias(f"z_{g}") for g in GATES])
 
 
@@ -72,7 +89,7 @@ def layer_outputs(weights: DataFrame, layer: int, inputs: DataFrame, by: Sequenc
     cell = initial_state_mean(weights.where((F.col("layer") == layer) & (F.col("key") == "c0")))
     cell = vector_inputs(cell, [], F.col("state"), "s").groupBy(F.floor(F.col("i") / WIDTH).cast("int").alias("block"))
     cell = cell.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("c"))
-    z = layer_gates(weights, layer, inputs, by).join(cell, "block")
+    z = _met(layer_gates(weights, layer, inputs, by), cell, "c")
     units = F.arrays_zip("z_f", "z_i", "z_o", "z_c", "c")
 
     def hidden(u: Column) -> Column:
@@ -95,6 +112,6 @@ def score_blocks(df: DataFrame, weights: DataFrame, key: Sequence[str], layers:
     blocks = weight_blocks(weights, layers, HEAD)
     logits = products(inputs, blocks.where("part = 'x'"), key, HEAD)
     bias = blocks.where("part = 'b'").select("block", F.col("w_d").alias("bias"))
-    logits = logits.join(bias, "block").select(*key, "block", F.zip_with("z_d", "bias", lambda a, b: a + b).alias("z"))
+    logits = _met(logits, bias, "bias").select(*key, "block", F.zip_with("z_d", "bias", lambda a, b: a + b).alias("z"))
     logits = logits.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "z"))), lambda e: e["z"])).alias("logits"))
     return logits.select(*key, "logits", argmax(F.col("logits")).alias("prediction"))

@@ -53,3 +53,17 @@ def test_weights_are_joined_not_collected(spark):
         assert df.count() == 20
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_of_a_block_do_not_meet_in_one_task(spark):
+    """A layer of few units has one block, and few inputs; neither may be what rows are shuffled by."""
+    spec = NetSpec(2, (3, 2), 3, None)
+    weights = weights_of(spark, Model(spec, cell.init_params(spec, 1)))
+    plan = blocks.score_blocks(rows(spark, 20, 2), weights, ["id"], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = blocks.score_blocks(rows(spark, 20, 2), weights, ["id"], 2)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [part" in plan and "SortMergeJoin [block" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

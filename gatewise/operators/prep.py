@@ -92,7 +92,8 @@ def rank_rows(
 def number_copies(df: DataFrame) -> DataFrame:
     """Gives rows without a key one: ``_json``, their content, and ``_copy``, which numbers the rows of a content.
 
-    Copies are counted before the shuffle (one row per distinct content travels) and written out again in blocks.
+    Copies are counted before the shuffle (one row per distinct content travels) and written out again in blocks,
+    which are dealt out to all tasks, as a few contents may stand for many rows.
     """
     content = df.columns
     last_block = F.expr(f"(_n - 1) div {COPY_BLOCK}")
@@ -102,6 +103,7 @@ def number_copies(df: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_json", F.to_json(F.struct(*content)))
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_json", "_block")
         .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.least(left, F.lit(COPY_BLOCK)) - 1)))
         .withColumn("_copy", F.col("_block") * COPY_BLOCK + F.col("_copy"))
     )

@@ -191,3 +191,12 @@ def test_split(spark):
     assert parts == {"train": 8, "validation": 3}
     a, b = prep.random_split(ranked, 0.8, seed=1)
     assert a.count() + b.count() == 11
+
+
+def test_copies_are_written_out_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(prep, "COPY_BLOCK", 100)
+    few = spark.range(4000).select((F.col("id") % 4).alias("x"))
+    numbered = prep.number_copies(few).withColumn("task", F.spark_partition_id())
+    counted = numbered.groupBy("task").count().collect()
+    assert len(counted) > 4 and max(r["count"] for r in counted) <= 1500
+    assert numbered.select("x", "_copy").distinct().count() == 4000 and numbered.agg(F.max("_copy")).first()[0] == 999

@@ -168,9 +168,9 @@ def fit(
         if pages is not None and pages.number != now.first:
             remove(spark, pages.path)
             pages = None
-        of_pass = [r for r in rounds if r.first == now.first]
-        if pages is None and not now.resident and len(of_pass) > 1:
-            pages = ordered_pages(chunked, spec, now.first, total, ids, seed, ties, of_pass[-1].high, num_chunks)
+        if pages is None and not now.resident and sum(r.first == now.first for r in rounds) > 1:
+            last = [r for r in rounds[:until] if r.first == now.first][-1]
+            pages = ordered_pages(chunked, spec, now.first, total, ids, seed, ties, last.high, num_chunks)
         trained = train_replicas(
             chunked,
             spec,

@@ -16,7 +16,7 @@ from gatewise.functions.cell import NetSpec, init_params, truncated_normal
 from gatewise.operators.metrics import accuracy_of, loss_of
 from gatewise.operators.prep import assign_counted, chunk_sizes, minmax, minmax_ranges, number_copies, sizes_of_chunks
 from gatewise.operators.score import MAX_PARAMETERS, Model, score
-from gatewise.operators.train import OUTPUT, ordered_pages, rounds_of, states_of, train_replicas
+from gatewise.operators.train import OUTPUT, order_of, ordered_pages, rounds_of, states_of, train_replicas
 from gatewise.operators.weights import average_weights
 from gatewise.sources.store import cut, listed, new_path, read_text, remove, write_text
 
@@ -159,18 +159,20 @@ def fit(
         rows.write.mode("overwrite").partitionBy("kind").parquet(f"{home}/round={number}")
 
     until = len(rounds) if max_rounds is None else min(len(rounds), done["rounds"] + max_rounds)
-    if len({now.first for now in rounds[done["rounds"] : until]}) > 1:
+    if len({order_of(now, spec.batch_size) for now in rounds[done["rounds"] : until]}) > 1 or until - done["rounds"] > 1 and rounds[0].resident:
         chunked = cut(chunked, "chunked")
     cuts: dict = {}
     pages = None
     for number in range(done["rounds"], until):
         now = rounds[number]
-        if pages is not None and pages.number != now.first:
+        in_order = order_of(now, spec.batch_size)
+        if pages is not None and pages.number != in_order:
             remove(spark, pages.path)
             pages = None
-        if pages is None and not now.resident and sum(r.first == now.first for r in rounds) > 1:
-            last = [r for r in rounds[:until] if r.first == now.first][-1]
-            pages = ordered_pages(chunked, spec, now.first, total, ids, seed, ties, last.high, num_chunks)
+        if pages is None and not now.resident and sum(order_of(r, spec.batch_size) == in_order for r in rounds) > 1:
+            ends = [r.high for r in rounds[number:until] if order_of(r, spec.batch_size) == in_order]
+            cap = None if None in ends else max(ends)
+            pages = ordered_pages(chunked, spec, in_order, total, ids, seed, ties, cap, num_chunks)
         trained = train_replicas(
             chunked,
             spec,

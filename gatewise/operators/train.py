@@ -103,6 +103,11 @@ def rounds_of(sizes: np.ndarray, batch_size: int | None, epochs: int, step_rule:
     return out
 
 
+def order_of(now: Round, batch_size: int | None) -> int:
+    """The pass whose order a round's rows come in: its own, or, as a sum has no order, the first where a chunk is one batch."""
+    return now.first if batch_size else 0
+
+
 def training_rows(
     chunked: DataFrame,
     batch_size: int | None,
@@ -133,17 +138,18 @@ def training_rows(
         key = F.concat_ws(":", F.lit(""), *[F.col(c).cast("string") for c in ids])
         rows, order = rows.withColumn("_key", key), [*ids, *ties]
     else:
-        in_pass, place = F.lit(now.first), F.struct("_h", *ids, *ties)
+        number, place = order_of(now, batch_size), F.struct("_h", *ids, *ties)
+        in_pass = F.lit(number)
         rows = rows.withColumn("pass", in_pass).withColumn("_h", order_key(seed, ids)).withColumn("_key", F.lit(None).cast("string"))
         order = ["_h", *ids, *ties]
         for rank in (now.low, now.high):
-            if rank and (now.first, rank) not in cuts:
-                cuts[now.first, rank] = pass_cuts(trainable(chunked, batch_size or 1), in_pass, lambda n: rank, ids, seed, ties, num_partitions)
+            if rank and (number, rank) not in cuts:
+                cuts[number, rank] = pass_cuts(trainable(chunked, batch_size or 1), in_pass, lambda n: rank, ids, seed, ties, num_partitions)
         if now.high is not None:
-            end = F.broadcast(cuts[now.first, now.high])
+            end = F.broadcast(cuts[number, now.high])
             rows = rows.join(end, "chunk", "left").where(F.col("cut").isNull() | (place < F.col("cut"))).drop("cut")
         if now.low:
-            rows = rows.join(F.broadcast(cuts[now.first, now.low]), "chunk").where(place >= F.col("cut")).drop("cut")
+            rows = rows.join(F.broadcast(cuts[number, now.low]), "chunk").where(place >= F.col("cut")).drop("cut")
     rows = rows.withColumn("_state", F.lit(None).cast("binary"))
     if states is not None:
         begun = states.select(F.col("replica").alias("chunk"), F.col("state").alias("_state"))
@@ -394,7 +400,7 @@ def _examples(batch: pa.RecordBatch, spec: NetSpec) -> tuple[np.ndarray, np.ndar
 def _in_passes(batches: Iterator[pa.RecordBatch], spec: NetSpec, now: Round, seed: int):
     """Pieces of whole passes, see :func:`_pieces`: a chunk's rows are kept and put in each pass's order.
 
-    The order is that of ``order_key``; rows with equal keys stay in the order they come in.
+    The order is that of ``order_key`` (see :func:`order_of`); rows with equal keys stay in the order they come in.
     """
 
     def passes(place: tuple, held: list):
@@ -405,7 +411,8 @@ def _in_passes(batches: Iterator[pa.RecordBatch], spec: NetSpec, now: Round, see
         per_pass = n // size
         last = -(-max_steps // per_pass) + (0 if spec.batch_size else 1)
         for k in range(now.first, min(now.until, last)):
-            digests = b"".join(md5(f"{seed}:{k}{key}".encode()).digest() for key in keys)
+            in_order = k if spec.batch_size else 0
+            digests = b"".join(md5(f"{seed}:{in_order}{key}".encode()).digest() for key in keys)
             order = np.lexsort(np.frombuffer(digests, ">u8").reshape(-1, 2).T[::-1])
             unit, end = spec.batch_size or now.piece, per_pass * size
             for at in range(0, end, unit):

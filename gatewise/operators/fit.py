@@ -162,17 +162,21 @@ def fit(
     if len({order_of(now, spec.batch_size) for now in rounds[done["rounds"] : until]}) > 1 or until - done["rounds"] > 1 and rounds[0].resident:
         chunked = cut(chunked, "chunked")
     cuts: dict = {}
-    pages = None
+    pages, uneven, full = None, False, {chunk: n for chunk, n in enumerate(sizes.tolist()) if n >= smallest}
     for number in range(done["rounds"], until):
         now = rounds[number]
-        in_order = order_of(now, spec.batch_size)
-        if pages is not None and pages.number != in_order:
+        if pages is not None and pages.number != order_of(now, spec.batch_size, uneven):
             remove(spark, pages.path)
             pages = None
-        if pages is None and not now.resident and sum(order_of(r, spec.batch_size) == in_order for r in rounds) > 1:
-            ends = [r.high for r in rounds[number:until] if order_of(r, spec.batch_size) == in_order]
-            cap = None if None in ends else max(ends)
+        while pages is None and not now.resident and sum(r.first == now.first for r in rounds) > 1:
+            in_order = order_of(now, spec.batch_size, uneven)
+            cap = [r for r in rounds[:until] if r.first == now.first][-1].high if spec.batch_size else None
             pages = ordered_pages(chunked, spec, in_order, total, ids, seed, ties, cap, num_chunks)
+            if spec.batch_size is None and not uneven and pages.rows() != full:
+                uneven = True
+                if in_order != now.first:
+                    remove(spark, pages.path)
+                    pages = None
         trained = train_replicas(
             chunked,
             spec,

@@ -103,9 +103,13 @@ def rounds_of(sizes: np.ndarray, batch_size: int | None, epochs: int, step_rule:
     return out
 
 
-def order_of(now: Round, batch_size: int | None) -> int:
-    """The pass whose order a round's rows come in: its own, or, as a sum has no order, the first where a chunk is one batch."""
-    return now.first if batch_size else 0
+def order_of(now: Round, batch_size: int | None, uneven: bool = False) -> int:
+    """The pass whose order a round's rows come in: its own, or the first where a chunk is one batch, as a sum has no order.
+
+    ``uneven`` chunks don't hold as many rows as ``chunk_rows`` says (equal rows lie on both sides of a cut), so that
+    the order tells which rows are summed.
+    """
+    return now.first if batch_size or uneven else 0
 
 
 def training_rows(
@@ -138,18 +142,17 @@ def training_rows(
         key = F.concat_ws(":", F.lit(""), *[F.col(c).cast("string") for c in ids])
         rows, order = rows.withColumn("_key", key), [*ids, *ties]
     else:
-        number, place = order_of(now, batch_size), F.struct("_h", *ids, *ties)
-        in_pass = F.lit(number)
+        in_pass, place = F.lit(now.first), F.struct("_h", *ids, *ties)
         rows = rows.withColumn("pass", in_pass).withColumn("_h", order_key(seed, ids)).withColumn("_key", F.lit(None).cast("string"))
         order = ["_h", *ids, *ties]
         for rank in (now.low, now.high):
-            if rank and (number, rank) not in cuts:
-                cuts[number, rank] = pass_cuts(trainable(chunked, batch_size or 1), in_pass, lambda n: rank, ids, seed, ties, num_partitions)
+            if rank and (now.first, rank) not in cuts:
+                cuts[now.first, rank] = pass_cuts(trainable(chunked, batch_size or 1), in_pass, lambda n: rank, ids, seed, ties, num_partitions)
         if now.high is not None:
-            end = F.broadcast(cuts[number, now.high])
+            end = F.broadcast(cuts[now.first, now.high])
             rows = rows.join(end, "chunk", "left").where(F.col("cut").isNull() | (place < F.col("cut"))).drop("cut")
         if now.low:
-            rows = rows.join(F.broadcast(cuts[number, now.low]), "chunk").where(place >= F.col("cut")).drop("cut")
+            rows = rows.join(F.broadcast(cuts[now.first, now.low]), "chunk").where(place >= F.col("cut")).drop("cut")
     rows = rows.withColumn("_state", F.lit(None).cast("binary"))
     if states is not None:
         begun = states.select(F.col("replica").alias("chunk"), F.col("state").alias("_state"))
@@ -171,6 +174,13 @@ class Pages(NamedTuple):
     path: str
     parts: list[tuple[int, int, int, int]]
 
+    def rows(self) -> dict[int, int]:
+        """Rows that each chunk holds."""
+        out: dict[int, int] = {}
+        for _, chunk, _, n in self.parts:
+            out[chunk] = out.get(chunk, 0) + n
+        return out
+
 
 def ordered_pages(
     chunked: DataFrame,
@@ -411,7 +421,7 @@ def _in_passes(batches: Iterator[pa.RecordBatch], spec: NetSpec, now: Round, see
         per_pass = n // size
         last = -(-max_steps // per_pass) + (0 if spec.batch_size else 1)
         for k in range(now.first, min(now.until, last)):
-            in_order = k if spec.batch_size else 0
+            in_order = order_of(Round(k, k + 1), spec.batch_size, len(keys) != n)
             digests = b"".join(md5(f"{seed}:{in_order}{key}".encode()).digest() for key in keys)
             order = np.lexsort(np.frombuffer(digests, ">u8").reshape(-1, 2).T[::-1])
             unit, end = spec.batch_size or now.piece, per_pass * size
@@ -496,7 +506,10 @@ def _unpacked(batches: Iterator[pa.RecordBatch], spec: NetSpec, paged: Round | N
                 first, end = int(at[a]), int(at[b - 1] + n[b - 1])
                 if len(y) != end - first:
                     raise ValueError(f"pages of chunk {here[0]} don't follow one another")
-                kept = slice(max(0, paged.low - first), (end if paged.high is None else min(end, paged.high)) - first)
+                stop = end if paged.high is None else min(end, paged.high)
+                if spec.batch_size is None:  # a batch has as many rows as the chunk is said to have
+                    stop = min(stop, here[3])
+                kept = slice(max(0, paged.low - first), max(0, stop - first))
                 yield here, x[kept], y[kept]
 
 

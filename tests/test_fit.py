@@ -279,6 +279,14 @@ def test_rounds_read_their_own_part_of_a_pass(spark, monkeypatch, batch_size):
         assert got == {0: want[:400][low:high], 1: want[400:][low:high]}
 
 
+def test_equal_rows_at_the_end_of_a_chunk_are_summed_in_each_passs_order(spark, monkeypatch):
+    monkeypatch.setattr(train, "PIECE", 10)
+    df = planted(spark, 50).withColumn("n", F.explode(F.array(F.lit(0), F.lit(0), F.lit(0)))).drop("n")
+    spec, options = NetSpec(4, (3,), 3, None), dict(num_chunks=4, epochs=2, evaluate_every=1, optimizer="sgd", learning_rate=0.1)
+    whole = outcome(fit(df, spec, **options))
+    assert outcome(fit(df, spec, rows_per_round=20, **options)) == whole
+
+
 def test_a_round_is_bounded_whatever_is_asked_for(spark, tmp_path, monkeypatch):
     whole = fit(planted(spark, 200), SPEC, num_chunks=2, rows_per_round=100)
     monkeypatch.setattr(fit_module, "MOST_ROWS", 20)

@@ -204,8 +204,10 @@ def ordered_pages(
     rows = rows.withColumn("pass", F.lit(in_pass)).withColumn("_h", order_key(seed, ids))
     if cap is not None:
         rows = rows.join(end, "chunk", "left").where(F.col("cut").isNull() | (F.struct("_h", *ids, *ties) < F.col("cut")))
-    order = ["chunk", "_h", *ids, *ties]
-    rows = rows.withColumn("_h", F.unhex("_h")).select(*dict.fromkeys([*order, "chunk_rows", "features", "label"]))
+    # Chunk and hash are one run of bytes, as a sort looks at whole rows only where the first eight bytes are equal.
+    rows = rows.withColumn("_h", F.unhex(F.concat(F.lpad(F.hex("chunk"), 8, "0"), "_h")))
+    order = ["_h", *ids, *ties]
+    rows = rows.select(*dict.fromkeys([*order, "chunk", "chunk_rows", "features", "label"]))
     rows = rows.repartitionByRange(max(1, -(-total // PART_ROWS)), *order).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -279,6 +279,28 @@ def test_rounds_read_their_own_part_of_a_pass(spark, monkeypatch, batch_size):
         assert got == {0: want[:400][low:high], 1: want[400:][low:high]}
 
 
+def test_the_first_bytes_of_a_passs_key_tell_rows_apart(spark, monkeypatch):
+    """A sort compares these before it looks at whole rows; they are in the order of chunk and hash."""
+    chunks, sorted_by = (0, 1, 9, 10, 255, 256, 70_000), []
+    df = planted(spark, 140).withColumn("chunk", F.get(F.array(*[F.lit(c).cast("long") for c in chunks]), (F.col("row_id") % 7).cast("int")))
+    df = df.withColumn("chunk_rows", F.lit(20).cast("long"))
+    frame, plain = type(df), type(df).sortWithinPartitions
+
+    def spy(rows, *order):
+        sorted_by.append((rows, order))
+        return plain(rows, *order)
+
+    monkeypatch.setattr(frame, "sortWithinPartitions", spy)
+    pages = train.ordered_pages(df, SPEC, 1, 140)
+    monkeypatch.undo()
+    assert pages.rows() == dict.fromkeys(chunks, 20)
+    [(rows, order)] = sorted_by
+    keys = rows.select(F.substring(order[0], 1, 8).alias("key"), "chunk", "row_id").withColumn("pass", F.lit(1)).withColumn("hash", train.order_key(42, ["row_id"]))
+    keys = keys.collect()
+    assert len({r.key for r in keys}) == 140
+    assert [r.row_id for r in sorted(keys, key=lambda r: bytes(r.key))] == [r.row_id for r in sorted(keys, key=lambda r: (r.chunk, r.hash))]
+
+
 def test_equal_rows_at_the_end_of_a_chunk_are_summed_in_each_passs_order(spark, monkeypatch):
     monkeypatch.setattr(train, "PIECE", 10)
     df = planted(spark, 50).withColumn("n", F.explode(F.array(F.lit(0), F.lit(0), F.lit(0)))).drop("n")

@@ -19,7 +19,7 @@ from gatewise.functions import cell
 from gatewise.functions.arrow import matrix
 from gatewise.functions.cell import NetSpec
 from gatewise.operators.batching import STEP_RULES, order_key, pass_cuts, pass_range, trainable
-from gatewise.sources.store import broadcast, new_path
+from gatewise.sources.store import broadcast, new_path, ship
 
 # One tagged row type for everything a replica gives back, so that it trains once.
 OUTPUT = (
@@ -244,6 +244,7 @@ def ordered_pages(
 
     path, spark = new_path(chunked.sparkSession, "pass"), chunked.sparkSession
     narrow = rows.select("chunk", "chunk_rows", "features", "label")
+    ship(spark)
     narrow.mapInArrow(pack, PAGES).write.partitionBy("part").parquet(path)
     counted = spark.read.schema(PAGES).parquet(path).groupBy("part", "chunk").agg(F.sum("n").alias("n")).collect()
     parts, before = [], {}

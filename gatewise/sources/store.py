@@ -80,12 +80,17 @@ def remove(spark: SparkSession, folder: str) -> None:
     files.delete(where, True)
 
 
-def broadcast(spark: SparkSession, value) -> Broadcast:
-    """Broadcasts ``value``, once this package has been sent to the executors."""
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once; needed before any job whose tasks run its Python code."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         home, name = os.path.split(package)
         folder = _shipped[context.applicationId] = tempfile.TemporaryDirectory(prefix="gatewise-")
         context.addPyFile(shutil.make_archive(os.path.join(folder.name, name), "zip", home, name))
-    return context.broadcast(value)
+
+
+def broadcast(spark: SparkSession, value) -> Broadcast:
+    """Broadcasts ``value``, once this package has been sent to the executors."""
+    ship(spark)
+    return spark.sparkContext.broadcast(value)

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -316,6 +321,25 @@ def test_a_round_is_bounded_whatever_is_asked_for(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "fit/run_id=run").glob("_manifest-*.json"))) == 5 and outcome(done) == outcome(whole)
 
 
+def test_passes_are_put_in_order_where_only_the_driver_has_the_package(tmp_path):
+    """Workers begin in another folder, without the driver's path."""
+    repo = str(Path(__file__).parents[1])
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+conf = {{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": {str(tmp_path)!r}, "spark.driver.host": "127.0.0.1"}}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+from gatewise import NetSpec, fit
+rows = spark.range(80).select(F.col("id").alias("row_id"), F.array(F.col("id") / 80).alias("features"), (F.col("id") % 2).alias("label"))
+print("steps", fit(rows, NetSpec(1, (1,), 2, 10), num_chunks=2, rows_per_round=20).totals.first().steps)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "steps 8" in ran.stdout, ran.stderr[-2000:]
+
+
 def outcome(done):
     """Weights, metrics and report of a run, without times."""
     said = sorted(map(tuple, done.metrics.collect()), key=str)

@@ -9,7 +9,9 @@ is close enough to a template. Rows without one inherit from the nearest directo
 licence file: a file named like one, or a text most of whose words are in licence units, that has a license.
 
 Only the directories' names and licenses are joined; a directory with very many rows is dealt out
-by row, and has one row on the other side.
+by row, and has one row on the other side. Directories that hold a licence file are sent to all tasks if
+they are few, by their measured size; what is made of the rows never is, as Spark sizes it by compressed
+files and before directories are listed, so many times too low.
 
 Defined results: null and empty texts have no license of their own; a null path is no licence file
 and inherits nothing; of equally near templates the first by name wins, of equally long units the nearest,
@@ -172,6 +174,9 @@ TEMPLATES = (
 #: Cosine from which a unit counts as a license, and share of a text's words that makes it a licence file.
 NEAR, FILE_SHARE = 0.85, 0.5
 
+#: Bytes of directories that hold a licence file up to which all tasks are sent them.
+SENT = 1 << 22
+
 #: Names of licence files, whatever their case and ending.
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
 
@@ -382,13 +387,15 @@ def inherit(scanned: DataFrame, id_col: str = "doc_id", path_col: str = "path")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     is_file = F.col("path").rlike(FILE_NAME) | (F.col("share") >= FILE_SHARE)
     held = rows.where(F.col("own_license").isNotNull() & F.col("path").isNotNull() & is_file)
-    held = held.groupBy(folder.alias("above")).agg(F.min(F.struct((-F.col("cosine")).alias("far"), "own_license", "path")).alias("held"))
+    held = table(held.groupBy(folder.alias("above")).agg(F.min(F.struct((-F.col("cosine")).alias("far"), "own_license", "path")).alias("held")), "held")
+    size = held.agg(F.sum(F.octet_length("above") + F.octet_length("held.path") + 100)).first()[0] or 0
     parts = F.split(folder, "/")
     # "a/b/c" lies under "a/b/c", "a/b", "a" and the root, "".
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     wants = rows.where("own_license IS NULL AND path IS NOT NULL").select("row", F.explode(F.array_distinct(above)).alias("above"))
-    nearest = wants.join(held, "above").groupBy("row").agg(F.max(F.struct(F.length("above").alias("deep"), "held")).alias("found"))
-    out = rows.join(nearest, "row", "left")
+    met = wants.join(held.hint("broadcast" if size <= SENT else "merge"), "above")
+    nearest = met.groupBy("row").agg(F.max(F.struct(F.length("above").alias("deep"), "held")).alias("found"))
+    out = rows.join(nearest.hint("merge"), "row", "left")
     license_ = F.coalesce("own_license", "found.held.own_license")
     how = F.when(F.col("own_license").isNotNull(), "own").when(license_.isNotNull(), "inherited").otherwise("none")
     from_ = F.when(F.col("own_license").isNull(), F.col("found.held.path"))

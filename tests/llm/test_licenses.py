@@ -144,3 +144,18 @@ def test_hard_rows(spark):
     assert got.count() == df.count() and got.where("how <> 'none'").count() == 0
     assert licenses.license_scan(df.limit(0)).count() == 0
     assert empty(spark).count() == 0
+
+
+def test_what_rows_are_made_into_is_not_broadcast(spark, monkeypatch):
+    """Only directories that hold a licence file may be, and only if they are few by their own size."""
+    rows = [(i, f"a/b/{i}.py", None, 0.0, 0.0) for i in range(40)] + [(k, f"{f}LICENSE", name, 1.0, 1.0) for k, f, name in ((90, "", "MIT"), (91, "a/", "ISC"))]
+    scanned = spark.createDataFrame(rows, "doc_id long, path string, own_license string, cosine double, share double")
+    few = licenses.inherit(scanned)
+    monkeypatch.setattr(licenses, "SENT", 0)
+    many = licenses.inherit(scanned)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (few, many)]
+    assert [plan.count("BroadcastExchange") for plan in plans] == [1, 0]
+    assert "BroadcastHashJoin [above" in plans[0] and "BuildLeft" not in plans[0]
+    for df in (few, many):
+        got = {r.doc_id: (r.license, r.how, r.licence_path) for r in df.collect()}
+        assert got == {**{i: ("ISC", "inherited", "a/LICENSE") for i in range(40)}, 90: ("MIT", "own", None), 91: ("ISC", "own", None)}

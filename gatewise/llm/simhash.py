@@ -204,6 +204,7 @@ def links_within(prints: DataFrame, radius: int = RADIUS, print_col: str = "fing
     """``<print_col>, links``: for each different fingerprint (hex), how many others are within ``radius`` bits.
 
     Fingerprints without others are left out. Keys are made again where they are needed instead of being stored.
+    Spark would size keys and buckets like the fingerprints they are made of, and broadcast tens of rows for each.
     """
     workers(prints.sparkSession)
     own = table(prints.select(F.col(print_col).alias("print")).where("print IS NOT NULL").distinct(), "prints")
@@ -218,7 +219,7 @@ def links_within(prints: DataFrame, radius: int = RADIUS, print_col: str = "fing
 
     keys = own.mapInArrow(keyed, "key long, a long, b long")
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = deal(keys.join(buckets, "key"), "a", F.ceil(F.col("size") / MEMBERS)).select("key", "a", "b", "block", "block_i", "block_j")
+    members = deal(keys.join(buckets.hint("merge"), "key"), "a", F.ceil(F.col("size") / MEMBERS)).select("key", "a", "b", "block", "block_i", "block_j")
     by = ["key", "block_i", "block_j"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,4 +250,4 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, id_col: str = "
     """:func:`edited_fingerprints` and ``near_prints``: other fingerprints of the table within ``radius`` bits."""
     found = table(edited_fingerprints(docs, id_col, text_col), "edited")
     near = links_within(found, radius).withColumnRenamed("links", "near_prints")
-    return found.join(near, "fingerprint", "left").select(*found.columns, F.coalesce("near_prints", F.lit(0)).alias("near_prints"))
+    return found.join(near.hint("merge"), "fingerprint", "left").select(*found.columns, F.coalesce("near_prints", F.lit(0)).alias("near_prints"))

@@ -94,3 +94,13 @@ def test_all_fingerprints_within_the_radius(spark, monkeypatch, radius, members,
 
 def test_empty_table(spark):
     assert simhash.fingerprint_documents(empty(spark)).count() == 0
+
+
+def test_buckets_are_not_broadcast(spark):
+    """There may be tens for each fingerprint, whose table is what Spark sizes them by."""
+    texts = [(k, prose(k % 20, 60)) for k in range(40)]
+    df = simhash.fingerprint_documents(spark.createDataFrame(texts, "doc_id long, text string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+    assert "SortMergeJoin [fingerprint" in plan and "BroadcastHashJoin [fingerprint" not in plan
+    assert df.count() == 40

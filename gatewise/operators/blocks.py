@@ -5,7 +5,8 @@ bounded by what can be broadcast: a tensor is cut into a row per input and block
 meets the inputs of its number, and the products are added up, first within the task. Spark chooses
 by size how the two sides meet; blocks are written once, so that their size is known. What all rows
 share (state, bias) is a number per unit and is looked up, as a join by block would bring all rows of a
-block to one task.
+block to one task. Rows are dealt out by key before they are taken apart, so where blocks are small enough
+to be sent, all sums of all layers are made where a row lies, and nothing but the rows is exchanged.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from gatewise.sources.store import cut
 # Units of a block; so many sums for each gate stay in generated code.
 WIDTH = 8
 
+# Sums of blocks that a task holds in memory, and most tasks that rows are dealt out to; with more, sums spill.
+HELD, TASKS = 1 << 17, 10_000
+
 # Gates of a layer in the order of their columns, and the letter of the dense head.
 GATES, HEAD = ("f", "i", "o", "c"), ("d",)
 
@@ -99,6 +103,13 @@ def layer_outputs(weights: DataFrame, layer: int, inputs: DataFrame, by: Sequenc
     return out.select(*by, F.lit("x").alias("part"), (F.col("block") * WIDTH + F.col("k")).alias("i"), "v")
 
 
+def _dealt(df: DataFrame, weights: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows by key, as many to a task as it can hold the widest layer of."""
+    widest = weights.agg(F.max(F.ceil(F.element_at("shape", -1) / WIDTH))).first()[0] or 1
+    tasks = min(-(-df.count() * widest // HELD), TASKS)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *key)
+
+
 def score_blocks(df: DataFrame, weights: DataFrame, key: Sequence[str], layers: int, features: str = "features") -> DataFrame:
     """``key, logits, prediction`` of each row, by joins and sums alone.
 
@@ -106,7 +117,8 @@ def score_blocks(df: DataFrame, weights: DataFrame, key: Sequence[str], layers:
     ``state='mean'``. A row's logits are put together at the end; they are as many as there are classes.
     """
     key = list(key)
-    inputs = vector_inputs(df, key, F.col(features), "x")
+    rows = _dealt(df.select(*key, F.col(features).alias("_features")), weights, key)
+    inputs = vector_inputs(rows, key, F.col("_features"), "x")
     for layer in range(layers):
         inputs = layer_outputs(weights, layer, inputs, key)
     blocks = weight_blocks(weights, layers, HEAD)

@@ -67,3 +67,24 @@ def test_rows_of_a_block_do_not_meet_in_one_task(spark):
         assert "SortMergeJoin [part" in plan and "SortMergeJoin [block" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_are_exchanged_once_for_all_layers(spark):
+    """Where blocks are sent, sums aren't: they take many times the room of the rows."""
+    spec = NetSpec(2, (9, 4), 3, None)
+    weights = weights_of(spark, Model(spec, cell.init_params(spec, 1)))
+    df = rows(spark, 20_000, 2)  # more than the blocks, or Spark sends the inputs instead
+    out = blocks.score_blocks(df, weights, ["id"], 2)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(id") == 1
+    assert out.count() == 20_000
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    spec = NetSpec(2, (9, 4), 3, None)
+    weights = weights_of(spark, Model(spec, cell.init_params(spec, 1)))
+    tasks = lambda: blocks._dealt(rows(spark, 100, 2), weights, ["id"]).rdd.getNumPartitions()
+    assert tasks() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(blocks, "HELD", 10)
+    assert tasks() == 20
+    monkeypatch.setattr(blocks, "TASKS", 15)
+    assert tasks() == 15
